@@ -1,0 +1,281 @@
+"""Dense groups of points by parallel pivot clustering.
+
+Points are first put into cells whose diagonal is the radius, so all points of a cell are mutually similar and a crowded
+place costs one node instead of a quadratic number of pairs. The nodes are clustered by pivots: in each round, every
+node whose hash is below those of all its unassigned neighbours becomes a pivot and absorbs the unassigned neighbours.
+Density-connected groups are the pivot clusters contracted, and pivoted again, until no links are left.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from hotloom.functions.sphere import EARTH_M, haversine
+from hotloom.operators.skew import hot_part
+from hotloom.session import stage
+
+RUN = "run_id"
+
+
+@dataclass
+class Groups:
+    """rows: (rowid_, run_id, lat, lon, cluster_rowid) of every dense complaint; places: the dense coordinates with node,
+    pivot and cluster_rowid; clusters: (node, pivot); links: (a, b) between nodes."""
+
+    rows: DataFrame
+    places: DataFrame
+    clusters: DataFrame
+    links: DataFrame
+
+
+def _height(radius_m: float) -> float:
+    return math.degrees(radius_m / math.sqrt(2) / EARTH_M) * (1 - 1e-6)
+
+
+def _cells_round(band: Column, radius_m: float) -> Column:
+    """Cells of a band, each no wider than the band's height even at the edge next to the equator."""
+    height = _height(radius_m)
+    edge = F.when((band >= 0), band).when(band < -1, -band - 1).otherwise(0) * F.lit(height)
+    return F.greatest(F.ceil(F.lit(360.0 / height) * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1)).cast("long")
+
+
+def _cell(lon: Column, count: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) * count / 360.0).cast("long"), count)
+
+
+def celled(points: DataFrame, radius_m: float) -> DataFrame:
+    """Add band, cell: any two points with the same are at most radius_m apart."""
+    points = points.withColumn("band", F.floor(F.col("lat") / F.lit(_height(radius_m))).cast("long"))
+    return points.withColumn("cell", _cell(F.col("lon"), _cells_round(F.col("band"), radius_m)))
+
+
+def _around(radius_m: float, low: Column, high: Column, steps: range) -> Column:
+    """The cells (band, cell) of bands at ``steps`` that can hold points within the radius of longitudes low to high."""
+    height = _height(radius_m)
+
+    def cells(step: int) -> Column:
+        band = F.col("band") + step
+        count = _cells_round(band, radius_m)
+        far = F.least(F.greatest(F.abs(F.col("band") - 2), F.abs(F.col("band") + 3)) * F.lit(height), F.lit(90.0))
+        ratio = F.lit(math.sin(radius_m / EARTH_M / 2) * (1 + 1e-9)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+        half = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2)
+        first, last = (F.floor((x + 180.0) * count / 360.0).cast("long") for x in (low - half, high + half))
+        return F.transform(F.sequence(first, F.least(last, first + count - 1)), lambda c: F.struct(band.alias("band"), F.pmod(c, count).alias("cell")))
+
+    return F.concat(*[cells(s) for s in steps])
+
+
+def dense_places(places: DataFrame, radius_m: float, least: int) -> DataFrame:
+    """(run_id, lat, lon, w, rid, band, cell) of the places that have ``least`` points within radius_m, themselves counted.
+
+    ``places`` has each coordinate of a run once with its number of points w and their smallest id rid. A cell with
+    ``least`` points is dense throughout; only points of the other cells, fewer than ``least`` in each, look around.
+    """
+    places = stage(celled(places, radius_m), "places")
+    cells = places.groupBy(RUN, "band", "cell").agg(F.sum("w").alias("__cw"))
+    key = [RUN, "band", "cell"]
+    known = stage(_join(places, cells, key), "weighed")
+    sparse = known.where(F.col("__cw") < least)
+    look = sparse.withColumn("__to", F.explode(_around(radius_m, F.col("lon"), F.col("lon"), range(-2, 3))))
+    look = look.select(RUN, F.col("rid").alias("__rid"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    met = _join(look, places, key).where(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")) <= radius_m)
+    enough = met.groupBy(F.col("__rid").alias("rid")).agg(F.sum("w").alias("__nw")).where(F.col("__nw") >= least).select("rid")
+    return known.where(F.col("__cw") >= least).unionByName(sparse.join(enough, "rid", "left_semi").select(known.columns)).drop("__cw")
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, null runs matching each other; the keys stay once."""
+    named = {c: f"__j_{c}" for c in on}
+    r = right.withColumnsRenamed(named)
+    cond = F.lit(True)
+    for c, d in named.items():
+        cond = cond & (left[c].eqNullSafe(r[d]) if c == RUN else left[c] == r[d])
+    return left.join(r, cond, how).drop(*named.values())
+
+
+def _xyz(lat: Column, lon: Column) -> list[Column]:
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def cell_nodes(dense: DataFrame) -> DataFrame:
+    """One node per cell with dense places: node (its smallest id), w, its box, its four outermost places."""
+    at = F.struct("lat", "lon")
+    outer = [F.min_by(at, "lat").alias("p0"), F.max_by(at, "lat").alias("p1"), F.min_by(at, "lon").alias("p2"), F.max_by(at, "lon").alias("p3")]
+    return dense.groupBy(RUN, "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
+
+
+def cell_links(dense: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
+    """(a, b) with a < b: nodes of which some two dense places are at most radius_m apart.
+
+    Most are settled by the nodes' outermost places; for the rest, only places that the other node's box lets be near
+    are compared.
+    """
+    a = nodes.withColumn("__to", F.explode(_around(radius_m, F.col("p2.lon"), F.col("p3.lon"), range(0, 3))))
+    a = a.select(RUN, F.col("node").alias("a"), F.col("band").alias("ab"), F.col("cell").alias("ac"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(4)], F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    pairs = _join(a, nodes.select(RUN, "band", "cell", F.col("node").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(4)]), [RUN, "band", "cell"])
+    pairs = pairs.where((F.col("ab") < F.col("band")) | (F.col("ac") != F.col("cell"))).where(F.col("a") != F.col("b"))
+    limit = (2 * math.sin(radius_m / EARTH_M / 2)) ** 2
+    vec = {}
+    for s, i in product("ab", range(4)):
+        for k, v in enumerate(_xyz(F.col(f"{s}{i}.lat"), F.col(f"{s}{i}.lon"))):
+            vec[f"{s}{i}{'xyz'[k]}"] = v
+    pairs = pairs.withColumns(vec)
+    gap = F.least(*[sum(((F.col(f"a{i}{c}") - F.col(f"b{j}{c}")) * (F.col(f"a{i}{c}") - F.col(f"b{j}{c}")) for c in "xyz"), F.lit(0.0)) for i, j in product(range(4), range(4))])
+    pairs = pairs.withColumn("__sure", gap <= limit * (1 - 1e-6)).drop(*vec)
+    pairs = stage(pairs, "cell_pairs")
+    sure = pairs.where("__sure").select("a", "b")
+    open_ = pairs.where(~F.col("__sure"))
+
+    def near(s: str, o: str) -> DataFrame:
+        """Places of side s from which the other side's box may be in reach."""
+        p = dense.select(F.col(RUN).alias("__run"), F.col("band").alias("__b"), F.col("cell").alias("__c"), F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
+        band, cell = ("ab", "ac") if s == "a" else ("band", "cell")
+        q = open_.join(p, open_[RUN].eqNullSafe(p["__run"]) & (open_[band] == p["__b"]) & (open_[cell] == p["__c"]))
+        lat = F.least(F.greatest(F.col("__plat"), F.col(f"{o}0.lat")), F.col(f"{o}1.lat"))
+        # the nearest longitude of the box; across the 180th meridian the box is taken as it is, which only keeps more
+        lon = F.least(F.greatest(F.col("__plon"), F.col(f"{o}2.lon")), F.col(f"{o}3.lon"))
+        wraps = F.abs(F.col("__plon") - lon) > 180
+        reach = haversine(F.col("__plat"), F.col("__plon"), lat, lon) <= radius_m * 1.01
+        return q.where(wraps | reach).select("a", "b", F.col("__plat").alias(f"lat_{s}"), F.col("__plon").alias(f"lon_{s}"))
+
+    both = near("a", "b").join(near("b", "a"), ["a", "b"])
+    found = both.where(haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= radius_m).select("a", "b").distinct()
+    return sure.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _order(node: Column, seed: int) -> Column:
+    return F.struct(F.xxhash64(node, F.lit(seed)), node)
+
+
+def pivot_round(links: DataFrame, seed: int) -> DataFrame:
+    """(node, pivot) of one round: local minima of the hash order, and the neighbours they absorb.
+
+    ``links`` holds both directions. A node next to several pivots goes to the first of them in the hash order.
+    """
+    first = links.groupBy("a").agg(F.min(_order(F.col("b"), seed)).alias("__m"))
+    pivots = first.where(_order(F.col("a"), seed) < F.col("__m")).select(F.col("a").alias("pivot"))
+    taken = links.join(pivots, links["b"] == pivots["pivot"]).groupBy(F.col("a").alias("node")).agg(F.min_by("pivot", _order(F.col("pivot"), seed)).alias("pivot"))
+    return taken.unionByName(pivots.select(F.col("pivot").alias("node"), "pivot"))
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def pivot_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, pivot): pivot correlation clustering; every node ends as a pivot or absorbed by a neighbouring one.
+
+    ``links`` holds each pair once. Rounds go on until no two unassigned nodes are linked; what is left are pivots of
+    their own. An empty table of nodes gives no rows; links that name unknown nodes are ignored by the last join.
+    """
+    left, done, seed = stage(both_ways(links), "links"), [], 0
+    while not left.isEmpty():
+        got = stage(pivot_round(left, seed), "round")
+        done.append(got)
+        gone = got.select(F.col("node").alias("__gone"))
+        rest = left.join(gone, left["a"] == gone["__gone"], "left_anti")
+        left = stage(rest.join(gone, rest["b"] == gone["__gone"], "left_anti"), "links")
+        seed += 1
+    if not done:
+        return nodes.select("node", F.col("node").alias("pivot"))
+    found = done[0]
+    for got in done[1:]:
+        found = found.unionByName(got)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("pivot", "node").alias("pivot"))
+
+
+def connected(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): nodes joined by any chain of links share a root; from pivot clusters, by contraction.
+
+    Each level takes the clusters as nodes, lets pivots absorb their neighbours once, and drops links within a cluster.
+    The number of levels grows with the logarithm of the largest group.
+    """
+    member, seed = stage(clusters.select("node", F.col("pivot").alias("root")), "member"), 100
+    links = links.select("a", "b")
+    move = clusters.select(F.col("node").alias("__from"), F.col("pivot").alias("__to"))
+    while True:
+        x = links.join(move, links["a"] == move["__from"], "left").select(F.coalesce("__to", "a").alias("a"), "b")
+        x = x.join(move, x["b"] == move["__from"], "left").select("a", F.coalesce("__to", "b").alias("b")).where("a != b")
+        links = stage(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
+        if links.isEmpty():
+            return member
+        got = stage(pivot_round(both_ways(links), seed), "level")
+        move = got.select(F.col("node").alias("__from"), F.col("pivot").alias("__to"))
+        member = stage(member.join(move, member["root"] == move["__from"], "left").select("node", F.coalesce("__to", "root").alias("root")), "member")
+        seed += 1
+
+
+def pothole_places(complaints: DataFrame, pin_limit: int = 8, box: tuple[float, ...] = (12.5, 13.5, 77.0, 78.2)) -> tuple[DataFrame, DataFrame]:
+    """(places, counts): the coordinates of a run in the box with fewer than pin_limit complaints of any kind and some
+    pothole complaint; and all coordinates in the box with their counts."""
+    inside = complaints.where(F.col("latitude").between(*box[:2]) & F.col("longitude").between(*box[2:]))
+    hole = F.coalesce(F.col("is_pothole") == 1, F.lit(False))
+    counts = inside.groupBy(RUN, (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hole).alias("w"), F.min(F.when(hole, F.col("rowid_"))).alias("rid"))
+    counts = stage(counts, "coordinates")
+    return counts.where((F.col("n") < pin_limit) & (F.col("w") > 0)).drop("n"), counts
+
+
+def dense_groups(complaints: DataFrame, radius_m: float = 250.0, least: int = 5) -> Groups:
+    """The dense groups of pothole complaints.
+
+    Two dense complaints share a cluster if a chain of dense ones with steps of at most radius_m joins them; it is named
+    after its smallest rowid_. Complaints with a null in run, coordinate or is_pothole: a null run is a run of its own,
+    the others aren't taken. Repeated rows count each.
+    """
+    places, counts = pothole_places(complaints)
+    dense = stage(dense_places(places, radius_m, least), "dense")
+    nodes = stage(cell_nodes(dense), "nodes")
+    links = stage(cell_links(dense, nodes, radius_m), "cell_links")
+    clusters = stage(pivot_clusters(nodes, links), "pivots")
+    roots = connected(clusters, links)
+    named = nodes.select(RUN, "band", "cell", "node").join(clusters, "node").join(roots, "node")
+    small = named.groupBy("root").agg(F.min("node").alias("cluster_rowid"))
+    named = named.join(small, "root")
+    at = stage(_join(dense, named, [RUN, "band", "cell"]), "dense_places")
+    hot, _ = hot_part(counts, "n")
+    hot = hot.select(RUN, "lat", "lon")
+    rows = complaints.where(F.col("is_pothole") == 1).select(RUN, "rowid_", (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon"))
+    rows = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    # hot coordinates, at most a thousand, may not be dense places unless the whole table is small
+    shared = hot.select(F.col(RUN).alias("__run"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    on = rows[RUN].eqNullSafe(shared["__run"]) & (rows["lat"] == shared["__lat"]) & (rows["lon"] == shared["__lon"])
+    cold_rows = rows.join(F.broadcast(shared), on, "left_anti")
+    place = at.select(RUN, "lat", "lon", "cluster_rowid")
+    hot_places = stage(_join(hot, place, [RUN, "lat", "lon"]), "hot_places")
+    found = _join(cold_rows, place, [RUN, "lat", "lon"]).unionByName(_join(rows, F.broadcast(hot_places), [RUN, "lat", "lon"]))
+    return Groups(found, at, clusters, links)
+
+
+def describe(groups: Groups, typical: int = 3) -> DataFrame:
+    """(run_id, cluster_rowid, report_count, pivots, typical): each group's size, its number of pivot clusters, and its
+    most typical complaints: the medoids of its largest pivot clusters, smallest id first among equals.
+
+    Places are reassigned to the closest medoid among the pivot clusters of their own and linked cells, and medoids are
+    recomputed. The member with the least sum of squared chord distances is the one closest to the members' mean, so no
+    pairs are compared. No groups give no rows.
+    """
+    x, y, z = _xyz(F.col("lat"), F.col("lon"))
+    places = groups.places.withColumns({"x": x, "y": y, "z": z})
+    gap = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
+
+    def medoids(p: DataFrame) -> DataFrame:
+        mean = p.groupBy("pivot").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"c{c}") for c in "xyz"], F.sum("w").alias("size"))
+        return p.join(mean, "pivot").groupBy("pivot").agg(F.min(F.struct(gap.alias("gap"), "rid", "x", "y", "z")).alias("m"), F.first("size").alias("size"))
+
+    start = medoids(places).select("pivot", *[F.col(f"m.{c}").alias(f"c{c}") for c in "xyz"])
+    pivot_of = groups.clusters.select(F.col("node").alias("b"), "pivot")
+    near = both_ways(groups.links).join(pivot_of, "b").select(F.col("a").alias("node"), "pivot").unionByName(groups.clusters).distinct()
+    near = stage(near.join(start, "pivot"), "candidates")
+    moved = places.drop("pivot").join(near, "node").groupBy("rid").agg(F.min_by("pivot", F.struct(gap, "pivot")).alias("pivot"))
+    again = medoids(stage(places.drop("pivot").join(moved, "rid"), "reassigned"))
+    whole = places.groupBy(RUN, "cluster_rowid").agg(F.sum("w").alias("report_count"))
+    part = again.join(places.select(F.col("rid").alias("__rid"), RUN, "cluster_rowid"), F.col("m.rid") == F.col("__rid"))
+    ranked = F.row_number().over(Window.partitionBy(RUN, "cluster_rowid").orderBy(F.desc("size"), "m.rid"))
+    part = part.withColumn("r", ranked).groupBy(RUN, "cluster_rowid").agg(F.count(F.lit(1)).alias("pivots"), F.array_sort(F.collect_list(F.when(F.col("r") <= typical, F.struct("r", F.col("m.rid").alias("rid"))))).alias("t"))
+    return _join(whole, part.withColumn("typical", F.transform("t", lambda t: t["rid"])).drop("t"), [RUN, "cluster_rowid"])

@@ -94,6 +94,7 @@ def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str,
     paired = paired.join(places, [*keys, "lat", "lon"]) if not keys else _natural(paired, places, [*keys, "lat", "lon"])
     paired = stage(paired.select(*named, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__n"), blocks(F.col("__n"), block).alias("__blocks")), "paired_places")
     hot, cold = hot_part(paired, "__n")
+    cold = cold.withColumn("__blocks", F.lit(1))
 
     def meet(df: DataFrame, place: DataFrame, how: str = "inner") -> DataFrame:
         on = (df["lat"] == place["__lat"]) & (df["lon"] == place["__lon"])
