@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hotloom.plans import problem_sql
 from hotloom.operators import frequency, pins, pivots, proximity, regions, timestamps, trailing
 from hotloom.sources.tables import table
 
@@ -69,4 +70,4 @@ def p5_ward_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_month_conflicts, p2_found, p2_profile, p3_found, p4_found, p4_groups, p5_found, p5_ward_days)}
-ORACLE: dict[str, str] = {}
+ORACLE = problem_sql.ORACLE
