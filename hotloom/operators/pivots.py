@@ -19,7 +19,9 @@ from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.skew import hot_part
 from hotloom.session import stage
 
-RUN = "run_id"
+#: Places have a group (a run, a configuration), lat, lon, the number of points w, their smallest id rid (unique over
+#: all groups), and the group's radius eps in metres and least number of points.
+GROUP = "grp"
 
 
 @dataclass
@@ -33,36 +35,37 @@ class Groups:
     links: DataFrame
 
 
-def _height(radius_m: float) -> float:
-    return math.degrees(radius_m / math.sqrt(2) / EARTH_M) * (1 - 1e-6)
+def _height(eps: Column) -> Column:
+    return F.degrees(eps / F.lit(math.sqrt(2) * EARTH_M)) * F.lit(1 - 1e-6)
 
 
-def _cells_round(band: Column, radius_m: float) -> Column:
+def _cells_round(band: Column, eps: Column) -> Column:
     """Cells of a band, each no wider than the band's height even at the edge next to the equator."""
-    height = _height(radius_m)
-    edge = F.when((band >= 0), band).when(band < -1, -band - 1).otherwise(0) * F.lit(height)
-    return F.greatest(F.ceil(F.lit(360.0 / height) * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1)).cast("long")
+    height = _height(eps)
+    edge = F.when((band >= 0), band).when(band < -1, -band - 1).otherwise(0) * height
+    return F.greatest(F.ceil(F.lit(360.0) / height * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1)).cast("long")
 
 
 def _cell(lon: Column, count: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) * count / 360.0).cast("long"), count)
 
 
-def celled(points: DataFrame, radius_m: float) -> DataFrame:
-    """Add band, cell: any two points with the same are at most radius_m apart."""
-    points = points.withColumn("band", F.floor(F.col("lat") / F.lit(_height(radius_m))).cast("long"))
-    return points.withColumn("cell", _cell(F.col("lon"), _cells_round(F.col("band"), radius_m)))
+def celled(places: DataFrame) -> DataFrame:
+    """Add band, cell: any two places of a group with the same are at most eps apart."""
+    places = places.withColumn("band", F.floor(F.col("lat") / _height(F.col("eps"))).cast("long"))
+    return places.withColumn("cell", _cell(F.col("lon"), _cells_round(F.col("band"), F.col("eps"))))
 
 
-def _around(radius_m: float, low: Column, high: Column, steps: range) -> Column:
-    """The cells (band, cell) of bands at ``steps`` that can hold points within the radius of longitudes low to high."""
-    height = _height(radius_m)
+def _around(low: Column, high: Column, steps: range) -> Column:
+    """The cells (band, cell) of bands at ``steps`` that can hold points within eps of longitudes low to high."""
+    eps = F.col("eps")
+    height = _height(eps)
 
     def cells(step: int) -> Column:
         band = F.col("band") + step
-        count = _cells_round(band, radius_m)
-        far = F.least(F.greatest(F.abs(F.col("band") - 2), F.abs(F.col("band") + 3)) * F.lit(height), F.lit(90.0))
-        ratio = F.lit(math.sin(radius_m / EARTH_M / 2) * (1 + 1e-9)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+        count = _cells_round(band, eps)
+        far = F.least(F.greatest(F.abs(F.col("band") - 2), F.abs(F.col("band") + 3)) * height, F.lit(90.0))
+        ratio = F.sin(eps / F.lit(2 * EARTH_M)) * F.lit(1 + 1e-9) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
         half = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2)
         first, last = (F.floor((x + 180.0) * count / 360.0).cast("long") for x in (low - half, high + half))
         return F.transform(F.sequence(first, F.least(last, first + count - 1)), lambda c: F.struct(band.alias("band"), F.pmod(c, count).alias("cell")))
@@ -70,22 +73,28 @@ def _around(radius_m: float, low: Column, high: Column, steps: range) -> Column:
     return F.concat(*[cells(s) for s in steps])
 
 
-def dense_places(places: DataFrame, radius_m: float, least: int) -> DataFrame:
-    """(run_id, lat, lon, w, rid, band, cell) of the places that have ``least`` points within radius_m, themselves counted.
+def dense_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dense, known), both with band and cell: the places that have ``least`` points within eps, themselves counted; and
+    all places with the points of their cell, staged.
 
-    ``places`` has each coordinate of a run once with its number of points w and their smallest id rid. A cell with
-    ``least`` points is dense throughout; only points of the other cells, fewer than ``least`` in each, look around.
+    ``places`` has each coordinate of a group once. A cell with ``least`` points is dense throughout; only points of the
+    other cells, fewer than ``least`` in each, look around.
     """
-    places = stage(celled(places, radius_m), "places")
-    cells = places.groupBy(RUN, "band", "cell").agg(F.sum("w").alias("__cw"))
-    key = [RUN, "band", "cell"]
+    places = stage(celled(places), "places")
+    key = [GROUP, "band", "cell"]
+    cells = places.groupBy(*key).agg(F.sum("w").alias("cw"))
     known = stage(_join(places, cells, key), "weighed")
-    sparse = known.where(F.col("__cw") < least)
-    look = sparse.withColumn("__to", F.explode(_around(radius_m, F.col("lon"), F.col("lon"), range(-2, 3))))
-    look = look.select(RUN, F.col("rid").alias("__rid"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
-    met = _join(look, places, key).where(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")) <= radius_m)
-    enough = met.groupBy(F.col("__rid").alias("rid")).agg(F.sum("w").alias("__nw")).where(F.col("__nw") >= least).select("rid")
-    return known.where(F.col("__cw") >= least).unionByName(sparse.join(enough, "rid", "left_semi").select(known.columns)).drop("__cw")
+    sparse = known.where(F.col("cw") < F.col("least"))
+    met = _looking(sparse, places)
+    enough = met.groupBy("by", "need").agg(F.sum("w").alias("nw")).where(F.col("nw") >= F.col("need")).select(F.col("by").alias("rid"))
+    return known.where(F.col("cw") >= F.col("least")).unionByName(sparse.join(enough, "rid", "left_semi").select(known.columns)).drop("cw"), known
+
+
+def _looking(lookers: DataFrame, places: DataFrame) -> DataFrame:
+    """places within eps of a looker, with the looker's id ``by`` and least number ``need``."""
+    look = lookers.withColumn("__to", F.explode(_around(F.col("lon"), F.col("lon"), range(-2, 3))))
+    look = look.select(GROUP, F.col("rid").alias("by"), F.col("least").alias("need"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    return _join(look, places, [GROUP, "band", "cell"]).where(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")) <= F.col("eps"))
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -94,7 +103,7 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     r = right.withColumnsRenamed(named)
     cond = F.lit(True)
     for c, d in named.items():
-        cond = cond & (left[c].eqNullSafe(r[d]) if c == RUN else left[c] == r[d])
+        cond = cond & (left[c].eqNullSafe(r[d]) if c == GROUP else left[c] == r[d])
     return left.join(r, cond, how).drop(*named.values())
 
 
@@ -107,20 +116,20 @@ def cell_nodes(dense: DataFrame) -> DataFrame:
     """One node per cell with dense places: node (its smallest id), w, its box, its four outermost places."""
     at = F.struct("lat", "lon")
     outer = [F.min_by(at, "lat").alias("p0"), F.max_by(at, "lat").alias("p1"), F.min_by(at, "lon").alias("p2"), F.max_by(at, "lon").alias("p3")]
-    return dense.groupBy(RUN, "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
+    return dense.groupBy(GROUP, "eps", "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
 
 
-def cell_links(dense: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
-    """(a, b) with a < b: nodes of which some two dense places are at most radius_m apart.
+def cell_links(dense: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) with a < b: nodes of which some two dense places are at most eps apart.
 
     Most are settled by the nodes' outermost places; for the rest, only places that the other node's box lets be near
     are compared.
     """
-    a = nodes.withColumn("__to", F.explode(_around(radius_m, F.col("p2.lon"), F.col("p3.lon"), range(0, 3))))
-    a = a.select(RUN, F.col("node").alias("a"), F.col("band").alias("ab"), F.col("cell").alias("ac"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(4)], F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
-    pairs = _join(a, nodes.select(RUN, "band", "cell", F.col("node").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(4)]), [RUN, "band", "cell"])
+    a = nodes.withColumn("__to", F.explode(_around(F.col("p2.lon"), F.col("p3.lon"), range(0, 3))))
+    a = a.select(GROUP, "eps", F.col("node").alias("a"), F.col("band").alias("ab"), F.col("cell").alias("ac"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(4)], F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    pairs = _join(a, nodes.select(GROUP, "band", "cell", F.col("node").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(4)]), [GROUP, "band", "cell"])
     pairs = pairs.where((F.col("ab") < F.col("band")) | (F.col("ac") != F.col("cell"))).where(F.col("a") != F.col("b"))
-    limit = (2 * math.sin(radius_m / EARTH_M / 2)) ** 2
+    limit = F.pow(2 * F.sin(F.col("eps") / F.lit(2 * EARTH_M)), 2)
     vec = {}
     for s, i in product("ab", range(4)):
         for k, v in enumerate(_xyz(F.col(f"{s}{i}.lat"), F.col(f"{s}{i}.lon"))):
@@ -134,18 +143,18 @@ def cell_links(dense: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame
 
     def near(s: str, o: str) -> DataFrame:
         """Places of side s from which the other side's box may be in reach."""
-        p = dense.select(F.col(RUN).alias("__run"), F.col("band").alias("__b"), F.col("cell").alias("__c"), F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
+        p = dense.select(F.col(GROUP).alias("__run"), F.col("band").alias("__b"), F.col("cell").alias("__c"), F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
         band, cell = ("ab", "ac") if s == "a" else ("band", "cell")
-        q = open_.join(p, open_[RUN].eqNullSafe(p["__run"]) & (open_[band] == p["__b"]) & (open_[cell] == p["__c"]))
+        q = open_.join(p, open_[GROUP].eqNullSafe(p["__run"]) & (open_[band] == p["__b"]) & (open_[cell] == p["__c"]))
         lat = F.least(F.greatest(F.col("__plat"), F.col(f"{o}0.lat")), F.col(f"{o}1.lat"))
         # the nearest longitude of the box; across the 180th meridian the box is taken as it is, which only keeps more
         lon = F.least(F.greatest(F.col("__plon"), F.col(f"{o}2.lon")), F.col(f"{o}3.lon"))
         wraps = F.abs(F.col("__plon") - lon) > 180
-        reach = haversine(F.col("__plat"), F.col("__plon"), lat, lon) <= radius_m * 1.01
-        return q.where(wraps | reach).select("a", "b", F.col("__plat").alias(f"lat_{s}"), F.col("__plon").alias(f"lon_{s}"))
+        reach = haversine(F.col("__plat"), F.col("__plon"), lat, lon) <= F.col("eps") * 1.01
+        return q.where(wraps | reach).select("a", "b", *["eps"] * (s == "a"), F.col("__plat").alias(f"lat_{s}"), F.col("__plon").alias(f"lon_{s}"))
 
     both = near("a", "b").join(near("b", "a"), ["a", "b"])
-    found = both.where(haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= radius_m).select("a", "b").distinct()
+    found = both.where(haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= F.col("eps")).select("a", "b").distinct()
     return sure.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -216,11 +225,46 @@ def pothole_places(complaints: DataFrame, pin_limit: int = 8, box: tuple[float,
     pothole complaint; and all coordinates in the box with their counts."""
     inside = complaints.where(F.col("latitude").between(*box[:2]) & F.col("longitude").between(*box[2:]))
     hole = F.coalesce(F.col("is_pothole") == 1, F.lit(False))
-    counts = inside.groupBy(RUN, (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hole).alias("w"), F.min(F.when(hole, F.col("rowid_"))).alias("rid"))
+    counts = inside.groupBy(F.col("run_id").alias(GROUP), (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hole).alias("w"), F.min(F.when(hole, F.col("rowid_"))).alias("rid"))
     counts = stage(counts, "coordinates")
     return counts.where((F.col("n") < pin_limit) & (F.col("w") > 0)).drop("n"), counts
 
 
+def density_groups(places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(at, clusters, links, known): the dense places with node, pivot and cluster_rowid, the smallest id of those that a
+    chain of dense places with steps of at most eps joins; the pivot clusters and links of the nodes; all places."""
+    dense, known = dense_places(places)
+    dense = stage(dense, "dense")
+    nodes = stage(cell_nodes(dense), "nodes")
+    links = stage(cell_links(dense, nodes), "cell_links")
+    clusters = stage(pivot_clusters(nodes, links), "pivots")
+    roots = connected(clusters, links)
+    named = nodes.select(GROUP, "band", "cell", "node").join(clusters, "node").join(roots, "node")
+    named = named.join(named.groupBy("root").agg(F.min("node").alias("cluster_rowid")), "root")
+    return stage(_join(dense, named, [GROUP, "band", "cell"]), "dense_places"), clusters, links, known
+
+
+def dbscan(points: DataFrame) -> DataFrame:
+    """(grp, rid, label): density clusters as the sequential algorithm labels them.
+
+    ``points`` has grp, lat, lon, rid (unique), eps and least. Clusters of a group are numbered from 0 by their smallest
+    dense id; a point that isn't dense takes the smallest number among dense points within eps, or -1. Points with null,
+    NaN or out-of-range coordinates are noise; eps is inclusive; copies of a point count each.
+    """
+    ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    there = points.where(ok).withColumns({"lat": F.col("lat") + 0.0, "lon": F.col("lon") + 0.0})
+    places = there.groupBy(GROUP, "lat", "lon", "eps", "least").agg(F.count(F.lit(1)).alias("w"), F.min("rid").alias("rid"))
+    at, _, _, known = density_groups(places)
+    number = F.dense_rank().over(Window.partitionBy(GROUP).orderBy("cluster_rowid")) - 1
+    numbers = at.select(GROUP, "cluster_rowid").distinct().withColumn("label", number)
+    core = stage(at.join(numbers.select(F.col("cluster_rowid").alias("__c"), F.col("label")), F.col("cluster_rowid") == F.col("__c")).select(GROUP, "band", "cell", "lat", "lon", "eps", "rid", "label"), "core")
+    edge = _looking(known.join(core.select("rid"), "rid", "left_anti"), core).groupBy(F.col("by").alias("rid")).agg(F.min("label").alias("label"))
+    labels = core.select("rid", "label").unionByName(edge)
+    placed = known.select(GROUP, "lat", "lon", "rid").join(labels, "rid").drop("rid")
+    found = _join(there.select(GROUP, "lat", "lon", "rid"), placed, [GROUP, "lat", "lon"], "left").select(GROUP, "rid", F.coalesce("label", F.lit(-1)).alias("label"))
+    return found.unionByName(points.where(~F.coalesce(ok, F.lit(False))).select(GROUP, "rid", F.lit(-1).alias("label")))
+
+
 def dense_groups(complaints: DataFrame, radius_m: float = 250.0, least: int = 5) -> Groups:
     """The dense groups of pothole complaints.
 
@@ -229,26 +273,18 @@ def dense_groups(complaints: DataFrame, radius_m: float = 250.0, least: int = 5)
     the others aren't taken. Repeated rows count each.
     """
     places, counts = pothole_places(complaints)
-    dense = stage(dense_places(places, radius_m, least), "dense")
-    nodes = stage(cell_nodes(dense), "nodes")
-    links = stage(cell_links(dense, nodes, radius_m), "cell_links")
-    clusters = stage(pivot_clusters(nodes, links), "pivots")
-    roots = connected(clusters, links)
-    named = nodes.select(RUN, "band", "cell", "node").join(clusters, "node").join(roots, "node")
-    small = named.groupBy("root").agg(F.min("node").alias("cluster_rowid"))
-    named = named.join(small, "root")
-    at = stage(_join(dense, named, [RUN, "band", "cell"]), "dense_places")
+    at, clusters, links, _ = density_groups(places.withColumns({"eps": F.lit(radius_m), "least": F.lit(least)}))
     hot, _ = hot_part(counts, "n")
-    hot = hot.select(RUN, "lat", "lon")
-    rows = complaints.where(F.col("is_pothole") == 1).select(RUN, "rowid_", (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon"))
+    hot = hot.select(GROUP, "lat", "lon")
+    rows = complaints.where(F.col("is_pothole") == 1).select(F.col("run_id").alias(GROUP), "rowid_", (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon"))
     rows = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     # hot coordinates, at most a thousand, may not be dense places unless the whole table is small
-    shared = hot.select(F.col(RUN).alias("__run"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    on = rows[RUN].eqNullSafe(shared["__run"]) & (rows["lat"] == shared["__lat"]) & (rows["lon"] == shared["__lon"])
+    shared = hot.select(F.col(GROUP).alias("__run"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    on = rows[GROUP].eqNullSafe(shared["__run"]) & (rows["lat"] == shared["__lat"]) & (rows["lon"] == shared["__lon"])
     cold_rows = rows.join(F.broadcast(shared), on, "left_anti")
-    place = at.select(RUN, "lat", "lon", "cluster_rowid")
-    hot_places = stage(_join(hot, place, [RUN, "lat", "lon"]), "hot_places")
-    found = _join(cold_rows, place, [RUN, "lat", "lon"]).unionByName(_join(rows, F.broadcast(hot_places), [RUN, "lat", "lon"]))
+    place = at.select(GROUP, "lat", "lon", "cluster_rowid")
+    hot_places = stage(_join(hot, place, [GROUP, "lat", "lon"]), "hot_places")
+    found = _join(cold_rows, place, [GROUP, "lat", "lon"]).unionByName(_join(rows, F.broadcast(hot_places), [GROUP, "lat", "lon"]))
     return Groups(found, at, clusters, links)
 
 
@@ -274,8 +310,9 @@ def describe(groups: Groups, typical: int = 3) -> DataFrame:
     near = stage(near.join(start, "pivot"), "candidates")
     moved = places.drop("pivot").join(near, "node").groupBy("rid").agg(F.min_by("pivot", F.struct(gap, "pivot")).alias("pivot"))
     again = medoids(stage(places.drop("pivot").join(moved, "rid"), "reassigned"))
-    whole = places.groupBy(RUN, "cluster_rowid").agg(F.sum("w").alias("report_count"))
-    part = again.join(places.select(F.col("rid").alias("__rid"), RUN, "cluster_rowid"), F.col("m.rid") == F.col("__rid"))
-    ranked = F.row_number().over(Window.partitionBy(RUN, "cluster_rowid").orderBy(F.desc("size"), "m.rid"))
-    part = part.withColumn("r", ranked).groupBy(RUN, "cluster_rowid").agg(F.count(F.lit(1)).alias("pivots"), F.array_sort(F.collect_list(F.when(F.col("r") <= typical, F.struct("r", F.col("m.rid").alias("rid"))))).alias("t"))
-    return _join(whole, part.withColumn("typical", F.transform("t", lambda t: t["rid"])).drop("t"), [RUN, "cluster_rowid"])
+    whole = places.groupBy(GROUP, "cluster_rowid").agg(F.sum("w").alias("report_count"))
+    part = again.join(places.select(F.col("rid").alias("__rid"), GROUP, "cluster_rowid"), F.col("m.rid") == F.col("__rid"))
+    ranked = F.row_number().over(Window.partitionBy(GROUP, "cluster_rowid").orderBy(F.desc("size"), "m.rid"))
+    part = part.withColumn("r", ranked).groupBy(GROUP, "cluster_rowid").agg(F.count(F.lit(1)).alias("pivots"), F.array_sort(F.collect_list(F.when(F.col("r") <= typical, F.struct("r", F.col("m.rid").alias("rid"))))).alias("t"))
+    out = _join(whole, part.withColumn("typical", F.transform("t", lambda t: t["rid"])).drop("t"), [GROUP, "cluster_rowid"])
+    return out.withColumnRenamed(GROUP, "run_id")
