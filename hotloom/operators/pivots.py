@@ -35,42 +35,33 @@ class Groups:
     links: DataFrame
 
 
-def _height(eps: Column) -> Column:
-    return F.degrees(eps / F.lit(math.sqrt(2) * EARTH_M)) * F.lit(1 - 1e-6)
-
-
-def _cells_round(band: Column, eps: Column) -> Column:
+def _cells_round(band: Column, height: Column) -> Column:
     """Cells of a band, each no wider than the band's height even at the edge next to the equator."""
-    height = _height(eps)
-    edge = F.when((band >= 0), band).when(band < -1, -band - 1).otherwise(0) * height
+    edge = F.greatest(band, -band - 1, F.lit(0)) * height
     return F.greatest(F.ceil(F.lit(360.0) / height * F.cos(F.radians(F.least(edge, F.lit(90.0))))), F.lit(1)).cast("long")
 
 
-def _cell(lon: Column, count: Column) -> Column:
-    return F.pmod(F.floor((lon + 180.0) * count / 360.0).cast("long"), count)
-
-
 def celled(places: DataFrame) -> DataFrame:
-    """Add band, cell: any two places of a group with the same are at most eps apart."""
-    places = places.withColumn("band", F.floor(F.col("lat") / _height(F.col("eps"))).cast("long"))
-    return places.withColumn("cell", _cell(F.col("lon"), _cells_round(F.col("band"), F.col("eps"))))
-
-
-def _around(low: Column, high: Column, steps: range) -> Column:
-    """The cells (band, cell) of bands at ``steps`` that can hold points within eps of longitudes low to high."""
-    eps = F.col("eps")
-    height = _height(eps)
-
-    def cells(step: int) -> Column:
-        band = F.col("band") + step
-        count = _cells_round(band, eps)
-        far = F.least(F.greatest(F.abs(F.col("band") - 2), F.abs(F.col("band") + 3)) * height, F.lit(90.0))
-        ratio = F.sin(eps / F.lit(2 * EARTH_M)) * F.lit(1 + 1e-9) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
-        half = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2)
-        first, last = (F.floor((x + 180.0) * count / 360.0).cast("long") for x in (low - half, high + half))
-        return F.transform(F.sequence(first, F.least(last, first + count - 1)), lambda c: F.struct(band.alias("band"), F.pmod(c, count).alias("cell")))
-
-    return F.concat(*[cells(s) for s in steps])
+    """Add band, cell: any two places of a group with the same are at most eps apart. Also height, a band's in degrees,
+    and half, the degrees of longitude that eps can span there or in the two bands on either side."""
+    places = places.withColumn("height", F.degrees(F.col("eps") / F.lit(math.sqrt(2) * EARTH_M)) * F.lit(1 - 1e-6))
+    places = places.withColumn("band", F.floor(F.col("lat") / F.col("height")).cast("long"))
+    far = F.least(F.greatest(F.abs(F.col("band") - 2), F.abs(F.col("band") + 3)) * F.col("height"), F.lit(90.0))
+    ratio = F.sin(F.col("eps") / F.lit(2 * EARTH_M)) * F.lit(1 + 1e-9) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12))
+    places = places.withColumn("half", F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2))
+    count = _cells_round(F.col("band"), F.col("height"))
+    return places.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180.0) * count / 360.0).cast("long"), count))
+
+
+def _to_cells(df: DataFrame, low: str, high: str, steps: range) -> DataFrame:
+    """Each row once for every cell (to_band, to_cell) of bands at ``steps`` that can hold points within eps of its
+    longitudes low to high."""
+    df = df.withColumn("to_band", F.explode(F.array(*[F.col("band") + s for s in steps])))
+    df = df.withColumn("__count", _cells_round(F.col("to_band"), F.col("height")))
+    first, last = (F.floor((x + 180.0) * F.col("__count") / 360.0).cast("long") for x in (F.col(low) - F.col("half"), F.col(high) + F.col("half")))
+    df = df.withColumns({"__first": first, "__last": last})
+    df = df.withColumn("__at", F.explode(F.sequence("__first", F.least(F.col("__last"), F.col("__first") + F.col("__count") - 1))))
+    return df.withColumn("to_cell", F.pmod("__at", "__count")).drop("__count", "__first", "__last", "__at")
 
 
 def dense_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +83,8 @@ def dense_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _looking(lookers: DataFrame, places: DataFrame) -> DataFrame:
     """places within eps of a looker, with the looker's id ``by`` and least number ``need``."""
-    look = lookers.withColumn("__to", F.explode(_around(F.col("lon"), F.col("lon"), range(-2, 3))))
-    look = look.select(GROUP, F.col("rid").alias("by"), F.col("least").alias("need"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    look = _to_cells(lookers, "lon", "lon", range(-2, 3))
+    look = look.select(GROUP, F.col("rid").alias("by"), F.col("least").alias("need"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("to_band").alias("band"), F.col("to_cell").alias("cell"))
     return _join(look, places, [GROUP, "band", "cell"]).where(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")) <= F.col("eps"))
 
 
@@ -116,7 +107,7 @@ def cell_nodes(dense: DataFrame) -> DataFrame:
     """One node per cell with dense places: node (its smallest id), w, its box, its four outermost places."""
     at = F.struct("lat", "lon")
     outer = [F.min_by(at, "lat").alias("p0"), F.max_by(at, "lat").alias("p1"), F.min_by(at, "lon").alias("p2"), F.max_by(at, "lon").alias("p3")]
-    return dense.groupBy(GROUP, "eps", "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
+    return dense.groupBy(GROUP, "eps", "height", "half", "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
 
 
 def cell_links(dense: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,8 +116,8 @@ def cell_links(dense: DataFrame, nodes: DataFrame) -> DataFrame:
     Most are settled by the nodes' outermost places; for the rest, only places that the other node's box lets be near
     are compared.
     """
-    a = nodes.withColumn("__to", F.explode(_around(F.col("p2.lon"), F.col("p3.lon"), range(0, 3))))
-    a = a.select(GROUP, "eps", F.col("node").alias("a"), F.col("band").alias("ab"), F.col("cell").alias("ac"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(4)], F.col("__to.band").alias("band"), F.col("__to.cell").alias("cell"))
+    a = _to_cells(nodes.withColumns({"__west": F.col("p2.lon"), "__east": F.col("p3.lon")}), "__west", "__east", range(3))
+    a = a.select(GROUP, "eps", F.col("node").alias("a"), F.col("band").alias("ab"), F.col("cell").alias("ac"), *[F.col(f"p{i}").alias(f"a{i}") for i in range(4)], F.col("to_band").alias("band"), F.col("to_cell").alias("cell"))
     pairs = _join(a, nodes.select(GROUP, "band", "cell", F.col("node").alias("b"), *[F.col(f"p{i}").alias(f"b{i}") for i in range(4)]), [GROUP, "band", "cell"])
     pairs = pairs.where((F.col("ab") < F.col("band")) | (F.col("ac") != F.col("cell"))).where(F.col("a") != F.col("b"))
     limit = F.pow(2 * F.sin(F.col("eps") / F.lit(2 * EARTH_M)), 2)
