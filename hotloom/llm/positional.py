@@ -66,8 +66,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.empty(len(order), dtype=np.int64)
             at[np.asarray(order)] = np.arange(len(order))
             taken = _values(values.take(pa.array(at[np.asarray(codes)])))
-            offsets = np.asarray(taken.offsets, dtype=np.int64)
-            bounds = pa.array(offsets[np.concatenate([[0], np.cumsum(np.asarray(counts), dtype=np.int64)])], pa.int32())
+            offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+            bounds = pa.array(offsets[np.concatenate([[0], np.cumsum(np.asarray(counts), dtype=np.int64)])])
             if pa.types.is_list(taken.type):
                 out = pa.ListArray.from_arrays(bounds, taken.values)
             else:
