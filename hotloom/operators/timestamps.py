@@ -35,25 +35,37 @@ FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half"
 
 
 def _parts(text: Column) -> Column:
-    """The fields of the first notation that matches, each as text; null if none does."""
-    chain = F.lit(None).cast("array<string>")
-    for _, pattern, groups in reversed(NOTATIONS):
-        into = "|".join(f"${g}" if g else "" for g in groups)
-        chain = F.when(text.rlike(pattern), F.split(F.regexp_replace(text, pattern, into), r"\|", -1)).otherwise(chain)
-    return chain
-
-
-def _clock_in_zone(clock: Column, zone: Column) -> Column:
-    """The one instant (microseconds) at which the zone's clocks showed ``clock``; null for none or two."""
-    shown = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
-    early = clock - (shown(clock - F.lit(DAY_US)) - (clock - F.lit(DAY_US)))
-    late = clock - (shown(clock + F.lit(DAY_US)) - (clock + F.lit(DAY_US)))
-    return (
-        F.when(early == late, F.when(shown(early) == clock, early))
-        .when((shown(early) == clock) & (shown(late) == clock), F.lit(None).cast("long"))
-        .when(shown(early) == clock, early)
-        .when(shown(late) == clock, late)
-    )
+    """The fields of the notation that matches, each as text; null if none does.
+
+    Each pattern covers the whole text and rewrites it to fields between bars, which no later pattern matches.
+    """
+    fields = text
+    for _, pattern, groups in NOTATIONS:
+        fields = F.regexp_replace(fields, pattern, "|".join(f"${g}" if g else "" for g in groups))
+    return F.when(~text.contains("|") & ~text.rlike(r"^(\d{10}|\d{13})?$"), F.split(fields, r"\|", -1))
+
+
+def _shown(us: Column, zone: Column) -> Column:
+    """What the zone's clocks show at an instant, both in microseconds."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+
+
+def _clock_in_zone(df: DataFrame, clock: str, zone: str, into: str, fixed: str) -> DataFrame:
+    """Add the one instant (microseconds) at which the zone's clocks showed ``clock``; null for none or two.
+
+    The offsets a day before and after give the two candidates; each counts if the zone shows the clock time then. Rows
+    of the zone ``fixed`` take a path on which that zone is looked up once.
+    """
+    def at(us: Column) -> Column:
+        return F.when(F.col(zone) == fixed, _shown(us, F.lit(fixed))).when(F.col(zone).isNotNull(), _shown(us, F.col(zone)))
+
+    c = F.col(clock)
+    df = df.withColumns({"__early": at(c - F.lit(DAY_US)), "__late": at(c + F.lit(DAY_US))})
+    df = df.withColumns({"__early": c - (F.col("__early") - c + F.lit(DAY_US)), "__late": c - (F.col("__late") - c - F.lit(DAY_US))})
+    df = df.withColumn("__first", at(F.col("__early")) == c)
+    df = df.withColumn("__second", F.when(F.col("__early") == F.col("__late"), F.lit(False)).otherwise(at(F.col("__late")) == c))
+    one = F.when(F.col("__first") & ~F.col("__second"), F.col("__early")).when(~F.col("__first") & F.col("__second"), F.col("__late"))
+    return df.withColumn(into, one).drop("__early", "__late", "__first", "__second")
 
 
 def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataFrame:
@@ -68,17 +80,17 @@ def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataF
     blank = r"(?U)^\s+|\s+$"
     digits = F.col("__t").rlike(r"^(\d{10}|\d{13})$")
     df = df.withColumn("__t", F.regexp_replace(F.col(text), blank, ""))
-    df = df.withColumn("__a", F.when(~digits, _parts(F.col("__t"))))
-    df = df.withColumn("__p", F.when(F.col("__a").isNotNull(), F.struct(*[F.col("__a")[i].alias(n) for i, n in enumerate(FIELDS)])))
+    df = df.withColumn("__a", _parts(F.col("__t")))
+    df = df.withColumn("__p", F.when(F.size("__a") == len(FIELDS), F.struct(*[F.col("__a")[i].alias(n) for i, n in enumerate(FIELDS)])))
     month = F.when(F.col("__p.month").rlike(r"^\d+$"), F.col("__p.month").try_cast("int")).otherwise((F.instr(F.lit(MONTHS), F.lower("__p.month")) + 2).cast("int") / 3).cast("int")
     year = number("year") + F.when(F.length("__p.year") == 2, 2000).otherwise(0)
     half = F.lower("__p.half")
     hour = F.when(half == "am", number("hour") % 12).when(half == "pm", number("hour") % 12 + 12).otherwise(number("hour"))
     first = F.make_date(F.greatest(year, F.lit(1)), F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))
-    df = df.withColumns({"__first": first, "__hour": hour})
-    date = F.date_add("__first", number("day") - 1)
+    df = df.withColumns({"__month": first, "__hour": hour})
+    date = F.date_add("__month", number("day") - 1)
     fits = (
-        (year >= 1) & month.between(1, 12) & (number("day") >= 1) & (number("day") <= F.dayofmonth(F.last_day("__first")))
+        (year >= 1) & month.between(1, 12) & (number("day") >= 1) & (number("day") <= F.dayofmonth(F.last_day("__month")))
         & (F.col("__hour") <= 23) & (number("minute") <= 59) & (number("second") <= 59)
         & ((half == "") | number("hour").between(1, 12))
         & ((F.col("__p.week_day") == "") | (F.lower("__p.week_day") == F.lower(F.date_format(date, "EEE"))))
@@ -94,14 +106,15 @@ def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataF
         fixed = fixed.when(named == name, east)
     where = F.when((offset == "") & (named == ""), F.col(zone)).when((offset == "") & ~named.isin(*ABBREVIATIONS), named)
     df = df.withColumns({"__east": fixed, "__where": where})
-    in_zone = F.when(F.col("__where").isin(zones), _clock_in_zone(F.col("__clock"), F.col("__where")))
+    df = df.withColumn("__where", F.when(F.col("__where").isin(zones) & F.col("__clock").isNotNull(), F.col("__where")))
+    df = _clock_in_zone(df, "__clock", "__where", "__in_zone", LOCAL_ZONE)
     seconds = F.col("__t").try_cast("long")
-    utc = F.when(digits, seconds * F.when(F.length("__t") == 10, 1_000_000).otherwise(1000)).when(F.col("__east").isNotNull(), F.col("__clock") - F.col("__east").cast("long") * 60_000_000).otherwise(in_zone)
+    utc = F.when(digits, seconds * F.when(F.length("__t") == 10, 1_000_000).otherwise(1000)).when(F.col("__east").isNotNull(), F.col("__clock") - F.col("__east").cast("long") * 60_000_000).otherwise(F.col("__in_zone"))
     df = df.withColumn("utc_micros", utc)
     local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("utc_micros"), LOCAL_ZONE))
     df = df.withColumn("local_day", F.date_from_unix_date(F.floor(local / F.lit(DAY_US)).cast("int")))
     df = df.withColumn("local_month", F.substring(F.col("local_day").cast("string"), 1, 7))
-    return df.drop("__t", "__a", "__p", "__first", "__hour", "__clock", "__east", "__where")
+    return df.drop("__t", "__a", "__p", "__month", "__hour", "__clock", "__east", "__where", "__in_zone")
 
 
 def known_zones(spark: SparkSession) -> list[str]:
