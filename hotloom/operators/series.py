@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Months and levels that the statistics need.
 MIN_MONTHS_PERSISTENCE, MIN_MONTHS_TREND, MIN_REPORTS_TREND = 24, 12, 10
@@ -124,7 +125,7 @@ def exact_tau_p(n: int, score: int) -> float:
     return min(1.0, 2 * sum(counts[: least + 1]) / math.factorial(n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def trend_p(s: pd.Series, var: pd.Series, months: pd.Series, ties: pd.Series) -> pd.Series:
     """Two-sided p-value: exact for series without ties of at most 33 values or nearly sorted, else normal."""
     def one(s: float, v: float, n: int, tied: bool) -> float | None:

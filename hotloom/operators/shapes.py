@@ -143,19 +143,13 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplify_regions(regions: DataFrame, tolerance: float = 0.0003) -> DataFrame:
-    """regions with each ring simplified; a null ring stays null."""
+    """regions, unique in ward_id, with each ring simplified; null rings stay null."""
 
-    @F.pandas_udf("array<array<struct<lon double, lat double>>>")
-    def simplify(rings: pd.Series) -> pd.Series:
-        def one(r: list) -> list:
-            flat = simplified(np.array([[p["lon"], p["lat"]] for p in r], dtype=float), tolerance)
-            return [{"lon": float(x), "lat": float(y)} for x, y in flat]
+    @F.pandas_udf("array<struct<lon double, lat double>>")
+    def simplify(ring: pd.Series) -> pd.Series:
+        flat = [simplified(np.array([[p["lon"], p["lat"]] for p in r], dtype=float), tolerance) for r in ring]
+        return pd.Series([[{"lon": float(x), "lat": float(y)} for x, y in r] for r in flat])
 
-        return pd.Series([None if rs is None else [one(r) for r in rs] for rs in rings])
-
-    return regions.withColumn("rings", simplify("rings"))
-
-
-def ring_column(outline: str) -> Column:
-    """An outline in projected metres as one closed ring of lon and lat (columns __x, __y are exploded by the caller)."""
-    return F.transform(outline, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    each = regions.select(F.col("ward_id").alias("__id"), F.posexplode("rings").alias("i", "ring")).where(F.size("ring") > 0).withColumn("ring", simplify("ring"))
+    rings = each.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "ring"))), lambda r: r["ring"]).alias("rings"))
+    return regions.drop("rings").join(rings, F.col("ward_id") == F.col("__id"), "left").drop("__id")

@@ -323,4 +323,4 @@ def hdbscan(points: DataFrame, least: int, most: int = 20_000) -> DataFrame:
         pdf = pdf.sort_values("pid")
         return pd.DataFrame({"pid": pdf.pid, "label": hdbscan_labels(pdf.lat.to_numpy(), pdf.lon.to_numpy(), least)})
 
-    return points.select("pid", "lat", "lon").groupBy(F.lit(0)).applyInPandas(run, "pid long, label int")
+    return points.select("pid", "lat", "lon", F.lit(0).alias("all_")).groupBy("all_").applyInPandas(run, "pid long, label int")
