@@ -18,7 +18,7 @@ LOCAL_ZONE = "Asia/Kolkata"
 #: Minutes east of UTC of the abbreviations that have one meaning here.
 ABBREVIATIONS = {"Z": 0, "GMT": 0, "UTC": 0, "IST": 330, "EST": -300, "EDT": -240}
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-DAYS = "monthufriwedtuesatsun"
+DAYS = "montuewedthufrisatsun"
 
 DAY_US = 86_400_000_000
 _ZONE = r"((?:[Zz]|[+-]\d{2}(?::?\d{2})?)?)\s*\[?((?:[A-Za-z][A-Za-z0-9_+/-]*)?)\]?"
@@ -61,11 +61,9 @@ def _clock_in_zone(df: DataFrame, clock: str, zone: str, into: str, fixed: str)
 
     c = F.col(clock)
     df = df.withColumns({"__early": at(c - F.lit(DAY_US)), "__late": at(c + F.lit(DAY_US))})
-    df = df.withColumns({"__early": c - (F.col("__early") - c + F.lit(DAY_US)), "__late": c - (F.col("__late") - c - F.lit(DAY_US))})
-    df = df.withColumn("__first", at(F.col("__early")) == c)
-    df = df.withColumn("__second", F.when(F.col("__early") == F.col("__late"), F.lit(False)).otherwise(at(F.col("__late")) == c))
-    one = F.when(F.col("__first") & ~F.col("__second"), F.col("__early")).when(~F.col("__first") & F.col("__second"), F.col("__late"))
-    return df.withColumn(into, one).drop("__early", "__late", "__first", "__second")
+    candidates = F.array_distinct(F.array(c - (F.col("__early") - c + F.lit(DAY_US)), c - (F.col("__late") - c - F.lit(DAY_US))))
+    df = df.withColumn("__fit", F.filter(candidates, lambda us: at(us) == c))
+    return df.withColumn(into, F.when(F.size("__fit") == 1, F.col("__fit")[0])).drop("__early", "__late", "__fit")
 
 
 def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataFrame:
@@ -76,45 +74,50 @@ def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataF
     date's counts as one), unknown zones, and clock times that a named zone skipped or showed twice. Fractions beyond
     microseconds are cut. All other columns stay.
     """
-    number = lambda name: F.coalesce(F.nullif(F.col(f"__p.{name}"), F.lit("")).cast("int"), F.lit(0))
     blank = r"(?U)^\s+|\s+$"
-    digits = F.col("__t").rlike(r"^(\d{10}|\d{13})$")
+    own = list(df.columns)
     df = df.withColumn("__t", F.regexp_replace(F.col(text), blank, ""))
     df = df.withColumn("__a", _parts(F.col("__t")))
-    df = df.withColumn("__p", F.when(F.size("__a") == len(FIELDS), F.struct(*[F.col("__a")[i].alias(n) for i, n in enumerate(FIELDS)])))
-    month = F.when(F.col("__p.month").rlike(r"^\d+$"), F.col("__p.month").try_cast("int")).otherwise((F.instr(F.lit(MONTHS), F.lower("__p.month")) + 2).cast("int") / 3).cast("int")
-    year = number("year") + F.when(F.length("__p.year") == 2, 2000).otherwise(0)
-    half = F.lower("__p.half")
-    hour = F.when(half == "am", number("hour") % 12).when(half == "pm", number("hour") % 12 + 12).otherwise(number("hour"))
-    first = F.make_date(F.greatest(year, F.lit(1)), F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))
-    df = df.withColumns({"__month": first, "__hour": hour})
-    date = F.date_add("__month", number("day") - 1)
+    df = df.withColumn("__a", F.when(F.size("__a") == len(FIELDS), F.col("__a")))
+    field = {name: F.col("__a")[k] for k, name in enumerate(FIELDS)}
+    named_month = F.floor((F.instr(F.lit(MONTHS), F.lower(field["month"])) + 2) / 3).cast("int")
+    # guarded casts: a cast that fails is far dearer than one that isn't made. As an array function this also ends the
+    # generated method, which would otherwise be too large for the JVM to compile.
+    df = df.withColumn("__n", F.transform(F.slice("__a", 1, 7), lambda x: F.when((x != "") & (x < ":"), x.cast("int")).otherwise(0)))
+    df = df.withColumns({
+        **{f"__{n}": F.coalesce(F.col("__n")[FIELDS.index(n)], F.lit(0)) for n in ("year", "day", "hour", "minute", "second")},
+        "__month": F.when(F.col("__n")[1] > 0, F.col("__n")[1]).otherwise(named_month), "__short": F.length(field["year"]) == 2,
+        "__half": F.lower(field["half"]), "__off": F.translate(field["offset"], ":", ""), "__zone": field["zone"], "__week": F.lower(field["week_day"]),
+        "__us": F.when(field["fraction"] != "", F.rpad(F.substring(field["fraction"], 1, 6), 6, "0").cast("long")).otherwise(0),
+    })
+    c = {n: F.col(f"__{n}") for n in ("year", "month", "day", "hour", "minute", "second", "half", "off", "zone", "week")}
+    df = df.withColumns({
+        "__year": c["year"] + F.when(F.col("__short"), 2000).otherwise(0),
+        "__h": F.when(c["half"] == "", c["hour"]).when(c["hour"].between(1, 12), c["hour"] % 12 + F.when(c["half"] == "pm", 12).otherwise(0)).otherwise(99),
+        "__hours": F.when(F.length("__off") > 1, F.substring("__off", 2, 2).cast("int")), "__minutes": F.when(F.length("__off") > 3, F.substring("__off", 4, 2).cast("int")).otherwise(0),
+    })
+    df = df.withColumn("__first", F.make_date(F.greatest(c["year"], F.lit(1)), F.least(F.greatest(c["month"], F.lit(1)), F.lit(12)), F.lit(1)))
+    df = df.withColumn("__date", F.date_add("__first", c["day"] - 1))
     fits = (
-        (year >= 1) & month.between(1, 12) & (number("day") >= 1) & (number("day") <= F.dayofmonth(F.last_day("__month")))
-        & (F.col("__hour") <= 23) & (number("minute") <= 59) & (number("second") <= 59)
-        & ((half == "") | number("hour").between(1, 12))
-        & ((F.col("__p.week_day") == "") | (F.lower("__p.week_day") == F.lower(F.date_format(date, "EEE"))))
+        (c["year"] >= 1) & c["month"].between(1, 12) & (c["day"] >= 1) & (c["day"] <= F.dayofmonth(F.last_day("__first")))
+        & (F.col("__h") <= 23) & (c["minute"] <= 59) & (c["second"] <= 59)
+        & ((c["week"] == "") | (F.substring(F.lit(DAYS), F.weekday("__date") * 3 + 1, F.lit(3)) == c["week"]))
     )
-    micros = F.rpad(F.substring("__p.fraction", 1, 6), 6, "0").try_cast("long")
-    clock = F.unix_date(date).cast("long") * F.lit(DAY_US) + (F.col("__hour") * 3600 + number("minute") * 60 + number("second")).cast("long") * 1_000_000 + F.coalesce(micros, F.lit(0).cast("long"))
+    clock = F.unix_date("__date").cast("long") * F.lit(DAY_US) + (F.col("__h") * 3600 + c["minute"] * 60 + c["second"]).cast("long") * 1_000_000 + F.col("__us")
     df = df.withColumn("__clock", F.when(fits, clock))
-    offset, named = F.col("__p.offset"), F.col("__p.zone")
-    hours, minutes = F.substring(offset, 2, 2).try_cast("int"), F.coalesce(F.nullif(F.regexp_replace(F.substring(offset, 4, 3), ":", ""), F.lit("")).try_cast("int"), F.lit(0))
-    signed = F.when(F.upper(offset) == "Z", 0).when((hours <= 18) & (minutes <= 59), F.when(offset.startswith("-"), -1).otherwise(1) * (hours * 60 + minutes))
-    fixed = F.when(offset != "", signed)
+    signed = F.when(F.upper("__off") == "Z", 0).when((F.col("__hours") <= 18) & (F.col("__minutes") <= 59), F.when(c["off"].startswith("-"), -1).otherwise(1) * (F.col("__hours") * 60 + F.col("__minutes")))
+    fixed = F.when(c["off"] != "", signed)
     for name, east in ABBREVIATIONS.items():
-        fixed = fixed.when(named == name, east)
-    where = F.when((offset == "") & (named == ""), F.col(zone)).when((offset == "") & ~named.isin(*ABBREVIATIONS), named)
+        fixed = fixed.when(c["zone"] == name, east)
+    where = F.when(c["off"] == "", F.when(c["zone"] == "", F.col(zone)).when(~c["zone"].isin(*ABBREVIATIONS), c["zone"]))
     df = df.withColumns({"__east": fixed, "__where": where})
-    df = df.withColumn("__where", F.when(F.col("__where").isin(zones) & F.col("__clock").isNotNull(), F.col("__where")))
+    df = df.withColumn("__where", F.when(F.col("__clock").isNotNull() & ((F.col("__where") == LOCAL_ZONE) | F.col("__where").isin(zones)), F.col("__where")))
     df = _clock_in_zone(df, "__clock", "__where", "__in_zone", LOCAL_ZONE)
-    seconds = F.col("__t").try_cast("long")
-    utc = F.when(digits, seconds * F.when(F.length("__t") == 10, 1_000_000).otherwise(1000)).when(F.col("__east").isNotNull(), F.col("__clock") - F.col("__east").cast("long") * 60_000_000).otherwise(F.col("__in_zone"))
-    df = df.withColumn("utc_micros", utc)
-    local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("utc_micros"), LOCAL_ZONE))
-    df = df.withColumn("local_day", F.date_from_unix_date(F.floor(local / F.lit(DAY_US)).cast("int")))
-    df = df.withColumn("local_month", F.substring(F.col("local_day").cast("string"), 1, 7))
-    return df.drop("__t", "__a", "__p", "__month", "__hour", "__clock", "__east", "__where", "__in_zone")
+    seconds = F.when(F.col("__a").isNull() & F.col("__t").rlike(r"^(\d{10}|\d{13})$"), F.col("__t").cast("long") * F.when(F.length("__t") == 10, 1_000_000).otherwise(1000))
+    utc = F.coalesce(seconds, F.col("__clock") - F.col("__east").cast("long") * 60_000_000, F.col("__in_zone"))
+    df = df.select(*[x for x in own if x not in ("utc_micros", "local_day", "local_month")], utc.alias("utc_micros"))
+    df = df.withColumn("local_day", F.date_from_unix_date(F.floor(_shown(F.col("utc_micros"), F.lit(LOCAL_ZONE)) / F.lit(DAY_US)).cast("int")))
+    return df.withColumn("local_month", F.substring(F.col("local_day").cast("string"), 1, 7))
 
 
 def known_zones(spark: SparkSession) -> list[str]:
