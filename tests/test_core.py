@@ -96,7 +96,7 @@ def square(x, y, s):
 
 
 def test_regions(spark):
-    wards = spark.createDataFrame([(1, [square(77.0, 12.0, 0.1), square(77.03, 12.03, 0.02)]), (2, [square(77.1, 12.0, 0.1)]), (3, [square(77.03, 12.03, 0.01)]), (4, None), (None, [square(0, 0, 1)])], RINGS)
+    wards = spark.createDataFrame([(1, [square(77.0, 12.0, 0.1), square(77.03, 12.03, 0.02)]), (2, [square(77.1, 12.0, 0.1)]), (3, [square(77.03, 12.03, 0.01)]), (4, None), (None, [square(0.0, 0.0, 1.0)])], RINGS)
     points = spark.createDataFrame([(1, 12.01, 77.01), (2, 12.045, 77.045), (3, 12.035, 77.035), (4, 12.05, 77.15), (5, 12.05, 77.25), (6, None, 77.05), (7, float("nan"), 77.05), (8, 12.05, 77.1)], "id int, latitude double, longitude double")
     got = {r.id: r.w for r in regions.containing_region(points, wards, "latitude", "longitude", "w").collect()}
     assert got == {1: 1, 2: -1, 3: 3, 4: 2, 5: -1, 6: -1, 7: -1, 8: 2}
