@@ -21,7 +21,7 @@ LENGTH, GRAM = 300, 100
 #: Characters hashed at once; a longer text is cut into pieces that overlap by a span.
 CHUNK = 1 << 20
 #: An anchor with more occurrences isn't compared in one task: its windows are spread over all of them by their hash.
-CROWD = 5_000
+CROWD = 1_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
 
@@ -154,7 +154,7 @@ def _compare(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.nda
     h, real = window_table(before, contexts, length, gram)
     group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
     first, last = np.full(len(doc), side + 1), np.full(len(doc), -1)
-    same_before = np.zeros((0, 2), np.int64)
+    none = np.zeros((0, 2), np.int64)
     pairs = []
     for s in range(side + 1):
         rows = np.flatnonzero(real[:, s])
@@ -163,27 +163,36 @@ def _compare(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.nda
         order = rows[np.lexsort((h[rows, s], group[rows]))]
         new = np.ones(len(order), bool)
         new[1:] = (h[order[1:], s] != h[order[:-1], s]) | (group[order[1:]] != group[order[:-1]])
+        starts = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        size = np.bincount(run)
+        shared = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+        members = order[shared[run]]
+        first[members] = np.minimum(first[members], s)
+        last[members] = s
+        if s:
+            # a run whose members shared the window before, too, holds no new pair
+            was = np.where(real[order, s - 1], h[order, s - 1], np.uint64(0))
+            shared &= (np.minimum.reduceat(was, starts) != np.maximum.reduceat(was, starts)) | (np.minimum.reduceat(was, starts) == 0)
+        order, run = order[shared[run]], run[shared[run]]
+        if not len(order):
+            continue
         # partners of the i-th of a run are those after it
-        rank = np.arange(len(order)) - np.flatnonzero(new)[run]
-        later = size[run] - rank - 1
+        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(order)]]))
+        later = np.concatenate([np.arange(n - 1, -1, -1) for n in size])
         a = np.repeat(np.arange(len(order)), later)
         b = a + 1 + (np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later))
         a, b = order[a], order[b]
-        other = doc[a] != doc[b]
-        a, b = a[other], b[other]
-        for x in (a, b):
-            first[x] = np.minimum(first[x], s)
-            last[x] = np.maximum(last[x], s)
+        fresh = doc[a] != doc[b]
         if s:
-            was = real[a, s - 1] & real[b, s - 1] & (h[a, s - 1] == h[b, s - 1])
-            a, b = a[~was], b[~was]
+            fresh &= ~(real[a, s - 1] & real[b, s - 1] & (h[a, s - 1] == h[b, s - 1]))
+        a, b = a[fresh], b[fresh]
         # the texts themselves decide
-        exact = np.fromiter((contexts[x][before[x] - side + s : before[x] - side + s + length] == contexts[y][before[y] - side + s : before[y] - side + s + length] for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+        cut = lambda x: contexts[x][before[x] - side + s : before[x] - side + s + length]  # noqa: E731, B023
+        exact = np.fromiter((cut(x) == cut(y) for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
         pairs.append(np.stack([a[exact], b[exact]], axis=1))
-    found = np.concatenate(pairs) if pairs else same_before
-    ids = np.unique(np.sort(doc[found], axis=1), axis=0) if len(found) else same_before
+    found = np.concatenate(pairs) if pairs else none
+    ids = np.unique(np.sort(doc[found], axis=1), axis=0) if len(found) else none
     held = np.flatnonzero(last >= 0)
     return ids, np.stack([doc[held], at[held] - side + first[held], at[held] - side + last[held] + length], axis=1)
 
@@ -231,7 +240,9 @@ def _spreader(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 h, real = window_table(before, contexts, length, gram)
                 row, shift = np.nonzero(real)
                 start = at[row] - (length - gram) + shift
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shift.astype(np.int32)), pa.array(h[row, shift].view(np.int64)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int64))], names=["anchor", "shift", "h", "doc", "start"])
+                known = (shift > 0) & real[row, shift - 1]
+                was = pa.array(h[row, shift - 1].view(np.int64), mask=~known)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shift.astype(np.int32)), pa.array(h[row, shift].view(np.int64)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int64)), was], names=["anchor", "shift", "h", "doc", "start", "was"])
 
     return spread
 
@@ -266,12 +277,13 @@ def matches(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram:
     few = context.join(big, context["anchor"] == big["__anchor"], "left_anti")
     result = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_matcher(length, gram), "kind int, x long, y long, z long")
     if not big.isEmpty():
-        wide = context.join(big, context["anchor"] == big["__anchor"], "left_semi").mapInArrow(_spreader(length, gram), "anchor long, shift int, h long, doc long, start long")
+        wide = context.join(big, context["anchor"] == big["__anchor"], "left_semi").mapInArrow(_spreader(length, gram), "anchor long, shift int, h long, doc long, start long, was long")
         wide = stage(wide, "crowded_windows")
         key = ["anchor", "shift", "h"]
-        mixed = stage(wide.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").withColumnsRenamed({k: f"__{k}" for k in key}), "crowded_shared")
-        hit = stage(split_join(wide, mixed.select("__anchor", "__shift", "__h", "n"), {k: f"__{k}" for k in key}, "n").select(*key, "doc", "start"), "crowded_hits")
-        a = hit.select(*key, F.col("doc").alias("x")).distinct()
+        mixed = stage(wide.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), ((F.min("was") != F.max("was")) | (F.count("was") < F.count(F.lit(1)))).alias("fresh")).where("lo < hi").withColumnsRenamed({k: f"__{k}" for k in key}), "crowded_shared")
+        hit = stage(split_join(wide, mixed.select("__anchor", "__shift", "__h", "n", "fresh"), {k: f"__{k}" for k in key}, "n").select(*key, "doc", "start", "fresh"), "crowded_hits")
+        # a class whose members shared the window before, too, holds no new pair
+        a = hit.where("fresh").select(*key, F.col("doc").alias("x")).distinct()
         pairs = a.join(a.withColumnRenamed("x", "y"), key).where("x < y").select(F.lit(0).alias("kind"), "x", "y", F.lit(0).cast("long").alias("z")).distinct()
         result = result.unionByName(pairs).unionByName(hit.select(F.lit(1).alias("kind"), F.col("doc").alias("x"), F.col("start").alias("y"), (F.col("start") + length).alias("z")).distinct())
     return stage(result, "span_matches"), same
