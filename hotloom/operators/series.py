@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hotloom.operators.ranking import average_ranks, with_rank
+from hotloom.session import stage
+
 #: Months and levels that the statistics need.
 MIN_MONTHS_PERSISTENCE, MIN_MONTHS_TREND, MIN_REPORTS_TREND = 24, 12, 10
 RECENT_MONTHS, MIN_HISTORY = 3, 12
@@ -143,13 +146,15 @@ def trend_p(s: pd.Series, var: pd.Series, months: pd.Series, ties: pd.Series) ->
 def bh_adjust(df: DataFrame, p: str, into: str = "q_value") -> DataFrame:
     """df with Benjamini-Hochberg adjusted values over its non-null p; null where p is. Ties keep any order.
 
-    The ranks need one ordered pass over the p-values; a row per unit is few rows.
+    Ranks and running minima are taken in ranges, so no task sees all values.
     """
-    known = df.where(F.col(p).isNotNull())
-    order = Window.orderBy(p)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    ranked = known.withColumn("__x", F.col(p) * n / F.row_number().over(order))
-    out = ranked.withColumn(into, F.least(F.lit(1.0), F.min("__x").over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("__x")
+    ranked = with_rank(df.where(F.col(p).isNotNull()), [p], "__rank", "__n")
+    ranked = stage(ranked.withColumn("__part", F.floor((F.col("__rank") - 1) * 200 / F.col("__n"))).withColumn("__x", F.col(p) * F.col("__n") / F.col("__rank")), "bh")
+    # smallest value of all later parts, of which there are 200 at most, then of the later rows of a row's own part
+    least = ranked.groupBy("__part").agg(F.min("__x").alias("__least"))
+    after = least.select("__part", F.min("__least").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    own = F.min("__x").over(Window.partitionBy("__part").orderBy("__rank").rowsBetween(0, Window.unboundedFollowing))
+    out = ranked.join(F.broadcast(after), "__part").withColumn(into, F.least(F.lit(1.0), own, "__after")).select(*df.columns, into)
     return out.unionByName(df.where(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double")))
 
 
@@ -180,5 +185,5 @@ def unit_metrics(series: DataFrame, units: DataFrame, rate: Column, test: bool =
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, rho): rank correlation with average ranks for ties; rows with a null are left out, fewer than 10 give null."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return d.select(rank(x).alias("a"), rank(y).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r")).select("n", F.when(F.col("n") >= 10, F.col("r")).alias("rho"))
+    d = d.join(average_ranks(d, x, "__a"), x).join(average_ranks(d, y, "__b"), y)
+    return d.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("r")).select("n", F.when(F.col("n") >= 10, F.col("r")).alias("rho"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.pivots import GROUP, _looking, celled, dbscan
+from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, radii
 from hotloom.session import stage
 
@@ -186,8 +187,9 @@ def k_distances(points: DataFrame, ks: list[int], start_m: float = 500.0) -> Dat
 def knee(distances: DataFrame, value: str) -> DataFrame:
     """(n, metres): the value of sorted distances that lies furthest below the straight line from first to last, the
     first of equals. Distances are sorted by a range shuffle; only counts are gathered."""
-    order = Window.orderBy(value)
-    d = distances.select(value, (F.row_number().over(order) - 1).alias("i"), F.min(value).over(Window.partitionBy(F.lit(1))).alias("a"), F.max(value).over(Window.partitionBy(F.lit(1))).alias("b"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
+    d = with_rank(distances.select(value), [value], "i", "n").withColumn("i", F.col("i") - 1)
+    ends = d.agg(F.min(value).alias("a"), F.max(value).alias("b")).withColumn("__k", F.lit(1))
+    d = d.withColumn("__k", F.lit(1)).join(F.broadcast(ends), "__k")
     gap = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1)) - (F.col(value) - F.col("a")) / F.greatest(F.col("b") - F.col("a"), F.lit(1e-12))
     return d.orderBy(F.desc(gap), "i").limit(1).select("n", F.col(value).alias("metres"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
 from hotloom.operators import cleaning, proximity, quality, regions, series, shapes, sweeps
+from hotloom.operators.ranking import with_rank
 from hotloom.plans import report_sql, surface
 from hotloom.session import stage, stage_path
 from hotloom.sources import artifacts
@@ -537,7 +538,7 @@ def distance_bands(spark: SparkSession, folder: str) -> DataFrame:
 def density_terciles(spark: SparkSession, folder: str) -> DataFrame:
     """Noise by thirds of the k-distance's rank; the cuts are where quantiles of the ranks fall."""
     d = stage(sweeps.k_distances(analysed(spark, folder), [5]), "kdist")
-    r = d.withColumns({"r": F.row_number().over(Window.orderBy("metres", "pid")), "n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
+    r = with_rank(d, ["metres", "pid"], "r", "n")
     third = F.when(F.col("r") <= 1 + (F.col("n") - 1) / 3, 1).when(F.col("r") <= 1 + (F.col("n") - 1) * 2 / 3, 2).otherwise(3)
     m = r.withColumn("third", third).join(labels(spark, folder).select("pid", "label"), "pid")
     return m.groupBy("third").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.expr("label < 0")).alias("noise"))

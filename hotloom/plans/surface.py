@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotloom.operators.ranking import with_rank
+
 
 class NotFound(LookupError):
     """Nothing is stored under that name or id."""
@@ -34,8 +36,9 @@ def hotspots(rows: DataFrame, sort: str = "rank", order: str = "asc", min_report
         kept = kept.where(F.col("observed_trend") == trend)
     text, number = _number_first(sort, dict(rows.dtypes)[sort])
     keys = [text.asc(), number.asc()] if order == "asc" else [text.desc(), number.desc()]
-    counted = kept.withColumn("matched", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    return counted.orderBy(*keys, "run_id", "cluster_id").limit(limit)
+    matched = kept.agg(F.count(F.lit(1)).alias("matched")).withColumn("__k", F.lit(1))
+    first = kept.orderBy(*keys, "run_id", "cluster_id").limit(limit).withColumn("__k", F.lit(1))
+    return first.join(F.broadcast(matched), "__k").drop("__k").orderBy(*keys, "run_id", "cluster_id")
 
 
 def hotspot(rows: DataFrame, monthly: DataFrame, run_id: int, cluster_id: int) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +85,6 @@ def map_metric(rows: DataFrame, metric: str) -> DataFrame:
 
 def breaks(rows: DataFrame, value: str, levels: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 0.95)) -> DataFrame:
     """(level, value): the values at these shares of the sorted list (index floor(level x n)), for a map's classes."""
-    order = Window.orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    at = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), (F.row_number().over(order) - 1).alias("i"), n.alias("n"))
+    at = with_rank(rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value")), ["value"], "i", "n").withColumn("i", F.col("i") - 1)
     picks = F.array(*[F.struct(F.lit(x).alias("level"), F.least(F.floor(F.lit(x) * F.col("n")), F.col("n") - 1).alias("pick")) for x in levels])
     return at.withColumn("p", F.explode(picks)).where(F.col("p.pick") == F.col("i")).select("p.level", "value")
