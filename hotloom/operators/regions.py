@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hotloom.session import stage
 
-#: Degrees; and how many index rows may be broadcast (the regions' own size, not the points', decides).
-CELL_DEG, BROADCAST_ROWS = 0.01, 50_000
+#: Degrees; and how many edges the index may have to be broadcast, about 20 MB (the regions' own size decides).
+CELL_DEG, BROADCAST_EDGES = 0.01, 400_000
 
 
 def _edges(rings: Column) -> Column:
@@ -41,7 +41,8 @@ def containing_region(points: DataFrame, regions: DataFrame, lat: str, lon: str,
     regions share no point. Points aren't shuffled while the index is small enough to broadcast.
     """
     index = stage(region_index(regions, cell_deg), "region_cells")
-    if index.count() <= BROADCAST_ROWS:
+    edges = index.agg(F.sum(F.aggregate("__near", F.lit(0), lambda n, w: n + F.size(w["e"])))).first()[0] or 0
+    if edges <= BROADCAST_EDGES:
         index = F.broadcast(index)
     x, y = F.col(lon), F.col(lat)
     ok = y.between(-1e6, 1e6) & x.between(-1e6, 1e6)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.pivots import GROUP, _looking, celled, dbscan
 from hotloom.operators.ranking import with_rank
-from hotloom.operators.shapes import centres, radii
+from hotloom.operators.shapes import centres, outlines, radii
 from hotloom.session import stage
 
 #: The swept grid, and what a configuration must fulfil to be chosen.
@@ -152,6 +155,30 @@ def select_config(rows: DataFrame, eps: float | None = None, least: int | None =
     return chosen
 
 
+def cluster_records(labels: DataFrame, dates: DataFrame, eps: float) -> DataFrame:
+    """One record per cluster: size, distinct coordinates, whether nine tenths lie at one, centre, radius, first and last
+    date, box, area, density and outline.
+
+    ``labels`` has pid, label, lat, lon; ``dates`` pid and date, null where unknown. The area is the hull's, at least a
+    circle of diameter eps; the outline runs 50 m around the hull, in degrees of 5 places.
+    """
+    c = labels.where("label >= 0").select("pid", "label", "lat", "lon").join(dates.select("pid", "date"), "pid", "left")
+    middle = centres(c, ["label"])
+    sizes = cluster_sizes(labels, []).select("label", "places", "most")
+    g = c.groupBy("label").agg(F.count(F.lit(1)).alias("report_count"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.min("lat").alias("bbox_min_lat"), F.min("lon").alias("bbox_min_lon"), F.max("lat").alias("bbox_max_lat"), F.max("lon").alias("bbox_max_lon"))
+    shape = outlines(c, "label").select("label", "hull_km2", "outline")
+    corner = shape.select("label", F.posexplode("outline").alias("i", "p")).select("label", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    a, b = to_latlon("x", "y")
+    r5 = lambda v: F.rint(v * 1e5) / 1e5
+    ring = corner.select("label", F.struct("i", r5(b).alias("lon"), r5(a).alias("lat")).alias("p")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.array(p["lon"], p["lat"])).alias("boundary"))
+    out = g.join(sizes, "label").join(middle, "label").join(radii(c, middle, ["label"]), "label").join(shape.select("label", "hull_km2"), "label").join(ring, "label")
+    area = F.greatest(F.col("hull_km2"), F.lit(math.pi * (eps / 2) ** 2 / 1e6))
+    return out.select(
+        "label", "report_count", F.col("places").alias("distinct_coordinates"), (F.col("most") >= F.col("report_count") * 0.9).alias("single_coordinate_cluster"), F.col("centre_lat").alias("centroid_latitude"), F.col("centre_lon").alias("centroid_longitude"),
+        F.col("radius_m").alias("approx_radius_meters"), "date_min", "date_max", "bbox_min_lat", "bbox_min_lon", "bbox_max_lat", "bbox_max_lon", area.alias("boundary_area_km2"), (F.col("report_count") / area).alias("density_reports_per_km2"), "boundary",
+    )
+
+
 def k_distances(points: DataFrame, ks: list[int], start_m: float = 500.0) -> DataFrame:
     """(pid, k, metres): distance to the k-th nearest point, itself counted as the first; by cells that grow.
 

@@ -187,6 +187,9 @@ select run_id, cluster_id, recent_3_month_count, report_count, matched from k or
     "unit_timeline": "select run_id, month, pothole_reports, all_complaints from (select distinct * from spatial_unit_monthly) where unit_type='ward' and unit_id=68",
     "stored_city_timeline": "select run_id, month, sum(pothole_reports)::bigint pothole_reports, sum(all_complaints)::bigint all_complaints from (select distinct * from spatial_unit_monthly) where unit_type='ward' group by all",
     "top15_share": f"with {I} select ward_id, count(*) complaints, count(*) filter (is_target) targets, count(*) filter (is_target)/count(*) share from i where ward_id>=1 group by 1 having count(*)>=50 order by share desc, ward_id limit 15",
+    "top15_count": f"with {I} select ward_id, count(*) targets from i where is_target and ward_id>=1 group by 1 order by targets desc, ward_id limit 15",
+    "secondary_counts": f"""with {_WARD}, {I}, a as (select w ward_id, count(*) n from i join inside x on i.lat=x.lat and i.lon=x.lon where run_id=2 group by 1), b as (select ward_id, count(*) n from i where run_id=1 and is_target and usable and ward_id>=0 group by 1)
+select coalesce(a.ward_id,b.ward_id) ward_id, coalesce(a.n,0) as second, coalesce(b.n,0) as first from a full join b on a.ward_id=b.ward_id""",
     "choropleth_breaks": """with o as (select density_reports_per_km2 v, row_number() over (order by density_reports_per_km2)-1 i, count(*) over () n from cluster_summary where density_reports_per_km2 is not null)
 select x as level, v as value from o, (select unnest([0.2,0.4,0.6,0.8,0.95])::double x) where i=least(floor(x*n),n-1)""",
     "map_metric": "select run_id, cluster_id, complaint_share as value from cluster_summary",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
-from hotloom.operators import cleaning, proximity, quality, regions, series, shapes, sweeps
+from hotloom.operators import cleaning, proximity, quality, regions, secondary, series, shapes, sweeps
 from hotloom.operators.ranking import with_rank
 from hotloom.plans import report_sql, surface
 from hotloom.session import stage, stage_path
@@ -440,6 +440,13 @@ def cluster_table(spark: SparkSession, folder: str) -> DataFrame:
     return at.groupBy("label").agg(F.sum("n").alias("report_count"), F.count(F.lit(1)).alias("distinct_coordinates"), (F.max("n") >= F.sum("n") * 0.9).alias("single_coordinate"), F.min("a").alias("first_month"), F.max("b").alias("last_month"), F.min("lat").alias("bbox_min_lat"), F.min("lon").alias("bbox_min_lon"), F.max("lat").alias("bbox_max_lat"), F.max("lon").alias("bbox_max_lon"))
 
 
+@query
+def cluster_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Full records of the clusters, with area, density and outline."""
+    dates = issues(spark, folder).select(F.col("rowid_").cast("long").alias("pid"), F.col("month").alias("date"))
+    return sweeps.cluster_records(labels(spark, folder), dates, 250.0)
+
+
 @query
 def pin_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     m = labels(spark, folder, pins=True)
@@ -707,6 +714,20 @@ def top15_share(spark: SparkSession, folder: str) -> DataFrame:
     return g.where("complaints >= 50").withColumn("share", F.col("targets") / F.col("complaints")).orderBy(F.desc("share"), "ward_id").limit(15)
 
 
+@query
+def top15_count(spark: SparkSession, folder: str) -> DataFrame:
+    g = issues(spark, folder).where("is_target and ward_id >= 1").groupBy("ward_id").agg(F.count(F.lit(1)).alias("targets"))
+    return g.orderBy(F.desc("targets"), "ward_id").limit(15)
+
+
+@query
+def secondary_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The later load taken as a second source: its complaints inside each ward beside the main load's targets."""
+    d = issues(spark, folder)
+    second = d.where("run_id = 2").select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    return secondary.ward_counts(second, table(spark, folder, "wards"), d.where("run_id = 1"), None)
+
+
 @query
 def choropleth_breaks(spark: SparkSession, folder: str) -> DataFrame:
     return surface.breaks(table(spark, folder, "cluster_summary"), "density_reports_per_km2")

@@ -70,9 +70,36 @@ def summary(issues: DataFrame, clusters: DataFrame) -> DataFrame:
     return d.withColumns({"hotspots": F.coalesce("hotspots", F.lit(0)), "largest": F.coalesce("largest", F.lit(0))})
 
 
-def ward_search(wards: DataFrame, text: str) -> DataFrame:
-    """Wards whose name contains the text, whatever the case."""
-    return wards.where(F.lower("name").contains(text.lower()))
+def ward_search(wards: DataFrame, text: str, persistent: bool = False) -> DataFrame:
+    """Wards whose name contains the text, whatever the case; with ``persistent`` only those so marked."""
+    found = wards.where(F.lower("name").contains(text.lower()))
+    return found.where("persistent") if persistent else found
+
+
+def spatial_units(metrics: DataFrame, wards: DataFrame, geometry: bool = False) -> DataFrame:
+    """Metrics of wards (unit) with name and zone, and with their simplified rings if asked for."""
+    from hotloom.operators.shapes import simplify_regions
+
+    w = simplify_regions(wards) if geometry else wards.drop("rings")
+    return metrics.join(w, metrics["unit"] == w["ward_id"], "left").drop("ward_id")
+
+
+def parameters(sweep: DataFrame, eps: float, least: int) -> DataFrame:
+    """The swept grid in order, the chosen configuration marked."""
+    return sweep.withColumn("chosen", (F.col("eps") == eps) & (F.col("least") == least)).orderBy("least", "eps")
+
+
+def data_status(sources: DataFrame, gate: DataFrame) -> DataFrame:
+    """Each source's record beside the data gate's verdict."""
+    g = gate.select(F.col("passed").alias("gate_passed"), "usable_targets", F.col("months").alias("months_covered"), F.lit(1).alias("__k"))
+    return sources.withColumn("__k", F.lit(1)).join(F.broadcast(g), "__k", "left").drop("__k")
+
+
+def health(spark, folder: str, names: list[str]) -> dict[str, bool]:
+    """Which named artifacts are there."""
+    from hotloom.sources.artifacts import get_artifact
+
+    return {name: get_artifact(spark, folder, name) is not None for name in names}
 
 
 def map_metric(rows: DataFrame, metric: str) -> DataFrame:

@@ -74,3 +74,9 @@ def read_report(path: str) -> dict:
             return json.load(file)
     except FileNotFoundError:
         return {}
+
+
+def read_csv_report(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV report with a header, as text; empty cells and NaN are null."""
+    df = spark.read.option("header", True).csv(path)
+    return df.select(*[F.when(~F.col(c).isin("NaN", "nan"), F.col(c)).alias(c) for c in df.columns])
