@@ -15,10 +15,10 @@ PLACE = ["run_id", "latitude", "longitude"]
 
 def coordinate_counts(complaints: DataFrame) -> DataFrame:
     """(run_id, latitude, longitude, total) over all rows with both coordinates, run_id null being a run of its own."""
-    return totals(compress(_placed(complaints), PLACE, []), PLACE)
+    return totals(compress(placed(complaints), PLACE, []), PLACE)
 
 
-def _placed(complaints: DataFrame) -> DataFrame:
+def placed(complaints: DataFrame) -> DataFrame:
     return complaints.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
 
 
@@ -31,7 +31,7 @@ def wrong_counts(complaints: DataFrame, pins: DataFrame) -> DataFrame:
     are never listed; a pin with one has no complaints, so 0 is right for it. 0.0 and -0.0 are one coordinate.
     """
     stored = ["coord_multiplicity", "suspect_fallback_pin"]
-    rows = _placed(complaints).select("rowid_", *PLACE, *stored)
+    rows = placed(complaints).select("rowid_", *PLACE, *stored)
     weighted = stage(compress(rows, PLACE, stored), "pin_values")
     total = totals(weighted, PLACE).select(*[F.col(c).alias(f"__{c}") for c in PLACE], F.col("total").alias("__total"))
     total = stage(total, "pin_totals")

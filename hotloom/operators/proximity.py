@@ -81,8 +81,8 @@ def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str,
     """(keys, id_lo, id_hi, metres): pairs of rows at most radius_m apart but not at the same coordinate.
 
     The search runs over distinct coordinates; the pairs found are then expanded to rows. A coordinate with more rows
-    than ``block`` is salted: its rows are spread over blocks and each pair meets every block once, so a hot coordinate
-    makes no large task. Rows with null, NaN or out-of-range coordinates never come out.
+    than ``block`` and a thousandth of all is cut into blocks, and a pair into units of a block on either side, so hot
+    coordinates on one side or both make no large task. Rows with null, NaN or out-of-range coordinates never come out.
     """
     rows = rows.where(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
     rows = rows.select(*keys, F.col(row_id).alias("__id"), (F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon"))
@@ -91,7 +91,7 @@ def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str,
     pairs = stage(near_pairs(places, keys, radius_m, block), "near_places")
     paired = pairs.select(*keys, F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")).unionByName(pairs.select(*keys, F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))).distinct()
     named = [F.col(k).alias(f"__r_{k}") for k in keys]
-    paired = paired.join(places, [*keys, "lat", "lon"]) if not keys else _natural(paired, places, [*keys, "lat", "lon"])
+    paired = _natural(paired, places, [*keys, "lat", "lon"])
     paired = stage(paired.select(*named, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__n"), blocks(F.col("__n"), block).alias("__blocks")), "paired_places")
     hot, cold = hot_part(paired, "__n")
     cold = cold.withColumn("__blocks", F.lit(1))
@@ -103,27 +103,33 @@ def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str,
         return df.join(place, on, how)
 
     known = meet(rows, F.broadcast(hot)).unionByName(meet(meet(rows, F.broadcast(hot), "left_anti"), cold))
-    known = known.select(*named_back(keys), "lat", "lon", "__id", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int").alias("__salt"))
+    known = known.select(*keys, "lat", "lon", "__id", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int").alias("__salt"))
 
-    def side(df: DataFrame, s: str) -> DataFrame:
-        """The pairs with side s replaced by its rows."""
-        d = df.select("*", F.col(f"lat_{s}").alias("lat"), F.col(f"lon_{s}").alias("lon"))
-        wide = meet(d, F.broadcast(hot.drop("__n"))).unionByName(meet(d, F.broadcast(hot.drop("__n")), "left_anti").select("*", *[F.lit(None).cast(t).alias(c) for c, t in hot.drop("__n").dtypes]))
-        wide = wide.withColumn("__salt_p", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1)))
+    marks = hot.drop("__n")
+
+    def cut(df: DataFrame, s: str) -> DataFrame:
+        """Each pair once for every block of its side s."""
+        m = marks.withColumnsRenamed({"__lat": "__mlat", "__lon": "__mlon", **{f"__r_{k}": f"__m_{k}" for k in keys}})
+        on = (df[f"lat_{s}"] == m["__mlat"]) & (df[f"lon_{s}"] == m["__mlon"])
+        for k in keys:
+            on = on & df[k].eqNullSafe(m[f"__m_{k}"])
+        d = df.join(F.broadcast(m), on, "left")
+        return d.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop(*m.columns)
+
+    # a unit is a block of the one side and a block of the other: few rows of each, however hot the coordinates
+    units = stage(cut(cut(pairs, "a"), "b").withColumn("unit", F.monotonically_increasing_id()), "units")
+
+    def side(s: str) -> DataFrame:
         k = known.select(*[F.col(x).alias(f"__k_{x}") for x in keys], F.col("lat").alias("__klat"), F.col("lon").alias("__klon"), F.col("__id").alias(f"id_{s}"), F.col("__salt"))
-        on = (wide["lat"] == k["__klat"]) & (wide["lon"] == k["__klon"]) & (wide["__salt_p"] == k["__salt"])
+        on = (units[f"lat_{s}"] == k["__klat"]) & (units[f"lon_{s}"] == k["__klon"]) & (units[f"block_{s}"] == k["__salt"])
         for x in keys:
-            on = on & wide[x].eqNullSafe(k[f"__k_{x}"])
-        return wide.join(k, on).select(*df.columns, f"id_{s}")
+            on = on & units[x].eqNullSafe(k[f"__k_{x}"])
+        return units.join(k, on).select("unit", f"id_{s}", *[c for c in (*keys, "metres") if s == "a"])
 
-    both = side(side(pairs, "a"), "b")
+    both = side("a").join(side("b"), "unit")
     return both.select(*keys, F.least("id_a", "id_b").alias("id_lo"), F.greatest("id_a", "id_b").alias("id_hi"), "metres")
 
 
-def named_back(keys: list[str]) -> list[Column]:
-    return [F.col(k) for k in keys]
-
-
 def _natural(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join in which null keys match; the columns of ``on`` stay once."""
     r = right.select(*[F.col(c).alias(f"__m_{c}") for c in on], *[c for c in right.columns if c not in on])

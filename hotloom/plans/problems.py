@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hotloom.plans import problem_sql
 from hotloom.operators import frequency, pins, pivots, proximity, regions, timestamps, trailing
+from hotloom.session import stage
 from hotloom.sources.tables import table
 
 
@@ -29,7 +30,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Per run and coordinate: complaints, distinct and most frequent category, and the median stored ward."""
-    rows = pins._placed(table(spark, folder, "complaints"))
+    rows = pins.placed(table(spark, folder, "complaints"))
     return frequency.profile(rows, pins.PLACE, modes=["sub_issue_type", "month"], percentiles={"ward_id": [0.5]})
 
 
@@ -60,8 +61,6 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ward_days(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and daily averages of the last 7 and 30 days for every ward and day from its first to the run's last."""
-    from hotloom.session import stage
-
     per_day = stage(trailing.ward_days(table(spark, folder, "complaints"))[0], "ward_days")
     last = per_day.groupBy(F.col("run_id").alias("__run")).agg(F.max("day").alias("__last"))
     spans = trailing.trailing_intervals(per_day.where((F.col("ward_id") >= 1) & (F.col("requests") > 0)), ["run_id", "ward_id"], "day", "requests", [7, 30])
