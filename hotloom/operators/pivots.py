@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import EARTH_M, haversine
-from hotloom.operators.skew import hot_part
+from hotloom.operators.skew import hot_part, split_join
 from hotloom.session import stage
 
 #: Places have a group (a run, a configuration), lat, lon, the number of points w, their smallest id rid (unique over
@@ -73,8 +73,8 @@ def dense_places(places: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     places = stage(celled(places), "places")
     key = [GROUP, "band", "cell"]
-    cells = places.groupBy(*key).agg(F.sum("w").alias("cw"))
-    known = stage(_join(places, cells, key), "weighed")
+    cells = stage(places.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("__n")), "cells")
+    known = stage(split_join(places, cells, {k: f"__{k}" for k in key}, "__n", nulls_match=True).select(*places.columns, "cw"), "weighed")
     sparse = known.where(F.col("cw") < F.col("least"))
     met = _looking(sparse, places)
     enough = met.groupBy("by", "need").agg(F.sum("w").alias("nw")).where(F.col("nw") >= F.col("need")).select(F.col("by").alias("rid"))
@@ -107,7 +107,7 @@ def cell_nodes(dense: DataFrame) -> DataFrame:
     """One node per cell with dense places: node (its smallest id), w, its box, its four outermost places."""
     at = F.struct("lat", "lon")
     outer = [F.min_by(at, "lat").alias("p0"), F.max_by(at, "lat").alias("p1"), F.min_by(at, "lon").alias("p2"), F.max_by(at, "lon").alias("p3")]
-    return dense.groupBy(GROUP, "eps", "height", "half", "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), *outer)
+    return dense.groupBy(GROUP, "eps", "height", "half", "band", "cell").agg(F.min("rid").cast("long").alias("node"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("places"), *outer)
 
 
 def cell_links(dense: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -230,9 +230,10 @@ def density_groups(places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     links = stage(cell_links(dense, nodes), "cell_links")
     clusters = stage(pivot_clusters(nodes, links), "pivots")
     roots = connected(clusters, links)
-    named = nodes.select(GROUP, "band", "cell", "node").join(clusters, "node").join(roots, "node")
-    named = named.join(named.groupBy("root").agg(F.min("node").alias("cluster_rowid")), "root")
-    return stage(_join(dense, named, [GROUP, "band", "cell"]), "dense_places"), clusters, links, known
+    named = nodes.select(*[F.col(k).alias(f"__{k}") for k in (GROUP, "band", "cell")], "node", "places").join(clusters, "node").join(roots, "node")
+    named = stage(named.join(named.groupBy("root").agg(F.min("node").alias("cluster_rowid")), "root"), "named_nodes")
+    at = split_join(dense, named, {k: f"__{k}" for k in (GROUP, "band", "cell")}, "places", nulls_match=True)
+    return stage(at.select(*dense.columns, "node", "pivot", "root", "cluster_rowid"), "dense_places"), clusters, links, known
 
 
 def dbscan(points: DataFrame) -> DataFrame:
@@ -292,8 +293,8 @@ def describe(groups: Groups, typical: int = 3) -> DataFrame:
     gap = sum(((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
 
     def medoids(p: DataFrame) -> DataFrame:
-        mean = p.groupBy("pivot").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"c{c}") for c in "xyz"], F.sum("w").alias("size"))
-        return p.join(mean, "pivot").groupBy("pivot").agg(F.min(F.struct(gap.alias("gap"), "rid", "x", "y", "z")).alias("m"), F.first("size").alias("size"))
+        mean = p.groupBy(F.col("pivot").alias("__pivot")).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"c{c}") for c in "xyz"], F.sum("w").alias("size"), F.count(F.lit(1)).alias("__n"))
+        return split_join(p, stage(mean, "means"), {"pivot": "__pivot"}, "__n").groupBy("pivot").agg(F.min(F.struct(gap.alias("gap"), "rid", "x", "y", "z")).alias("m"), F.first("size").alias("size"))
 
     start = medoids(places).select("pivot", *[F.col(f"m.{c}").alias(f"c{c}") for c in "xyz"])
     pivot_of = groups.clusters.select(F.col("node").alias("b"), "pivot")
