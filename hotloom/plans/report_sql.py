@@ -140,7 +140,7 @@ cell as (select la, lb, count(*) n from j group by all), x as (select sum(m*(m-1
 select 5 least, coalesce((i-x.v*y.v/t)/nullif((x.v+y.v)/2-x.v*y.v/t,0),1) ari from w, x, y""",
     "cluster_table": f"""{WITH_L}, spot as (select label, lat, lon, count(*) n, min(month) a, max(month) b from labels join (select rowid_, month from i) on pid=rowid_ where label>=0 group by all)
 select label, sum(n)::bigint report_count, count(*) distinct_coordinates, max(n)>=0.9*sum(n) single_coordinate, min(a) first_month, max(b) last_month, min(lat) bbox_min_lat, min(lon) bbox_min_lon, max(lat) bbox_max_lat, max(lon) bbox_max_lon from spot group by 1""",
-    "pin_sensitivity": f"with recursive {I}, {PINS}, {L} select max(label)+1 clusters, count(*) filter (label<0) noise, count(*) points from labels",
+    "pin_sensitivity": f"with recursive {I}, {PINS}, {L} select max(label)+1 clusters, count(*) filter (label<0) noise, count(*) points, (select max(n) from (select count(*) n from p group by lat, lon)) largest_pin from labels",
     "size_summary": f"{WITH_L}, spot as (select label, lat, lon, count(*) n from labels where label>=0 group by all), z as (select label, sum(n)::bigint reports, max(n) most from spot group by 1) select min(reports) least, median(reports) median, count(*) filter (reports<=7) small, count(*) filter (most>=0.9*reports) single_coordinate, max(reports)/sum(reports) largest_share from z",
     "hotspot_rank": "select run_id, cluster_id, row_number() over (partition by run_id order by report_count desc nulls last, density_reports_per_km2 desc nulls last, cluster_id)::int as position from cluster_summary",
     "category_distribution": f"with {I} select category, sub_category, is_target, count(*) complaints, 100.0*count(*)/sum(count(*)) over () pct from i group by all",

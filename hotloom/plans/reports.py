@@ -324,10 +324,9 @@ def hull_area(spark: SparkSession, folder: str) -> DataFrame:
     return shapes.outlines(labels(spark, folder).where("label >= 0"), "label").drop("outline")
 
 
-def footprints(spark: SparkSession, folder: str) -> DataFrame:
+def footprints(outlines: DataFrame) -> DataFrame:
     """(ward_id, rings): the outlines of the clusters as regions, named by label."""
-    o = shapes.outlines(labels(spark, folder).where("label >= 0"), "label")
-    p = o.select("label", F.posexplode("outline").alias("i", "p")).select("label", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    p = outlines.select("label", F.posexplode("outline").alias("i", "p")).select("label", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
     a, b = to_latlon("x", "y")
     ring = p.select("label", "i", a.alias("lat"), b.alias("lon")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("r"))
     return ring.select(F.col("label").cast("int").alias("ward_id"), F.array(F.transform("r", lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat")))).alias("rings"))
@@ -337,7 +336,8 @@ def footprints(spark: SparkSession, folder: str) -> DataFrame:
 def cluster_denominators(spark: SparkSession, folder: str) -> DataFrame:
     """All usable complaints inside each cluster's outline, the denominators of the clusters' shares; of several outlines
     the greatest label counts a complaint."""
-    inside = regions.containing_region(issues(spark, folder).where("usable"), footprints(spark, folder), "lat", "lon", "label")
+    rings = footprints(shapes.outlines(labels(spark, folder).where("label >= 0"), "label"))
+    inside = regions.containing_region(issues(spark, folder).where("usable"), rings, "lat", "lon", "label")
     return inside.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"))
 
 
@@ -345,15 +345,16 @@ def cluster_denominators(spark: SparkSession, folder: str) -> DataFrame:
 def footprint_density(spark: SparkSession, folder: str) -> DataFrame:
     """Usable complaints inside the clusters' outlines together and elsewhere; the dissolved area by counting 25 m cells
     whose middle lies inside."""
-    inside = regions.containing_region(issues(spark, folder).where("usable"), footprints(spark, folder), "lat", "lon", "label")
+    o = stage(shapes.outlines(labels(spark, folder).where("label >= 0"), "label"), "outlines")
+    rings = stage(footprints(o), "footprints")
+    inside = regions.containing_region(issues(spark, folder).where("usable"), rings, "lat", "lon", "label")
     n = inside.agg(F.count_if(F.expr("label >= 0")).alias("inside"), F.count_if(F.expr("label < 0")).alias("elsewhere"))
-    o = shapes.outlines(labels(spark, folder).where("label >= 0"), "label")
     box = o.select("label", F.transform("outline", lambda p: p[0]).alias("xs"), F.transform("outline", lambda p: p[1]).alias("ys"))
     cell = lambda c: F.floor(c / 25).cast("long")
     cells = box.select(F.explode(F.sequence(cell(F.array_min("xs")), cell(F.array_max("xs")))).alias("gx"), "ys").select("gx", F.explode(F.sequence(cell(F.array_min("ys")), cell(F.array_max("ys")))).alias("gy")).distinct()
     mid = cells.select(((F.col("gx") + 0.5) * 25).alias("x"), ((F.col("gy") + 0.5) * 25).alias("y"))
     a, b = to_latlon("x", "y")
-    held = regions.containing_region(mid.select(a.alias("lat"), b.alias("lon")), footprints(spark, folder), "lat", "lon", "label")
+    held = regions.containing_region(mid.select(a.alias("lat"), b.alias("lon")), rings, "lat", "lon", "label")
     area = held.agg((F.count_if(F.expr("label >= 0")) * 625 / 1e6).alias("area_km2"))
     return n.withColumn("k", F.lit(1)).join(area.withColumn("k", F.lit(1)), "k").drop("k").withColumn("density", F.col("inside") / F.nullif("area_km2", F.lit(0.0)))
 
@@ -450,7 +451,8 @@ def cluster_records(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pin_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     m = labels(spark, folder, pins=True)
-    return m.agg((F.max("label") + 1).alias("clusters"), F.count_if(F.expr("label < 0")).alias("noise"), F.count(F.lit(1)).alias("points"))
+    at = m.groupBy("label", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    return at.agg((F.max("label") + 1).alias("clusters"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))), F.lit(0)).alias("noise"), F.sum("n").alias("points"), F.max("n").alias("largest_pin"))
 
 
 @query
