@@ -20,20 +20,27 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def band_height(radius_m: float) -> float:
-    """Degrees of latitude of a band that is at least ``radius_m`` high."""
+#: A cell's sides in radii: twice as large cells hold more candidates, but a point looks into fewer of them.
+CELL_RADII = 2
+
+
+def degrees_north(radius_m: float) -> float:
+    """Degrees of latitude that points at most ``radius_m`` apart can differ by."""
     return math.degrees(radius_m / EARTH_M) * (1 + 1e-9)
 
 
+def band_height(radius_m: float) -> float:
+    return CELL_RADII * degrees_north(radius_m)
+
+
 def reach(band: Column, radius_m: float) -> Column:
     """Degrees of longitude that points at most ``radius_m`` apart can differ by, one of them in the latitude band and
     the other there or in a band beside it; 180 where it may be any."""
-    height = band_height(radius_m)
-    edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(height), F.lit(90.0))
+    edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(band_height(radius_m)), F.lit(90.0))
     ratio = F.lit(math.sin(radius_m / EARTH_M / 2) * (1 + 1e-9)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
     return F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 2 * (1 + 1e-9))
 
 
 def cells_round(band: Column, radius_m: float) -> Column:
-    """How many cells, each at least reach() wide, the band is divided into."""
-    return F.greatest(F.floor(F.lit(360.0) / reach(band, radius_m)), F.lit(1)).cast("long")
+    """How many cells, each at least CELL_RADII reaches wide, the band is divided into."""
+    return F.greatest(F.floor(F.lit(360.0 / CELL_RADII) / reach(band, radius_m)), F.lit(1)).cast("long")

@@ -6,10 +6,10 @@ reaches there, so partners lie in the same or a neighbouring cell, across the 18
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotloom.functions.sphere import band_height, cells_round, haversine, reach
+from hotloom.functions.sphere import band_height, cells_round, degrees_north, haversine, reach
 from hotloom.operators.skew import blocks, hot_part
 from hotloom.session import stage
 
@@ -17,30 +17,22 @@ from hotloom.session import stage
 BLOCK = 2_000
 
 
-def _cell(lon: Column, count: Column) -> Column:
-    return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / count)).cast("long"), count)
+def with_cell(df: DataFrame, radius_m: float) -> DataFrame:
+    """Add the point's own cell (__band, __cell) and __half, the degrees of longitude that the radius spans there."""
+    df = df.withColumn("__band", F.floor(F.col("lat") / F.lit(band_height(radius_m))).cast("long"))
+    df = df.withColumns({"__half": reach(F.col("__band"), radius_m), "__count": cells_round(F.col("__band"), radius_m)})
+    return df.withColumn("__cell", F.pmod(F.floor((F.col("lon") + 180.0) * F.col("__count") / 360.0).cast("long"), F.col("__count"))).drop("__count")
 
 
-def with_cell(df: DataFrame, lat: str, lon: str, radius_m: float) -> DataFrame:
-    """Add the point's own cell (__band, __cell)."""
-    band = F.floor(F.col(lat) / F.lit(band_height(radius_m))).cast("long")
-    df = df.withColumn("__band", band)
-    return df.withColumn("__cell", _cell(F.col(lon), cells_round(F.col("__band"), radius_m)))
-
-
-def _northern_cells(radius_m: float, lon: str) -> Column:
-    """The cells (band, cell) of the point's own and the next band that may hold partners not south of it."""
-    def cells(step: int) -> Column:
-        band = F.col("__band") + step
-        count = cells_round(band, radius_m)
-        width = F.lit(360.0) / count
-        half = reach(F.col("__band"), radius_m)
-        first = F.floor((F.col(lon) - half + 180.0) / width).cast("long")
-        last = F.floor((F.col(lon) + half + 180.0) / width).cast("long")
-        last = F.least(last, first + count - 1)
-        return F.transform(F.sequence(first, last), lambda c: F.struct(band.alias("band"), F.pmod(c, count).alias("cell")))
-
-    return F.concat(cells(0), cells(1))
+def northern_cells(df: DataFrame, radius_m: float) -> DataFrame:
+    """Each row of with_cell() once for every cell (__ab, __ac) that may hold partners not south of it."""
+    top = F.floor((F.col("lat") + F.lit(degrees_north(radius_m))) / F.lit(band_height(radius_m))).cast("long")
+    df = df.withColumn("__ab", F.explode(F.sequence("__band", top)))
+    df = df.withColumn("__count", cells_round(F.col("__ab"), radius_m))
+    first, last = (F.floor((x + 180.0) * F.col("__count") / 360.0).cast("long") for x in (F.col("lon") - F.col("__half"), F.col("lon") + F.col("__half")))
+    df = df.withColumns({"__from": first, "__till": last})
+    df = df.withColumn("__ac", F.explode(F.sequence("__from", F.least(F.col("__till"), F.col("__from") + F.col("__count") - 1))))
+    return df.withColumn("__ac", F.pmod("__ac", "__count")).drop("__count", "__from", "__till")
 
 
 def near_pairs(points: DataFrame, keys: list[str], radius_m: float, block: int = BLOCK) -> DataFrame:
@@ -52,7 +44,7 @@ def near_pairs(points: DataFrame, keys: list[str], radius_m: float, block: int =
     go to each, so no task holds a crowded cell. The limit is inclusive.
     """
     inside = points.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).select(*keys, "lat", "lon")
-    targets = with_cell(inside, "lat", "lon", radius_m)
+    targets = with_cell(inside, radius_m)
     crowd = stage(targets.groupBy(*keys, "__band", "__cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block), "crowded")
     crowd, _ = hot_part(crowd, "__n")
     crowd = crowd.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__band").alias("__cb"), F.col("__cell").alias("__cc"), blocks(F.col("__n"), block).alias("__blocks"))
@@ -66,7 +58,7 @@ def near_pairs(points: DataFrame, keys: list[str], radius_m: float, block: int =
     b = crowded(targets, "__band", "__cell")
     b = b.withColumn("__block", F.when(F.col("__blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("lat", "lon"), F.col("__blocks")).cast("int"))).drop("__blocks")
     b = b.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("__band").alias("__tb"), F.col("__cell").alias("__tc"), "__block")
-    a = targets.withColumn("__to", F.explode(_northern_cells(radius_m, "lon"))).select(*keys, F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("__to.band").alias("__ab"), F.col("__to.cell").alias("__ac"))
+    a = northern_cells(targets, radius_m).select(*keys, F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "__ab", "__ac")
     a = crowded(a, "__ab", "__ac")
     a = a.withColumn("__ablock", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop("__blocks")
     on = (a["__ab"] == b["__tb"]) & (a["__ac"] == b["__tc"]) & (a["__ablock"] == b["__block"])
