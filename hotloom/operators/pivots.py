@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.skew import hot_part, split_join
-from hotloom.session import stage
+from hotloom.session import stage, stage_counted
 
 #: Places have a group (a run, a configuration), lat, lon, the number of points w, their smallest id rid (unique over
 #: all groups), and the group's radius eps in metres and least number of points.
@@ -174,13 +174,14 @@ def pivot_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     ``links`` holds each pair once. Rounds go on until no two unassigned nodes are linked; what is left are pivots of
     their own. An empty table of nodes gives no rows; links that name unknown nodes are ignored by the last join.
     """
-    left, done, seed = stage(both_ways(links), "links"), [], 0
-    while not left.isEmpty():
+    left, rows = stage_counted(both_ways(links), "links")
+    done, seed = [], 0
+    while rows:
         got = stage(pivot_round(left, seed), "round")
         done.append(got)
         gone = got.select(F.col("node").alias("__gone"))
         rest = left.join(gone, left["a"] == gone["__gone"], "left_anti")
-        left = stage(rest.join(gone, rest["b"] == gone["__gone"], "left_anti"), "links")
+        left, rows = stage_counted(rest.join(gone, rest["b"] == gone["__gone"], "left_anti"), "links")
         seed += 1
     if not done:
         return nodes.select("node", F.col("node").alias("pivot"))
@@ -196,18 +197,19 @@ def connected(clusters: DataFrame, links: DataFrame) -> DataFrame:
     Each level takes the clusters as nodes, lets pivots absorb their neighbours once, and drops links within a cluster.
     The number of levels grows with the logarithm of the largest group.
     """
-    member, seed = stage(clusters.select("node", F.col("pivot").alias("root")), "member"), 100
+    member, seed = clusters.select("node", F.col("pivot").alias("root")), 100
     links = links.select("a", "b")
     move = clusters.select(F.col("node").alias("__from"), F.col("pivot").alias("__to"))
     while True:
         x = links.join(move, links["a"] == move["__from"], "left").select(F.coalesce("__to", "a").alias("a"), "b")
         x = x.join(move, x["b"] == move["__from"], "left").select("a", F.coalesce("__to", "b").alias("b")).where("a != b")
-        links = stage(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
-        if links.isEmpty():
+        links, left = stage_counted(x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "contracted")
+        if not left:
             return member
         got = stage(pivot_round(both_ways(links), seed), "level")
         move = got.select(F.col("node").alias("__from"), F.col("pivot").alias("__to"))
-        member = stage(member.join(move, member["root"] == move["__from"], "left").select("node", F.coalesce("__to", "root").alias("root")), "member")
+        # each level adds a join with a staged table; levels are few
+        member = member.join(move, member["root"] == move["__from"], "left").select("node", F.coalesce("__to", "root").alias("root"))
         seed += 1
 
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "hotloom", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -61,6 +62,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stage() and the number of rows, counted while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return staged, seen.get["rows"]
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that no plan reads any more."""
     for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
