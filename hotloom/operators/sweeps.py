@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import EARTH_M, haversine
-from hotloom.operators.pivots import GROUP, _looking, celled, dbscan
+from hotloom.operators.pivots import GROUP, _looking, _to_cells, celled, dbscan
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
 from hotloom.session import stage
@@ -240,34 +241,44 @@ def silhouette(labels: DataFrame) -> DataFrame:
     return out.withColumn("__o", F.lit(1)).join(k.withColumn("__o", F.lit(1)), "__o").select("n", F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), F.col("score")).alias("score"))
 
 
-def hdbscan_labels(lat: np.ndarray, lon: np.ndarray, least: int) -> np.ndarray:
-    """Labels of hierarchical density clustering (Campello, Moulavi, Sander 2013) with excess of mass; -1 is noise.
-
-    Prim's tree over mutual reachability distances in O(n^2) time and O(n) memory: for the few thousand points of one
-    comparison, not for a corpus.
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kept, nodes, roots): places in the arrays of the edges of a minimum spanning forest, and each node's tree, named
+    by one of its nodes. Boruvka's rounds; equal weights are ordered by their ends, so the edges have one order."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
+    u, v = ends[: len(a)][order], ends[len(a) :][order]
+    every = np.arange(len(nodes))
+    top, live, kept = every.copy(), np.arange(len(order)), [np.zeros(0, int)]
+    while True:
+        live = live[top[u[live]] != top[v[live]]]
+        if not len(live):
+            return order[np.concatenate(kept)], nodes, nodes[top]
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, top[u[live]], live)
+        np.minimum.at(best, top[v[live]], live)
+        own = np.flatnonzero(best < len(order))
+        edge = best[own]
+        kept.append(np.unique(edge))
+        to = every.copy()
+        to[own] = np.where(top[u[edge]] == own, top[v[edge]], top[u[edge]])
+        # two trees that take the same edge point at each other; the smaller stays
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to[to] != to).any():
+            to = to[to]
+        top = to[top]
+
+
+def tree_labels(weight: np.ndarray, a: np.ndarray, b: np.ndarray, height: np.ndarray, least: int) -> np.ndarray:
+    """Labels by excess of mass from the edges a, b of a spanning tree over places of ``weight`` points; -1 is noise.
+
+    Edges of equal height part at the same time, as Campello, Moulavi and Sander (2013) say, so the labels don't depend
+    on which of several minimum spanning trees is given. Clusters are numbered by their first place. A place of several
+    points can stay whole: below the height of its edges it is smaller than ``least`` or all at distance 0.
     """
-    n = len(lat)
-    if n < max(2, least):
-        return np.full(n, -1)
-    a, b = np.radians(lat), np.radians(lon)
-
-    def dist(i: int) -> np.ndarray:
-        h = np.sin((a - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a) * np.sin((b - b[i]) / 2) ** 2
-        return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1)))
-
-    core = np.array([np.partition(dist(i), least - 1)[least - 1] for i in range(n)])
-    best, parent, done, at = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0
-    edges = []
-    for _ in range(n - 1):
-        done[at] = True
-        reach = np.maximum(np.maximum(dist(at), core), core[at])
-        nearer = ~done & (reach < best)
-        best[nearer], parent[nearer] = reach[nearer], at
-        at = int(np.argmin(np.where(done, np.inf, best)))
-        edges.append((best[at], parent[at], at))
-    edges.sort(key=lambda e: e[0])
-    top, size, kids, height = list(range(2 * n - 1)), [1] * n, {}, [0.0] * n
-    head = list(range(n))
+    n = len(weight)
+    order = np.argsort(height, kind="stable")
+    head, node_of = list(range(n)), list(range(n))
+    size, kids, high = weight.tolist(), {}, [0.0] * n
 
     def find(i: int) -> int:
         while head[i] != i:
@@ -275,79 +286,211 @@ def hdbscan_labels(lat: np.ndarray, lon: np.ndarray, least: int) -> np.ndarray:
             i = head[i]
         return i
 
-    root_of = list(range(n))
-    for d, i, j in edges:
+    for i, j, d in zip(a[order].tolist(), b[order].tolist(), height[order].tolist(), strict=True):
         p, q = find(i), find(j)
-        new = len(size)
-        kids[new] = (root_of[p], root_of[q])
-        size.append(size[root_of[p]] + size[root_of[q]])
-        height.append(d)
+        few, parts = sorted((kids.pop(k) if k >= n and high[k] == d else [k] for k in (node_of[p], node_of[q])), key=len)
+        parts += few
+        kids[len(size)] = parts
+        size.append(size[node_of[p]] + size[node_of[q]])
+        high.append(d)
         head[q] = p
-        root_of[p] = new
-    del top
-    members: dict[int, list[tuple[int, float]]] = {0: []}
-    birth, children, todo = {0: 0.0}, {0: []}, [(len(size) - 1, 0)]
+        node_of[p] = len(size) - 1
+    members: list[list[int]] = [[]]
+    mass, birth, children, todo = [0.0], [0.0], [[]], [(len(size) - 1, 0)]
+    cap = lambda lam: min(lam, 1e12)
     while todo:
         node, cluster = todo.pop()
         if node < n:
-            members[cluster].append((node, np.inf))
+            members[cluster].append(node)
+            mass[cluster] += (1e12 - cap(birth[cluster])) * size[node]
             continue
-        lam = 1 / height[node] if height[node] > 0 else np.inf
+        lam = 1 / high[node] if high[node] > 0 else np.inf
         big = [k for k in kids[node] if size[k] >= least]
+        gain = cap(lam) - cap(birth[cluster])
         for k in kids[node]:
-            if len(big) == 2:
-                new = len(birth)
-                birth[new], members[new], children[new] = lam, [], []
-                children[cluster].append(new)
-                todo.append((k, new))
-            elif k in big:
+            if size[k] >= least and len(big) > 1:
+                children[cluster].append(len(birth))
+                todo.append((k, len(birth)))
+                birth.append(lam)
+                mass.append(0.0)
+                members.append([])
+                children.append([])
+            elif size[k] >= least:
                 todo.append((k, cluster))
+                continue
             else:
                 stack = [k]
                 while stack:
                     x = stack.pop()
                     if x < n:
-                        members[cluster].append((x, lam))
+                        members[cluster].append(x)
                     else:
                         stack += kids[x]
-        if len(big) == 2:
-            members[cluster] += [(-size[node], lam)]
-    cap = lambda lam: min(lam, 1e12)
-    mass = {c: sum((cap(lam) - cap(birth[c])) * (-x if x < 0 else 1) for x, lam in m) for c, m in members.items()}
-    chosen: set[int] = set()
-    for c in sorted(birth, reverse=True):
+            mass[cluster] += gain * size[k]
+    chosen = [False] * len(birth)
+    for c in range(len(birth) - 1, 0, -1):
         below = sum(mass[k] for k in children[c])
-        if c == 0:
-            continue
         if children[c] and below > mass[c]:
             mass[c] = below
         else:
-            chosen.add(c)
-            drop = list(children[c])
-            while drop:
-                k = drop.pop()
-                chosen.discard(k)
-                drop += children[k]
-    labels = np.full(n, -1)
-    for number, c in enumerate(sorted(chosen)):
-        inside = [c]
-        while inside:
-            k = inside.pop()
-            for x, _ in members[k]:
-                if x >= 0:
-                    labels[x] = number
-            inside += children[k]
-    return labels
-
-
-def hdbscan(points: DataFrame, least: int, most: int = 20_000) -> DataFrame:
-    """(pid, label): the hierarchical comparison of one configuration, in a single task. More than ``most`` points are a
-    ValueError, as the method isn't distributed."""
-    if points.count() > most:
-        raise ValueError(f"more than {most} points")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid")
-        return pd.DataFrame({"pid": pdf.pid, "label": hdbscan_labels(pdf.lat.to_numpy(), pdf.lon.to_numpy(), least)})
-
-    return points.select("pid", "lat", "lon", F.lit(0).alias("all_")).groupBy("all_").applyInPandas(run, "pid long, label int")
+            chosen[c] = True
+    labels, down = np.full(n, -1), [(0, -1)]
+    while down:
+        c, of = down.pop()
+        of = c if of < 0 and chosen[c] else of  # the topmost chosen holds all below it
+        if of >= 0:
+            labels[members[c]] = of
+        down += [(k, of) for k in children[c]]
+    names, first = np.unique(labels, return_index=True)
+    rank = {c: i for i, c in enumerate(c for _, c in sorted(zip(first.tolist(), names.tolist(), strict=True)) if c >= 0)}
+    return np.array([rank.get(c, -1) for c in labels.tolist()], int)
+
+
+def hdbscan_labels(lat: np.ndarray, lon: np.ndarray, least: int) -> np.ndarray:
+    """Labels of hierarchical density clustering (Campello, Moulavi, Sander 2013) with excess of mass; -1 is noise.
+
+    Prim's tree over mutual reachability distances in O(n^2) time and O(n) memory, in one process: what the tests compare
+    hdbscan with.
+    """
+    n = len(lat)
+    if n < max(2, least):
+        return np.full(n, -1)
+    a, b = np.radians(lat), np.radians(lon)
+
+    def dist(i: int) -> np.ndarray:
+        h = np.sin((a - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a) * np.sin((b - b[i]) / 2) ** 2
+        return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+    core = np.array([np.partition(dist(i), least - 1)[least - 1] for i in range(n)])
+    best, parent, done, at = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0
+    edges = []
+    for _ in range(n - 1):
+        done[at] = True
+        reach = np.maximum(np.maximum(dist(at), core), core[at])
+        nearer = ~done & (reach < best)
+        best[nearer], parent[nearer] = reach[nearer], at
+        at = int(np.argmin(np.where(done, np.inf, best)))
+        edges.append((best[at], parent[at], at))
+    w, i, j = (np.array(x) for x in zip(*edges, strict=True))
+    return tree_labels(np.ones(n, int), i, j, w, least)
+
+
+def _forests(final: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per partition, the minimum spanning forest of edges (ca, cb, a, b, w) between components ca, cb; and with
+    ``final`` rows (component, its tree) with null in a. Edges are reduced as they come, a partition never holds all."""
+    names = ["ca", "cb", "a", "b", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, limit = [], 0, 1_000_000
+
+        def reduced() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+            cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
+            kept, nodes, roots = spanning_forest(cols[0], cols[1], cols[4])
+            return [c[kept] for c in cols], nodes, roots
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                rows += batch.num_rows
+            if rows > limit:
+                held = [reduced()[0]]
+                rows = len(held[0][0])
+                limit = max(limit, 2 * rows)
+        if not held:
+            return
+        cols, nodes, roots = reduced()
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+        if final:
+            none = pa.nulls(len(nodes), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), none, none, pa.nulls(len(nodes), pa.float64())], names=names)
+
+    return run
+
+
+def reach_edges(places: DataFrame, radius: float) -> DataFrame:
+    """(ca, cb, a, b, w): pairs of places of different components whose mutual reachability distance w, the greatest of
+    their distance and both core distances, is at most ``radius``.
+
+    ``places`` has rid, lat, lon, core and comp. Points of the largest component don't look, the others find them; and
+    only into cells with points of another component.
+    """
+    at = celled(places.where(F.col("core") <= radius).withColumns({GROUP: F.lit(0), "eps": F.lit(radius)}))
+    at = stage(at, "reach_places")
+    largest = at.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "comp").first()
+    if largest is None or largest["n"] == at.count():
+        return at.select(F.col("comp").alias("ca"), F.col("comp").alias("cb"), F.col("rid").alias("a"), F.col("rid").alias("b"), F.col("core").alias("w")).limit(0)
+    held = at.groupBy(F.col("band").alias("__b"), F.col("cell").alias("__c")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mine = at.where(F.col("comp") != largest["comp"])
+    groups = mine.groupBy("band", "cell", "comp", "height", "half").agg(F.min("lon").alias("west"), F.max("lon").alias("east"))
+    groups = groups.select("*", F.col("band").alias("__band"), F.col("cell").alias("__cell"))
+    to = _to_cells(groups, "west", "east", range(-2, 3)).join(held, (F.col("to_band") == F.col("__b")) & (F.col("to_cell") == F.col("__c")))
+    to = to.where((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))).select(F.col("__band").alias("band"), F.col("__cell").alias("cell"), "comp", "to_band", "to_cell").distinct()
+    look = mine.join(to, ["band", "cell", "comp"]).select(F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("core").alias("__core"), F.col("to_band").alias("band"), F.col("to_cell").alias("cell"))
+    other = at.select(F.col("comp").alias("cb"), F.col("rid").alias("b"), "lat", "lon", "core", "band", "cell")
+    w = F.greatest(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")), "core", "__core")
+    # each pair once, but points of the largest component are never the lookers
+    once = (F.col("ca") < F.col("cb")) | (F.col("cb") == largest["comp"])
+    return look.join(other, ["band", "cell"]).where((F.col("ca") != F.col("cb")) & once).select("ca", "cb", "a", "b", w.alias("w")).where(F.col("w") <= radius)
+
+
+EDGES = "ca long, cb long, a long, b long, w double"
+
+
+def reach_tree(places: DataFrame) -> DataFrame:
+    """(a, b, w): a minimum spanning tree of places (rid, lat, lon, core) under mutual reachability distance.
+
+    The radius doubles: a minimum spanning forest of the pairs within it is part of the tree, and its components are
+    contracted before the next. Partitions reduce their pairs to forests, and one task joins these, so that it gets no
+    more than some edges for each component.
+    """
+    places = stage(places.withColumn("comp", F.col("rid")), "reach_start")
+    radius = max(places.agg(F.percentile_approx("core", 0.5)).first()[0] or 0.0, 1.0)
+    found = []
+    while True:
+        kept = stage(reach_edges(places, radius).mapInArrow(_forests(False), EDGES).repartition(1).mapInArrow(_forests(True), EDGES), "forest")
+        found.append(kept.where("a is not null").select("a", "b", "w"))
+        move = kept.where("a is null").select(F.col("ca").alias("comp"), F.col("cb").alias("__to"))
+        places = stage(places.join(move, "comp", "left").select("rid", "lat", "lon", "core", F.coalesce("__to", "comp").alias("comp")), "reach_places")
+        ends = places.agg(F.min("comp").alias("a"), F.max("comp").alias("b")).first()
+        if ends["a"] == ends["b"] or radius > EARTH_M * np.pi:
+            break
+        radius *= 2
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every
+
+
+def hdbscan(points: DataFrame, least: int) -> DataFrame:
+    """(pid, label): the hierarchical comparison of one configuration, for any number of points; -1 is noise, as are
+    points with null or impossible coordinates, and all of fewer than ``least`` or 2 points.
+
+    Core distances and the spanning tree are distributed; the hierarchy is read from the tree in one task, which holds
+    one edge for each distinct place. pid must be unique.
+    """
+    ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    there = points.where(ok).select("pid", (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
+    core = k_distances(there, [least], 100.0).select("pid", F.col("metres").alias("core"))
+    at = there.join(core, "pid").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.min("pid").cast("long").alias("rid"), F.min("core").alias("core"))
+    at = stage(at, "reach_all")
+    if at.isEmpty():
+        return points.select("pid", F.lit(-1).alias("label"))
+    tree = reach_tree(at.select("rid", "lat", "lon", "core"))
+    rows = tree.unionByName(at.select(F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), F.col("n").cast("double").alias("w")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        edge = t.filter(t["b"].is_valid())
+        place = t.filter(t["b"].is_null()).sort_by("a")
+        rid = place["a"].to_numpy()
+        i, j = (np.searchsorted(rid, edge[c].to_numpy()) for c in "ab")
+        labels = tree_labels(place["w"].to_numpy().astype(int), i, j, edge["w"].to_numpy(), least)
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(labels.astype("int32"))], names=["rid", "label"])
+
+    named = rows.repartition(1).mapInArrow(run, "rid long, label int")
+    placed = stage(at.select("lat", "lon", "rid").join(named, "rid").select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "label"), "hdbscan")
+    found = points.join(placed, (F.col("lat") + 0.0 == F.col("__lat")) & (F.col("lon") + 0.0 == F.col("__lon")), "left")
+    return found.select("pid", F.coalesce("label", F.lit(-1)).alias("label"))

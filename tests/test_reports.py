@@ -144,6 +144,29 @@ def test_k_distance_and_hdbscan(spark):
     assert labels[80] == -1 and len(set(labels[:40]) - {-1}) == 1 and set(labels[:40]) & set(labels[40:80]) <= {-1}
 
 
+def test_hdbscan_distributed(spark):
+    rng = np.random.default_rng(5)
+    blobs = [rng.normal([12.97 + 0.02 * k, 77.59], 0.0004 * (k + 1), (60, 2)) for k in range(3)]
+    pts = np.concatenate([*blobs, rng.uniform([12.8, 77.4], [13.1, 77.8], (60, 2)), [[12.9, 77.5]] * 6, [[12.91, 77.5]] * 3])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)] + [(len(pts), None, 77.5)], "pid long, lat double, lon double")
+    for least in (3, 5):
+        got = {r.pid: r.label for r in sweeps.hdbscan(df, least).collect()}
+        want = sweeps.hdbscan_labels(pts[:, 0], pts[:, 1], least)
+        assert len(got) == len(pts) + 1 and got[len(pts)] == -1
+        assert [got[i] for i in range(len(pts))] == want.tolist() and want.max() >= 2
+    assert {r.label for r in sweeps.hdbscan(df.limit(2), 5).collect()} == {-1}
+
+
+def test_hdbscan_has_no_limit(spark):
+    rng = np.random.default_rng(6)
+    pts = np.round(np.concatenate([rng.normal([12.9 + 0.05 * k, 77.59], 0.0005, (5200, 2)) for k in range(4)]), 4)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "pid long, lat double, lon double")
+    got = {r.pid: r.label for r in sweeps.hdbscan(df, 60).collect()}
+    assert len(got) == 20_800
+    # no cluster reaches over two of the four places
+    assert all(len({p // 5200 for p, x in got.items() if x == label}) == 1 for label in set(got.values()) - {-1}) and len(set(got.values()) - {-1}) >= 4
+
+
 def test_surface(spark):
     h = spark.createDataFrame([(1, 1, 10, "3", "Stable"), (1, 2, 20, "Insufficient data", "Stable"), (1, 3, 5, None, "Increasing"), (1, 4, 7, "12", "Stable")], "run_id int, cluster_id int, report_count int, recent_3_month_count string, observed_trend string")
     ids = lambda **k: [r.cluster_id for r in surface.hotspots(h, **k).collect()]
