@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,19 +93,33 @@ def buffered(corners: np.ndarray, metres: float, arc: int = 16) -> np.ndarray:
     return np.vstack([ring, ring[:1]])
 
 
-def extremes(df: DataFrame, by: list[str], directions: int = 512) -> DataFrame:
-    """The points of each group that are outermost in one of ``directions`` directions, and their number of rows.
+def hulls(df: DataFrame, by: str) -> DataFrame:
+    """(by, outer, points): the corners of each group's convex hull as structs x, y in projected metres, and its number
+    of rows. Points with nulls don't count.
 
-    This bounds what one group sends to a task, whatever its size; the hull of these points is the group's hull but for
-    slivers thinner than a 75,000th of its width.
+    Each batch gives the hull of each group in it, and the hull of those hulls is the group's: a corner of the whole is
+    one of its part, too. A task gets a group's partial corners, not its rows.
     """
     x, y = to_utm("lat", "lon")
-    xy = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumns({"x": x, "y": y})
-    at = [2 * math.pi * k / directions for k in range(directions)]
-    return xy.groupBy(*by).agg(F.array_distinct(F.array(*[F.max_by(F.struct("x", "y"), F.col("x") * math.cos(t) + F.col("y") * math.sin(t)) for t in at])).alias("outer"), F.count(F.lit(1)).alias("points"))
+    kind = df.schema[by].dataType.simpleString()
+    xy = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col(by).alias("__by"), x.alias("x"), y.alias("y"))
+    corners = "array<struct<x double, y double>>"
 
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(key, [(float(a), float(b)) for a, b in hull(g[["x", "y"]].to_numpy())], len(g)) for key, g in pdf.groupby("__by", dropna=False)]
+            yield pd.DataFrame(rows, columns=["__by", "part", "n"])
 
-def outlines(df: DataFrame, by: str, buffer_m: float = 50.0, directions: int = 64) -> DataFrame:
+    @F.pandas_udf(corners)
+    def whole(outer: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": float(a), "y": float(b)} for a, b in hull(np.array([[p["x"], p["y"]] for p in points], dtype=float))] for points in outer])
+
+    got = xy.mapInPandas(parts, f"__by {kind}, part {corners}, n long")
+    g = got.groupBy("__by").agg(F.flatten(F.collect_list("part")).alias("outer"), F.sum("n").alias("points"))
+    return g.select(F.col("__by").alias(by), whole("outer").alias("outer"), "points")
+
+
+def outlines(df: DataFrame, by: str, buffer_m: float = 50.0) -> DataFrame:
     """(by, points, hull_km2, buffered_km2, outline): hull area and the closed outline buffer_m around it in projected
     metres, as arrays [x, y]. Groups of one place or of places on a line have hull area 0."""
 
@@ -112,12 +127,12 @@ def outlines(df: DataFrame, by: str, buffer_m: float = 50.0, directions: int = 6
     def outline(outer: pd.Series) -> pd.DataFrame:
         rows = []
         for points in outer:
-            corners = hull(np.array([[p["x"], p["y"]] for p in points], dtype=float))
+            corners = np.array([[p["x"], p["y"]] for p in points], dtype=float)
             ring = buffered(corners, buffer_m)
             rows.append((area(corners) / 1e6, area(ring[:-1]) / 1e6, ring.tolist()))
         return pd.DataFrame(rows, columns=["hull_km2", "buffered_km2", "outline"])
 
-    return extremes(df, [by], directions).withColumn("o", outline("outer")).select(by, "points", "o.hull_km2", "o.buffered_km2", "o.outline")
+    return hulls(df, by).withColumn("o", outline("outer")).select(by, "points", "o.hull_km2", "o.buffered_km2", "o.outline")
 
 
 def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:

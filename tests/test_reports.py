@@ -74,6 +74,20 @@ def test_hull_buffer_simplify():
     assert len(shapes.simplified(ring, 0.01)) == 5
 
 
+def test_hulls_keep_every_corner(spark):
+    rng = np.random.default_rng(2)
+    lat, lon = to_latlon("x", "y")
+    t = 0.3
+    along = rng.uniform([0, 0], [1000, 30], (200, 2)) @ np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]]) + [780000, 1430000]
+    round_ = np.array([[781000 + 300 * math.cos(k * math.pi / 500), 1431000 + 300 * math.sin(k * math.pi / 500)] for k in range(1000)])
+    rows = [(g, float(x), float(y)) for g, pts in enumerate((along, round_, [[780500, 1430500]] * 2)) for x, y in pts]
+    df = spark.createDataFrame(rows, "label int, x double, y double").repartition(5).select("label", lat.alias("lat"), lon.alias("lon"))
+    got = {r.label: r for r in shapes.outlines(df, "label").collect()}
+    for g, pts in enumerate((along, round_)):
+        assert got[g].hull_km2 == pytest.approx(shapes.area(shapes.hull(np.array(pts))) / 1e6, rel=1e-4) and got[g].points == len(pts)
+    assert got[2].hull_km2 == 0 and got[2].points == 2
+
+
 def test_dense_series_and_share(spark):
     rows = spark.createDataFrame([(1, "2020-01", True), (1, "2020-01", False), (1, "2020-03", True), (2, "2020-02", True), (9, "2020-02", True), (1, None, True)], "w int, month string, t boolean")
     months = series.month_spine(rows, "month")
