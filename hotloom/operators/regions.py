@@ -33,9 +33,9 @@ def region_index(regions: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     return e.groupBy("__gy", "__gx").agg(F.collect_list(F.struct("ward_id", "e")).alias("__near"))
 
 
-def containing_region(points: DataFrame, regions: DataFrame, lat: str, lon: str, into: str, cell_deg: float = CELL_DEG) -> DataFrame:
-    """``points`` with the id of the region that contains them: a ray from the point crosses the edges of all its rings
-    together an odd number of times. -1: in none, or a null or NaN coordinate. In several: the greatest id.
+def containing_regions(points: DataFrame, regions: DataFrame, lat: str, lon: str, into: str, cell_deg: float = CELL_DEG) -> DataFrame:
+    """``points`` with an array of the ids of all regions that contain them: a ray from the point crosses the edges of
+    all rings of a region together an odd number of times. Empty: in none, or a null or NaN coordinate.
 
     An edge's lower end belongs to it and the upper doesn't, and a point on an edge's line isn't west of it, so adjoining
     regions share no point. Points aren't shuffled while the index is small enough to broadcast.
@@ -51,4 +51,11 @@ def containing_region(points: DataFrame, regions: DataFrame, lat: str, lon: str,
     inside = F.filter("__near", lambda w: F.size(F.filter(w["e"], crossed)) % 2 == 1)
     df = points.withColumns({"__py": grid(y), "__px": grid(x)})
     df = df.join(index, (df["__py"] == index["__gy"]) & (df["__px"] == index["__gx"]), "left")
-    return df.withColumn(into, F.coalesce(F.array_max(F.transform(inside, lambda w: w["ward_id"])), F.lit(-1))).drop("__py", "__px", "__gy", "__gx", "__near")
+    return df.withColumn(into, F.coalesce(F.transform(inside, lambda w: w["ward_id"]), F.array())).drop("__py", "__px", "__gy", "__gx", "__near")
+
+
+def containing_region(points: DataFrame, regions: DataFrame, lat: str, lon: str, into: str, cell_deg: float = CELL_DEG) -> DataFrame:
+    """``points`` with the id of the region that contains them; -1: in none, or a null or NaN coordinate. In several: the
+    greatest id, see containing_regions for all."""
+    df = containing_regions(points, regions, lat, lon, into, cell_deg)
+    return df.withColumn(into, F.coalesce(F.array_max(into), F.lit(-1)))

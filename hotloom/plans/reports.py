@@ -334,11 +334,11 @@ def footprints(outlines: DataFrame) -> DataFrame:
 
 @query
 def cluster_denominators(spark: SparkSession, folder: str) -> DataFrame:
-    """All usable complaints inside each cluster's outline, the denominators of the clusters' shares; of several outlines
-    the greatest label counts a complaint."""
+    """All usable complaints inside each cluster's outline, the denominators of the clusters' shares; where outlines
+    overlap, a complaint counts for each of them."""
     rings = footprints(shapes.outlines(labels(spark, folder).where("label >= 0"), "label"))
-    inside = regions.containing_region(issues(spark, folder).where("usable"), rings, "lat", "lon", "label")
-    return inside.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"))
+    inside = regions.containing_regions(issues(spark, folder).where("usable"), rings, "lat", "lon", "held")
+    return inside.select(F.explode("held").alias("label"), "is_target").groupBy("label").agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
 from hotloom.operators import cleaning, quality, series, shapes, sweeps
-from hotloom.plans import surface
+from hotloom.plans import reports, surface
 from hotloom.sources import artifacts, raw
 
 #: The monthly target reports of a published city series, January 2019 to July 2022.
@@ -88,6 +88,18 @@ def test_hulls_keep_every_corner(spark):
     assert got[2].hull_km2 == 0 and got[2].points == 2
 
 
+def test_overlapping_outlines_count_each(spark, monkeypatch):
+    # two clusters 60 m apart, so the outlines of 50 m overlap; the complaint between them is in both
+    lat, lon = to_latlon("x", "y")
+    spots = [(0, 780000.0), (0, 780005.0), (1, 780065.0), (1, 780070.0), (None, 780035.0), (None, 780500.0)]
+    df = spark.createDataFrame([(k, label, x, 1430000.0) for k, (label, x) in enumerate(spots)], "rowid_ long, label int, x double, y double")
+    df = df.select("rowid_", "label", lat.alias("lat"), lon.alias("lon"), F.lit(True).alias("usable"), F.col("label").isNotNull().alias("is_target"))
+    monkeypatch.setattr(reports, "labels", lambda *_: df.where("label is not null"))
+    monkeypatch.setattr(reports, "issues", lambda *_: df)
+    got = {r.label: (r.complaints, r.targets) for r in reports.cluster_denominators(spark, "").collect()}
+    assert got == {0: (3, 2), 1: (3, 2)}
+
+
 def test_dense_series_and_share(spark):
     rows = spark.createDataFrame([(1, "2020-01", True), (1, "2020-01", False), (1, "2020-03", True), (2, "2020-02", True), (9, "2020-02", True), (1, None, True)], "w int, month string, t boolean")
     months = series.month_spine(rows, "month")
