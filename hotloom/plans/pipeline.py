@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotloom.operators import cleaning, quality, series, shapes, sweeps
+from hotloom.operators import cleaning, quality, regions, series, shapes, sweeps
 from hotloom.operators.ranking import with_rank
 from hotloom.sources import artifacts, raw
 
@@ -68,26 +68,79 @@ def cluster(spark: SparkSession, s: Settings) -> tuple[float, int]:
     labels = artifacts.get_artifact(spark, s.out, "membership")
     dates = d.join(ranked.select("rowid_", "pid"), "rowid_").select("pid", F.col("local_time").cast("date").alias("date"))
     artifacts.put_artifact(sweeps.cluster_records(labels, dates, chosen["eps"]), s.out, "clusters")
+    compare(spark, s, chosen["eps"], chosen["least"])
     return chosen["eps"], chosen["least"]
 
 
+def compare(spark: SparkSession, s: Settings, eps: float, least: int) -> None:
+    """Store what stands beside the choice: k-distances with their knees, the same configuration with suspected pins, the
+    hierarchical comparison, and counts per 250 m cell."""
+    d, ranked, labels = (artifacts.get_artifact(spark, s.out, n) for n in ("complaints", "points", "membership"))
+    mine = ranked.where("is_target").select("pid", "lat", "lon")
+    artifacts.put_artifact(sweeps.k_distances(mine, sweeps.KNN_KS), s.out, "k_distances")
+    far = artifacts.get_artifact(spark, s.out, "k_distances")
+    levels = far.groupBy("k").agg(*[F.percentile("metres", F.lit(p)).alias(f"p{p * 100:g}") for p in sweeps.KDIST_LEVELS])
+    knees = [sweeps.knee(far.where(F.col("k") == k), "metres").select(F.lit(k).alias("k"), F.col("metres").alias("knee_m")) for k in sweeps.KNN_KS]
+    bends = knees[0]
+    for k in knees[1:]:
+        bends = bends.unionByName(k)
+    artifacts.put_artifact(levels.join(bends, "k"), s.out, "k_distance")
+    every = with_rank(d.where("usable and is_target").select("rowid_", "lat", "lon", "pin"), ["rowid_"], "pid")
+    artifacts.put_artifact(every, s.out, "points_with_pins")
+    every = artifacts.get_artifact(spark, s.out, "points_with_pins")
+    pins = every.where("pin").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest_pin"))
+    again = sweeps.sweep_metrics(sweeps.labelled(every.select("pid", "lat", "lon"), [eps], [least]), ["eps", "least"])
+    artifacts.put_artifact(again.crossJoin(pins).withColumn("warnings", sweeps.sanity_warnings()), s.out, "with_pins")
+    both = labels.select("pid", F.col("label").alias("la")).join(sweeps.hdbscan(mine, least).withColumnRenamed("label", "lb"), "pid").withColumn("least", F.lit(least))
+    artifacts.put_artifact(both, s.out, "hdbscan_membership")
+    both = artifacts.get_artifact(spark, s.out, "hdbscan_membership")
+    figures = both.groupBy("least").agg((F.max("lb") + 1).alias("clusters"), (F.lit(100.0) * F.count_if(F.col("lb") < 0) / F.count(F.lit(1))).alias("noise_percentage"))
+    artifacts.put_artifact(figures.join(sweeps.adjusted_rand(both, ["least"], "la", "lb"), "least"), s.out, "hdbscan")
+    artifacts.put_artifact(shapes.grid_cells(labels.withColumn("clustered", F.col("label") >= 0)), s.out, "grid")
+
+
+def footprint_months(d: DataFrame, clusters: DataFrame, months: DataFrame) -> DataFrame:
+    """(unit, month, all_reports): usable complaints without suspected pins inside each cluster's outline, of any
+    category; where outlines overlap, a complaint counts for each."""
+    ring = F.transform("boundary", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    rings = clusters.select(F.col("label").cast("int").alias("ward_id"), F.array(ring).alias("rings"))
+    inside = regions.containing_regions(d.where("usable and not pin").select("lat", "lon", "month"), rings, "lat", "lon", "held").select("month", F.explode("held").alias("label"))
+    return series.dense_unit_month(inside, "label", months, clusters.select(F.col("label").alias("unit")), F.lit(False)).select("unit", "month", "all_reports")
+
+
+def city_trends(wards: DataFrame) -> DataFrame:
+    """Trend of the city's target counts and of its share in thousandths, from the wards' series; each by itself."""
+    c = wards.groupBy("month").agg(F.sum("target_reports").alias("t"), F.sum("all_reports").alias("n"))
+    share = F.rint(F.rint(F.coalesce(F.col("t") / F.nullif("n", F.lit(0)), F.lit(0.0)) * 10000) / 10)
+    one = lambda name, v: series.label_trends(series.trend_stats(c.select(F.lit(name).alias("unit"), "month", v.cast("double").alias("v")), "unit", "v"))
+    return one("count", F.col("t")).unionByName(one("share", share))
+
+
 def temporal(spark: SparkSession, s: Settings) -> None:
     """Store dense monthly series of wards and clusters, their metrics and trends, and ranked hotspots."""
     d, wards, labels = (artifacts.get_artifact(spark, s.out, n) for n in ("complaints", "wards", "membership"))
     months = series.month_spine(d, "month")
     w = series.dense_unit_month(d.where("usable"), "ward_id", months, wards.select(F.col("ward_id").alias("unit")), F.col("is_target"))
     member = d.join(labels.where("label >= 0").select("rowid_", "label"), "rowid_")
+    clusters = artifacts.get_artifact(spark, s.out, "clusters")
     c = series.dense_unit_month(member, "label", months, labels.where("label >= 0").select(F.col("label").alias("unit")).distinct(), F.col("is_target"))
+    c = c.select("unit", "month", "target_reports").join(footprint_months(d, clusters, months), ["unit", "month"]).withColumn("share", F.col("target_reports") / F.nullif("all_reports", F.lit(0)))
     artifacts.put_artifact(w.withColumn("unit_type", F.lit("ward")).unionByName(c.withColumn("unit_type", F.lit("cluster"))), s.out, "monthly")
     m = artifacts.get_artifact(spark, s.out, "monthly")
     areas = shapes.polygon_areas(wards).select(F.col("ward_id").alias("unit"), "area_km2")
     total = points(d).count() / max(areas.agg(F.sum("area_km2")).first()[0] * months.count(), 1e-9)
-    clusters = artifacts.get_artifact(spark, s.out, "clusters")
+    artifacts.put_artifact(city_trends(m.where("unit_type = 'ward'")), s.out, "city_trend")
     for kind, units in (("ward", areas), ("cluster", clusters.select(F.col("label").alias("unit"), F.col("boundary_area_km2").alias("area_km2")))):
         own = m.where(F.col("unit_type") == kind)
         metrics = series.unit_metrics(own, units, F.lit(total), test=kind == "ward")
         trend = series.label_trends(series.trend_stats(own, "unit", "target_reports")).drop("months", "reports", "s", "var", "valid")
+        if kind == "cluster":
+            all_of = F.sum("all_reports")
+            metrics = metrics.join(own.groupBy("unit").agg(all_of.alias("all_complaints_in_footprint"), (F.sum("target_reports") / F.nullif(all_of, F.lit(0))).alias("complaint_share")), "unit")
         artifacts.put_artifact(metrics.join(series.recent_activity(own, "unit", "target_reports"), "unit").join(trend, "unit"), s.out, f"{kind}_metrics")
+    thresholds = [artifacts.get_artifact(spark, s.out, f"{kind}_metrics").select(F.lit(kind).alias("unit_type"), "unit", "active_threshold") for kind in ("ward", "cluster")]
+    flagged = m.join(thresholds[0].unionByName(thresholds[1]), ["unit_type", "unit"]).withColumn("active_month", (F.col("target_reports") >= F.col("active_threshold")).cast("int"))
+    artifacts.put_artifact(flagged.drop("active_threshold"), s.out, "monthly_active")
     ranked = clusters.join(artifacts.get_artifact(spark, s.out, "cluster_metrics").withColumnRenamed("unit", "label").drop("area_km2"), "label")
     ranked = with_rank(ranked.withColumns({"__n": -F.col("report_count"), "__d": -F.col("density_reports_per_km2")}), ["__n", "__d", "label"], "rank").drop("__n", "__d")
     artifacts.put_artifact(ranked.withColumns({"run_id": F.lit(1), "cluster_id": F.col("label")}), s.out, "hotspots")

@@ -37,6 +37,20 @@ def test_whole_run(spark, tmp_path):
     assert first.boundary[0] == first.boundary[-1] and first.boundary_area_km2 >= 0.049
 
 
+def test_clusters_count_all_complaints(spark, tmp_path):
+    write_inputs(tmp_path, 1200)
+    s = pipeline.Settings(str(tmp_path / "c.csv"), str(tmp_path / "w.kml"), str(tmp_path / "out"), [66], 250.0, 5, [200.0, 250.0], [5], 2)
+    pipeline.run(spark, s)
+    get = lambda name: artifacts.get_artifact(spark, s.out, name)
+    sums = get("monthly").where("unit_type = 'cluster'").groupBy("unit").agg({"all_reports": "sum", "target_reports": "sum"}).collect()
+    assert sums and all(r["sum(all_reports)"] > r["sum(target_reports)"] > 0 for r in sums)
+    assert all(0 < r.complaint_share < 1 and r.all_complaints_in_footprint > r.report_count for r in get("hotspots").collect())
+    assert get("monthly_active").count() == get("monthly").count() and {r.active_month for r in get("monthly_active").collect()} == {0, 1}
+    assert {r.unit for r in get("city_trend").collect()} == {"count", "share"} and get("k_distance").count() == 4
+    assert get("with_pins").first().points >= 800 and get("hdbscan").first().clusters > 0
+    assert get("grid").groupBy().sum("points").first()[0] == 800
+
+
 def test_gate_stops_the_run(spark, tmp_path):
     write_inputs(tmp_path, 60)
     s = pipeline.Settings(str(tmp_path / "c.csv"), str(tmp_path / "w.kml"), str(tmp_path / "out"), [66])
