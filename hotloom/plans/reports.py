@@ -419,16 +419,16 @@ def sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Random subsets of other usable complaints, as many as there are analysed points, at the neighbours of 250 m, 5."""
+    """Random subsets of other usable complaints, as many as there are analysed points: 20 draws for each of 60 configurations."""
     pool = issues(spark, folder).where(F.col("usable") & ~F.col("is_target") & ~F.col("pin")).select(F.col("rowid_").cast("long").alias("pid"), "lat", "lon")
-    return sweeps.baselines(pool, analysed(spark, folder).count(), [200.0, 250.0, 300.0], [4, 5, 6], reps=5)
+    return sweeps.baselines(pool, analysed(spark, folder).count(), sweeps.EPS_METRES, sweeps.MIN_SAMPLES)
 
 
 @query
 def sweep_select(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of a part of the grid with their ratio to the baselines, and which fulfil the criteria."""
+    """The rows of the whole grid with their ratio to the baselines of 20 draws, and which fulfil the criteria."""
     pool = issues(spark, folder).where(F.col("usable") & ~F.col("is_target") & ~F.col("pin")).select(F.col("rowid_").cast("long").alias("pid"), "lat", "lon")
-    rows = stage(sweeps.sweep(analysed(spark, folder), pool, [200, 250, 300], [4, 5, 6], reps=5), "sweep")
+    rows = stage(sweeps.sweep(analysed(spark, folder), pool), "sweep")
     good = sweeps.passing(rows).select("eps", "least").withColumn("passing", F.lit(True))
     return rows.join(good, ["eps", "least"], "left").fillna(False, ["passing"])
 

@@ -156,6 +156,24 @@ def test_sweep_choice_and_warnings(spark):
         sweeps.check_parameters(0, 5)
 
 
+def test_sweep_select_takes_the_whole_grid(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, float(a), float(b), k < 20) for k, (a, b) in enumerate(rng.normal([12.97, 77.59], 0.002, (50, 2)))], "rowid_ long, lat double, lon double, is_target boolean")
+    df = df.withColumns({"usable": F.lit(True), "pin": F.lit(False)})
+    drawn, baselines = [], sweeps.baselines
+
+    def recorded(pool, size, eps, least, reps=20):
+        drawn.append((len(eps) * len(least), reps))
+        return baselines(pool, size, eps, least, 1)
+
+    monkeypatch.setattr(reports, "issues", lambda *_: df)
+    monkeypatch.setattr(sweeps, "baselines", recorded)
+    rows = reports.sweep_select(spark, "")
+    assert {(r.eps, r.least) for r in rows.collect()} == {(float(e), m) for e in sweeps.EPS_METRES for m in sweeps.MIN_SAMPLES}
+    reports.baseline(spark, "")
+    assert drawn == [(60, 20), (60, 20)]
+
+
 def test_k_distance_and_hdbscan(spark):
     rng = np.random.default_rng(3)
     pts = np.concatenate([rng.normal([12.97, 77.59], 0.0005, (40, 2)), rng.normal([13.05, 77.65], 0.0005, (40, 2)), [[12.80, 77.40]], [[12.97, 77.59]] * 3])
