@@ -40,24 +40,37 @@ def dense_unit_month(rows: DataFrame, unit: str, months: DataFrame, units: DataF
     return dense.select("unit", "month", F.coalesce("t", F.lit(0)).alias("target_reports"), F.coalesce("n", F.lit(0)).alias("all_reports"), (F.col("t") / F.nullif("n", F.lit(0))).alias("share"))
 
 
+def _poisson_start(rate: Column) -> Column:
+    return F.struct((-rate).alias("log"), (F.lit(1.0) - F.exp(-rate)).alias("tail"))
+
+
+def _poisson_step(acc: Column, rate: Column, t: Column) -> tuple[Column, Column]:
+    """The logarithm of P(X = t), from that of t - 1, and P(X > t); a mean of 0 has no terms but the first."""
+    log = acc["log"] + F.ln(rate) - F.ln(t)
+    return log, acc["tail"] - F.when(rate == 0, 0.0).otherwise(F.exp(log))
+
+
 def active_threshold(rate: Column, alpha: float = ALPHA_ACTIVE, most: int = 1000) -> Column:
     """The smallest whole number T of at least 1 that a Poisson count of mean ``rate`` reaches with probability alpha at
-    most; ``most`` if none below does. The tail is summed from logarithms, so large means don't underflow at once."""
-    start = F.struct(F.exp(-rate).alias("term"), (F.lit(1.0) - F.exp(-rate)).alias("tail"), F.lit(0).alias("found"))
+    most; ``most`` if none below does. The tail is summed from logarithms, so large means don't underflow."""
+    start = _poisson_start(rate).withField("found", F.lit(0))
 
     def step(acc: Column, t: Column) -> Column:
-        term = acc["term"] * rate / t
+        log, tail = _poisson_step(acc, rate, t)
         done = (acc["found"] == 0) & (acc["tail"] <= alpha)
-        return F.struct(term.alias("term"), (acc["tail"] - term).alias("tail"), F.when(done, t).otherwise(acc["found"]).alias("found"))
+        return F.struct(log.alias("log"), tail.alias("tail"), F.when(done, t).otherwise(acc["found"]).alias("found"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: F.when(acc["found"] == 0, F.lit(most)).otherwise(acc["found"]))
 
 
 def tail_from(rate: Column, threshold: Column) -> Column:
     """P(a Poisson count of mean ``rate`` is at least ``threshold``)."""
-    start = F.struct(F.exp(-rate).alias("term"), (F.lit(1.0) - F.exp(-rate)).alias("tail"))
-    step = lambda acc, t: F.struct((acc["term"] * rate / t).alias("term"), (acc["tail"] - acc["term"] * rate / t).alias("tail"))
-    return F.when(threshold <= 1, 1 - F.exp(-rate)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(threshold - 1, F.lit(1))), start, step, lambda acc: acc["tail"]))
+
+    def step(acc: Column, t: Column) -> Column:
+        log, tail = _poisson_step(acc, rate, t)
+        return F.struct(log.alias("log"), tail.alias("tail"))
+
+    return F.when(threshold <= 1, 1 - F.exp(-rate)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(threshold - 1, F.lit(1))), _poisson_start(rate), step, lambda acc: acc["tail"]))
 
 
 def persistence_threshold(n: Column, p: Column, alpha: float = ALPHA_PERSISTENT) -> Column:

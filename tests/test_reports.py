@@ -114,6 +114,15 @@ def test_thresholds(spark):
     assert one(spark, series.persistence_threshold(F.lit(3), F.lit(0.9))) == 4
 
 
+def test_thresholds_of_large_means(spark):
+    for mean in (750.0, 900.0):
+        terms = [math.exp(t * math.log(mean) - mean - math.lgamma(t + 1)) for t in range(1001)]
+        want = next(t for t in range(1, 1001) if 1 - sum(terms[:t]) <= 0.05)
+        assert one(spark, series.active_threshold(F.lit(mean))) == want < 1000
+        assert one(spark, series.tail_from(F.lit(mean), F.lit(want))) == pytest.approx(1 - sum(terms[:want]), abs=1e-9)
+    assert one(spark, series.active_threshold(F.lit(0.0))) == 1
+
+
 def months(n):
     return [f"{2019 + k // 12}-{k % 12 + 1:02d}" for k in range(n)]
 
