@@ -35,8 +35,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """How much of each text lies in spans that other texts hold too."""
-    return spans.coverage(table(spark, folder, "documents"), "doc_id", "text")
+    """How much of each text lies in spans that other texts hold too; 0 for texts that share nothing."""
+    return spans.coverage(table(spark, folder, "documents"), "doc_id", "text", every=True)
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_spans, p8_found, p8_coverage)}

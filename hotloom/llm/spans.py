@@ -304,10 +304,11 @@ def sharing_pairs(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH,
     return cross.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).unionByName(within.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")))
 
 
-def coverage(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def coverage(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, every: bool = False) -> DataFrame:
     """(doc_id, passages, shared_chars, share) of the documents that share a span of at least ``length`` characters.
 
-    Stretches that touch or overlap are one passage. A text that has an exact copy is one passage, shared whole.
+    Stretches that touch or overlap are one passage. A text that has an exact copy is one passage, shared whole. With
+    ``every`` the other documents come too, null and short texts included, with 0 passages, characters and share.
     """
     found, same = matches(docs, doc_id, text, length, gram, crowd)
     size = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.length(text).cast("long").alias("chars"))
@@ -319,5 +320,9 @@ def coverage(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram
     gain = F.greatest(F.col("stop") - F.greatest(F.col("start"), F.coalesce("reach", F.col("start"))), F.lit(0))
     parts = parts.groupBy("doc").agg(F.count_if(fresh).alias("passages"), F.sum(gain).alias("shared_chars"))
     whole = same.where("n > 1").select("doc").join(size, F.col("doc") == F.col("__doc")).select("doc", F.lit(1).cast("long").alias("passages"), F.col("chars").alias("shared_chars"))
+    if every:
+        found = size.join(parts.unionByName(whole), F.col("doc") == F.col("__doc"), "left")
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+        return found.select(F.col("__doc").alias("doc_id"), zero(F.col("passages")).alias("passages"), zero(F.col("shared_chars")).alias("shared_chars"), F.coalesce(F.col("shared_chars") / F.nullif("chars", F.lit(0)), F.lit(0.0)).alias("share"))
     out = parts.unionByName(whole).join(size, F.col("doc") == F.col("__doc"))
     return out.select(F.col("doc").alias("doc_id"), "passages", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("share"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hotloom.llm import spans
+from hotloom.llm import queries, spans
 
 L, G = 30, 10
 
@@ -93,6 +93,14 @@ def test_pairs_and_coverage(spark, seed, alphabet, crowd):
     assert found == covered
 
 
+def test_coverage_of_every_document(spark, monkeypatch):
+    same = "".join(random.Random(3).choice("abcdefgh ") for _ in range(400))
+    df = spark.createDataFrame([(1, same), (2, same + "x"), (3, "short"), (4, None), (5, "")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r.doc_id: (r.passages, r.shared_chars, r.share) for r in queries.p8_coverage(spark, "").collect()}
+    assert got == {1: (1, 400, 1.0), 2: (1, 400, 400 / 401), 3: (0, 0, 0.0), 4: (0, 0, 0.0), 5: (0, 0, 0.0)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.sharing_pairs(df, "doc_id", "text").count() == 0
