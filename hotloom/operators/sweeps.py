@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import EARTH_M, haversine
-from hotloom.operators.pivots import GROUP, _looking, _to_cells, celled, dbscan
+from hotloom.operators.density import CELL, GROUP, celled, dbscan, looking, to_cells
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
-from hotloom.session import stage
+from hotloom.operators.skew import crowded, split_join
+from hotloom.session import stage, stage_counted
 
 #: The swept grid, and what a configuration must fulfil to be chosen.
 EPS_METRES = [75, 100, 150, 200, 250, 300, 400, 500, 750, 1000]
@@ -30,23 +32,13 @@ def check_parameters(eps: float, least: int) -> None:
         raise ValueError("eps must be positive and min_samples at least 1")
 
 
-def configurations(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
-    """points (pid, lat, lon) once for each configuration: grp, rid, eps, least, ready for dbscan, which clusters all in
-    one go. pid must be a whole number from 0 to 2^40."""
+def labelled(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
+    """(eps, least, pid, lat, lon, label), staged: the clusters of points (pid, lat, lon) in every configuration."""
     for e in eps:
         for m in least:
             check_parameters(e, m)
-    made = F.array(*[F.struct(F.lit(i * len(least) + j).cast("long").alias("g"), F.lit(float(e)).alias("eps"), F.lit(m).alias("least")) for i, e in enumerate(eps) for j, m in enumerate(least)])
-    return points.withColumn("c", F.explode(made)).select(F.col("c.g").alias(GROUP), (F.col("c.g") * F.lit(1 << 40) + F.col("pid")).alias("rid"), "pid", "lat", "lon", F.col("c.eps").alias("eps"), F.col("c.least").alias("least"))
-
-
-def labelled(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
-    """(grp, eps, least, pid, lat, lon, label), staged."""
-    grid = configurations(points, eps, least)
-    labels = dbscan(grid.drop("pid"))
-    sizes = grid.select(GROUP, "eps", "least").distinct()
-    named = labels.select(GROUP, (F.col("rid") - F.col(GROUP) * F.lit(1 << 40)).alias("pid"), "label")
-    return stage(named.join(F.broadcast(sizes), GROUP).join(points.select("pid", "lat", "lon"), "pid"), "labelled")
+    labels = dbscan(points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon"), eps, least).drop(GROUP)
+    return stage(labels.join(points.select("pid", "lat", "lon"), "pid"), "labelled")
 
 
 def cluster_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -115,14 +107,14 @@ def baselines(pool: DataFrame, size: int, eps: list[float], least: list[int], re
     Each repetition takes the ``size`` rows of the smallest hash of row and repetition, so draws are the same on every
     run; all repetitions and configurations are clustered in one go. sd is the population's.
     """
-    drawn = pool.select("pid", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("pid", "rep", F.lit(seed)), "pid"))
-    drawn = stage(drawn.withColumn("r", rank).where(F.col("r") <= size).drop("r"), "draws")
-    made = F.array(*[F.struct(F.lit(i * len(least) + j).alias("g"), F.lit(float(e)).alias("eps"), F.lit(m).alias("least")) for i, e in enumerate(eps) for j, m in enumerate(least)])
-    grid = drawn.withColumn("c", F.explode(made)).withColumn(GROUP, (F.col("c.g") * reps + F.col("rep")).cast("long"))
-    grid = grid.select(GROUP, (F.col(GROUP) * F.lit(1 << 40) + F.col("pid")).alias("rid"), "lat", "lon", "c.eps", "c.least")
-    sizes = F.broadcast(grid.select(GROUP, "eps", "least").distinct())
-    each = dbscan(grid).join(sizes, GROUP).groupBy("eps", "least", GROUP).agg(F.max("label").alias("top"), (F.lit(100.0) * F.count_if(F.col("label") < 0) / F.count(F.lit(1))).alias("noise"))
+    hashed = F.xxhash64("pid", "rep", F.lit(seed))
+    drawn = pool.select("pid", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hashed)
+    # ranks over all repetitions in ranges, so no task sorts a whole pool
+    drawn = stage(with_rank(drawn, ["rep", "h", "pid"], "r"), "draws")
+    first = drawn.groupBy(F.col("rep").alias("__rep")).agg(F.min("r").alias("__first"))
+    drawn = drawn.join(F.broadcast(first), F.col("rep") == F.col("__rep")).where(F.col("r") < F.col("__first") + size)
+    labels = dbscan(drawn.select(F.col("rep").alias(GROUP), "pid", "lat", "lon"), eps, least)
+    each = labels.groupBy("eps", "least", GROUP).agg(F.max("label").alias("top"), (F.lit(100.0) * F.count_if(F.col("label") < 0) / F.count(F.lit(1))).alias("noise"))
     return each.groupBy("eps", "least").agg(F.avg(F.col("top") + 1).alias("baseline_clusters"), F.stddev_pop(F.col("top") + 1).alias("baseline_sd"), F.avg("noise").alias("baseline_noise"))
 
 
@@ -180,36 +172,43 @@ def cluster_records(labels: DataFrame, dates: DataFrame, eps: float) -> DataFram
     )
 
 
-def k_distances(points: DataFrame, ks: list[int], start_m: float = 500.0) -> DataFrame:
+def k_distances(points: DataFrame, ks: list[int], start_m: float = 50.0, factor: float = 4.0) -> DataFrame:
     """(pid, k, metres): distance to the k-th nearest point, itself counted as the first; by cells that grow.
 
-    Points that have fewer than the greatest k within the radius look again with twice that, so all distances are exact
-    and only sparse points look far. With fewer points than k there is no row.
+    A place gets the first radius, each ``factor`` times the one before, whose cell around it, any two points of which
+    are within the radius, holds the greatest k: so the radius surely reaches that many, and crowded places look no
+    further than they must. Rounds only count cells; then all look at once, each with its own radius. All distances are
+    exact. With fewer points than k there is no row; points with null or impossible coordinates have none and count for
+    none.
     """
-    most, radius, found = max(ks), start_m, []
+    most = max(ks)
     n = points.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).select("pid", (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"))
-    places = stage(n.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("w"), F.min("pid").alias("rid")), "knn_places")
-    left = places
-    # a place with copies is one looker; its own copies are at distance 0
-    while True:
-        at = lambda d: celled(d.withColumns({GROUP: F.lit(0), "eps": F.lit(radius), "least": F.lit(most)}))  # noqa: E731, B023
-        met = _looking(at(left), at(places)).select("by", "w", haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")).alias("metres"))
-        run = Window.partitionBy("by").orderBy("metres")
-        summed = met.groupBy("by", "metres").agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-        each = summed.groupBy("by").agg(F.max("upto").alias("have"), *[F.min(F.when(F.col("upto") >= k, F.col("metres"))).alias(f"k{k}") for k in ks])
-        each = stage(each, "knn")
-        found.append(each.where(F.col("have") >= most))
-        rest = stage(left.join(each.where(F.col("have") >= most).select(F.col("by").alias("rid")), "rid", "left_anti"), "knn_left")
-        if radius > EARTH_M * np.pi or rest.isEmpty():
-            found.append(each.where(F.col("have") < most))
-            break
-        left, radius = rest, radius * 2
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    named = n.join(places.select("lat", "lon", "rid"), ["lat", "lon"]).join(every, F.col("rid") == F.col("by"))
+    places, left = stage_counted(n.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("w"), F.min("pid").alias("rid")), "knn_places")
+    waiting, settled, radii = places, [], []
+    while left:
+        radii.append(start_m * factor ** len(radii))
+        at = lambda d: celled(d.withColumns({GROUP: F.lit(len(radii) - 1), "eps": F.lit(radii[-1])}))  # noqa: E731, B023
+        full = F.lit(True) if radii[-1] > EARTH_M * np.pi else F.col("cw") >= most
+        cells = at(places).groupBy(F.col("band").alias("__band"), F.col("cell").alias("__cell")).agg(F.sum("w").alias("cw")).where(full)
+        here = at(waiting).join(cells, (F.col("band") == F.col("__band")) & (F.col("cell") == F.col("__cell")), "left").select("lat", "lon", "w", "rid", F.when(F.col("cw").isNotNull(), F.lit(len(radii) - 1)).alias("number"))
+        here = stage(here, "knn_round")
+        settled.append(here.where("number is not null"))
+        waiting = here.where("number is null").drop("number")
+        left = waiting.count()
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("metres")) for k in ks])
-    return named.select("pid", F.inline(rows)).where("metres is not null")
+    if not settled:
+        return n.withColumns({f"k{k}": F.lit(0.0) for k in ks}).select("pid", F.inline(rows))
+    sized = F.create_map(*[F.lit(x) for pair in enumerate(radii) for x in pair])
+    look = celled(reduce(DataFrame.unionByName, settled).withColumnRenamed("number", GROUP).withColumn("eps", sized[F.col(GROUP)]))
+    seen = celled(places.withColumn(GROUP, F.explode(F.sequence(F.lit(0), F.lit(len(radii) - 1)))).withColumn("eps", sized[F.col(GROUP)]))
+    crowd = crowded(seen.groupBy(*CELL).agg(F.count(F.lit(1)).alias("__n")), "__n", CELL)
+    # a place with copies is one looker; its own copies are at distance 0
+    met = looking(look, seen, crowd, []).groupBy("by", "metres").agg(F.sum("w").alias("w"))
+    run = Window.partitionBy("by").orderBy("metres")
+    met = met.withColumn("upto", F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    each = met.groupBy("by").agg(*[F.min(F.when(F.col("upto") >= k, F.col("metres"))).alias(f"k{k}") for k in ks])
+    named = places.join(each, F.col("rid") == F.col("by")).select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "w", *[f"k{k}" for k in ks])
+    return split_join(n, stage(named, "knn"), {"lat": "__lat", "lon": "__lon"}, "w").select("pid", F.inline(rows)).where("metres is not null")
 
 
 def knee(distances: DataFrame, value: str) -> DataFrame:
@@ -423,7 +422,7 @@ def reach_edges(places: DataFrame, radius: float) -> DataFrame:
     mine = at.where(F.col("comp") != largest["comp"])
     groups = mine.groupBy("band", "cell", "comp", "height", "half").agg(F.min("lon").alias("west"), F.max("lon").alias("east"))
     groups = groups.select("*", F.col("band").alias("__band"), F.col("cell").alias("__cell"))
-    to = _to_cells(groups, "west", "east", range(-2, 3)).join(held, (F.col("to_band") == F.col("__b")) & (F.col("to_cell") == F.col("__c")))
+    to = to_cells(groups, "west", "east", range(-2, 3)).join(held, (F.col("to_band") == F.col("__b")) & (F.col("to_cell") == F.col("__c")))
     to = to.where((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))).select(F.col("__band").alias("band"), F.col("__cell").alias("cell"), "comp", "to_band", "to_cell").distinct()
     look = mine.join(to, ["band", "cell", "comp"]).select(F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("core").alias("__core"), F.col("to_band").alias("band"), F.col("to_cell").alias("cell"))
     other = at.select(F.col("comp").alias("cb"), F.col("rid").alias("b"), "lat", "lon", "core", "band", "cell")

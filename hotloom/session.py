@@ -17,7 +17,6 @@ def build_session(app: str = "hotloom", master: str = "local[*]", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
     } | conf
     builder = SparkSession.builder.appName(app).master(master)
@@ -27,9 +26,12 @@ def build_session(app: str = "hotloom", master: str = "local[*]", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a temporary one, but only for a local master: on a
+    cluster each executor would write to a disk of its own, so that is a RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="hotloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -70,11 +72,13 @@ def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def unstage(df: DataFrame) -> None:
-    """Remove a staged table that no plan reads any more."""
+    """Remove a staged table that no plan reads any more; other tables stay."""
     for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/hotloom/" in where:
             path, fs = _path(df.sparkSession, where)
             fs.delete(path, True)
+            kept = [w for w in _written if w.rsplit("/", 1)[1] != where.rsplit("/", 1)[1]]
+            _written[:] = kept
 
 
 def drop_stages() -> None:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hotloom.operators import frequency, pins, pivots, proximity, regions, trailing
+from hotloom.operators import density, frequency, pins, pivots, proximity, regions, skew, trailing
+from hotloom.operators.components import components
 from hotloom.operators.skew import split_join
 from hotloom.session import stage
 
@@ -128,12 +129,44 @@ def brute_dbscan(points, eps, least):
 def test_dbscan(spark, eps, least, spread):
     rng = np.random.default_rng(int(eps) + least)
     points = [tuple(map(float, p)) for p in np.round(np.concatenate([rng.normal([12.97, 77.59], spread, (250, 2)), rng.normal([13.0, 77.62], spread / 4, (100, 2)), [[12.97, 77.59]] * 6]), 5)]
-    df = spark.createDataFrame([(0, i, *p, eps, least) for i, p in enumerate(points)] + [(0, 9999, None, 77.0, eps, least)], "grp int, rid long, lat double, lon double, eps double, least int")
-    got = {r.rid: r.label for r in pivots.dbscan(df).collect()}
+    df = spark.createDataFrame([(0, i, *p) for i, p in enumerate(points)] + [(0, 9999, None, 77.0)], "grp int, pid long, lat double, lon double")
+    got = {r.pid: r.label for r in density.dbscan(df, [eps], [least]).collect()}
     assert got.pop(9999) == -1
     assert [got[i] for i in range(len(points))] == brute_dbscan(points, eps, least)
 
 
+def test_dbscan_of_many_configurations(spark, monkeypatch):
+    """Several groups, radii and least numbers at once, with crowded cells cut into blocks."""
+    monkeypatch.setattr(skew.crowded, "__defaults__", (7,))
+    rng = np.random.default_rng(11)
+    groups = {g: [tuple(map(float, p)) for p in np.round(np.concatenate([rng.normal([12.97, 77.59], s, (180, 2)), rng.normal([12.99, 77.6], s / 5, (60, 2)), [[12.97, 77.59]] * 6]), 4)] for g, s in ((0, 0.004), (3, 0.01))}
+    df = spark.createDataFrame([(g, i, *p) for g, points in groups.items() for i, p in enumerate(points)], "grp int, pid long, lat double, lon double")
+    eps, least = [100.0, 250.0, 600.0], [3, 5, 10]
+    got = {(r.grp, r.eps, r.least, r.pid): r.label for r in density.dbscan(df, eps, least).collect()}
+    assert len(got) == 9 * df.count()
+    for g, points in groups.items():
+        for e in eps:
+            for m in least:
+                assert [got[g, e, m, i] for i in range(len(points))] == brute_dbscan(points, e, m), (g, e, m)
+    assert density.dbscan(df.limit(0), eps, least).count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), *range(100, 160), 200, 201, 300]], "node long")
+    got = {r.node: r.root for r in components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
+    groups = [set(range(41)), set(range(100, 160)), {200, 201}, {300}]
+    assert len(got) == 104 and all(len({got[i] for i in g}) == 1 and got[min(g)] in g for g in groups)
+    assert components(nodes.limit(0), spark.createDataFrame(links, "a long, b long").limit(0)).count() == 0
+
+
+def test_pairs_within_blocks(spark):
+    rows = [("a", i) for i in range(25)] + [("b", 1), ("c", 5), ("c", 9), (None, 1), (None, 2)]
+    members = stage(spark.createDataFrame(rows, "k string, m int"), "members")
+    got = sorted((r.k, r.x, r.y) for r in skew.pairs_within(members, ["k"], "m", 4).collect())
+    assert got == sorted([("a", i, j) for i in range(25) for j in range(i + 1, 25)] + [("c", 5, 9)])
+
+
 def test_dense_groups_and_description(spark):
     df, rows = complaints(spark, 900, 7, 0.004)
     per = Counter((r[1], r[5] + 0.0, r[6] + 0.0) for r in rows if r[5] is not None and r[6] is not None and r[5] == r[5])
