@@ -1,13 +1,24 @@
-"""Queries of the text problems: p6 encoding, p7 leaked test items, p8 shared spans."""
+"""Queries of the problems for training data: p4 similarity clusters, p6 encoding, p7 leaked test items, p8 shared spans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hotloom.llm import leakage, spans, tokens
+from hotloom.llm import clusters, leakage, spans, tokens
 from hotloom.sources.tables import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = clusters.dense_groups(table(spark, folder, "complaints")).rows
+    return rows.select(F.col("cluster_rowid").cast("long").alias("cluster_rowid"), F.col("rowid_").cast("long").alias("rowid_"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group's size, number of pivot clusters and most typical complaints."""
+    return clusters.describe(clusters.dense_groups(table(spark, folder, "complaints")))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -39,8 +50,20 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(table(spark, folder, "documents"), "doc_id", "text", every=True)
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_spans, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_ids, p6_roundtrip, p7_found, p7_spans, p8_found, p8_coverage)}
+_R = "6371008.8"
+_METRES = f"2*{_R}*asin(sqrt(least(1.0, pow(sin((radians(q.lat)-radians(p.lat))/2),2) + cos(radians(p.lat))*cos(radians(q.lat))*pow(sin((radians(q.lon)-radians(p.lon))/2),2))))"
 ORACLE = {
+    "p4_found": f"""
+with recursive n as (select run_id, latitude, longitude, count(*) n from complaints where latitude is not null and longitude is not null group by all),
+p as (select rowid_, run_id, latitude lat, longitude lon, floor(latitude/0.0025)::bigint g from complaints join n using (run_id, latitude, longitude)
+  where is_pothole=1 and latitude between 12.5 and 13.5 and longitude between 77.0 and 78.2 and n<8),
+q as (select *, unnest([g-1,g,g+1]) h from p),
+near as (select p.rowid_ a, q.rowid_ b from p join q on p.run_id=q.run_id and p.g=q.h where abs(p.lon-q.lon)<0.003 and {_METRES} <= 250),
+dense as (select a from near group by a having count(*)>=5),
+link as (select a, b from near where a in (select a from dense) and b in (select a from dense)),
+walk as (select a, a root from dense union select l.a, w.root from walk w join link l on l.b=w.a where w.root<l.a)
+select min(root)::bigint cluster_rowid, a::bigint rowid_ from walk group by a""",
     "p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
     "p7_found": """
 with w as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') w from eval_items),
