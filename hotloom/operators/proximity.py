@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import band_height, cells_round, degrees_north, haversine, reach
-from hotloom.operators.skew import blocks, hot_part
+from hotloom.operators.skew import BLOCK, crowded, in_every_block, in_own_block, same, split_join, with_blocks
 from hotloom.session import stage
 
-#: A crowded cell's points are spread over blocks of about this many.
-BLOCK = 2_000
-
 
 def with_cell(df: DataFrame, radius_m: float) -> DataFrame:
     """Add the point's own cell (__band, __cell) and __half, the degrees of longitude that the radius spans there."""
@@ -40,76 +37,77 @@ def near_pairs(points: DataFrame, keys: list[str], radius_m: float, block: int =
 
     ``points`` has the keys, lat and lon, each coordinate of a key once; pairs come out once, a before b by latitude,
     then longitude. Points with null, NaN or out-of-range coordinates have no partners. A cell with more points than
-    ``block`` and a thousandth of all is cut into blocks: its points are spread over them and those that look into it
-    go to each, so no task holds a crowded cell. The limit is inclusive.
+    ``block``, whatever its share of all, is cut into blocks, and so are those that look into it: each two blocks meet in
+    a key of their own, so no task compares more than the pairs of two blocks. The limit is inclusive.
     """
     inside = points.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).select(*keys, "lat", "lon")
     targets = with_cell(inside, radius_m)
-    crowd = stage(targets.groupBy(*keys, "__band", "__cell").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block), "crowded")
-    crowd, _ = hot_part(crowd, "__n")
-    crowd = crowd.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__band").alias("__cb"), F.col("__cell").alias("__cc"), blocks(F.col("__n"), block).alias("__blocks"))
-
-    def crowded(df: DataFrame, band: str, cell: str) -> DataFrame:
-        on = (df[band] == crowd["__cb"]) & (df[cell] == crowd["__cc"])
-        for k in keys:
-            on = on & df[k].eqNullSafe(crowd[f"__{k}"])
-        return df.join(F.broadcast(crowd), on, "left").drop("__cb", "__cc", *[f"__{k}" for k in keys])
-
-    b = crowded(targets, "__band", "__cell")
-    b = b.withColumn("__block", F.when(F.col("__blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("lat", "lon"), F.col("__blocks")).cast("int"))).drop("__blocks")
-    b = b.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("__band").alias("__tb"), F.col("__cell").alias("__tc"), "__block")
+    cell = [*keys, "__band", "__cell"]
+    crowd = crowded(targets.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")), "__n", cell, block)
+    b = targets.select(*cell, F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     a = northern_cells(targets, radius_m).select(*keys, F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "__ab", "__ac")
-    a = crowded(a, "__ab", "__ac")
-    a = a.withColumn("__ablock", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop("__blocks")
-    on = (a["__ab"] == b["__tb"]) & (a["__ac"] == b["__tc"]) & (a["__ablock"] == b["__block"])
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[f"__b_{k}"])
+    to = {**{k: k for k in keys}, "__ab": "__band", "__ac": "__cell"}
+    if crowd[1]:
+        lookers = crowded(a.groupBy(*keys, "__ab", "__ac").agg(F.count(F.lit(1)).alias("__n")), "__n", [*keys, "__ab", "__ac"], block)
+        mine = {k: k for k in [*keys, "__ab", "__ac"]}
+        a = in_own_block(with_blocks(a, lookers, mine, "__na"), "__na", F.struct("lat_a", "lon_a"), "__row")
+        a = in_every_block(with_blocks(a, crowd, to, "__nb"), "__nb", "__column")
+        b = in_own_block(with_blocks(b, crowd, {k: k for k in cell}, "__nb"), "__nb", F.struct("lat_b", "lon_b"), "__block")
+        b = in_every_block(with_blocks(b, lookers, {**{k: k for k in keys}, "__band": "__ab", "__cell": "__ac"}, "__na"), "__na", "__rows")
+    b = b.withColumnsRenamed({k: f"__b_{k}" for k in keys})
+    on = same(a, b, {**{k: f"__b_{k}" for k in keys}, "__ab": "__band", "__ac": "__cell"}, nulls_match=True)
+    if crowd[1]:
+        on = on & (a["__column"] == b["__block"]) & (a["__row"] == b["__rows"])
     later = (a["lat_a"] < b["lat_b"]) | ((a["lat_a"] == b["lat_b"]) & (a["lon_a"] < b["lon_b"]))
     pairs = a.join(b, on & later).select(*keys, "lat_a", "lon_a", "lat_b", "lon_b", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("metres"))
     return pairs.where(F.col("metres") <= radius_m)
 
 
+def _rows_and_places(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str, radius_m: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = rows.where(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
+    rows = rows.select(*keys, F.col(row_id).alias("__id"), (F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon"))
+    places = stage(rows.groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("__n")), "places")
+    return rows, places, stage(near_pairs(places, keys, radius_m, block), "near_places")
+
+
+def near_classes(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str, radius_m: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): what near_rows lists, in a form that stays small at any size. pairs (keys, lat_a, lon_a, lat_b,
+    lon_b, metres) are between places, each a class of rows at exactly one coordinate; members (keys, lat, lon, row id,
+    copies, links) has each row once with the number of rows at its place, itself counted, and of rows near it elsewhere.
+
+    Rows with null, NaN or out-of-range coordinates are in neither.
+    """
+    found, places, pairs = _rows_and_places(rows, keys, row_id, lat, lon, radius_m, block)
+    both = pairs.select(*keys, F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon"), F.col("lat_b").alias("__olat"), F.col("lon_b").alias("__olon"))
+    both = both.unionByName(pairs.select(*keys, F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"), F.col("lat_a").alias("__olat"), F.col("lon_a").alias("__olon")))
+    other = places.select(*keys, F.col("lat").alias("__olat"), F.col("lon").alias("__olon"), F.col("__n").alias("__on"))
+    links = _natural(both, other, [*keys, "__olat", "__olon"]).groupBy(*keys, "lat", "lon").agg(F.sum("__on").alias("__links"))
+    counts = _natural(places, links, [*keys, "lat", "lon"], "left").select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "__n", F.coalesce("__links", F.lit(0)).alias("__links"))
+    members = split_join(found, stage(counts, "near_counts"), {**{k: f"__c_{k}" for k in keys}, "lat": "__lat", "lon": "__lon"}, "__n", nulls_match=True)
+    return pairs, members.select(*keys, "lat", "lon", F.col("__id").alias(row_id), F.col("__n").alias("copies"), F.col("__links").alias("links"))
+
+
 def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str, radius_m: float, block: int = BLOCK) -> DataFrame:
     """(keys, id_lo, id_hi, metres): pairs of rows at most radius_m apart but not at the same coordinate.
 
     The search runs over distinct coordinates; the pairs found are then expanded to rows. A coordinate with more rows
-    than ``block`` and a thousandth of all is cut into blocks, and a pair into units of a block on either side, so hot
-    coordinates on one side or both make no large task. Rows with null, NaN or out-of-range coordinates never come out.
+    than ``block``, whatever its share of all, is cut into blocks, and a pair into units of a block on either side, so
+    hot coordinates on one side or both make no large task. Rows with null, NaN or out-of-range coordinates never come
+    out. The result grows with the square of the copies; near_classes() gives the same links without that.
     """
-    rows = rows.where(F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
-    rows = rows.select(*keys, F.col(row_id).alias("__id"), (F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon"))
-    places = rows.groupBy(*keys, "lat", "lon").agg(F.count(F.lit(1)).alias("__n"))
-    places = stage(places, "places")
-    pairs = stage(near_pairs(places, keys, radius_m, block), "near_places")
+    rows, places, pairs = _rows_and_places(rows, keys, row_id, lat, lon, radius_m, block)
+    at = [*keys, "lat", "lon"]
+    ends = [{**{k: k for k in keys}, f"lat_{s}": "lat", f"lon_{s}": "lon"} for s in "ab"]
     paired = pairs.select(*keys, F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")).unionByName(pairs.select(*keys, F.col("lat_b").alias("lat"), F.col("lon_b").alias("lon"))).distinct()
-    named = [F.col(k).alias(f"__r_{k}") for k in keys]
-    paired = _natural(paired, places, [*keys, "lat", "lon"])
-    paired = stage(paired.select(*named, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("__n"), blocks(F.col("__n"), block).alias("__blocks")), "paired_places")
-    hot, cold = hot_part(paired, "__n")
-    cold = cold.withColumn("__blocks", F.lit(1))
-
-    def meet(df: DataFrame, place: DataFrame, how: str = "inner") -> DataFrame:
-        on = (df["lat"] == place["__lat"]) & (df["lon"] == place["__lon"])
-        for k in keys:
-            on = on & df[k].eqNullSafe(place[f"__r_{k}"])
-        return df.join(place, on, how)
-
-    known = meet(rows, F.broadcast(hot)).unionByName(meet(meet(rows, F.broadcast(hot), "left_anti"), cold))
-    known = known.select(*keys, "lat", "lon", "__id", F.pmod(F.xxhash64("__id"), F.col("__blocks")).cast("int").alias("__salt"))
-
-    marks = hot.drop("__n")
-
-    def cut(df: DataFrame, s: str) -> DataFrame:
-        """Each pair once for every block of its side s."""
-        m = marks.withColumnsRenamed({"__lat": "__mlat", "__lon": "__mlon", **{f"__r_{k}": f"__m_{k}" for k in keys}})
-        on = (df[f"lat_{s}"] == m["__mlat"]) & (df[f"lon_{s}"] == m["__mlon"])
-        for k in keys:
-            on = on & df[k].eqNullSafe(m[f"__m_{k}"])
-        d = df.join(F.broadcast(m), on, "left")
-        return d.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop(*m.columns)
-
+    paired = stage(_natural(paired, places, at).select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), "__n"), "paired_places")
+    crowd = crowded(paired.select(*[F.col(f"__r_{k}").alias(k) for k in keys], F.col("__lat").alias("lat"), F.col("__lon").alias("lon"), "__n"), "__n", at, block)
+    known = split_join(rows, paired, {**{k: f"__r_{k}" for k in keys}, "lat": "__lat", "lon": "__lon"}, "__n", nulls_match=True).select(*at, "__id")
+    known = in_own_block(with_blocks(known, crowd, {c: c for c in at}, "__nb"), "__nb", F.col("__id"), "__salt")
     # a unit is a block of the one side and a block of the other: few rows of each, however hot the coordinates
-    units = stage(cut(cut(pairs, "a"), "b").withColumn("unit", F.monotonically_increasing_id()), "units")
+    units = pairs
+    for s, end in zip("ab", ends, strict=True):
+        units = in_every_block(with_blocks(units, crowd, end, "__nb"), "__nb", f"block_{s}")
+    units = stage(units.withColumn("unit", F.monotonically_increasing_id()), "units")
 
     def side(s: str) -> DataFrame:
         k = known.select(*[F.col(x).alias(f"__k_{x}") for x in keys], F.col("lat").alias("__klat"), F.col("lon").alias("__klon"), F.col("__id").alias(f"id_{s}"), F.col("__salt"))
@@ -122,10 +120,10 @@ def near_rows(rows: DataFrame, keys: list[str], row_id: str, lat: str, lon: str,
     return both.select(*keys, F.least("id_a", "id_b").alias("id_lo"), F.greatest("id_a", "id_b").alias("id_hi"), "metres")
 
 
-def _natural(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join in which null keys match; the columns of ``on`` stay once."""
+def _natural(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys match; the columns of ``on`` stay once."""
     r = right.select(*[F.col(c).alias(f"__m_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = F.lit(True)
     for c in on:
         cond = cond & left[c].eqNullSafe(r[f"__m_{c}"])
-    return left.join(r, cond).drop(*[f"__m_{c}" for c in on])
+    return left.join(r, cond, how).drop(*[f"__m_{c}" for c in on])

@@ -76,16 +76,6 @@ select 'near' kind, p.rowid_::bigint id_lo, q.rowid_::bigint id_hi from p join q
   where abs(p.lon-q.lon)<0.01 and (p.lat<>q.lat or p.lon<>q.lon) and {_distance('p', 'q')} <= 25
 union all select 'ward', coalesce(w,-1)::bigint, rowid_::bigint from complaints c left join inside i on c.latitude=i.lat and c.longitude=i.lon
   where c.latitude is not null and c.longitude is not null and coalesce(ward_id,-1)<>coalesce(w,-1)""",
-    "p4_found": f"""
-with recursive n as ({_PLACES}),
-p as (select rowid_, run_id, latitude lat, longitude lon, floor(latitude/0.0025)::bigint g from complaints join n using (run_id, latitude, longitude)
-  where is_pothole=1 and latitude between 12.5 and 13.5 and longitude between 77.0 and 78.2 and n<8),
-q as (select *, unnest([g-1,g,g+1]) h from p),
-near as (select p.rowid_ a, q.rowid_ b from p join q on p.run_id=q.run_id and p.g=q.h where abs(p.lon-q.lon)<0.003 and {_distance('p', 'q')} <= 250),
-dense as (select a from near group by a having count(*)>=5),
-link as (select a, b from near where a in (select a from dense) and b in (select a from dense)),
-walk as (select a, a root from dense union select l.a, w.root from walk w join link l on l.b=w.a where w.root<l.a)
-select min(root)::bigint cluster_rowid, a::bigint rowid_ from walk group by a""",
     "p5_found": f"""
 with {STAMPS},
 dated as (select run_id, ward_id, local_day as day, request_id from stamps join complaints using (rowid_)),

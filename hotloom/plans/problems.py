@@ -1,4 +1,4 @@
-"""Queries of the general problems: p1 time notations, p2 hot keys, p3 nearness, p4 groups, p5 trailing totals."""
+"""Queries of the general problems: p1 time notations, p2 hot keys, p3 nearness, p5 trailing totals."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotloom.plans import problem_sql
-from hotloom.operators import frequency, pins, pivots, proximity, regions, timestamps, trailing
+from hotloom.operators import frequency, pins, proximity, regions, timestamps, trailing
 from hotloom.session import stage
 from hotloom.sources.tables import table
 
@@ -44,16 +44,6 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.unionByName(ward.select(F.lit("ward").alias("kind"), F.col("__in").cast("long").alias("id_lo"), F.col("rowid_").cast("long").alias("id_hi")))
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pivots.dense_groups(table(spark, folder, "complaints")).rows
-    return rows.select(F.col("cluster_rowid").cast("long").alias("cluster_rowid"), F.col("rowid_").cast("long").alias("rowid_"))
-
-
-def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each group's size, number of pivot clusters and most typical complaints."""
-    return pivots.describe(pivots.dense_groups(table(spark, folder, "complaints")))
-
-
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     wards = trailing.busy_wards(table(spark, folder, "complaints"))
     return wards.unionByName(trailing.stale_clusters(table(spark, folder, "cluster_summary"), table(spark, folder, "spatial_unit_monthly")))
@@ -68,5 +58,5 @@ def p5_ward_days(spark: SparkSession, folder: str) -> DataFrame:
     return days.select("run_id", "ward_id", F.date_from_unix_date("step").cast("string").alias("day"), "t7", "t30", (F.col("t7") / 7).alias("avg7"), (F.col("t30") / 30).alias("avg30"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_month_conflicts, p2_found, p2_profile, p3_found, p4_found, p4_groups, p5_found, p5_ward_days)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_month_conflicts, p2_found, p2_profile, p3_found, p5_found, p5_ward_days)}
 ORACLE = problem_sql.ORACLE

@@ -1,4 +1,4 @@
-"""Problems 2 to 5 against brute force on small tables with nulls, ties, repeats and clashing names."""
+"""Problems 2, 3 and 5 and the joins below them against brute force on small tables with nulls, ties, repeats and clashing names."""
 
 import math
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hotloom.operators import density, frequency, pins, pivots, proximity, regions, skew, trailing
+from hotloom.operators import density, frequency, pins, proximity, regions, skew, trailing
 from hotloom.operators.components import components
 from hotloom.operators.skew import split_join
 from hotloom.session import stage
@@ -79,6 +79,25 @@ def test_near_rows(spark, spread, radius, block):
     assert proximity.near_rows(df.limit(0), ["run_id"], "rowid_", "latitude", "longitude", radius).count() == 0
 
 
+def test_near_classes(spark):
+    df, rows = complaints(spark, 400, 4, 0.002)
+    ok = [r for r in rows if r[5] is not None and r[6] is not None and -90 <= r[5] <= 90 and -180 <= r[6] <= 180]
+    pairs, members = proximity.near_classes(df, ["run_id"], "rowid_", "latitude", "longitude", 25.0, 6)
+    got = {r.rowid_: (r.copies, r.links) for r in members.collect()}
+    assert got == {a[0]: (sum(a[1] == b[1] and a[5:7] == b[5:7] for b in ok), sum(a[1] == b[1] and a[5:7] != b[5:7] and metres(a[5:7], b[5:7]) <= 25 for b in ok)) for a in ok}
+    assert pairs.count() == pairs.select("run_id", "lat_a", "lon_a", "lat_b", "lon_b").distinct().count()
+
+
+def test_no_task_gets_more_than_blocks(spark):
+    """Two neighbouring places that hold little of the table are cut all the same: no key of rows is larger than a block."""
+    rows = [(i, 1, 12.97, 77.59) for i in range(40)] + [(100 + i, 1, 12.9701, 77.59) for i in range(30)] + [(1000 + i, 1, 10.0 + i * 0.01, 70.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, run int, la double, lo double")
+    assert proximity.near_rows(df, ["run"], "id", "la", "lo", 25.0, 10).count() == 40 * 30
+    crowd = skew.crowded(df.groupBy("la", "lo").agg(F.count(F.lit(1)).alias("n")), "n", ["la", "lo"], 10)
+    cut = skew.in_own_block(skew.with_blocks(df, crowd, {"la": "la", "lo": "lo"}, "nb"), "nb", F.col("id"), "blk")
+    assert crowd[1] == 2 and cut.groupBy("la", "lo", "blk").count().agg(F.max("count")).first()[0] < 25
+
+
 def test_near_pairs_at_poles_and_meridian(spark):
     rng = random.Random(5)
     points = {(rng.choice([89.9999, -89.9999, 0.0, 60.0]) + rng.uniform(-1e-4, 1e-4) * 0.5, rng.choice([179.9999, -179.9999, rng.uniform(-180, 180)])) for _ in range(250)}
@@ -167,35 +186,6 @@ def test_pairs_within_blocks(spark):
     assert got == sorted([("a", i, j) for i in range(25) for j in range(i + 1, 25)] + [("c", 5, 9)])
 
 
-def test_dense_groups_and_description(spark):
-    df, rows = complaints(spark, 900, 7, 0.004)
-    per = Counter((r[1], r[5] + 0.0, r[6] + 0.0) for r in rows if r[5] is not None and r[6] is not None and r[5] == r[5])
-    want = {}
-    for run in (1, 2, None):
-        mine = [r for r in rows if r[1] == run and r[7] == 1 and r[5] is not None and r[6] is not None and 12.5 <= r[5] <= 13.5 and 77 <= r[6] <= 78.2 and per[run, r[5] + 0.0, r[6] + 0.0] < 8]
-        near = {a[0]: [b[0] for b in mine if metres(a[5:7], b[5:7]) <= 250] for a in mine}
-        core = {k for k, v in near.items() if len(v) >= 5}
-        for start in sorted(core):
-            if start in want:
-                continue
-            todo = [start]
-            want[start] = start
-            while todo:
-                for j in near[todo.pop()]:
-                    if j in core and j not in want:
-                        want[j] = start
-                        todo.append(j)
-    groups = pivots.dense_groups(df)
-    got = {r.rowid_: r.cluster_rowid for r in groups.rows.collect()}
-    assert got == want and want
-    sizes = Counter(want.values())
-    described = {r.cluster_rowid: r for r in pivots.describe(groups).collect()}
-    assert {k: r.report_count for k, r in described.items()} == sizes
-    for r in described.values():
-        assert 1 <= len(r.typical) <= 3 and all(want[t] == r.cluster_rowid for t in r.typical)
-    assert pivots.dense_groups(df.limit(0)).rows.count() == 0
-
-
 def test_trailing_totals(spark):
     rng = random.Random(2)
     daily = [(u, rng.randrange(0, 200), rng.randrange(0, 9)) for u in (1, 2, None) for _ in range(40)] + [(3, None, 5), (3, 4, None), (4, 10, 1)]
