@@ -1,18 +1,18 @@
 """Mixed time notations to one UTC instant, by a dictionary of distinct values.
 
-Raw strings are reduced to distinct (text, zone) values, each is parsed once with built-in expressions, the result
-is kept as a table that later loads only add to, and rows get their instants by a join on the text.
+Raw strings are reduced to distinct (text, source, zone) values, each is parsed once with built-in expressions, the
+result is kept as a table that later loads only add to, and rows get their instants by a join on the text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotloom.operators.skew import split_join
-from hotloom.session import stage_path
+from hotloom.operators.skew import HOT_SHARE, same, split_join
+from hotloom.session import named_stage, stage_path
 
 LOCAL_ZONE = "Asia/Kolkata"
 #: Minutes east of UTC of the abbreviations that have one meaning here.
@@ -125,39 +125,82 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
 
 
-def distinct_stamps(df: DataFrame, text: str, zone: str | None = None) -> DataFrame:
-    """(raw, zone, n): each distinct text with the zone that holds for it, and its rows; null texts are left out."""
-    where = F.coalesce(F.col(zone), F.lit(LOCAL_ZONE)) if zone else F.lit(LOCAL_ZONE)
-    return df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("raw"), where.alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+#: Columns of the dictionary's key: the text as received, where it came from, and the zone that holds where it names none.
+KEY = ["raw", "source", "zone"]
+DICTIONARY = "raw string, source string, zone string, n long, utc_micros long, local_day date, local_month string"
 
 
-def grow_dictionary(df: DataFrame, path: str, text: str, zone: str | None = None) -> DataFrame:
+def _named(source: str | None, zone: str | None) -> dict[str, Column]:
+    return {"source": F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit(""), "zone": F.coalesce(F.col(zone), F.lit(LOCAL_ZONE)) if zone else F.lit(LOCAL_ZONE)}
+
+
+def distinct_stamps(df: DataFrame, text: str, zone: str | None = None, source: str | None = None) -> DataFrame:
+    """(raw, source, zone, n): each distinct text with its source (empty for none) and the zone that holds for it, and
+    its rows; null texts are left out."""
+    named = _named(source, zone)
+    return df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("raw"), named["source"].alias("source"), named["zone"].alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dictionary_there(spark: SparkSession, path: str) -> bool:
+    """Whether a load has written to the dictionary."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def grow_dictionary(df: DataFrame, path: str, text: str, zone: str | None = None, source: str | None = None) -> DataFrame:
     """Parse those texts of ``df`` that the dictionary at ``path`` lacks, add them as a new batch, return the whole.
 
-    The dictionary is a Parquet folder (raw, zone, n, utc_micros, local_day, local_month), n from the load that brought
-    the text; a missing folder counts as empty. A batch is complete once written; running a load again adds nothing.
+    The dictionary is a Parquet folder (raw, source, zone, n, utc_micros, local_day, local_month), n from the load that
+    brought the text; a missing folder counts as empty. A batch is complete once written; running a load again adds
+    nothing. One load at a time may write to a folder.
     """
     spark = df.sparkSession
-    new = distinct_stamps(df, text, zone)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        old = spark.read.parquet(path).select("raw", "zone")
-        new = new.join(old, ["raw", "zone"], "left_anti")
+    new = distinct_stamps(df, text, zone, source)
+    if dictionary_there(spark, path):
+        new = new.join(spark.read.schema(DICTIONARY).parquet(path).select(*KEY), KEY, "left_anti")
     parse_stamps(new, "raw", "zone", known_zones(spark)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def normalise_stamps(df: DataFrame, text: str, zone: str | None = None, path: str | None = None) -> DataFrame:
+    return spark.read.schema(DICTIONARY).parquet(path)
+
+
+def stamp_entries(df: DataFrame, path: str, text: str, zone: str | None = None, source: str | None = None) -> DataFrame:
+    """The dictionary, grown by ``df``, with n as the number of rows in ``df``, not in the load that brought the text: so
+    a text that turns frequent later is joined as a frequent one. Exact for frequent texts; 0 stands for any others of an
+    older load."""
+    known = dictionary_there(df.sparkSession, path)
+    entries = grow_dictionary(df, path, text, zone, source)
+    if not known:
+        return entries
+    # frequent in this load: at most 1 / HOT_SHARE texts
+    counts = distinct_stamps(df, text, zone, source)
+    rows = df.where(F.col(text).isNotNull()).count()
+    often = counts.where(F.col("n") > F.lit(rows * HOT_SHARE)).select(*[F.col(k).alias(f"__f_{k}") for k in KEY], F.col("n").alias("__often"))
+    found = entries.drop("n").join(F.broadcast(often), same(entries, often, {k: f"__f_{k}" for k in KEY}), "left")
+    return found.withColumn("n", F.coalesce("__often", F.lit(0))).drop("__often", *[f"__f_{k}" for k in KEY])
+
+
+def normalise_stamps(df: DataFrame, text: str, zone: str | None = None, path: str | None = None, source: str | None = None) -> DataFrame:
     """Rows whose text denotes one instant, with utc_micros, local_day and local_month added.
 
-    Rows with null, empty or unreadable text don't come out. A frequent text is joined by broadcast, so it makes no
-    large task. Columns of ``df`` named like the results are replaced.
+    Rows with null, empty or unreadable text don't come out. The dictionary of texts, sources and zones at ``path`` is
+    grown first and kept; without a path it lasts as long as the driver. A frequent text is joined by broadcast, so it
+    makes no large task, also if an earlier load brought it. Columns of ``df`` named like the results are replaced.
     """
     added = ["utc_micros", "local_day", "local_month"]
     df = df.drop(*added)
-    entries = grow_dictionary(df, path or stage_path(df.sparkSession, "stamps"), text, zone).where(F.col("utc_micros").isNotNull())
-    entries = entries.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("n").alias("__n"), *added)
-    if zone:
-        df = df.withColumn("__in", F.coalesce(F.col(zone), F.lit(LOCAL_ZONE)))
-        return split_join(df, entries, {text: "__raw", "__in": "__zone"}, "__n").drop("__raw", "__zone", "__n", "__in")
-    return split_join(df, entries, {text: "__raw"}, "__n").drop("__raw", "__zone", "__n")
+    entries = stamp_entries(df, path or stage_path(df.sparkSession, "stamps"), text, zone, source).where(F.col("utc_micros").isNotNull())
+    used = ["raw", *["source"] * bool(source), *["zone"] * bool(zone)]
+    entries = entries.select(*[F.col(k).alias(f"__{k}") for k in used], F.col("n").alias("__n"), *added)
+    named = _named(source, zone)
+    df = df.withColumns({f"__in_{k}": named[k] for k in used[1:]}) if used[1:] else df
+    keys = {text: "__raw", **{f"__in_{k}": f"__{k}" for k in used[1:]}}
+    return split_join(df, entries, keys, "__n").drop(*keys.values(), *[f"__in_{k}" for k in used[1:]], "__n")
+
+
+def kept_dictionary(spark: SparkSession, name: str) -> str:
+    """Where the dictionary of a named input is kept: in the folder that the setting hotloom.stamps.path names, for all
+    later loads; else in the shared folder, for all queries of this application, until it ends."""
+    kept = spark.conf.get("hotloom.stamps.path", None)
+    key = hashlib.sha1(name.encode()).hexdigest()[:16]
+    if kept:
+        return f"{kept.rstrip('/')}/stamps-{key}"
+    return named_stage(spark, f"stamps-{spark.sparkContext.applicationId}-{key}")

@@ -38,13 +38,13 @@ def trailing_daily(intervals: DataFrame, unit: list[str], last: Column, since: C
     return rows.withColumn("step", F.explode(F.sequence("__low", "__high"))).drop("start", "until", "__low", "__high")
 
 
-def ward_days(complaints: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ward_days(complaints: DataFrame, dictionary: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(daily, last): distinct requests per run, ward (stored, 1 or more) and local day number; and each run's last day.
 
     A complaint without an instant counts nowhere, one without a ward only for the last day. Null request ids count as
-    no request.
+    no request. ``dictionary`` is where the dictionary of stamps is kept, with the run as their source.
     """
-    dated = normalise_stamps(complaints.select("run_id", "request_id", "ward_id", "created_at"), "created_at")
+    dated = normalise_stamps(complaints.select("run_id", "request_id", "ward_id", "created_at"), "created_at", path=dictionary, source="run_id")
     dated = dated.select("run_id", "request_id", "ward_id", F.unix_date("local_day").alias("day"))
     # one shuffle serves both: a run's requests by ward and day, of which a hot ward has no few large ones
     seen = dated.groupBy("run_id", "ward_id", "day", "request_id").agg(F.lit(1).alias("__one"))
@@ -52,10 +52,10 @@ def ward_days(complaints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_day, per_day.groupBy("run_id").agg(F.max("day").alias("last"))
 
 
-def busy_wards(complaints: DataFrame) -> DataFrame:
+def busy_wards(complaints: DataFrame, dictionary: str | None = None) -> DataFrame:
     """('ward', run_id, unit_id, day): days on which a ward's last 7 days hold at least 6 requests and 7 tenths of those
     of the last 30; from 29 days after its first counted day to the run's last."""
-    per_day, _ = ward_days(complaints)
+    per_day, _ = ward_days(complaints, dictionary)
     per_day = stage(per_day, "ward_days")
     last = per_day.groupBy("run_id").agg(F.max("day").alias("__last"))
     wards = per_day.where((F.col("ward_id") >= 1) & (F.col("requests") > 0))

@@ -11,16 +11,19 @@ from hotloom.session import stage
 from hotloom.sources.tables import table
 
 
+def _dated(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Complaints with their instants, by the dictionary that is kept for this folder's loads; a load is a source."""
+    rows = table(spark, folder, "complaints").select("run_id", "created_at", *columns)
+    return timestamps.normalise_stamps(rows, "created_at", path=timestamps.kept_dictionary(spark, folder), source="run_id")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "complaints").select("rowid_", "created_at")
-    return timestamps.normalise_stamps(rows, "created_at").select("rowid_", "utc_micros", "local_month")
+    return _dated(spark, folder, "rowid_").select("rowid_", "utc_micros", "local_month")
 
 
 def p1_month_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """How often each stored month stands for another local month of the instant, null for none."""
-    rows = table(spark, folder, "complaints").select("rowid_", "month", "created_at")
-    dated = timestamps.normalise_stamps(rows, "created_at")
-    wrong = dated.where(~F.col("month").eqNullSafe(F.col("local_month")))
+    wrong = _dated(spark, folder, "month").where(~F.col("month").eqNullSafe(F.col("local_month")))
     return wrong.groupBy("month", "local_month").agg(F.count(F.lit(1)).alias("complaints"))
 
 
@@ -45,13 +48,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    wards = trailing.busy_wards(table(spark, folder, "complaints"))
+    wards = trailing.busy_wards(table(spark, folder, "complaints"), timestamps.kept_dictionary(spark, folder))
     return wards.unionByName(trailing.stale_clusters(table(spark, folder, "cluster_summary"), table(spark, folder, "spatial_unit_monthly")))
 
 
 def p5_ward_days(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and daily averages of the last 7 and 30 days for every ward and day from its first to the run's last."""
-    per_day = stage(trailing.ward_days(table(spark, folder, "complaints"))[0], "ward_days")
+    per_day = stage(trailing.ward_days(table(spark, folder, "complaints"), timestamps.kept_dictionary(spark, folder))[0], "ward_days")
     last = per_day.groupBy(F.col("run_id").alias("__run")).agg(F.max("day").alias("__last"))
     spans = trailing.trailing_intervals(per_day.where((F.col("ward_id") >= 1) & (F.col("requests") > 0)), ["run_id", "ward_id"], "day", "requests", [7, 30])
     days = trailing.trailing_daily(spans.join(last, spans["run_id"].eqNullSafe(last["__run"])), ["run_id", "ward_id"], F.col("__last"))

@@ -57,6 +57,16 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return where
 
 
+def named_stage(spark: SparkSession, name: str) -> str:
+    """The path of that name in the shared folder, the same at each call, removed when the driver ends."""
+    where = f"{shared_folder(spark).rstrip('/')}/hotloom/{name}"
+    if where not in _written:
+        if not _written:
+            atexit.register(drop_stages)
+        _written.append(where)
+    return where
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     where = stage_path(df.sparkSession, name)

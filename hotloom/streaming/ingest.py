@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hotloom.operators.timestamps import grow_dictionary
+from hotloom.operators.timestamps import normalise_stamps
 
 
 def follow(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -14,15 +14,14 @@ def follow(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def normalise_stream(rows: DataFrame, text: str, dictionary: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Write rows with their instants as they arrive; each batch adds only unknown texts to the dictionary.
+def normalise_stream(rows: DataFrame, text: str, dictionary: str, out: str, checkpoint: str, source: str | None = None) -> StreamingQuery:
+    """Write rows with their instants as they arrive; each batch adds only unknown texts to the dictionary, and texts that
+    are frequent in it are joined as such, whichever load brought them.
 
     A batch that is run again overwrites its own output, so each row comes out once.
     """
     def one(batch: DataFrame, number: int) -> None:
-        entries = grow_dictionary(batch, dictionary, text).where(F.col("utc_micros").isNotNull()).dropDuplicates(["raw"])
-        named = entries.select(F.col("raw").alias("__raw"), "utc_micros", "local_month")
-        batch.join(named, batch[text] == named["__raw"]).drop("__raw").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        normalise_stamps(batch, text, path=dictionary, source=source).drop("local_day").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

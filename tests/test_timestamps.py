@@ -3,6 +3,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
+from hotloom.operators import timestamps
 from hotloom.operators.timestamps import grow_dictionary, normalise_stamps
 from hotloom.session import stage_path
 
@@ -59,6 +60,22 @@ def test_dictionary_grows_and_zone_column(spark):
     assert got["2019-07-01 10:00:00", None] == micros(2019, 7, 1, 10)
 
 
+def test_sources_are_apart_and_a_later_load_parses_only_new_texts(spark, monkeypatch):
+    path = stage_path(spark, "test_loads")
+    first = spark.createDataFrame([("2019-01-01 10:00:00", 1), ("2019-01-01 10:00:00", 2), ("x", 1), (None, 1), ("2019-01-01", None)], "t string, run int")
+    assert normalise_stamps(first, "t", path=path, source="run").count() == 3
+    assert {(r.raw, r.source) for r in spark.read.parquet(path).collect()} == {("2019-01-01 10:00:00", "1"), ("2019-01-01 10:00:00", "2"), ("x", "1"), ("2019-01-01", "")}
+    parsed = []
+    real = timestamps.parse_stamps
+    monkeypatch.setattr(timestamps, "parse_stamps", lambda df, *a: parsed.append(sorted((r.raw, r.source) for r in df.collect())) or real(df, *a))
+    # the text turns frequent in the second load, which an older load brought
+    more = spark.createDataFrame([("2019-01-01 10:00:00", 1)] * 900 + [("2020-01-01 10:00:00", 1), ("x", 2)], "t string, run int")
+    got = normalise_stamps(more, "t", path=path, source="run")
+    assert got.count() == 901 and parsed == [[("2020-01-01 10:00:00", "1"), ("x", "2")]]
+    entries = {(r.raw, r.source): r.n for r in timestamps.stamp_entries(more, path, "t", source="run").collect()}
+    assert entries["2019-01-01 10:00:00", "1"] == 900 and entries["2019-01-01 10:00:00", "2"] == 0
+
+
 @pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York", "Australia/Lord_Howe", "Europe/London"])
 def test_zone_clocks_against_brute_force(spark, zone):
     """Every half hour around a year's changes: an instant comes out if and only if it is the only one."""
