@@ -14,10 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotloom.session import stage
+from hotloom.session import stage_counted
 
 #: Positions in a block at most, a single longer list excepted; its distinct items and their values fit a task.
 BLOCK_ITEMS = 1_000_000
+#: Blocks that one task puts together again, about 2 MB each; so tasks grow in number with the corpus, not in size.
+BLOCKS_A_TASK = 2
 
 
 def _values(a: pa.Array) -> pa.Array:
@@ -48,11 +50,12 @@ def _packer(item: pa.DataType, most: int) -> Callable[[Iterator[pa.RecordBatch]]
     return pack
 
 
-def to_blocks(df: DataFrame, key: str, items: str, item: pa.DataType, item_sql: str, most: int = BLOCK_ITEMS) -> DataFrame:
-    """(block, keys, counts, codes, items), staged: consecutive rows' lists packed together. A null list is an empty one."""
+def to_blocks(df: DataFrame, key: str, items: str, item: pa.DataType, item_sql: str, most: int = BLOCK_ITEMS) -> tuple[DataFrame, int]:
+    """(block, keys, counts, codes, items), staged, and their number: consecutive rows' lists packed together. A null list
+    is an empty one."""
     kept = df.select(F.col(key).cast("long"), F.coalesce(F.col(items), F.array().cast(f"array<{item_sql}>")))
     packed = kept.mapInArrow(_packer(item, most), f"block long, keys array<long>, counts array<int>, codes array<int>, items array<{item_sql}>")
-    return stage(packed, "blocks")
+    return stage_counted(packed, "blocks")
 
 
 def distinct_items(blocks: DataFrame) -> DataFrame:
@@ -75,15 +78,16 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys, out], names=["key", "joined"])
 
 
-def from_blocks(blocks: DataFrame, table: DataFrame, value_sql: str) -> DataFrame:
+def from_blocks(blocks: DataFrame, number: int, table: DataFrame, value_sql: str) -> DataFrame:
     """(key, joined): each list with its items replaced by table's value (item, value) and the values run together.
 
-    ``value_sql`` is an array or binary type. Every item must have an entry. The table may be of any size; an item of
-    all blocks is one row per block there.
+    ``value_sql`` is an array or binary type, ``number`` that of the blocks. Every item must have an entry. The table may
+    be of any size; an item of all blocks is one row per block there.
     """
+    tasks = max(1, -(-number // BLOCKS_A_TASK))
     rows = blocks.select("block", F.posexplode("items").alias("code", "item"))
-    found = rows.join(table, "item").groupBy("block").agg(F.collect_list("code").alias("codes_"), F.collect_list("value").alias("values_"))
-    both = blocks.select("block", "keys", "counts", "codes").join(found, "block", "left")
+    found = rows.join(table, "item").repartition(tasks, "block").groupBy("block").agg(F.collect_list("code").alias("codes_"), F.collect_list("value").alias("values_"))
+    both = blocks.select("block", "keys", "counts", "codes").repartition(tasks, "block").join(found, "block", "left")
     empty = F.array()
     both = both.select("keys", "counts", "codes", F.coalesce("codes_", empty.cast("array<int>")), F.coalesce("values_", empty.cast(f"array<{value_sql}>")))
     return both.mapInArrow(_unpack, f"key long, joined {value_sql}")

@@ -43,9 +43,9 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
     """(key, ids array<int>) of every row. Null and empty texts give an empty list; nothing is trimmed or normalised, and
     strings of special tokens are ordinary text. Rows with repeated keys come out each."""
     words = df.select(key, F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)).alias("words"))
-    blocks = to_blocks(words, key, "words", pa.string(), "string")
+    blocks, number = to_blocks(words, key, "words", pa.string(), "string")
     table = stage(distinct_items(blocks).mapInArrow(_encoder(vocabulary), "item string, value array<int>"), "words")
-    return from_blocks(blocks, table, "array<int>").select(F.col("key").alias(key), F.col("joined").alias("ids"))
+    return from_blocks(blocks, number, table, "array<int>").select(F.col("key").alias(key), F.col("joined").alias("ids"))
 
 
 def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -56,6 +56,6 @@ def pieces(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) of every row's ids; an empty or null list gives an empty text. Rows with an unknown id are an error."""
-    blocks = to_blocks(df, key, ids, pa.int32(), "int")
+    blocks, number = to_blocks(df, key, ids, pa.int32(), "int")
     table = F.broadcast(pieces(df.sparkSession, vocabulary))
-    return from_blocks(blocks, table, "binary").select(F.col("key").alias(key), F.decode("joined", "UTF-8").alias("text"))
+    return from_blocks(blocks, number, table, "binary").select(F.col("key").alias(key), F.decode("joined", "UTF-8").alias("text"))

@@ -62,7 +62,7 @@ def test_blocks_of_any_size(spark):
     rows = [(i, [rng.choice("abcdefg") for _ in range(rng.randrange(12))] if i % 5 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "k long, items array<string>")
     for most in (1, 7, 1000):
-        blocks = to_blocks(df, "k", "items", pa.string(), "string", most)
+        blocks, number = to_blocks(df, "k", "items", pa.string(), "string", most)
         table = distinct_items(blocks).selectExpr("item", "array(ascii(item), 0) as value")
-        got = {r.key: r.joined for r in from_blocks(blocks, table, "array<int>").collect()}
+        got = {r.key: r.joined for r in from_blocks(blocks, number, table, "array<int>").collect()}
         assert got == {k: [x for w in v or [] for x in (ord(w), 0)] for k, v in rows}
