@@ -1,8 +1,9 @@
 """Long spans shared with a reference, by suffix automata: the named method for shared spans, for bounded references.
 
-The reference is cut into shards of whole texts, each becomes one suffix automaton, and every document is streamed
-through it for the longest match that ends at each character. One pass over all documents is needed per shard, so the
-work is documents times reference; see README for figures and for what answers the whole corpus instead.
+The reference is cut into shards of whole texts, each becomes one suffix automaton, built once in a task of its own and
+broadcast as flat arrays, and every document is streamed through it for the longest match that ends at each character.
+One pass over all documents is needed per shard, so the work is documents times reference; see README for figures and
+for what answers the whole corpus instead.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of reference texts in one automaton (about 0.5 GB of Python objects a million), and of all of them.
-SHARD_CHARS, MOST_CHARS = 200_000, 5_000_000
+#: Characters of reference texts in one automaton (its arrays take about 30 bytes a character, a streaming process some
+#: 300), and of all of them.
+SHARD_CHARS, MOST_CHARS = 1_000_000, 5_000_000
+_CODE_BITS = 21  # a character's code
 
 
 class SuffixAutomaton:
@@ -70,19 +74,46 @@ class SuffixAutomaton:
                 k = self.link[k]
         return new
 
-    def statistics(self, text: str, owner: object) -> np.ndarray:
-        """Length of the longest match with texts of other owners that ends at each character."""
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The automaton as flat arrays: link, length, owner and many per state; key (state and character) and target per
+        edge, in the order of the keys."""
+        size = np.fromiter((len(e) for e in self.next), np.int64, len(self.next))
+        codes = np.fromiter((ord(c) for e in self.next for c in e), np.int64, int(size.sum()))
+        target = np.fromiter((t for e in self.next for t in e.values()), np.int32, len(codes))
+        key = (np.repeat(np.arange(len(size)), size) << _CODE_BITS) | codes
+        order = np.argsort(key)
+        many = np.fromiter((o is self.MANY for o in self.owner), bool, len(self.owner))
+        owner = np.fromiter((0 if o is self.MANY else o for o in self.owner), np.int64, len(self.owner))
+        return {"link": np.array(self.link, np.int32), "length": np.array(self.length, np.int32), "owner": owner, "many": many, "key": key[order], "target": target[order]}
+
+
+class Stream:
+    """Matching statistics from an automaton's flat arrays."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.edges = dict(zip(arrays["key"].tolist(), arrays["target"].tolist(), strict=True))
+        self.link, self.length = arrays["link"].tolist(), arrays["length"].tolist()
+        self.owner = [None if m else o for o, m in zip(arrays["owner"].tolist(), arrays["many"].tolist(), strict=True)]
+
+    def statistics(self, text: str, owner: int | None = None) -> np.ndarray:
+        """Length of the longest match with texts of other owners that ends at each character; with None, of any."""
+        edges, link, length, owners = self.edges, self.link, self.length, self.owner
         state, n, out = 0, 0, np.zeros(len(text), np.int64)
-        for k, c in enumerate(text):
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                n = self.length[state]
-            if c in self.next[state]:
-                state, n = self.next[state][c], n + 1
-            p, m = state, n
-            while p and self.owner[p] == owner:
-                p = self.link[p]
-                m = self.length[p]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).tolist()
+        for k, c in enumerate(codes):
+            to = edges.get(state << _CODE_BITS | c)
+            while to is None and state:
+                state = link[state]
+                n = length[state]
+                to = edges.get(state << _CODE_BITS | c)
+            if to is not None:
+                state, n = to, n + 1
+            m = n
+            if owner is not None:
+                p = state
+                while p and owners[p] == owner:
+                    p = link[p]
+                    m = length[p]
             out[k] = m
         return out
 
@@ -96,41 +127,56 @@ def maximal_spans(statistics: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[last].tolist(), (ends[last] + 1).tolist(), strict=True))
 
 
-def _streamer(shard: list[tuple[int, str]], length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_STATE = "shard int, name string, data binary"
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """One shard's automaton as rows (shard, array's name, its bytes)."""
+    automaton = SuffixAutomaton()
+    for owner, text in zip(table["i"].to_pylist(), table["t"].to_pylist(), strict=True):
+        automaton.add(text, owner)
+    arrays = automaton.arrays()
+    shard = table["shard"][0].as_py()
+    return pa.table({"shard": pa.array([shard] * len(arrays), pa.int32()), "name": pa.array(list(arrays)), "data": pa.array([a.tobytes() for a in arrays.values()], pa.binary())})
+
+
+KINDS = {"link": np.int32, "length": np.int32, "owner": np.int64, "many": bool, "key": np.int64, "target": np.int32}
+
+
+def _streamer(state: Broadcast, length: int, same_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton()
-        for owner, text in shard:
-            automaton.add(text, owner)
+        automaton = None
         for batch in batches:
-            rows = [(key, a, b) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text is not None and len(text) >= length for a, b in maximal_spans(automaton.statistics(text, key), length)]
+            automaton = automaton or Stream({name: np.frombuffer(data, KINDS[name]) for name, data in state.value.items()})
+            texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(key, a, b) for key, text in texts if text is not None and len(text) >= length for a, b in maximal_spans(automaton.statistics(text, key if same_ids else None), length)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "stop"])
 
     return stream
 
 
-def reference_spans(docs: DataFrame, reference: DataFrame, doc_id: str, text: str, length: int, shard_chars: int = SHARD_CHARS, most: int = MOST_CHARS) -> DataFrame:
-    """(doc_id, start, stop): maximal spans of at least ``length`` characters that a document shares with another text of
-    some shard of the reference.
+def reference_spans(docs: DataFrame, reference: DataFrame, doc_id: str, text: str, length: int, shard_chars: int = SHARD_CHARS, most: int = MOST_CHARS, same_ids: bool = True) -> DataFrame:
+    """(doc_id, start, stop): maximal spans of at least ``length`` characters that a document shares verbatim with
+    another text of some shard of the reference.
 
-    The reference's size is measured first; more than ``most`` characters are a ValueError, as each shard costs a pass
-    over all documents. Null and short texts have no spans.
+    Both tables have the id in ``doc_id`` and the text in ``text``. With ``same_ids`` a document isn't compared with the
+    reference's text of its own id; else the reference is another collection and all of it counts. The reference's size
+    is measured first; more than ``most`` characters are a ValueError, as each shard costs a pass over all documents.
+    Null and short texts have no spans; an empty reference gives none. A span that two shards hold comes once.
     """
+    spark = docs.sparkSession
     held = reference.where(F.length(text) >= length).select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
     chars = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     if chars > most:
         raise ValueError(f"the reference has {chars} characters, more than {most}")
-    shards: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in held.orderBy("i").toLocalIterator():
-        if size and size + len(row.t) > shard_chars:
-            shards.append([])
-            size = 0
-        shards[-1].append((row.i, row.t))
-        size += len(row.t)
+    # no more rows than characters were counted, so one task may number them
+    before = F.coalesce(F.sum(F.length("t")).over(Window.orderBy("i", "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards: dict[int, dict[str, bytes]] = {}
+    for row in held.withColumn("shard", F.floor(before / F.lit(shard_chars)).cast("int")).groupBy("shard").applyInArrow(_build, _STATE).collect():
+        shards.setdefault(row.shard, {})[row.name] = bytes(row.data)
     texts = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    found = None
-    for shard in shards:
-        one = texts.mapInArrow(_streamer(shard, length), "doc_id long, start long, stop long")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+    found = spark.createDataFrame([], "doc_id long, start long, stop long")
+    for shard in sorted(shards):
+        found = found.unionByName(texts.mapInArrow(_streamer(spark.sparkContext.broadcast(shards[shard]), length, same_ids), "doc_id long, start long, stop long"))
+    return found.distinct() if len(shards) > 1 else found

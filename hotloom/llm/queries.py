@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotloom.llm import clusters, leakage, spans, tokens
+from hotloom.llm import automata, clusters, leakage, spans, tokens
 from hotloom.sources.tables import table
 
 
@@ -50,7 +50,18 @@ def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return spans.coverage(table(spark, folder, "documents"), "doc_id", "text", every=True)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_ids, p6_roundtrip, p7_found, p7_spans, p8_found, p8_coverage)}
+#: Characters that a document and a test item must share; the items are shorter than p8_found's 300.
+ITEM_SPAN = 60
+
+
+def p8_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """The maximal spans of at least ITEM_SPAN characters of every document that some test item holds verbatim: all
+    documents streamed through the suffix automaton of the items."""
+    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("doc_id"), "text")
+    return automata.reference_spans(table(spark, folder, "documents"), items, "doc_id", "text", ITEM_SPAN, same_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_ids, p6_roundtrip, p7_found, p7_spans, p8_found, p8_coverage, p8_reference)}
 _R = "6371008.8"
 _METRES = f"2*{_R}*asin(sqrt(least(1.0, pow(sin((radians(q.lat)-radians(p.lat))/2),2) + cos(radians(p.lat))*cos(radians(q.lat))*pow(sin((radians(q.lon)-radians(p.lon))/2),2))))"
 ORACLE = {
@@ -71,6 +82,14 @@ p as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: arr
 d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') w from documents where text is not null),
 q as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) g from d where len(w) >= 12)
 select distinct item_id, doc_id from p join q using (g)""",
+    "p8_reference": f"""
+with e as (select text t from eval_items where length(text) >= {ITEM_SPAN}),
+g as (select distinct substr(t, i, {ITEM_SPAN}) g from (select t, unnest(range(1, length(t) - {ITEM_SPAN - 2})) i from e)),
+d as (select doc_id, text, unnest(range(1, length(text) - {ITEM_SPAN - 2})) i from documents where length(text) >= {ITEM_SPAN}),
+h as (select doc_id, text, i from d where substr(text, i, {ITEM_SPAN}) in (select g from g)),
+x as (select doc_id, i, max(n) n from (select doc_id, i, text, unnest(range({ITEM_SPAN}, 1 + least(length(text) - i + 1, (select max(length(t)) from e)))) n from h) s
+  where exists (select 1 from e where contains(t, substr(s.text, i, n))) group by all)
+select doc_id, (i - 1)::bigint as start, (i - 1 + n)::bigint as stop from x where not exists (select 1 from x y where y.doc_id = x.doc_id and y.i = x.i - 1 and y.i + y.n >= x.i + x.n)""",
     "p8_found": """
 with d as (select doc_id, text from documents where length(text) >= 300),
 g as (select distinct doc_id, hash(substr(text, i, 300)) h from (select doc_id, text, unnest(range(1, length(text) - 298)) i from d)),

@@ -1,6 +1,8 @@
 import random
 
-from hotloom.llm.automata import SuffixAutomaton, maximal_spans, reference_spans
+import pytest
+
+from hotloom.llm.automata import Stream, SuffixAutomaton, maximal_spans, reference_spans
 
 
 def brute(text, others):
@@ -16,7 +18,7 @@ def test_statistics_with_other_owners():
         for owner, text in enumerate(texts):
             automaton.add(text, owner)
         for owner, text in enumerate(texts):
-            assert automaton.statistics(text, owner).tolist() == brute(text, [t for o, t in enumerate(texts) if o != owner]), (size, owner)
+            assert Stream(automaton.arrays()).statistics(text, owner).tolist() == brute(text, [t for o, t in enumerate(texts) if o != owner]), (size, owner)
 
 
 def test_reference_spans(spark):
@@ -36,6 +38,17 @@ def test_reference_spans(spark):
     assert got == want and want
 
 
+def test_reference_of_other_texts(spark):
+    docs = spark.createDataFrame([(1, "abc" + "q" * 30 + "xyz"), (2, None), (3, ""), (4, "😀" * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "q" * 12), (4, "😀" * 10), (5, None), (6, "short")], "doc_id long, text string")
+    for chars in (5, 10**6):  # a shard for each text, and one for all
+        got = sorted(tuple(r) for r in reference_spans(docs, items, "doc_id", "text", 10, shard_chars=chars, same_ids=False).collect())
+        assert got == [(1, k, k + 12) for k in range(3, 22)] + [(4, k, k + 10) for k in range(3)]
+    assert reference_spans(docs, items.limit(0), "doc_id", "text", 10, same_ids=False).count() == 0
+    with pytest.raises(ValueError, match="characters"):
+        reference_spans(docs, items, "doc_id", "text", 10, most=5)
+
+
 def test_maximal_spans_of_nothing():
     import numpy as np
 
