@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotloom.operators.skew import split_join
+from hotloom.operators.skew import BLOCK, crowded, in_every_block, in_own_block, pairs_within, split_join, with_blocks
 from hotloom.session import stage
 
 LENGTH, GRAM = 300, 100
@@ -23,7 +23,15 @@ CHUNK = 1 << 20
 #: An anchor with more occurrences isn't compared in one task: its windows are spread over all of them by their hash.
 CROWD = 1_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_INV = np.uint64(pow(int(_MUL), -1, 1 << 64))
+#: A second multiplier, for hashes independent of the first.
+_MUL2 = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _inverse(mul: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(mul), -1, 1 << 64))
+
+
+_INV = _inverse(_MUL)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,9 +136,9 @@ def _contexts(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return contexts
 
 
-def window_table(before: np.ndarray, contexts: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def window_table(before: np.ndarray, contexts: list[str], length: int, gram: int, mul: np.uint64 = _MUL) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (occurrence, shift) of the windows of ``length`` characters that start side - shift before the anchor, and
-    which of them lie in the text; side = length - gram."""
+    which of them lie in the text; side = length - gram. ``mul`` is an odd multiplier."""
     side = length - gram
     wide = side + length
     sizes = np.array([len(c) for c in contexts])
@@ -140,7 +148,7 @@ def window_table(before: np.ndarray, contexts: list[str], length: int, gram: int
     row = np.repeat(np.arange(len(contexts)), sizes)
     col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[row]
     chars[row, col] = flat
-    up, down = _powers(_MUL, wide + 1), _powers(_INV, wide + 1)
+    up, down = _powers(mul, wide + 1), _powers(_inverse(mul), wide + 1)
     p = np.zeros((len(contexts), wide + 1), np.uint64)
     np.cumsum(_mix(chars.astype(np.uint64) + np.uint64(7)) * up[:wide], axis=1, out=p[:, 1:])
     h = _mix((p[:, length:] - p[:, :-length]) * down[: wide - length + 1])
@@ -238,11 +246,12 @@ def _spreader(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 batch = whole.slice(i, 2_000)
                 at, before, contexts = np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4).to_pylist()
                 h, real = window_table(before, contexts, length, gram)
+                g, _ = window_table(before, contexts, length, gram, _MUL2)
                 row, shift = np.nonzero(real)
                 start = at[row] - (length - gram) + shift
                 known = (shift > 0) & real[row, shift - 1]
                 was = pa.array(h[row, shift - 1].view(np.int64), mask=~known)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shift.astype(np.int32)), pa.array(h[row, shift].view(np.int64)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int64)), was], names=["anchor", "shift", "h", "doc", "start", "was"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shift.astype(np.int32)), pa.array(h[row, shift].view(np.int64)), pa.array(g[row, shift].view(np.int64)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int64)), was], names=["anchor", "shift", "h", "g", "doc", "start", "was"])
 
     return spread
 
@@ -258,7 +267,8 @@ def copies(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
 def matches(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(found, same): found, staged, has (kind, x, y, z): 0 for documents x < y that share a span of at least ``length``
     characters, 1 for a stretch [y, z) of document x that lies in such spans. Of exact copies only the smallest id is in
-    found; same is (doc, rep, n) of all texts long enough.
+    found; same is (doc, rep, n) of all texts long enough. Pairs are settled by comparing the texts. So are stretches,
+    but those around an anchor with more than ``crowd`` occurrences, where two independent 64-bit hashes must be equal.
     """
     same = copies(docs, doc_id, text, length)
     texts = docs.where(F.length(text) >= length).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -277,31 +287,58 @@ def matches(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram:
     few = context.join(big, context["anchor"] == big["__anchor"], "left_anti")
     result = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_matcher(length, gram), "kind int, x long, y long, z long")
     if not big.isEmpty():
-        wide = context.join(big, context["anchor"] == big["__anchor"], "left_semi").mapInArrow(_spreader(length, gram), "anchor long, shift int, h long, doc long, start long, was long")
-        wide = stage(wide, "crowded_windows")
-        key = ["anchor", "shift", "h"]
-        mixed = stage(wide.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), ((F.min("was") != F.max("was")) | (F.count("was") < F.count(F.lit(1)))).alias("fresh")).where("lo < hi").withColumnsRenamed({k: f"__{k}" for k in key}), "crowded_shared")
-        hit = stage(split_join(wide, mixed.select("__anchor", "__shift", "__h", "n", "fresh"), {k: f"__{k}" for k in key}, "n").select(*key, "doc", "start", "fresh"), "crowded_hits")
-        # a class whose members shared the window before, too, holds no new pair
-        a = hit.where("fresh").select(*key, F.col("doc").alias("x")).distinct()
-        pairs = a.join(a.withColumnRenamed("x", "y"), key).where("x < y").select(F.lit(0).alias("kind"), "x", "y", F.lit(0).cast("long").alias("z")).distinct()
+        hot = context.join(big, context["anchor"] == big["__anchor"], "left_semi")
+        wide = stage(hot.mapInArrow(_spreader(length, gram), "anchor long, shift int, h long, g long, doc long, start long, was long"), "crowded_windows")
+        key = ["anchor", "shift", "h", "g"]
+        mixed = wide.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), ((F.min("was") != F.max("was")) | (F.count("was") < F.count(F.lit(1)))).alias("fresh"))
+        mixed = stage(mixed.where("lo < hi").withColumnsRenamed({k: f"__{k}" for k in key}), "crowded_shared")
+        hit = stage(split_join(wide, mixed.select(*[f"__{k}" for k in key], "n", "fresh"), {k: f"__{k}" for k in key}, "n").select("anchor", "shift", "doc", "start", "fresh"), "crowded_hits")
+        # a class whose members shared the window before, too, holds no new pair; of the others the texts themselves decide
+        side = length - gram
+        at = context.select(F.col("anchor").alias("__a"), F.col("doc").alias("__d"), F.col("at").alias("__at"), "before", "context")
+        new = hit.where("fresh").select("anchor", "shift", "doc", (F.col("start") + side - F.col("shift")).alias("__pos"))
+        new = new.join(at, (F.col("anchor") == F.col("__a")) & (F.col("doc") == F.col("__d")) & (F.col("__pos") == F.col("__at")))
+        window = F.substring(F.col("context"), F.col("before") - side + F.col("shift") + 1, F.lit(length))
+        members = stage(new.select("anchor", "shift", window.alias("window"), "doc").distinct(), "crowded_members")
+        pairs = pairs_within(members, ["anchor", "shift", "window"], "doc").select(F.lit(0).alias("kind"), "x", "y", F.lit(0).cast("long").alias("z")).distinct()
         result = result.unionByName(pairs).unionByName(hit.select(F.lit(1).alias("kind"), F.col("doc").alias("x"), F.col("start").alias("y"), (F.col("start") + length).alias("z")).distinct())
     return stage(result, "span_matches"), same
 
 
-def sharing_pairs(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def sharing_classes(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): what sharing_pairs lists, in a form that stays small however many copies there are. pairs (x, y)
+    are between classes of exactly equal texts, each named by its smallest id; members (doc_id, class, copies, links) has
+    each text of at least ``length`` characters once, with the number of its copies, itself counted, and of documents of
+    other classes it shares a span with."""
+    found, same = matches(docs, doc_id, text, length, gram, crowd)
+    pairs = stage(found.where("kind = 0").select("x", "y").distinct(), "class_pairs")
+    sizes = same.where("doc = rep").select(F.col("rep").alias("__rep"), F.col("n").alias("__n"))
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    links = both.join(sizes, F.col("y") == F.col("__rep")).groupBy("x").agg(F.sum("__n").alias("__links"))
+    known = sizes.join(links, F.col("__rep") == F.col("x"), "left").select("__rep", "__n", F.coalesce("__links", F.lit(0)).alias("__links"))
+    members = split_join(same.select("doc", "rep"), stage(known, "class_links"), {"rep": "__rep"}, "__n")
+    return pairs, members.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class"), F.col("__n").alias("copies"), F.col("__links").alias("links"))
+
+
+def sharing_pairs(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose texts share a span of at least ``length`` characters, verbatim.
 
-    Null and shorter texts share nothing; exact copies share if they are long enough. Document ids must be unique.
+    Null and shorter texts share nothing; exact copies share if they are long enough. Document ids must be unique. The
+    result grows with the square of the copies, which sharing_classes() doesn't; a class of many copies is cut into
+    blocks, so no task forms more than the pairs of two.
     """
     found, same = matches(docs, doc_id, text, length, gram, crowd)
-    rep = found.where("kind = 0").select("x", "y").distinct()
-    a = same.select(F.col("doc").alias("a"), F.col("rep").alias("ra"))
-    b = same.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
-    cross = rep.join(a, F.col("x") == F.col("ra")).join(b, F.col("y") == F.col("rb"))
-    many = same.where("n > 1")
-    within = many.select(F.col("doc").alias("a"), "rep").join(many.select(F.col("doc").alias("b"), "rep"), "rep").where("a < b")
-    return cross.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).unionByName(within.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")))
+    many = same.where("n > 1").select("rep", "doc")
+    within = pairs_within(many, ["rep"], "doc", block).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
+    crowds = crowded(same.where("doc = rep").select("rep", F.col("n").alias("__n")), "__n", ["rep"], block)
+    member = in_own_block(with_blocks(same.select("rep", "doc"), crowds, {"rep": "rep"}, "__nb"), "__nb", F.col("doc"), "__own")
+    units = found.where("kind = 0").select("x", "y").distinct()
+    for s in "xy":
+        units = in_every_block(with_blocks(units, crowds, {s: "rep"}, "__nb"), "__nb", f"block_{s}")
+    for s, name in (("x", "a"), ("y", "b")):
+        m = member.select(F.col("rep").alias("__rep"), F.col("doc").alias(name), "__own")
+        units = units.join(m, (units[s] == m["__rep"]) & (units[f"block_{s}"] == m["__own"])).drop("__rep", "__own")
+    return units.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).unionByName(within)
 
 
 def coverage(docs: DataFrame, doc_id: str, text: str, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, every: bool = False) -> DataFrame:

@@ -93,6 +93,40 @@ def test_pairs_and_coverage(spark, seed, alphabet, crowd):
     assert found == covered
 
 
+def test_equal_hashes_dont_make_pairs(spark, monkeypatch):
+    """With hashes of a single bit nearly all windows collide; the texts themselves decide on the pairs, above the limit
+    of crowded anchors, too."""
+    docs = corpus(3, "abcdefghijk ")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs, _ = truth(docs, L)
+    real = spans.window_table
+    spread = spans._spreader(L, G)
+
+    def dull(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in spread(batches):
+            one = pa.array(np.zeros(b.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), one, one, b.column(4), b.column(5), pa.nulls(b.num_rows, pa.int64())], names=["anchor", "shift", "h", "g", "doc", "start", "was"])
+
+    monkeypatch.setattr(spans, "_spreader", lambda *_: dull)
+    got = {tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text", L, G, 2).collect()}
+    assert got == pairs and spans.window_table is real
+
+
+def test_many_copies_and_classes(spark):
+    base = "".join(random.Random(5).choice("abcdefgh ") for _ in range(80))
+    docs = [(k, base) for k in range(25)] + [(100 + k, base[:40] + "!" * 9) for k in range(12)] + [(200, base[:35] + "?"), (201, "other"), (202, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(a, b) for a, t in docs for b, u in docs if a < b and t and u and (t == u or (t[:30] == u[:30])) and len(t) >= 30 and len(u) >= 30}
+    got = [tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text", L, G, block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs, members = spans.sharing_classes(df, "doc_id", "text", L, G)
+    assert {tuple(r) for r in pairs.collect()} == {(0, 100), (0, 200), (100, 200)}
+    assert {(r.doc_id, r["class"], r.copies, r.links) for r in members.collect()} == {(k, 0, 25, 13) for k in range(25)} | {(100 + k, 100, 12, 26) for k in range(12)} | {(200, 200, 1, 37)}
+
+
 def test_coverage_of_every_document(spark, monkeypatch):
     same = "".join(random.Random(3).choice("abcdefgh ") for _ in range(400))
     df = spark.createDataFrame([(1, same), (2, same + "x"), (3, "short"), (4, None), (5, "")], "doc_id long, text string")
