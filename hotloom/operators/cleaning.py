@@ -17,6 +17,11 @@ REQUIRED = [
     "ward_title", "category_id", "category_title", "sub_category_title", "civic_agency_title", "complaint_status_title", "comment_count",
 ]
 SENSITIVE = ["title", "description", "location", "address"]
+#: All that is stored of a normalised complaint; anything else a file may hold, free text included, is not.
+STORED = [
+    "rowid_", "run_id", "request_id", "local_time", "month", "issue_type", "sub_issue_type", "status", "ward_id", "ward_name", "source_ward_id", "latitude", "longitude",
+    "is_target", "in_boundary", "usable", "suspect_fallback_pin", "coord_multiplicity",
+]
 #: Coordinates so often repeated are suspected to be a default pin; swapped pairs lie in these ranges.
 PIN_LIMIT, SWAPPED_LAT, SWAPPED_LON, COARSE_DECIMALS = 8, (77.0, 78.0), (12.0, 14.0), 3
 

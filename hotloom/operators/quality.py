@@ -1,7 +1,7 @@
 """Distributions and quality figures of complaint rows.
 
 Rows have the columns that plans.reports.issues gives: month (YYYY-MM or null), category, sub_category, is_target,
-usable, in_boundary, pin (booleans), run_id, lat, lon and so on.
+usable, in_boundary, pin (booleans), reported (a date), run_id, lat, lon and so on.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotloom.operators.cleaning import coordinate_flags
+from hotloom.operators.cleaning import coarsened, coordinate_flags
 from hotloom.operators.series import month_spine
 
 MIN_POINTS, MIN_MONTHS = 500, 24
@@ -78,10 +78,12 @@ def multiplicity_histogram(df: DataFrame, most: int = 12) -> DataFrame:
 
 
 def duplicate_coordinates(df: DataFrame) -> DataFrame:
-    """Coordinates with two or more complaints and a target: counts, distinct kinds and months, first and last month."""
+    """Coordinates with two or more complaints and a target: counts, distinct kinds and months, first and last day of
+    report, whether all complaints suspect a default pin. One row per exact coordinate of a run, of which only 3 places
+    come out, so no report's place does."""
     g = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("run_id", "lat", "lon")
-    g = g.agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"), F.countDistinct("sub_category").alias("kinds"), F.countDistinct("month").alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
-    return g.where((F.col("complaints") >= 2) & (F.col("targets") >= 1))
+    g = g.agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"), F.countDistinct("sub_category").alias("kinds"), F.countDistinct("month").alias("months"), F.min("reported").alias("first_report"), F.max("reported").alias("last_report"), F.min("pin").alias("pin"))
+    return g.where((F.col("complaints") >= 2) & (F.col("targets") >= 1)).withColumns({"lat": coarsened(F.col("lat")), "lon": coarsened(F.col("lon"))})
 
 
 def exact_copies(df: DataFrame) -> DataFrame:
@@ -90,6 +92,22 @@ def exact_copies(df: DataFrame) -> DataFrame:
 
 
 def data_gate(df: DataFrame) -> DataFrame:
-    """One row: usable targets and months covered, and whether both suffice for the analysis."""
-    d = df.agg(F.count(F.lit(1)).alias("complaints"), F.count_if(F.col("is_target") & F.col("usable")).alias("usable_targets"), F.countDistinct("month").alias("months"))
+    """One row: the gate's verdict and what it rests on.
+
+    usable_targets are usable targets without suspected default pins, months the distinct months of those; both decide.
+    The rest is context: rows, undated rows, months with any complaint and their ends, rows inside the boundary, the range
+    of coordinates as they are stored, missing and valid coordinates, and the targets' own figures. An empty table fails.
+    """
+    flags = coordinate_flags(F.col("lat"), F.col("lon"))
+    valid = ~(flags["null_coord"] | flags["out_of_range"] | flags["zero_zero"] | flags["swapped"])
+    analysed = F.col("is_target") & F.col("usable") & ~F.col("pin")
+    share = lambda c: F.lit(100.0) * F.count_if(c) / F.nullif(F.count(F.lit(1)), F.lit(0))
+    of = lambda mask, c: F.when(mask, F.col(c))
+    d = df.agg(
+        F.count(F.lit(1)).alias("complaints"), F.count_if(analysed).alias("usable_targets"), F.countDistinct(of(analysed, "month")).alias("months"), F.count_if(F.col("month").isNull()).alias("undated"),
+        F.countDistinct("month").alias("months_with_data"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count_if("in_boundary").alias("inside_boundary"), share(F.col("in_boundary")).alias("inside_boundary_pct"),
+        F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.count_if(flags["null_coord"]).alias("missing_coordinates"), share(flags["null_coord"]).alias("missing_coordinates_pct"),
+        F.count_if(valid).alias("valid_coordinates"), F.count_if("is_target").alias("targets"), F.count_if(F.col("is_target") & valid).alias("valid_targets"), F.count_if(F.col("is_target") & F.col("usable")).alias("targets_inside"),
+        F.count_if(F.col("is_target") & F.col("usable") & F.col("pin")).alias("target_pins_inside"), F.min(of(F.col("is_target"), "month")).alias("first_target_month"), F.max(of(F.col("is_target"), "month")).alias("last_target_month"),
+    )
     return d.withColumn("passed", (F.col("usable_targets") >= MIN_POINTS) & (F.col("months") >= MIN_MONTHS))

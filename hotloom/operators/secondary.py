@@ -50,17 +50,25 @@ def ward_counts(records: DataFrame, wards: DataFrame, primary: DataFrame, months
     return both.fillna(0, ["second", "first"])
 
 
-def compare(counts: DataFrame) -> dict:
-    """Figures of ward_counts: records, ratio, rank correlation with its p-value, and shared wards among each 20 first.
+def comparison(counts: DataFrame) -> DataFrame:
+    """One row of figures of ward_counts (a row per ward): wards, second_inside, first, ratio, rho and its two-sided
+    p_value by Student's distribution, top_overlap, the wards among both sources' 20 first (of equal counts the smaller
+    ward_id). Under 10 wards rho, p_value and top_overlap are null."""
+    one = F.lit(1)
+    n = counts.agg(F.count(one).alias("wards"), F.coalesce(F.sum("second"), F.lit(0)).alias("second_inside"), F.coalesce(F.sum("first"), F.lit(0)).alias("first"))
+    tail = F.udf(lambda r, n: None if r is None else 0.0 if abs(r) >= 1 else student_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2), "double")  # one row
+    rho = spearman(counts, "second", "first").select("rho")
+    top = lambda c: counts.orderBy(F.desc(c), "ward_id").limit(TOP).select("ward_id")
+    both = top("second").intersect(top("first")).agg(F.count(one).alias("top_overlap"))
+    out = n.withColumn("__k", one).join(rho.withColumn("__k", one), "__k").join(both.withColumn("__k", one), "__k")
+    ratio = F.rint(F.col("second_inside") / F.greatest("first", one) * 10) / 10
+    return out.select("wards", "second_inside", "first", ratio.alias("ratio"), "rho", tail("rho", "wards").alias("p_value"), F.when(F.col("wards") >= 10, F.col("top_overlap")).alias("top_overlap"))
 
-    Fewer than 10 wards give no correlation. The figures are scalars of a table with a row per ward.
-    """
-    n = counts.agg(F.count(F.lit(1)).alias("wards"), F.sum("second").alias("second"), F.sum("first").alias("first")).first()
-    out = {"wards": n.wards, "second_inside": n.second or 0, "first": n.first or 0, "ratio": round((n.second or 0) / max(n.first or 0, 1), 1)}
-    rho = spearman(counts, "second", "first").first().rho
-    if rho is not None:
-        t = math.inf if abs(rho) >= 1 else rho * math.sqrt((n.wards - 2) / (1 - rho * rho))
-        out["rho"], out["p_value"] = rho, student_tail(t, n.wards - 2)
-        top = lambda c: counts.orderBy(F.desc(c), "ward_id").limit(TOP).select("ward_id")
-        out["top_overlap"] = top("second").intersect(top("first")).count()
-    return out
+
+def density(counts: DataFrame, footprint: DataFrame, city: DataFrame) -> DataFrame:
+    """One row: records inside and elsewhere (counts), area_km2 of the outlines dissolved, city_km2, both densities and
+    their ratio; null where an area or the density elsewhere is 0."""
+    k = F.lit(1)
+    d = counts.withColumn("__k", k).join(footprint.withColumn("__k", k), "__k").join(city.withColumn("__k", k), "__k").drop("__k")
+    d = d.withColumns({"density_inside": F.col("inside") / F.nullif("area_km2", F.lit(0.0)), "density_elsewhere": F.col("elsewhere") / F.greatest(F.col("city_km2") - F.col("area_km2"), F.lit(1e-9))})
+    return d.withColumn("ratio", F.col("density_inside") / F.nullif("density_elsewhere", F.lit(0.0)))

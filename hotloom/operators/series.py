@@ -188,7 +188,7 @@ def unit_metrics(series: DataFrame, units: DataFrame, rate: Column, test: bool =
     """
     u = units.withColumn("expected", rate * F.col("area_km2"))
     u = u.withColumn("active_threshold", active_threshold(F.col("expected"))).withColumn("p0", tail_from(F.col("expected"), F.col("active_threshold")))
-    m = series.join(u, "unit").groupBy("unit", "area_km2", "expected", "active_threshold", "p0").agg(F.count_if(F.col("target_reports") >= F.col("active_threshold")).alias("active_months"), F.count(F.lit(1)).alias("months"), F.sum("target_reports").alias("total_reports"))
+    m = series.join(u.select("unit", "area_km2", "expected", "active_threshold", "p0"), "unit").groupBy("unit", "area_km2", "expected", "active_threshold", "p0").agg(F.count_if(F.col("target_reports") >= F.col("active_threshold")).alias("active_months"), F.count(F.lit(1)).alias("months"), F.sum("target_reports").alias("total_reports"))
     enough = F.col("months") >= MIN_MONTHS_PERSISTENCE
     need = F.when(enough & F.lit(test), persistence_threshold(F.col("months").cast("int"), F.col("p0")))
     m = m.withColumn("needed_months", need)
@@ -196,7 +196,8 @@ def unit_metrics(series: DataFrame, units: DataFrame, rate: Column, test: bool =
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho): rank correlation with average ranks for ties; rows with a null are left out, fewer than 10 give null."""
+    """(n, rho): rank correlation with average ranks for ties; rows with a null are left out, fewer than 10 give null, and
+    so does a column of one value."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.join(average_ranks(d, x, "__a"), x).join(average_ranks(d, y, "__b"), y)
-    return d.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("r")).select("n", F.when(F.col("n") >= 10, F.col("r")).alias("rho"))
+    return d.agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("__a", "__b") / F.nullif(F.stddev_pop("__a") * F.stddev_pop("__b"), F.lit(0.0))).alias("r")).select("n", F.when(F.col("n") >= 10, F.col("r")).alias("rho"))

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
+from hotloom.operators.components import components
+from hotloom.operators.ranking import with_rank
+from hotloom.session import stage
 
 
 def centres(df: DataFrame, by: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -135,6 +138,59 @@ def outlines(df: DataFrame, by: str, buffer_m: float = 50.0) -> DataFrame:
     return hulls(df, by).withColumn("o", outline("outer")).select(by, "points", "o.hull_km2", "o.buffered_km2", "o.outline")
 
 
+def union_area(polygons: list[np.ndarray]) -> float:
+    """Exact area of the union of convex polygons: between neighbouring corners and crossings of edges each polygon is one
+    interval with straight ends, so a strip's area is its width times the intervals' joint length in its middle."""
+    edges = [(np.column_stack([p, np.roll(p, -1, axis=0)])) for p in polygons]
+    xs = [p[:, 0] for p in polygons]
+    for i in range(len(polygons)):
+        for j in range(i + 1, len(polygons)):
+            a, b = edges[i][:, None, :], edges[j][None, :, :]
+            dx, dy, ex, ey = a[..., 2] - a[..., 0], a[..., 3] - a[..., 1], b[..., 2] - b[..., 0], b[..., 3] - b[..., 1]
+            turn = dx * ey - dy * ex
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = ((b[..., 0] - a[..., 0]) * ey - (b[..., 1] - a[..., 1]) * ex) / turn
+                u = ((b[..., 0] - a[..., 0]) * dy - (b[..., 1] - a[..., 1]) * dx) / turn
+                hit = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+                xs.append((a[..., 0] + t * dx)[hit])
+    cuts = np.unique(np.concatenate(xs))
+    total = 0.0
+    for left, right in zip(cuts[:-1], cuts[1:], strict=True):
+        mid, spans = (left + right) / 2, []
+        for e in edges:
+            at = e[(np.minimum(e[:, 0], e[:, 2]) < mid) & (np.maximum(e[:, 0], e[:, 2]) > mid)]
+            if len(at) >= 2:
+                y = at[:, 1] + (mid - at[:, 0]) / (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
+                spans.append((y.min(), y.max()))
+        upto = -math.inf
+        for low, high in sorted(spans):
+            total += (right - left) * max(0.0, high - max(low, upto))
+            upto = max(upto, high)
+    return total
+
+
+def dissolved_area(outlines: DataFrame, by: str, cell_m: float = 1_000.0) -> DataFrame:
+    """(area_km2): the area that outlines (closed convex rings of [x, y] in metres) cover together, 0 for none.
+
+    Outlines whose boxes meet are found by cells and joined to groups, and each group is dissolved by itself.
+    """
+    o = stage(with_rank(outlines.select(by, "outline"), [by], "node").select(F.col("node").cast("long").alias("node"), "outline"), "dissolve")
+    ends = {"x0": F.array_min(F.transform("outline", lambda p: p[0])), "x1": F.array_max(F.transform("outline", lambda p: p[0])), "y0": F.array_min(F.transform("outline", lambda p: p[1])), "y1": F.array_max(F.transform("outline", lambda p: p[1]))}
+    box = o.select("node", *[v.alias(k) for k, v in ends.items()])
+    cell = lambda c: F.floor(F.col(c) / F.lit(cell_m)).cast("long")
+    at = box.withColumn("gx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("gy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    other = at.select("gx", "gy", F.col("node").alias("b"), *[F.col(c).alias(f"b{c}") for c in ends])
+    meet = (F.col("x0") <= F.col("bx1")) & (F.col("bx0") <= F.col("x1")) & (F.col("y0") <= F.col("by1")) & (F.col("by0") <= F.col("y1"))
+    links = at.join(other, ["gx", "gy"]).where(meet & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
+    roots = components(o.select("node"), links)
+
+    def dissolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"area_km2": [union_area([np.array([list(p) for p in ring], dtype=float)[:-1] for ring in pdf["outline"]]) / 1e6]})
+
+    each = o.join(roots, "node").groupBy("root").applyInPandas(dissolve, "area_km2 double")
+    return each.agg(F.coalesce(F.sum("area_km2"), F.lit(0.0)).alias("area_km2"))
+
+
 def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
     """A closed ring with fewer points, none further than ``tolerance`` from the old outline (Douglas and Peucker 1973).
     At least a triangle stays."""

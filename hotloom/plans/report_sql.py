@@ -9,7 +9,8 @@ _CENTRE = "(select 12.9716 lat, 77.5946 lon)"
 #: CTE of the clean complaints.
 I = """i as (select rowid_, run_id, request_id, case when regexp_full_match(month, '\\d{4}-\\d{2}') then month end as month, coalesce(lower(trim(issue_type)),'unknown') category,
   coalesce(lower(trim(sub_issue_type)),'unknown') sub_category, coalesce(lower(trim(status)),'unknown') status, ward_id, source_ward_id, latitude lat, longitude lon,
-  coalesce(is_pothole=1,false) is_target, coalesce(in_boundary=1,false) in_boundary, coalesce(usable=1,false) usable, coalesce(suspect_fallback_pin=1,false) pin, coord_multiplicity mult from complaints)"""  # noqa: E741
+  coalesce(is_pothole=1,false) is_target, coalesce(in_boundary=1,false) in_boundary, coalesce(usable=1,false) usable, coalesce(suspect_fallback_pin=1,false) pin, coord_multiplicity mult,
+  (case when regexp_full_match(replace(trim(created_at),'/','-'),'\\d{1,2}-\\d{1,2}-\\d{4} \\d{1,2}:\\d{2}') then try_strptime(replace(trim(created_at),'/','-'),'%m-%d-%Y %H:%M') end)::date::varchar reported from complaints)"""  # noqa: E741
 P = "p as (select rowid_::bigint pid, lat, lon from i where usable and is_target and not pin)"
 PINS = "p as (select rowid_::bigint pid, lat, lon from i where usable and is_target)"
 
@@ -32,7 +33,7 @@ edge{s} as (select near{s}.a, min(l) l from near{s} join named{s} n on near{s}.b
 L = _labels()
 WITH_L = f"with recursive {I}, {P}, {L}"
 MONTHS = "months as (select strftime(unnest(generate_series(strptime(a||'-01','%Y-%m-%d'), strptime(b||'-01','%Y-%m-%d'), interval 1 month)),'%Y-%m') as month from (select min(month) a, max(month) b from i))"
-SERIES = f"""{MONTHS}, g as (select ward_id, month, count(*) filter (is_target) t, count(*) n from i where usable group by all),
+SERIES = f"""{MONTHS}, g as (select ward_id, month, count(*) filter (is_target) t, count(*) n from i where usable and not pin group by all),
 s as (select w.ward_id unit, m.month, coalesce(t,0) target_reports, coalesce(n,0) all_reports, t/n share from wards w cross join months m left join g on g.ward_id=w.ward_id and g.month=m.month)"""
 KNN = f"k as (select a.pid, {_distance('a', 'b')} metres, row_number() over (partition by a.pid order by {_distance('a', 'b')}) r from p a cross join p b), kd as (select pid, r::int k, metres from k where r in (4,5,6,8))"
 OUTER = """a as (select ward_id, count(*) n from i where is_target and ward_id>=1 and run_id=1 group by 1), c as (select ward_id, count(*) n from i where is_target and ward_id>=1 and run_id=2 group by 1),
@@ -49,15 +50,12 @@ cross_ as (select f.ward_id, f.r, o.r o, count(*) n from pt f join pt o on f.war
   where (o.lat>f.lat)<>(o2.lat>f.lat) and f.lon < (o2.lon-o.lon)*(f.lat-o.lat)/(o2.lat-o.lat)+o.lon group by all),
 depth as (select ward_id, r, sum(n%2) d from cross_ group by all),
 areas as (select s.ward_id, sum(case when coalesce(d,0)%2=1 then -a else a end) area_km2 from sized s left join depth using (ward_id, r) group by all)"""
-THRESH = """mean as (select unit_id unit, sum(pothole_reports)/215.0 expected from (select distinct * from spatial_unit_monthly) where unit_type='ward' group by 1),
-pmf as (select unit, expected, j, exp(-expected + j*ln(expected) - lgamma(j+1)) p from mean, range(0, 60) t(j) where expected>0),
-tails as (select unit, j+1 t, 1-sum(p) over (partition by unit order by j) tail from pmf),
-th as (select m.unit, coalesce(min(t),1)::int active_threshold from mean m left join tails x on x.unit=m.unit and tail<=0.05 group by 1)"""
-METRICS = f"""{RING}, u as (select ward_id unit, round_even(area_km2*1000,0)/1000 area_km2 from areas), e as (select unit, 0.25*area_km2 expected from u),
-pm as (select unit, expected, j, exp(-expected + j*ln(expected) - lgamma(j+1)) p from e, range(0, 60) t(j)),
+RATED = f"""{RING}, rated as (select ward_id unit, area_km2 * (select count(*) from i where is_target and usable and not pin) / ((select sum(area_km2) from areas)*(select count(*) from months)) expected from areas),
+pm as (select unit, expected, j, exp(-expected + j*ln(expected) - lgamma(j+1)) p from rated, range(0, 60) t(j)),
 tl as (select unit, j+1 t, 1-sum(p) over (partition by unit order by j) tail from pm),
-tt as (select unit, min(t)::int active_threshold, max_by(tail, -t) p0 from tl where tail<=0.05 group by 1),
-mm as (select s.unit, active_threshold, p0, count(*) filter (target_reports>=active_threshold) active_months, count(*) as months, sum(target_reports)::bigint total_reports from s join tt using (unit) group by all),
+th as (select unit, min(t)::int active_threshold, max_by(tail, -t) p0 from tl where tail<=0.05 group by 1)"""
+METRICS = f"""{RATED},
+mm as (select s.unit, active_threshold, p0, count(*) filter (target_reports>=active_threshold) active_months, count(*) as months, sum(target_reports)::bigint total_reports from s join th using (unit) group by all),
 bn as (select unit, k, 1-coalesce(sum(exp(lgamma(months+1)-lgamma(k+1)-lgamma(months-k+1)+k*ln(p0)+(months-k)*ln(1-p0))) over (partition by unit order by k rows between unbounded preceding and 1 preceding),0) tail from mm, range(0, 44) t(k) where k<=months),
 nd as (select mm.unit, coalesce(min(k),max(months)+1)::int needed from mm left join bn on bn.unit=mm.unit and tail<=0.01 group by 1),
 um as (select mm.unit, active_threshold, active_months, months, total_reports, case when months>=24 then needed end needed_months, case when months>=24 then active_months/months end persistence, case when months>=24 then active_months>=needed end persistent from mm join nd using (unit))"""
@@ -74,6 +72,16 @@ _A, _B = to_latlon_sql("((gx+0.5)*250)", "((gy+0.5)*250)")
 _CA, _CB = to_latlon_sql("x", "y")
 CENTRES = f"(select {{by}}, {_CA} clat, {_CB} clon from (select {{by}}, avg({_X}) x, avg({_Y}) y from {{src}} group by all))"
 
+#: inside(label, is_target, month): complaints in a cluster's hull, which has them on the inner side of all its edges, or
+#: within 50 m of a line between two of its members.
+FOOT = f"""mem as (select distinct label, lat, lon from labels where label>=0), mxy as (select label, {_X} x, {_Y} y from mem), bx as (select label, min(x)-51 x0, max(x)+51 x1, min(y)-51 y0, max(y)+51 y1 from mxy group by 1),
+cand as (select rowid_, is_target, month, {_X} x, {_Y} y from i where usable and not pin), boxed as (select label, rowid_, is_target, month, x, y from cand join bx on x between x0 and x1 and y between y0 and y1),
+seg as (select p.label, p.x px, p.y py, q.x qx, q.y qy from mxy p join mxy q on p.label=q.label),
+edge_ as (select s.* from seg s where (px, py)<>(qx, qy) and not exists (select 1 from mxy r where r.label=s.label and (qx-px)*(r.y-py)-(qy-py)*(r.x-px)<0)),
+near50 as (select distinct b.label, rowid_ from boxed b join seg s on b.label=s.label where pow(b.x-px-(qx-px)*greatest(0.0,least(1.0,coalesce(((b.x-px)*(qx-px)+(b.y-py)*(qy-py))/nullif(pow(qx-px,2)+pow(qy-py,2),0),0))),2)+pow(b.y-py-(qy-py)*greatest(0.0,least(1.0,coalesce(((b.x-px)*(qx-px)+(b.y-py)*(qy-py))/nullif(pow(qx-px,2)+pow(qy-py,2),0),0))),2)<=2500),
+inner_ as (select b.label, rowid_ from boxed b join edge_ e on b.label=e.label group by all having min((qx-px)*(b.y-py)-(qy-py)*(b.x-px))>=0),
+inside as (select label, rowid_, is_target, month from boxed where (label, rowid_) in (select (label, rowid_) from near50) or (label, rowid_) in (select (label, rowid_) from inner_))"""
+
 ORACLE = {
     "scan_project": "select rowid_, request_id, issue_type, status, latitude, longitude from complaints",
     "load_where": "select rowid_, latitude, longitude from complaints where run_id=1 and usable=1 and latitude>13.0",
@@ -110,7 +118,7 @@ select rowid_, 'rec-'||substr(sha1(coalesce(created_at,'nan')||'|'||coalesce(iss
     "semi_join": "select rowid_, ward_id from complaints where ward_id in (select unit_id from spatial_unit_monthly where unit_type='ward' and pothole_reports>=10)",
     "union_units": f"{WITH_L} select 'ward' unit_type, ward_id::bigint unit_id, month, count(*) reports from i where is_target and month is not null and ward_id>=1 group by all union all select 'cluster', label::bigint, month, count(*) from i join labels on pid=rowid_ where is_target and month is not null and label>=0 group by all",
     "haversine_centre": f"with {I}, {P} select pid, {_distance('p', 'z')} metres from p, {_CENTRE} z",
-    "near_duplicates": f"""with {I}, {PINS}, c as (select lat, lon, count(*) w, floor(lat/0.001)::bigint g from p group by all), h as (select *, unnest([g-1,g,g+1]) k from c),
+    "near_duplicates": f"""with {I}, p as (select lat, lon from i where is_target and lat between -90 and 90 and lon between -180 and 180 and not (lat=0 and lon=0) and not (lat between 77 and 78 and lon between 12 and 14)), c as (select lat, lon, count(*) w, floor(lat/0.001)::bigint g from p group by all), h as (select *, unnest([g-1,g,g+1]) k from c),
 near as (select distinct a.lat, a.lon from c a join h b on a.g=b.k where (a.lat<>b.lat or a.lon<>b.lon) and {_distance('a', 'b')}<=10)
 select coalesce(sum(w),0)::bigint reports, count(*) places from c where w>1 or (lat, lon) in (select (lat, lon) from near)""",
     "utm_project": f"with {I}, {P} select pid, floor({_X}*100+0.5)/100 x, floor({_Y}*100+0.5)/100 y from p",
@@ -130,7 +138,9 @@ select 250.0::double eps, 5 least, (select count(*) from labels) points, count(*
   coalesce(max(reports),0)::bigint largest_cluster, coalesce(max(reports)/sum(reports),0) largest_cluster_share, coalesce(median(reports),0) median_cluster, round_even(coalesce(max(r),0)*10,0) max_cluster_radius_m, coalesce(avg((most>=0.9*reports)::int),0) single_coordinate_cluster_share,
   concat_ws(' | ', case when count(*)=0 or 100.0*(select count(*) from labels where label<0)/(select count(*) from labels)>85 then 'almost everything is noise' end, case when max(reports)/sum(reports)>0.5 then 'one cluster holds most reports' end,
   case when count(*) between 1 and 2 and 100.0*(select count(*) from labels where label<0)/(select count(*) from labels)<10 then 'almost everything is merged' end, case when round_even(max(r)*10,0)>4000 then 'geographically huge' end, case when avg((most>=0.9*reports)::int)>0.25 then 'mostly repeated coordinates' end) warnings from y""",
-    "sanity_warnings": """select run_id, concat_ws(' | ', case when max(report_count)/sum(report_count)>0.5 then 'one cluster holds most reports' end, case when max(approx_radius_meters)>4000 then 'geographically huge' end, case when avg(single_coordinate_cluster::int)>0.25 then 'mostly repeated coordinates' end) warnings from cluster_summary group by 1""",
+    "sanity_warnings": f"""with {I}, n as (select run_id, count(*) n from i where usable and is_target and not pin group by 1), m as (select run_id, count(*) k, 100.0*(max(n)-sum(report_count))/max(n) noise, max(report_count)/sum(report_count) share, max(approx_radius_meters) r, avg(single_coordinate_cluster::int) single from cluster_summary join n using (run_id) group by 1)
+select run_id, concat_ws(' | ', case when noise>85 then 'almost everything is noise' end, case when share>0.5 then 'one cluster holds most reports' end, case when k<=2 and noise<10 then 'almost everything is merged' end,
+  case when r>4000 then 'geographically huge' end, case when single>0.25 then 'mostly repeated coordinates' end) warnings from m""",
     "silhouette": f"""{WITH_L}, c as (select pid, label, {_X} x, {_Y} y from labels where label>=0), z as (select label, count(*) n from c group by 1),
 d as (select a.pid, a.label, b.label o, avg(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) d from c a cross join c b group by all),
 e as (select pid, z.n, max(case when d.label=o then d*z.n/nullif(z.n-1,0) end) a, min(case when d.label<>o then d end) b from d join z using (label) group by all)
@@ -140,8 +150,10 @@ cell as (select la, lb, count(*) n from j group by all), x as (select sum(m*(m-1
 select 5 least, coalesce((i-x.v*y.v/t)/nullif((x.v+y.v)/2-x.v*y.v/t,0),1) ari from w, x, y""",
     "cluster_table": f"""{WITH_L}, spot as (select label, lat, lon, count(*) n, min(month) a, max(month) b from labels join (select rowid_, month from i) on pid=rowid_ where label>=0 group by all)
 select label, sum(n)::bigint report_count, count(*) distinct_coordinates, max(n)>=0.9*sum(n) single_coordinate, min(a) first_month, max(b) last_month, min(lat) bbox_min_lat, min(lon) bbox_min_lon, max(lat) bbox_max_lat, max(lon) bbox_max_lon from spot group by 1""",
-    "pin_sensitivity": f"with recursive {I}, {PINS}, {L} select max(label)+1 clusters, count(*) filter (label<0) noise, count(*) points, (select max(n) from (select count(*) n from p group by lat, lon)) largest_pin from labels",
-    "size_summary": f"{WITH_L}, spot as (select label, lat, lon, count(*) n from labels where label>=0 group by all), z as (select label, sum(n)::bigint reports, max(n) most from spot group by 1) select min(reports) least, median(reports) median, count(*) filter (reports<=7) small, count(*) filter (most>=0.9*reports) single_coordinate, max(reports)/sum(reports) largest_share from z",
+    "pin_sensitivity": f"with recursive {I}, {PINS}, {L} select max(label)+1 clusters, count(*) filter (label<0) noise, count(*) points, (select max(n) from (select count(*) n from i where usable and is_target and pin group by lat, lon)) largest_pin from labels",
+    "size_summary": f"""{WITH_L}, m as (select * from labels where label>=0), spot as (select label, lat, lon, count(*) n from m group by all), z as (select label, sum(n)::bigint reports, max(n) most from spot group by 1),
+c as (select label, clat lat, clon lon from {CENTRES.format(by='label', src='m')}), rad as (select m.label, round_even(max({_distance('m', 'c')})*10,0) r from m join c on m.label=c.label group by 1)
+select min(reports) least, median(reports) median, count(*) filter (reports<=7) small, count(*) filter (most>=0.9*reports) single_coordinate, max(reports)/sum(reports) largest_share, min(r) radius_min, max(r) radius_max, median(r) radius_median from z join rad using (label)""",
     "hotspot_rank": "select run_id, cluster_id, row_number() over (partition by run_id order by report_count desc nulls last, density_reports_per_km2 desc nulls last, cluster_id)::int as position from cluster_summary",
     "category_distribution": f"with {I} select category, sub_category, is_target, count(*) complaints, 100.0*count(*)/sum(count(*)) over () pct from i group by all",
     "top_categories": f"with {I} select category, count(*) complaints, 100.0*count(*)/sum(count(*)) over () pct from i group by all order by complaints desc, category limit 5",
@@ -150,11 +162,18 @@ select label, sum(n)::bigint report_count, count(*) distinct_coordinates, max(n)
     "dup_stats": f"""with {I}, r as (select request_id, count(*) n, count(*) filter (is_target) t from i group by 1), a as (select lat, lon, count(*) n, count(*) filter (is_target) t from i where lat is not null and lon is not null group by all)
 select (select sum(n-1)::bigint from r) repeated_all, (select sum(greatest(t-1,0))::bigint from r) repeated_target, count(*) places_all, count(*) filter (t>0) places_target, coalesce(sum(n) filter (n>1),0)::bigint sharing_all, coalesce(sum(t) filter (t>1),0)::bigint sharing_target,
   max(n) most_all, max(t) most_target, {', '.join(f'coalesce(sum(t) filter (n>={k}),0)::bigint target_at_{k}' for k in (3, 5, 8, 15, 30))} from a""",
-    "dup_coordinates": f"with {I} select run_id, lat, lon, count(*) complaints, count(*) filter (is_target) targets, count(distinct sub_category) kinds, count(distinct month) as months, min(month) first_month, max(month) last_month from i where lat is not null and lon is not null group by all having count(*)>=2 and count(*) filter (is_target)>=1",
+    "dup_coordinates": f"""with {I} select run_id, round_even(lat*1000,0)/1000 lat, round_even(lon*1000,0)/1000 lon, complaints, targets, kinds, months, first_report, last_report, pin from (
+select run_id, lat, lon, count(*) complaints, count(*) filter (is_target) targets, count(distinct sub_category) kinds, count(distinct month) as months, min(reported) first_report, max(reported) last_report, bool_and(pin) pin
+from i where lat is not null and lon is not null group by all having count(*)>=2 and count(*) filter (is_target)>=1)""",
     "multiplicity_hist": "select multiplicity, count(*) places from (select count(*) multiplicity from complaints where latitude is not null and longitude is not null group by latitude, longitude) group by 1 order by 1 limit 12",
-    "exact_dups": "select (count(*)-(select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)))::bigint copies from lineitem union all select (count(*)-(select count(*) from (select distinct * from spatial_unit_monthly)))::bigint from spatial_unit_monthly",
+    "exact_dups": "select (count(*)-(select count(*) from (select distinct * from lineitem)))::bigint copies from lineitem union all select (count(*)-(select count(*) from (select distinct * from spatial_unit_monthly)))::bigint from spatial_unit_monthly",
     "repeat_marks": "select rowid_, row_number() over (partition by request_id order by run_id, rowid_)>1 is_repeat, count(*) over (partition by request_id)>1 has_copy from complaints",
-    "data_gate": f"with {I} select count(*) complaints, count(*) filter (is_target and usable) usable_targets, count(distinct month) as months, count(*) filter (is_target and usable)>=500 and count(distinct month)>=24 passed from i",
+    "data_gate": f"""with {I}, f as (select *, {FLAGS} from i), v as (select *, not (null_coord or out_of_range or zero_zero or swapped) valid from f)
+select count(*) complaints, count(*) filter (is_target and usable and not pin) usable_targets, count(distinct month) filter (is_target and usable and not pin) as months, count(*) filter (month is null) undated, count(distinct month) months_with_data,
+  min(month) first_month, max(month) last_month, count(*) filter (in_boundary) inside_boundary, 100.0*count(*) filter (in_boundary)/count(*) inside_boundary_pct, min(lat) lat_min, max(lat) lat_max, min(lon) lon_min, max(lon) lon_max,
+  count(*) filter (null_coord) missing_coordinates, 100.0*count(*) filter (null_coord)/count(*) missing_coordinates_pct, count(*) filter (valid) valid_coordinates, count(*) filter (is_target) targets, count(*) filter (is_target and valid) valid_targets,
+  count(*) filter (is_target and usable) targets_inside, count(*) filter (is_target and usable and pin) target_pins_inside, min(month) filter (is_target) first_target_month, max(month) filter (is_target) last_target_month,
+  count(*) filter (is_target and usable and not pin)>=500 and count(distinct month) filter (is_target and usable and not pin)>=24 passed from v""",
     "yearly_totals": f"with {I} select left(month,4) as year, count(*) complaints, count(*) filter (is_target) targets from i where month is not null group by 1",
     "distance_bands": f"""{WITH_L}, m as (select label, {_distance('labels', 'z')}/1000 km from labels, {_CENTRE} z), bands as (select label, case when km<=0 then null when km<=5 then '0-5' when km<=10 then '5-10' when km<=15 then '10-15' when km<=100 then '15-100' end band from m)
 select band, count(*) points, count(*) filter (label<0) noise from bands where band is not null group by 1""",
@@ -165,11 +184,10 @@ select third, count(*) points, count(*) filter (label<0) noise from t join label
 select a.*, coalesce(hotspots,0) hotspots, coalesce(largest,0) largest from a left join b on a.run_id=b.run_id""",
     "city_timeline": f"with {I}, {SERIES} select month, sum(target_reports)::bigint target_reports, sum(all_reports)::bigint all_reports from s group by 1",
     "null_rate": f"with {I}, {MONTHS}, {RING} select round_even((select count(*) from i where is_target and usable and not pin)/((select sum(area_km2) from areas)*(select count(*) from months))*1e9,0) rate_e9",
-    "poisson_threshold": f"with {THRESH} select unit, active_threshold from th",
-    "threshold_hist": f"with {THRESH} select active_threshold, count(*) wards from th group by 1",
-    "binomial_threshold": """with p as (select ward_id, ward_id/100.0 p from wards where ward_id<=60), b as (select ward_id, k, 1-coalesce(sum(exp(lgamma(44)-lgamma(k+1)-lgamma(44-k)+k*ln(p)+(43-k)*ln(1-p))) over (partition by ward_id order by k rows between unbounded preceding and 1 preceding),0) tail from p, range(0,44) t(k))
-select p.ward_id, coalesce(min(k),44)::int as months from p left join b on b.ward_id=p.ward_id and tail<=0.01 group by 1""",
-    "active_flag": f"with {I}, {SERIES}, {THRESH} select s.unit, month, (target_reports>=active_threshold)::int active from s join th on s.unit=th.unit",
+    "poisson_threshold": f"with {I}, {MONTHS}, {RATED} select unit, active_threshold from th",
+    "threshold_hist": f"with {I}, {MONTHS}, {RATED} select active_threshold, count(*) wards from th group by 1",
+    "binomial_threshold": f"with {I}, {SERIES}, {METRICS} select unit ward_id, needed_months as months from um",
+    "active_flag": f"with {I}, {SERIES}, {RATED} select s.unit, month, (target_reports>=active_threshold)::int active from s join th on s.unit=th.unit",
     "unit_metrics": f"with {I}, {SERIES}, {METRICS} select * from um",
     "persistent_count": f"with {I}, {SERIES}, {METRICS} select case when count(persistent)>0 then count(*) filter (persistent) end persistent from um",
     "early_share": f"with {I}, {SERIES}, {METRICS} select coalesce(sum(target_reports) filter (month<'2021-01'),0)/greatest(coalesce(sum(target_reports),0),1) share from s where unit in (select unit from um where persistent)",
@@ -180,8 +198,9 @@ select unit, case when n>=15 then recent::bigint end recent_count, case when n>=
     "theil_sen": f"with {I}, {SERIES}, {TREND} select unit, case when valid and flat then 0 when valid then slope end slope from tr",
     "bh_adjust": """with r as (select run_id, cluster_id, complaint_share p, row_number() over (order by complaint_share) k, count(*) over () n from cluster_summary where complaint_share is not null)
 select run_id, cluster_id, p, least(1.0, min(p*n/k) over (order by k rows between current row and unbounded following)) q from r union all select run_id, cluster_id, complaint_share, null from cluster_summary where complaint_share is null""",
-    "cluster_monthly": f"""{WITH_L}, {MONTHS}, g as (select label, month, count(*) filter (is_target) t from labels join i on pid=rowid_ where label>=0 group by all), c as (select month, count(*) n from i where is_target and month is not null group by 1), u as (select distinct label from labels where label>=0)
-select u.label unit, m.month, coalesce(t,0) target_reports, coalesce(t,0)/n city_share from u cross join months m left join g on g.label=u.label and g.month=m.month left join c on c.month=m.month""",
+    "cluster_monthly": f"""{WITH_L}, {MONTHS}, {FOOT}, g as (select label, month, count(*) filter (is_target) t from labels join i on pid=rowid_ where label>=0 group by all), h as (select label, month, count(*) n from inside group by all), u as (select distinct label from labels where label>=0)
+select u.label unit, m.month, coalesce(t,0) target_reports, coalesce(n,0) all_reports, coalesce(t,0)/nullif(coalesce(n,0),0) share from u cross join months m left join g on g.label=u.label and g.month=m.month left join h on h.label=u.label and h.month=m.month""",
+    "cluster_denominators": f"{WITH_L}, {FOOT} select label, count(*) complaints, count(*) filter (is_target) targets from inside group by 1",
     "hotspots_query": """with k as (select *, count(*) over () matched, try_cast(recent_3_month_count as double) x from cluster_summary where report_count>=10 and observed_trend='Stable')
 select run_id, cluster_id, recent_3_month_count, report_count, matched from k order by x is null desc, coalesce(x,0) desc, run_id, cluster_id limit 50""",
     "unit_timeline": "select run_id, month, pothole_reports, all_complaints from (select distinct * from spatial_unit_monthly) where unit_type='ward' and unit_id=68",
@@ -190,6 +209,12 @@ select run_id, cluster_id, recent_3_month_count, report_count, matched from k or
     "top15_count": f"with {I} select ward_id, count(*) targets from i where is_target and ward_id>=1 group by 1 order by targets desc, ward_id limit 15",
     "secondary_counts": f"""with {_WARD}, {I}, a as (select w ward_id, count(*) n from i join inside x on i.lat=x.lat and i.lon=x.lon where run_id=2 group by 1), b as (select ward_id, count(*) n from i where run_id=1 and is_target and usable and ward_id>=0 group by 1)
 select coalesce(a.ward_id,b.ward_id) ward_id, coalesce(a.n,0) as second, coalesce(b.n,0) as first from a full join b on a.ward_id=b.ward_id""",
+    "secondary_comparison": f"""with {I}, {_WARD}, second as (select w ward_id, count(*) n from i join inside x on i.lat=x.lat and i.lon=x.lon where run_id=2 group by 1), prim as (select ward_id, count(*) n from i where run_id=1 and is_target and usable and ward_id>=0 group by 1),
+j as (select coalesce(a.ward_id,b.ward_id) ward_id, coalesce(a.n,0) s, coalesce(b.n,0) f from second a full join prim b on a.ward_id=b.ward_id), r as (select rank() over (order by s) + (count(*) over (partition by s)-1)/2 a, rank() over (order by f) + (count(*) over (partition by f)-1)/2 b from j),
+c as (select count(*) n, corr(a,b) rho from r), t as (select n-2 v, rho*sqrt((n-2)/(1-rho*rho)) t from c),
+simpson as (select v, t, sum((case when k in (0,20000) then 1 when k%2=1 then 4 else 2 end)*pow(1+pow(t*k/20000,2)/v,-(v+1)/2))*abs(t)/20000/3*exp(lgamma((v+1)/2)-lgamma(v/2))/sqrt(pi()*v) area from t, range(0,20001) q(k) group by v, t)
+select (select n from c) wards, (select sum(s)::bigint from j) second_inside, (select sum(f)::bigint from j) as "first", round_even((select sum(s) from j)/greatest((select sum(f) from j),1)*10,0)/10 ratio, round_even((select rho from c)*1e9,0)/1e9 rho, round_even((1-2*area)*1e6,0)/1e6 p_value,
+  (select count(*) from ((select ward_id from j order by s desc, ward_id limit 20) intersect (select ward_id from j order by f desc, ward_id limit 20))) top_overlap from simpson""",
     "choropleth_breaks": """with o as (select density_reports_per_km2 v, row_number() over (order by density_reports_per_km2)-1 i, count(*) over () n from cluster_summary where density_reports_per_km2 is not null)
 select x as level, v as value from o, (select unnest([0.2,0.4,0.6,0.8,0.95])::double x) where i=least(floor(x*n),n-1)""",
     "map_metric": "select run_id, cluster_id, complaint_share as value from cluster_summary",

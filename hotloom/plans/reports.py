@@ -26,7 +26,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints with clean categories, booleans that are never null, and month only where it is YYYY-MM."""
+    """Complaints with clean categories, booleans that are never null, month only where it is YYYY-MM, and the day of
+    stamps in the raw file's notation as reported."""
     c = table(spark, folder, "complaints")
     clean = lambda name: F.coalesce(F.lower(F.trim(name)), F.lit("unknown"))
     yes = lambda name: F.coalesce(F.col(name) == 1, F.lit(False))
@@ -34,6 +35,7 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
         "rowid_", "run_id", "request_id", F.when(F.col("month").rlike(r"^\d{4}-\d{2}$"), F.col("month")).alias("month"), clean("issue_type").alias("category"), clean("sub_issue_type").alias("sub_category"),
         clean("status").alias("status"), "ward_id", "source_ward_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), yes("is_pothole").alias("is_target"), yes("in_boundary").alias("in_boundary"),
         yes("usable").alias("usable"), yes("suspect_fallback_pin").alias("pin"), F.col("coord_multiplicity").alias("mult"),
+        cleaning.month_first(F.col("created_at")).cast("date").cast("string").alias("reported"),
     )
 
 
@@ -49,10 +51,10 @@ def labels(spark: SparkSession, folder: str, eps: float = 250.0, least: int = 5,
 
 
 def ward_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense monthly series of all wards over both runs' range."""
+    """Dense monthly series of all wards over the range of all complaints; as in the clustering, suspected pins are out."""
     d = issues(spark, folder)
     units = table(spark, folder, "wards").select(F.col("ward_id").alias("unit"))
-    return series.dense_unit_month(d.where("usable"), "ward_id", series.month_spine(d, "month"), units, F.col("is_target"))
+    return series.dense_unit_month(d.where("usable and not pin"), "ward_id", series.month_spine(d, "month"), units, F.col("is_target"))
 
 
 # ---- sources, sinks, scans
@@ -264,8 +266,9 @@ def haversine_centre(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable targets with another one within 10 m, at the same coordinate or not."""
-    p = analysed(spark, folder, pins=True)
+    """Targets of a valid coordinate, inside the wards or not, with another one within 10 m, at the same coordinate or not."""
+    flags = cleaning.coordinate_flags(F.col("lat"), F.col("lon"))
+    p = issues(spark, folder).where(F.col("is_target") & ~(flags["null_coord"] | flags["out_of_range"] | flags["zero_zero"] | flags["swapped"]))
     at = stage(p.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("w")), "spots")
     pairs = proximity.near_pairs(at, [], 10.0)
     near = pairs.select(F.col("lat_a").alias("lat"), F.col("lon_a").alias("lon")).union(pairs.select("lat_b", "lon_b")).distinct().withColumn("near", F.lit(True))
@@ -332,31 +335,34 @@ def footprints(outlines: DataFrame) -> DataFrame:
     return ring.select(F.col("label").cast("int").alias("ward_id"), F.array(F.transform("r", lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat")))).alias("rings"))
 
 
+def footprint_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(members, inside): clustered points, and usable complaints without suspected pins, of any category, once for each
+    cluster in whose outline they lie."""
+    members = labels(spark, folder).where("label >= 0")
+    rings = footprints(shapes.outlines(members, "label"))
+    inside = regions.containing_regions(issues(spark, folder).where("usable and not pin"), rings, "lat", "lon", "held")
+    return members, inside.withColumn("label", F.explode("held")).drop("held")
+
+
 @query
 def cluster_denominators(spark: SparkSession, folder: str) -> DataFrame:
-    """All usable complaints inside each cluster's outline, the denominators of the clusters' shares; where outlines
-    overlap, a complaint counts for each of them."""
-    rings = footprints(shapes.outlines(labels(spark, folder).where("label >= 0"), "label"))
-    inside = regions.containing_regions(issues(spark, folder).where("usable"), rings, "lat", "lon", "held")
-    return inside.select(F.explode("held").alias("label"), "is_target").groupBy("label").agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"))
+    """All complaints inside each cluster's outline, the denominators of the clusters' shares; where outlines overlap, a
+    complaint counts for each of them."""
+    inside = footprint_rows(spark, folder)[1]
+    return inside.groupBy("label").agg(F.count(F.lit(1)).alias("complaints"), F.count_if("is_target").alias("targets"))
 
 
 @query
 def footprint_density(spark: SparkSession, folder: str) -> DataFrame:
-    """Usable complaints inside the clusters' outlines together and elsewhere; the dissolved area by counting 25 m cells
-    whose middle lies inside."""
+    """The later load taken as a second source: its records per km2 inside the clusters' outlines together, elsewhere in
+    the wards, and the ratio of both. The outlines are dissolved."""
+    d = issues(spark, folder)
     o = stage(shapes.outlines(labels(spark, folder).where("label >= 0"), "label"), "outlines")
-    rings = stage(footprints(o), "footprints")
-    inside = regions.containing_region(issues(spark, folder).where("usable"), rings, "lat", "lon", "label")
-    n = inside.agg(F.count_if(F.expr("label >= 0")).alias("inside"), F.count_if(F.expr("label < 0")).alias("elsewhere"))
-    box = o.select("label", F.transform("outline", lambda p: p[0]).alias("xs"), F.transform("outline", lambda p: p[1]).alias("ys"))
-    cell = lambda c: F.floor(c / 25).cast("long")
-    cells = box.select(F.explode(F.sequence(cell(F.array_min("xs")), cell(F.array_max("xs")))).alias("gx"), "ys").select("gx", F.explode(F.sequence(cell(F.array_min("ys")), cell(F.array_max("ys")))).alias("gy")).distinct()
-    mid = cells.select(((F.col("gx") + 0.5) * 25).alias("x"), ((F.col("gy") + 0.5) * 25).alias("y"))
-    a, b = to_latlon("x", "y")
-    held = regions.containing_region(mid.select(a.alias("lat"), b.alias("lon")), rings, "lat", "lon", "label")
-    area = held.agg((F.count_if(F.expr("label >= 0")) * 625 / 1e6).alias("area_km2"))
-    return n.withColumn("k", F.lit(1)).join(area.withColumn("k", F.lit(1)), "k").drop("k").withColumn("density", F.col("inside") / F.nullif("area_km2", F.lit(0.0)))
+    wards = table(spark, folder, "wards")
+    second = regions.containing_region(d.where("run_id = 2").select("lat", "lon"), wards, "lat", "lon", "ward").where("ward >= 0")
+    held = regions.containing_region(second, stage(footprints(o), "footprints"), "lat", "lon", "label")
+    n = held.agg(F.count_if(F.expr("label >= 0")).alias("inside"), F.count_if(F.expr("label < 0")).alias("elsewhere"))
+    return secondary.density(n, shapes.dissolved_area(o, "label"), shapes.polygon_areas(wards).agg(F.sum("area_km2").alias("city_km2")))
 
 
 # ---- clustering
@@ -391,9 +397,12 @@ def sweep_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sanity_warnings(spark: SparkSession, folder: str) -> DataFrame:
-    """Which rules the stored runs' hotspots would break, taken as one configuration each."""
+    """Which rules the stored runs' hotspots break, taken as one configuration each; noise is what of the run's analysed
+    points the hotspots don't hold."""
     c = table(spark, folder, "cluster_summary")
-    m = c.groupBy("run_id").agg(F.count(F.lit(1)).alias("cluster_count"), F.lit(60.0).alias("noise_percentage"), (F.max("report_count") / F.sum("report_count")).alias("largest_cluster_share"), F.max("approx_radius_meters").alias("max_cluster_radius_m"), F.avg(F.col("single_coordinate_cluster").cast("int")).alias("single_coordinate_cluster_share"))
+    n = issues(spark, folder).where("usable and is_target and not pin").groupBy(F.col("run_id").alias("__run")).agg(F.count(F.lit(1)).alias("points"))
+    m = c.groupBy("run_id").agg(F.count(F.lit(1)).alias("cluster_count"), F.sum("report_count").alias("held"), (F.max("report_count") / F.sum("report_count")).alias("largest_cluster_share"), F.max("approx_radius_meters").alias("max_cluster_radius_m"), F.avg(F.col("single_coordinate_cluster").cast("int")).alias("single_coordinate_cluster_share"))
+    m = m.join(n, m["run_id"].eqNullSafe(n["__run"])).withColumn("noise_percentage", F.lit(100.0) * (F.col("points") - F.col("held")) / F.col("points"))
     return m.select("run_id", sweeps.sanity_warnings().alias("warnings"))
 
 
@@ -450,15 +459,21 @@ def cluster_records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pin_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    """The same configuration with suspected pins, and the most targets at one of them; null if there are none."""
     m = labels(spark, folder, pins=True)
-    at = m.groupBy("label", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
-    return at.agg((F.max("label") + 1).alias("clusters"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))), F.lit(0)).alias("noise"), F.sum("n").alias("points"), F.max("n").alias("largest_pin"))
+    pins = issues(spark, folder).where("usable and is_target and pin").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest_pin")).withColumn("k", F.lit(1))
+    g = m.agg((F.max("label") + 1).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"), F.count(F.lit(1)).alias("points")).withColumn("k", F.lit(1))
+    return g.join(pins, "k").drop("k")
 
 
 @query
 def size_summary(spark: SparkSession, folder: str) -> DataFrame:
-    s = sweeps.cluster_sizes(labels(spark, folder), [])
-    return s.agg(F.min("reports").alias("least"), F.percentile("reports", F.lit(0.5)).alias("median"), F.count_if(F.expr("reports <= 7")).alias("small"), F.count_if(F.col("most") >= F.col("reports") * 0.9).alias("single_coordinate"), (F.max("reports") / F.sum("reports")).alias("largest_share"))
+    """The clusters' sizes and radii; radii in decimetres."""
+    s = sweeps.cluster_sizes(labels(spark, folder), []).withColumn("r", F.rint(F.col("radius_m") * 10))
+    return s.agg(
+        F.min("reports").alias("least"), F.percentile("reports", F.lit(0.5)).alias("median"), F.count_if(F.expr("reports <= 7")).alias("small"), F.count_if(F.col("most") >= F.col("reports") * 0.9).alias("single_coordinate"),
+        (F.max("reports") / F.sum("reports")).alias("largest_share"), F.min("r").alias("radius_min"), F.max("r").alias("radius_max"), F.percentile("r", F.lit(0.5)).alias("radius_median"),
+    )
 
 
 @query
@@ -470,9 +485,12 @@ def hotspot_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hdbscan(spark: SparkSession, folder: str) -> DataFrame:
-    """The hierarchical comparison: clusters and noise of all analysed points."""
-    h = sweeps.hdbscan(stage(analysed(spark, folder), "points"), 5)
-    return h.agg((F.max("label") + 1).alias("clusters"), F.count_if(F.expr("label < 0")).alias("noise"), F.count(F.lit(1)).alias("points"))
+    """The hierarchical comparison: clusters and noise of all analysed points, and its agreement with DBSCAN at 250 m."""
+    points = stage(analysed(spark, folder), "points")
+    h = sweeps.hdbscan(points, 5).select("pid", F.col("label").alias("lb"))
+    both = stage(sweeps.labelled(points, [250.0], [5]).select("pid", "least", F.col("label").alias("la")).join(h, "pid"), "both")
+    figures = both.groupBy("least").agg((F.max("lb") + 1).alias("clusters"), F.count_if(F.col("lb") < 0).alias("noise"), F.count(F.lit(1)).alias("points"))
+    return figures.join(sweeps.adjusted_rand(both, ["least"], "la", "lb"), "least").drop("least")
 
 
 # ---- distributions
@@ -515,7 +533,7 @@ def multiplicity_hist(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def exact_dups(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.exact_copies(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")).union(quality.exact_copies(table(spark, folder, "spatial_unit_monthly")))
+    return quality.exact_copies(table(spark, folder, "lineitem")).union(quality.exact_copies(table(spark, folder, "spatial_unit_monthly")))
 
 
 @query
@@ -575,7 +593,7 @@ def city_timeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def null_rate_of(spark: SparkSession, folder: str) -> DataFrame:
-    """(rate): usable targets per km2 of all wards and month of the whole range."""
+    """(rate): usable targets without suspected pins per km2 of all wards and month of the whole range."""
     d = issues(spark, folder)
     n = d.agg(F.count_if(F.col("is_target") & F.col("usable") & ~F.col("pin")).alias("n")).withColumn("k", F.lit(1))
     a = shapes.polygon_areas(table(spark, folder, "wards")).agg(F.sum("area_km2").alias("area")).withColumn("k", F.lit(1))
@@ -583,20 +601,26 @@ def null_rate_of(spark: SparkSession, folder: str) -> DataFrame:
     return n.join(a, "k").join(m, "k").select((F.col("n") / F.nullif(F.col("area") * F.col("months"), F.lit(0.0))).alias("rate"))
 
 
+def rated_wards(spark: SparkSession, folder: str) -> DataFrame:
+    """(unit, area_km2, rate): all wards with their area and the city's null rate, the same for each."""
+    areas = shapes.polygon_areas(table(spark, folder, "wards")).select(F.col("ward_id").alias("unit"), "area_km2", F.lit(1).alias("k"))
+    return areas.join(F.broadcast(null_rate_of(spark, folder).withColumn("k", F.lit(1))), "k").drop("k")
+
+
 @query
 def null_rate(spark: SparkSession, folder: str) -> DataFrame:
     return null_rate_of(spark, folder).select(F.rint(F.col("rate") * 1e9).alias("rate_e9"))
 
 
 def thresholds(spark: SparkSession, folder: str) -> DataFrame:
-    """(unit, expected, active_threshold): expected monthly reports of wards, as a fifth of their stored mean."""
-    m = table(spark, folder, "spatial_unit_monthly").distinct().where("unit_type = 'ward'")
-    return m.groupBy(F.col("unit_id").alias("unit")).agg((F.sum("pothole_reports") / F.lit(215.0)).alias("expected")).withColumn("active_threshold", series.active_threshold(F.col("expected")))
+    """(unit, active_threshold) of all wards, from the null rate and their area."""
+    w = rated_wards(spark, folder)
+    return w.select("unit", series.active_threshold(F.col("rate") * F.col("area_km2")).alias("active_threshold"))
 
 
 @query
 def poisson_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    return thresholds(spark, folder).select("unit", "active_threshold")
+    return thresholds(spark, folder)
 
 
 @query
@@ -606,9 +630,8 @@ def threshold_hist(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def binomial_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    """Months a ward must be active by chance at most once in a hundred, for 43 months and 1 to 60 per cent."""
-    p = table(spark, folder, "wards").where("ward_id <= 60").select("ward_id", (F.col("ward_id") / F.lit(100.0)).alias("p"))
-    return p.select("ward_id", series.persistence_threshold(F.lit(43), F.col("p")).alias("months"))
+    """Months that each ward must be active by chance at most once in a hundred, of its own months and chance."""
+    return unit_metrics(spark, folder).select(F.col("unit").alias("ward_id"), F.col("needed_months").alias("months"))
 
 
 @query
@@ -619,9 +642,10 @@ def active_flag(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def unit_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Activity and persistence of wards under a null rate of 2 reports per km2 and month."""
-    units = shapes.polygon_areas(table(spark, folder, "wards")).select(F.col("ward_id").alias("unit"), (F.rint(F.col("area_km2") * 1000) / 1000).alias("area_km2"))
-    return series.unit_metrics(ward_series(spark, folder), units, F.lit(0.25)).select("unit", "active_threshold", "active_months", "months", "total_reports", "needed_months", "persistence", "persistent")
+    """Activity and persistence of wards under the city's null rate."""
+    units = rated_wards(spark, folder)
+    m = series.unit_metrics(ward_series(spark, folder), units, F.col("rate"))
+    return m.select("unit", "active_threshold", "active_months", "months", "total_reports", "needed_months", "persistence", "persistent")
 
 
 @query
@@ -681,13 +705,14 @@ def bh_adjust(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cluster_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense months of clusters with their share in the city's targets."""
-    m = labels(spark, folder).where("label >= 0").select("pid", "label")
+    """Dense months of clusters: their members, all complaints inside their outline in the month, and the share."""
+    members, inside = footprint_rows(spark, folder)
     d = issues(spark, folder)
-    member = d.join(m, F.col("rowid_") == F.col("pid"))
-    dense = series.dense_unit_month(member, "label", series.month_spine(d, "month"), m.select(F.col("label").alias("unit")).distinct(), F.col("is_target"))
-    city = d.where("is_target and month is not null").groupBy(F.col("month").alias("m")).agg(F.count(F.lit(1)).alias("city"))
-    return dense.join(city, F.col("month") == F.col("m"), "left").select("unit", "month", "target_reports", (F.col("target_reports") / F.col("city")).alias("city_share"))
+    months, units = series.month_spine(d, "month"), stage(members.select(F.col("label").alias("unit")).distinct(), "units")
+    own = d.join(members.select("pid", "label"), F.col("rowid_") == F.col("pid"))
+    t = series.dense_unit_month(own, "label", months, units, F.col("is_target")).select("unit", "month", "target_reports")
+    n = series.dense_unit_month(inside, "label", months, units, F.col("is_target")).select("unit", "month", "all_reports")
+    return t.join(n, ["unit", "month"]).withColumn("share", F.col("target_reports") / F.nullif("all_reports", F.lit(0)))
 
 
 # ---- read side
@@ -730,6 +755,13 @@ def secondary_counts(spark: SparkSession, folder: str) -> DataFrame:
     return secondary.ward_counts(second, table(spark, folder, "wards"), d.where("run_id = 1"), None)
 
 
+@query
+def secondary_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison of secondary_counts: records, ratio, rank correlation with its p-value, wards shared by both top 20."""
+    c = secondary.comparison(stage(secondary_counts(spark, folder), "second"))
+    return c.withColumns({"rho": F.rint(F.col("rho") * 1e9) / 1e9, "p_value": F.rint(F.col("p_value") * 1e6) / 1e6})
+
+
 @query
 def choropleth_breaks(spark: SparkSession, folder: str) -> DataFrame:
     return surface.breaks(table(spark, folder, "cluster_summary"), "density_reports_per_km2")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotloom.operators.ranking import with_rank
@@ -44,7 +44,7 @@ def hotspots(rows: DataFrame, sort: str = "rank", order: str = "asc", min_report
 
 
 def hotspot(rows: DataFrame, monthly: DataFrame, run_id: int, cluster_id: int) -> tuple[DataFrame, DataFrame]:
-    """One hotspot and its months in order; NotFound if there is none."""
+    """One hotspot, with its boundary where the table has it, and its months in order; NotFound if there is none."""
     one = rows.where((F.col("run_id") == run_id) & (F.col("cluster_id") == cluster_id))
     if one.isEmpty():
         raise NotFound(f"cluster {cluster_id} of run {run_id}")
@@ -95,7 +95,18 @@ def data_status(sources: DataFrame, gate: DataFrame) -> DataFrame:
     return sources.withColumn("__k", F.lit(1)).join(F.broadcast(g), "__k", "left").drop("__k")
 
 
-def health(spark, folder: str, names: list[str]) -> dict[str, bool]:
+def quality(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored quality reports: gate, monthly, categories, coordinate_quality and status_distribution; NotFound names
+    those that aren't stored. The gate's record has no names of the raw file's columns."""
+    names = {"gate": "gate", "monthly": "monthly_quality", "categories": "category_distribution", "coordinate_quality": "coordinate_quality", "status_distribution": "status_counts"}
+    found = {part: get_artifact(spark, folder, name) for part, name in names.items()}
+    missing = [part for part, df in found.items() if df is None]
+    if missing:
+        raise NotFound(", ".join(missing))
+    return found
+
+
+def health(spark: SparkSession, folder: str, names: list[str]) -> dict[str, bool]:
     """Which named artifacts are there."""
     return {name: get_artifact(spark, folder, name) is not None for name in names}
 

@@ -20,28 +20,30 @@ _RING = "outerBoundaryIs struct<LinearRing: struct<coordinates: string>>, innerB
 _DATA = "ExtendedData struct<SchemaData: struct<SimpleData: array<struct<_name: string, _VALUE: string>>>, Data: array<struct<_name: string, value: string>>>"
 
 
-def encoding_of(path: str) -> str:
-    """UTF-8 if the whole file is, else windows-1252, read in blocks."""
-    import codecs
+#: Bytes that windows-1252 leaves undefined.
+UNDEFINED = "\x81\x8d\x8f\x90\x9d"
 
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        with open(path, "rb") as file:
-            while block := file.read(1 << 20):
-                decoder.decode(block)
-            decoder.decode(b"", final=True)
-    except UnicodeDecodeError:
-        return "windows-1252"
-    return "UTF-8"
+
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines are, else windows-1252; a SchemaError if they are neither. The lines are read as bytes and
+    checked where they lie; no character of UTF-8 spans two lines."""
+    lines = spark.read.schema("value string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").option("escape", "").csv(path)
+    found = lines.agg(F.count_if(~F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))).alias("broken"), F.count_if(F.col("value").rlike(f"[{UNDEFINED}]")).alias("undefined")).first()
+    if not found["broken"]:
+        return "UTF-8"
+    if found["undefined"]:
+        raise SchemaError("the file is neither UTF-8 nor windows-1252")
+    return "windows-1252"
 
 
 def read_raw(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """(rows, encoding) of a complaint CSV with a header: known columns by name and type, others as text.
 
     A cell that isn't of its column's type is null. A missing required column is a SchemaError. A windows-1252 file is
-    read as ISO-8859-1 and its 27 other characters are put right, so the session needs no legacy setting.
+    read as ISO-8859-1 and its 27 other characters are put right, so the session needs no legacy setting. Quoted line
+    breaks make a file one task; many files are read side by side.
     """
-    encoding = encoding_of(path)
+    encoding = encoding_of(spark, path)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     rows = reader.option("encoding", "UTF-8" if encoding == "UTF-8" else "ISO-8859-1").csv(path)
     missing = sorted(set(REQUIRED) - set(rows.columns))

@@ -93,7 +93,7 @@ def test_overlapping_outlines_count_each(spark, monkeypatch):
     lat, lon = to_latlon("x", "y")
     spots = [(0, 780000.0), (0, 780005.0), (1, 780065.0), (1, 780070.0), (None, 780035.0), (None, 780500.0)]
     df = spark.createDataFrame([(k, label, x, 1430000.0) for k, (label, x) in enumerate(spots)], "rowid_ long, label int, x double, y double")
-    df = df.select("rowid_", "label", lat.alias("lat"), lon.alias("lon"), F.lit(True).alias("usable"), F.col("label").isNotNull().alias("is_target"))
+    df = df.select("rowid_", "label", lat.alias("lat"), lon.alias("lon"), F.lit(True).alias("usable"), F.lit(False).alias("pin"), F.col("label").isNotNull().alias("is_target"))
     monkeypatch.setattr(reports, "labels", lambda *_: df.where("label is not null"))
     monkeypatch.setattr(reports, "issues", lambda *_: df)
     got = {r.label: (r.complaints, r.targets) for r in reports.cluster_denominators(spark, "").collect()}
@@ -123,6 +123,49 @@ def test_thresholds_of_large_means(spark):
     assert one(spark, series.active_threshold(F.lit(0.0))) == 1
 
 
+def test_unions_of_outlines(spark):
+    square = lambda x, y, s: np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s]], float)
+    assert shapes.union_area([square(0, 0, 2), square(1, 1, 2)]) == pytest.approx(7)
+    assert shapes.union_area([square(0, 0, 4), square(1, 1, 2)]) == pytest.approx(16)
+    rng = np.random.default_rng(1)
+    rings = [shapes.buffered(shapes.hull(rng.uniform(0, 400, (rng.integers(1, 6), 2)) + rng.uniform(0, 1500, 2)), 50.0) for _ in range(12)]
+    at = np.stack(np.meshgrid(np.arange(-100, 2100, 2.0), np.arange(-100, 2100, 2.0)), -1).reshape(-1, 2)
+    inside = np.zeros(len(at), bool)
+    for r in rings:
+        d, rel = np.diff(r, axis=0), at[:, None, :] - r[None, :-1, :]
+        inside |= (d[None, :, 0] * rel[..., 1] - d[None, :, 1] * rel[..., 0] >= 0).all(axis=1)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rings)], "label int, outline array<array<double>>")
+    assert shapes.dissolved_area(df, "label").first().area_km2 == pytest.approx(inside.sum() * 4 / 1e6, rel=2e-3)
+    assert shapes.dissolved_area(df.limit(0), "label").first().area_km2 == 0
+
+
+def test_cluster_records(spark):
+    """Every figure of a cluster's record from its points."""
+    rng = np.random.default_rng(9)
+    pts = {0: rng.normal([12.97, 77.59], 0.0012, (30, 2)), 1: np.array([[12.9, 77.5]] * 9 + [[12.9001, 77.5001]])}
+    rows = [(100 * c + k, float(a), float(b), c) for c, ps in pts.items() for k, (a, b) in enumerate(ps)] + [(999, 12.8, 77.4, -1)]
+    labels = spark.createDataFrame(rows, "pid long, lat double, lon double, label int")
+    dates = spark.createDataFrame([(r[0], f"2020-01-{r[0] % 28 + 1:02d}") for r in rows if r[0] != 5], "pid long, date string")
+    x, y = to_utm("lat", "lon")
+    flat = {r.pid: (r.x, r.y) for r in labels.select("pid", x.alias("x"), y.alias("y")).collect()}
+    got = {r.label: r for r in sweeps.cluster_records(labels, dates, 250.0).collect()}
+    assert set(got) == {0, 1} and got[0].report_count == 30 and got[1].single_coordinate_cluster and not got[0].single_coordinate_cluster
+    assert (got[1].distinct_coordinates, got[0].distinct_coordinates) == (2, 30)
+    for c, ps in pts.items():
+        r, xy = got[c], np.array([flat[p] for p, _, _, label in rows if label == c])
+        assert r.bbox_min_lat == ps[:, 0].min() and r.bbox_max_lon == ps[:, 1].max()
+        hull = shapes.area(shapes.hull(xy)) / 1e6
+        area = max(hull, math.pi * 125**2 / 1e6)
+        assert r.boundary_area_km2 == pytest.approx(area) and r.density_reports_per_km2 == pytest.approx(len(ps) / area)
+        a, b = to_latlon("x", "y")
+        centre = spark.createDataFrame([tuple(map(float, xy.mean(axis=0)))], "x double, y double").select(a.alias("a"), b.alias("b")).first()
+        assert (r.centroid_latitude, r.centroid_longitude) == pytest.approx((centre.a, centre.b), abs=1e-9)
+        far = max(2 * 6371008.8 * math.asin(math.sqrt(math.sin(math.radians(p - centre.a) / 2) ** 2 + math.cos(math.radians(p)) * math.cos(math.radians(centre.a)) * math.sin(math.radians(q - centre.b) / 2) ** 2)) for p, q in ps)
+        assert r.approx_radius_meters == pytest.approx(far, abs=1e-3)
+        assert r.boundary[0] == r.boundary[-1] and all(round(v, 5) == v for p in r.boundary for v in p)
+    assert got[0].date_min == "2020-01-01" and got[0].date_max == "2020-01-28"
+
+
 def months(n):
     return [f"{2019 + k // 12}-{k % 12 + 1:02d}" for k in range(n)]
 
@@ -263,7 +306,7 @@ def test_raw_csv_and_kml(spark, tmp_path):
 
 
 def test_quality_on_empty_and_nulls(spark):
-    empty = spark.createDataFrame([], "rowid_ int, run_id int, request_id string, month string, category string, sub_category string, status string, ward_id int, source_ward_id int, lat double, lon double, is_target boolean, in_boundary boolean, usable boolean, pin boolean, mult int")
+    empty = spark.createDataFrame([], "rowid_ int, run_id int, request_id string, month string, category string, sub_category string, status string, ward_id int, source_ward_id int, lat double, lon double, is_target boolean, in_boundary boolean, usable boolean, pin boolean, mult int, reported string")
     assert quality.monthly_quality(empty).count() == 0
     assert {r.pct for r in quality.coordinate_quality(empty).collect()} == {0.0}
     assert quality.data_gate(empty).first().passed is False
