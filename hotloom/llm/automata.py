@@ -1,13 +1,15 @@
 """Long spans shared with a reference, by suffix automata: the named method for shared spans, for bounded references.
 
 The reference is cut into shards of whole texts, each becomes one suffix automaton, built once in a task of its own and
-broadcast as flat arrays, and every document is streamed through it for the longest match that ends at each character.
+broadcast as flat arrays, and every document is streamed through it for the longest match that ends at each character;
+stretches none of whose blocks of half a span's length the reference holds are passed over, as no span can lie there.
 One pass over all documents is needed per shard, so the work is documents times reference; see README for figures and
 for what answers the whole corpus instead.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,6 +129,26 @@ def maximal_spans(statistics: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[last].tolist(), (ends[last] + 1).tolist(), strict=True))
 
 
+def likely_regions(text: str, grams: set[str], width: int) -> list[tuple[int, int]]:
+    """[start, stop) of the stretches of a text that can hold spans of 2 * width - 1 characters or more with the
+    reference, whose substrings of ``width`` characters are ``grams``.
+
+    Such a span holds a whole block text[k * width : (k + 1) * width] and no block that isn't in grams, so it lies
+    between the blocks before and after a run of those that are.
+    """
+    out: list[tuple[int, int]] = []
+    first = last = -2
+    for k in range(len(text) // width):
+        if text[k * width : (k + 1) * width] in grams:
+            if k == last + 1:
+                out.pop()
+            else:
+                first = k
+            last = k
+            out.append((max(0, (first - 1) * width + 1), min(len(text), (last + 2) * width - 1)))
+    return out
+
+
 _STATE = "shard int, name string, data binary"
 
 
@@ -135,21 +157,29 @@ def _build(table: pa.Table) -> pa.Table:
     automaton = SuffixAutomaton()
     for owner, text in zip(table["i"].to_pylist(), table["t"].to_pylist(), strict=True):
         automaton.add(text, owner)
-    arrays = automaton.arrays()
+    parts = {name: a.tobytes() for name, a in automaton.arrays().items()} | {"texts": pickle.dumps(table["t"].to_pylist())}
     shard = table["shard"][0].as_py()
-    return pa.table({"shard": pa.array([shard] * len(arrays), pa.int32()), "name": pa.array(list(arrays)), "data": pa.array([a.tobytes() for a in arrays.values()], pa.binary())})
+    return pa.table({"shard": pa.array([shard] * len(parts), pa.int32()), "name": pa.array(list(parts)), "data": pa.array(list(parts.values()), pa.binary())})
 
 
 KINDS = {"link": np.int32, "length": np.int32, "owner": np.int64, "many": bool, "key": np.int64, "target": np.int32}
 
 
 def _streamer(state: Broadcast, length: int, same_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    width = (length + 1) // 2
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = None
         for batch in batches:
-            automaton = automaton or Stream({name: np.frombuffer(data, KINDS[name]) for name, data in state.value.items()})
-            texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            rows = [(key, a, b) for key, text in texts if text is not None and len(text) >= length for a, b in maximal_spans(automaton.statistics(text, key if same_ids else None), length)]
+            if automaton is None:
+                automaton = Stream({name: np.frombuffer(state.value[name], kind) for name, kind in KINDS.items()})
+                grams = {t[i : i + width] for t in pickle.loads(state.value["texts"]) for i in range(len(t) - width + 1)}  # noqa: S301 - written by _build
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None or len(text) < length:
+                    continue
+                for low, high in likely_regions(text, grams, width):
+                    rows += [(key, low + a, low + b) for a, b in maximal_spans(automaton.statistics(text[low:high], key if same_ids else None), length)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "stop"])
 
