@@ -93,7 +93,8 @@ def stale_clusters(summary: DataFrame, monthly: DataFrame) -> DataFrame:
     runs = last.select(F.col("run_id").alias("__run"), "month", "last")
     stated = summary.select("run_id", "cluster_id", F.trim("recent_3_month_count").try_cast("double").alias("stated")).where(F.col("stated").isNotNull() & ~F.isnan("stated"))
     stated = stated.join(runs, stated["run_id"].eqNullSafe(runs["__run"]))
-    at = spans.select(F.col("run_id").alias("__r"), "unit_id", "start", "until", "t3")
+    # grows with the clusters, so it is never broadcast
+    at = spans.select(F.col("run_id").alias("__r"), "unit_id", "start", "until", "t3").hint("merge")
     on = stated["run_id"].eqNullSafe(at["__r"]) & (stated["cluster_id"] == at["unit_id"]) & (at["start"] <= stated["last"]) & (at["until"].isNull() | (at["until"] > stated["last"]))
     wrong = stated.join(at, on, "left").where(F.col("stated") != F.coalesce("t3", F.lit(0)))
     return wrong.select(F.lit("cluster").alias("kind"), "run_id", F.col("cluster_id").alias("unit_id"), F.col("month").alias("period"))
