@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hotloom.operators.skew import crowded, in_every_block, in_own_block, with_blocks
 from hotloom.session import stage
 
 #: Degrees; and how many edges the index may have to be broadcast, about 20 MB (the regions' own size decides).
 CELL_DEG, BROADCAST_EDGES = 0.01, 400_000
+#: Points of one cell that a task gets where the index is too large to be broadcast.
+POINT_BLOCK = 100_000
 
 
 def _edges(rings: Column) -> Column:
@@ -38,19 +41,26 @@ def containing_regions(points: DataFrame, regions: DataFrame, lat: str, lon: str
     all rings of a region together an odd number of times. Empty: in none, or a null or NaN coordinate.
 
     An edge's lower end belongs to it and the upper doesn't, and a point on an edge's line isn't west of it, so adjoining
-    regions share no point. Points aren't shuffled while the index is small enough to broadcast.
+    regions share no point. Points aren't shuffled while the index is small enough to broadcast; beyond that a cell's points are
+    joined in blocks.
     """
     index = stage(region_index(regions, cell_deg), "region_cells")
     edges = index.agg(F.sum(F.aggregate("__near", F.lit(0), lambda n, w: n + F.size(w["e"])))).first()[0] or 0
-    if edges <= BROADCAST_EDGES:
-        index = F.broadcast(index)
     x, y = F.col(lon), F.col(lat)
     ok = y.between(-1e6, 1e6) & x.between(-1e6, 1e6)
     grid = lambda c: F.when(ok, F.floor(c / F.lit(cell_deg)).cast("long"))
     crossed = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
     inside = F.filter("__near", lambda w: F.size(F.filter(w["e"], crossed)) % 2 == 1)
     df = points.withColumns({"__py": grid(y), "__px": grid(x)})
-    df = df.join(index, (df["__py"] == index["__gy"]) & (df["__px"] == index["__gx"]), "left")
+    if edges <= BROADCAST_EDGES:
+        df = df.join(F.broadcast(index), (df["__py"] == index["__gy"]) & (df["__px"] == index["__gx"]), "left")
+    else:
+        # a crowded cell's points are spread over blocks, and its edges go to each
+        counts = df.where(ok).groupBy(F.col("__py").alias("__gy"), F.col("__px").alias("__gx")).agg(F.count(F.lit(1)).alias("__n"))
+        crowd = crowded(counts, "__n", ["__gy", "__gx"], POINT_BLOCK)
+        index = in_every_block(with_blocks(index, crowd, {"__gy": "__gy", "__gx": "__gx"}, "__nb"), "__nb", "__ib")
+        df = in_own_block(with_blocks(df, crowd, {"__py": "__gy", "__px": "__gx"}, "__nb"), "__nb", F.monotonically_increasing_id(), "__pb")
+        df = df.join(index, (df["__py"] == index["__gy"]) & (df["__px"] == index["__gx"]) & (df["__pb"] == index["__ib"]), "left").drop("__pb", "__ib")
     return df.withColumn(into, F.coalesce(F.transform(inside, lambda w: w["ward_id"]), F.array())).drop("__py", "__px", "__gy", "__gx", "__near")
 
 

@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotloom.functions.planar import to_latlon, to_utm
+from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.density import CELL, GROUP, celled, dbscan, looking, to_cells
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
-from hotloom.operators.skew import crowded, split_join
+from hotloom.operators.silhouettes import silhouettes
+from hotloom.operators.skew import block_join, crowded, split_join
 from hotloom.session import stage, stage_counted
 
 #: The swept grid, and what a configuration must fulfil to be chosen.
@@ -119,9 +120,11 @@ def baselines(pool: DataFrame, size: int, eps: list[float], least: list[int], re
 
 
 def sweep(points: DataFrame, pool: DataFrame | None = None, eps: list[float] = EPS_METRES, least: list[int] = MIN_SAMPLES, reps: int = 20) -> DataFrame:
-    """One row per configuration: metrics, stability, warnings, and with a pool the ratio to random subsets."""
+    """One row per configuration: metrics, stability, mean silhouette (a supplement that no rule reads, null where it isn't
+    defined), warnings, and with a pool the ratio to random subsets."""
     labels = labelled(points, eps, least)
     out = sweep_metrics(labels, ["eps", "least"]).join(stability(labels), ["eps", "least"], "left").withColumn("warnings", sanity_warnings())
+    out = out.join(stage(silhouettes(labels, ["eps", "least"]), "silhouettes").select("eps", "least", F.col("score").alias("silhouette")), ["eps", "least"], "left")
     if pool is None:
         return out
     base = baselines(pool, points.count(), eps, least, reps)
@@ -221,25 +224,6 @@ def knee(distances: DataFrame, value: str) -> DataFrame:
     return d.orderBy(F.desc(gap), "i").limit(1).select("n", F.col(value).alias("metres"))
 
 
-def silhouette(labels: DataFrame) -> DataFrame:
-    """(n, score): mean silhouette of clustered points in planar metres, for 2 clusters or more and more points than
-    clusters, else null. Each point meets every coordinate of the clustered ones, so this is for the few points of one
-    configuration, as a supplement."""
-    x, y = to_utm("lat", "lon")
-    c = labels.where("label >= 0").select("pid", "label", x.alias("x"), y.alias("y"))
-    size = c.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    lists = c.groupBy("label").agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    sums = c.withColumn("__one", F.lit(1)).join(lists.withColumnRenamed("label", "other").withColumn("__one", F.lit(1)), "__one")
-    far = F.aggregate("p", F.lit(0.0), lambda a, q: a + F.sqrt((q["x"] - F.col("x")) * (q["x"] - F.col("x")) + (q["y"] - F.col("y")) * (q["y"] - F.col("y"))))
-    m = sums.select("pid", "label", "other", (far / F.size("p")).alias("d")).join(size, "label")
-    own = F.max(F.when(F.col("label") == F.col("other"), F.col("d") * F.col("size") / F.nullif(F.col("size") - 1, F.lit(0))))
-    s = m.groupBy("pid", "size").agg(own.alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))
-    one = F.when(F.col("size") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    out = s.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(one, F.lit(0.0))).alias("score"))
-    k = size.agg(F.count(F.lit(1)).alias("k"))
-    return out.withColumn("__o", F.lit(1)).join(k.withColumn("__o", F.lit(1)), "__o").select("n", F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), F.col("score")).alias("score"))
-
-
 def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept, nodes, roots): places in the arrays of the edges of a minimum spanning forest, and each node's tree, named
     by one of its nodes. Boruvka's rounds; equal weights are ordered by their ends, so the edges have one order."""
@@ -424,12 +408,14 @@ def reach_edges(places: DataFrame, radius: float) -> DataFrame:
     groups = groups.select("*", F.col("band").alias("__band"), F.col("cell").alias("__cell"))
     to = to_cells(groups, "west", "east", range(-2, 3)).join(held, (F.col("to_band") == F.col("__b")) & (F.col("to_cell") == F.col("__c")))
     to = to.where((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))).select(F.col("__band").alias("band"), F.col("__cell").alias("cell"), "comp", "to_band", "to_cell").distinct()
-    look = mine.join(to, ["band", "cell", "comp"]).select(F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("core").alias("__core"), F.col("to_band").alias("band"), F.col("to_cell").alias("cell"))
+    look = mine.join(to, ["band", "cell", "comp"]).select(F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("core").alias("__core"), F.col("to_band").alias("__to_band"), F.col("to_cell").alias("__to_cell"))
+    crowd = crowded(at.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("__n")), "__n", ["band", "cell"])
     other = at.select(F.col("comp").alias("cb"), F.col("rid").alias("b"), "lat", "lon", "core", "band", "cell")
     w = F.greatest(haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")), "core", "__core")
     # each pair once, but points of the largest component are never the lookers
     once = (F.col("ca") < F.col("cb")) | (F.col("cb") == largest["comp"])
-    return look.join(other, ["band", "cell"]).where((F.col("ca") != F.col("cb")) & once).select("ca", "cb", "a", "b", w.alias("w")).where(F.col("w") <= radius)
+    met = block_join(look, other, {"__to_band": "band", "__to_cell": "cell"}, crowd, {"band": "band", "cell": "cell"}, F.col("b"))
+    return met.where((F.col("ca") != F.col("cb")) & once).select("ca", "cb", "a", "b", w.alias("w")).where(F.col("w") <= radius)
 
 
 EDGES = "ca long, cb long, a long, b long, w double"

@@ -17,19 +17,19 @@ from hotloom.session import named_stage, stage_path
 LOCAL_ZONE = "Asia/Kolkata"
 #: Minutes east of UTC of the abbreviations that have one meaning here.
 ABBREVIATIONS = {"Z": 0, "GMT": 0, "UTC": 0, "IST": 330, "EST": -300, "EDT": -240}
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-DAYS = "montuewedthufrisatsun"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+DAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
 DAY_US = 86_400_000_000
 _ZONE = r"((?:[Zz]|[+-]\d{2}(?::?\d{2})?)?)\s*\[?((?:[A-Za-z][A-Za-z0-9_+/-]*)?)\]?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-_MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+_MONTH = rf"({'|'.join(MONTHS)})[a-z]*\.?"
 #: Notation, pattern and the groups that hold year, month, day, hour, minute, second, fraction, half of day, offset, zone, week day.
 NOTATIONS = [
     ("iso", rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})(?:[Tt ]{_CLOCK}\s*{_ZONE})?$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9, 0)),
     ("month_first", rf"^(\d{{1,2}})([-/])(\d{{1,2}})\2(\d{{4}}|\d{{2}})(?:[T ]+{_CLOCK}\s*((?:[AaPp][Mm])?)\s*{_ZONE})?$", (4, 1, 3, 5, 6, 7, 8, 9, 10, 11, 0)),
     ("basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d{{1,9}}))?)?\s*{_ZONE}$", (1, 2, 3, 4, 5, 6, 7, 0, 8, 9, 0)),
-    ("named_month", rf"(?i)^(?:(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{{1,2}})[ -]{_MONTH}[ -,]+(\d{{4}})(?:\s+{_CLOCK}\s*((?:[ap]m)?)\s*{_ZONE})?$", (4, 3, 2, 5, 6, 7, 8, 9, 10, 11, 1)),
+    ("named_month", rf"(?i)^(?:({'|'.join(DAYS)})[a-z]*,?\s+)?(\d{{1,2}})[ -]{_MONTH}[ -,]+(\d{{4}})(?:\s+{_CLOCK}\s*((?:[ap]m)?)\s*{_ZONE})?$", (4, 3, 2, 5, 6, 7, 8, 9, 10, 11, 1)),
 ]
 FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "offset", "zone", "week_day")
 
@@ -80,7 +80,7 @@ def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataF
     df = df.withColumn("__a", _parts(F.col("__t")))
     df = df.withColumn("__a", F.when(F.size("__a") == len(FIELDS), F.col("__a")))
     field = {name: F.col("__a")[k] for k, name in enumerate(FIELDS)}
-    named_month = F.floor((F.instr(F.lit(MONTHS), F.lower(field["month"])) + 2) / 3).cast("int")
+    named_month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(field["month"])).cast("int")
     # guarded casts: a cast that fails is far dearer than one that isn't made. As an array function this also ends the
     # generated method, which would otherwise be too large for the JVM to compile.
     df = df.withColumn("__n", F.transform(F.slice("__a", 1, 7), lambda x: F.when((x != "") & (x < ":"), x.cast("int")).otherwise(0)))
@@ -101,7 +101,7 @@ def parse_stamps(df: DataFrame, text: str, zone: str, zones: list[str]) -> DataF
     fits = (
         (c["year"] >= 1) & c["month"].between(1, 12) & (c["day"] >= 1) & (c["day"] <= F.dayofmonth(F.last_day("__first")))
         & (F.col("__h") <= 23) & (c["minute"] <= 59) & (c["second"] <= 59)
-        & ((c["week"] == "") | (F.substring(F.lit(DAYS), F.weekday("__date") * 3 + 1, F.lit(3)) == c["week"]))
+        & ((c["week"] == "") | (F.element_at(F.array(*[F.lit(d) for d in DAYS]), F.weekday("__date") + 1) == c["week"]))
     )
     clock = F.unix_date("__date").cast("long") * F.lit(DAY_US) + (F.col("__h") * 3600 + c["minute"] * 60 + c["second"]).cast("long") * 1_000_000 + F.col("__us")
     df = df.withColumn("__clock", F.when(fits, clock))

@@ -1,6 +1,7 @@
 """DuckDB statements with the results of the report queries."""
 
 from hotloom.functions.planar import to_latlon_sql, to_utm_sql
+from hotloom.operators.sweeps import EPS_METRES, MIN_SAMPLES
 from hotloom.plans.problem_sql import _WARD, _distance
 
 _X, _Y = to_utm_sql("lat", "lon")
@@ -64,6 +65,13 @@ tot as (select unit, count(*) m, sum(y) y, min(y)=max(y) flat from n group by 1)
 pr as (select a.unit, sum(sign(b.y-a.y)) s, median((b.y-a.y)/(b.i-a.i)) slope from n a join n b on a.unit=b.unit and b.i>a.i group by 1),
 ti as (select unit, sum(c*(c-1)) t2 from (select unit, y, count(*) c from n group by all) group by 1),
 tr as (select unit, m>=12 and y>=10 as valid, flat, s, slope, 2*s/sqrt(m*(m-1)*(m*(m-1)-t2)) tau from tot join pr using (unit) join ti using (unit))"""
+#: lt(unit, tau, slope, p, q, trend) from tr2: two-sided normal p-values of Kendall's score with ties, by Simpson's rule.
+LABELS = """tv as (select n.unit, m, sum(c*(c-1)*(2*c+5)) t5 from (select unit, y, count(*) c from n group by all) n join tot using (unit) group by all),
+z as (select tr.unit, valid, flat, tau, slope, case when flat then 0.0 else abs(s)/sqrt((m*(m-1)*(2*m+5)-t5)/18) end z from tr join tv using (unit)),
+pv as (select unit, valid, flat, tau, slope, case when flat then 1.0 else greatest(0.0, 1-2*z/4000/3*sum((case when k in (0,4000) then 1 when k%2=1 then 4 else 2 end)*exp(-pow(z*k/4000,2)/2))/sqrt(2*pi())) end p from z, range(0,4001) r(k) where valid group by unit, valid, flat, tau, slope, z),
+rk as (select *, row_number() over (order by p) k, count(*) over () nn from pv), qv as (select *, least(1.0, min(p*nn/k) over (order by k rows between current row and unbounded following)) q from rk),
+lt as (select z.unit, case when z.valid and z.flat then 0.0 when z.valid then z.tau end tau, case when z.valid and z.flat then 0.0 when z.valid then z.slope end slope, p, q,
+  case when not z.valid then 'Insufficient data' when q<0.05 and z.tau>0 and not z.flat then 'Increasing' when q<0.05 and z.tau<0 and not z.flat then 'Decreasing' else 'Stable' end trend from z left join qv using (unit))"""
 _CHECKS = {
     "null_coordinates": "null_coord", "out_of_global_range": "out_of_range", "zero_zero": "zero_zero", "swapped_lat_lon": "swapped", "coarse_rounded": "coarse", "outside_boundary": "not in_boundary",
     "suspect_fallback_pin": "pin", "ward_disagrees": "source_ward_id is distinct from ward_id and in_boundary", "usable": "usable",
@@ -82,10 +90,25 @@ near50 as (select distinct b.label, rowid_ from boxed b join seg s on b.label=s.
 inner_ as (select b.label, rowid_ from boxed b join edge_ e on b.label=e.label group by all having min((qx-px)*(b.y-py)-(qy-py)*(b.x-px))>=0),
 inside as (select label, rowid_, is_target, month from boxed where (label, rowid_) in (select (label, rowid_) from near50) or (label, rowid_) in (select (label, rowid_) from inner_))"""
 
+#: lab(eps, least, pid, lat, lon, label) of every configuration of the swept grid.
+GRID = f"""eps_ as (select unnest({[float(e) for e in EPS_METRES]}) eps), least_ as (select unnest({MIN_SAMPLES}) least),
+pairs as (select p.pid a, q.pid b, {_distance('p', 'q')} d from p, p q where abs(p.lat-q.lat)<0.0095), near as (select eps, a, b from pairs join eps_ on d<=eps),
+core as (select eps, least, a from (select eps, a, count(*) n from near group by all) join least_ on n>=least),
+link as (select c.eps, c.least, near.a, near.b from near join core c on c.eps=near.eps and c.a=near.a join core k on k.eps=near.eps and k.a=near.b and k.least=c.least),
+walk(eps, least, a, root) using key (eps, least, a) as (select eps, least, a, a root from core union select l.eps, l.least, l.a, min(w.root) from walk w join link l on l.eps=w.eps and l.least=w.least and l.b=w.a
+  join recurring.walk r on r.eps=l.eps and r.least=l.least and r.a=l.a where w.root<r.root group by all),
+named as (select eps, least, a, dense_rank() over (partition by eps, least order by root)-1 l from walk),
+edge as (select n.eps, n.least, near.a, min(l) l from near join named n on n.eps=near.eps and n.a=near.b group by all),
+lab as (select eps_.eps, least_.least, pid, lat, lon, coalesce(n.l, e.l, -1)::int label from p cross join eps_ cross join least_ left join named n on n.eps=eps_.eps and n.least=least_.least and n.a=pid left join edge e on e.eps=eps_.eps and e.least=least_.least and e.a=pid)"""
+
 ORACLE = {
     "scan_project": "select rowid_, request_id, issue_type, status, latitude, longitude from complaints",
     "load_where": "select rowid_, latitude, longitude from complaints where run_id=1 and usable=1 and latitude>13.0",
     "roundtrip_parquet": "select rowid_, status, ward_id, latitude from complaints",
+    "artifact_json": "select to_json({run_id: run_id, cluster_id: cluster_id, report_count: report_count, observed_trend: observed_trend})::varchar payload from cluster_summary",
+    "geojson_features": """with c as (select *, {cluster_id: cluster_id, report_count: report_count, "rank": "rank"} props, round_even(bbox_min_lon*1000,0)/1000 w, round_even(bbox_max_lon*1000,0)/1000 e, round_even(bbox_min_lat*1000,0)/1000 s, round_even(bbox_max_lat*1000,0)/1000 n from cluster_summary where centroid_latitude is not null and centroid_longitude is not null)
+select run_id, cluster_id, 'polygon' kind, to_json({type: 'Feature', geometry: {type: 'Polygon', coordinates: [[[w,s],[e,s],[e,n],[w,n],[w,s]]]}, properties: props})::varchar feature from c
+union all select run_id, cluster_id, 'centroid', to_json({type: 'Feature', geometry: {type: 'Point', coordinates: [round_even(centroid_longitude*10000,0)/10000, round_even(centroid_latitude*10000,0)/10000]}, properties: {cluster_id: cluster_id, report_count: report_count, "rank": "rank", feature: 'centroid'}})::varchar from c""",
     "nan_to_null": "select event_id, case when event_id%7=0 or event_id%11=0 then null else value end as value from events",
     "json_extract": "select event_id, (props->>'$.k')::int k from events",
     "parse_ts": """select rowid_, strftime(case when regexp_full_match(replace(trim(created_at),'/','-'),'\\d{1,2}-\\d{1,2}-\\d{4} \\d{1,2}:\\d{2}') then try_strptime(replace(trim(created_at),'/','-'),'%m-%d-%Y %H:%M') end,'%Y-%m-%d %H:%M') local_time from complaints""",
@@ -138,6 +161,24 @@ select 250.0::double eps, 5 least, (select count(*) from labels) points, count(*
   coalesce(max(reports),0)::bigint largest_cluster, coalesce(max(reports)/sum(reports),0) largest_cluster_share, coalesce(median(reports),0) median_cluster, round_even(coalesce(max(r),0)*10,0) max_cluster_radius_m, coalesce(avg((most>=0.9*reports)::int),0) single_coordinate_cluster_share,
   concat_ws(' | ', case when count(*)=0 or 100.0*(select count(*) from labels where label<0)/(select count(*) from labels)>85 then 'almost everything is noise' end, case when max(reports)/sum(reports)>0.5 then 'one cluster holds most reports' end,
   case when count(*) between 1 and 2 and 100.0*(select count(*) from labels where label<0)/(select count(*) from labels)<10 then 'almost everything is merged' end, case when round_even(max(r)*10,0)>4000 then 'geographically huge' end, case when avg((most>=0.9*reports)::int)>0.25 then 'mostly repeated coordinates' end) warnings from y""",
+    "sweep": f"""with recursive {I}, {P}, {GRID}, m as (select eps, least, label, pid, lat, lon, {_X} x, {_Y} y from lab where label>=0), spot as (select eps, least, label, lat, lon, count(*) n from m group by all),
+c as (select eps, least, label, clat lat, clon lon from {CENTRES.format(by='eps, least, label', src='m')}), rad as (select m.eps, m.least, m.label, max({_distance('m', 'c')}) r from m join c on m.label=c.label and m.eps=c.eps and m.least=c.least group by all),
+y as (select * from (select eps, least, label, sum(n)::bigint reports, max(n) most from spot group by all) join rad using (eps, least, label)),
+g as (select eps, least, count(*) k, max(reports) big, sum(reports) s, median(reports) mid, max(r) r, avg((most>=0.9*reports)::int) single from y group by all),
+t as (select eps, least, count(*) points, count(*) filter (label<0) noise from lab group by all),
+nx as (select eps, lead(eps) over (order by eps) e2 from eps_), j as (select a.eps, a.least, e2, a.label la, b.label lb from lab a join nx on nx.eps=a.eps join lab b on b.eps=e2 and b.least=a.least and b.pid=a.pid),
+cell as (select eps, least, e2, la, lb, count(*) n from j group by all), w as (select eps, least, e2, sum(n*(n-1)/2) i, sum(n)*(sum(n)-1)/2 a from cell group by all),
+xx as (select eps, least, e2, sum(q*(q-1)/2) v from (select eps, least, e2, la, sum(n) q from cell group by all) group by all), yy as (select eps, least, e2, sum(q*(q-1)/2) v from (select eps, least, e2, lb, sum(n) q from cell group by all) group by all),
+ari as (select eps, least, e2, coalesce((i-xx.v*yy.v/a)/nullif((xx.v+yy.v)/2-xx.v*yy.v/a,0),1) ari from w join xx using (eps, least, e2) join yy using (eps, least, e2)),
+st as (select eps, least, avg(ari) stability_ari from (select eps, least, ari from ari union all select e2, least, ari from ari) group by all),
+d as (select a.eps, a.least, a.pid, a.label, b.label o, avg(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) d from m a join m b on a.eps=b.eps and a.least=b.least group by all),
+e as (select d.eps, d.least, pid, z.reports n, max(case when d.label=o then d*z.reports/nullif(z.reports-1,0) end) a, min(case when d.label<>o then d end) b from d join y z on z.eps=d.eps and z.least=d.least and z.label=d.label group by all),
+si as (select e.eps, e.least, case when max(g.k)>=2 and max(g.s)>max(g.k) then round_even(avg(case when n=1 then 0 else coalesce((b-a)/nullif(greatest(a,b),0),0) end)*1e6,0) end silhouette from e join g on g.eps=e.eps and g.least=e.least group by all),
+v as (select t.eps, t.least, points, coalesce(k,0) cluster_count, noise noise_count, 100.0*noise/points noise_percentage, coalesce(big,0) largest_cluster, coalesce(big/s,0) largest_cluster_share, coalesce(mid,0) median_cluster, round_even(coalesce(r,0)*10,0) max_cluster_radius_m, coalesce(single,0) single_coordinate_cluster_share
+  from t left join g on g.eps=t.eps and g.least=t.least)
+select v.*, stability_ari, silhouette, concat_ws(' | ', case when cluster_count=0 or noise_percentage>85 then 'almost everything is noise' end, case when cluster_count>0 and largest_cluster_share>0.5 then 'one cluster holds most reports' end,
+  case when cluster_count between 1 and 2 and noise_percentage<10 then 'almost everything is merged' end, case when max_cluster_radius_m>40000 then 'geographically huge' end, case when single_coordinate_cluster_share>0.25 then 'mostly repeated coordinates' end) warnings
+from v left join st on st.eps=v.eps and st.least=v.least left join si on si.eps=v.eps and si.least=v.least""",
     "sanity_warnings": f"""with {I}, n as (select run_id, count(*) n from i where usable and is_target and not pin group by 1), m as (select run_id, count(*) k, 100.0*(max(n)-sum(report_count))/max(n) noise, max(report_count)/sum(report_count) share, max(approx_radius_meters) r, avg(single_coordinate_cluster::int) single from cluster_summary join n using (run_id) group by 1)
 select run_id, concat_ws(' | ', case when noise>85 then 'almost everything is noise' end, case when share>0.5 then 'one cluster holds most reports' end, case when k<=2 and noise<10 then 'almost everything is merged' end,
   case when r>4000 then 'geographically huge' end, case when single>0.25 then 'mostly repeated coordinates' end) warnings from m""",
@@ -196,6 +237,9 @@ select unit, case when n>=15 then recent::bigint end recent_count, case when n>=
     "unit_share": f"with {I}, {SERIES} select unit, sum(target_reports)/nullif(sum(all_reports),0) share from s group by 1",
     "kendall_tau": f"with {I}, {SERIES}, {TREND} select unit, valid, case when valid and flat then 0 when valid then tau end tau, case when valid and flat then 0 when valid then s end s from tr",
     "theil_sen": f"with {I}, {SERIES}, {TREND} select unit, case when valid and flat then 0 when valid then slope end slope from tr",
+    "trend_labels": f"with {I}, {SERIES}, {TREND}, {LABELS} select unit, tau, round_even(p*1e6,0)/1e6 p_value, round_even(q*1e6,0)/1e6 q_value, trend from lt",
+    "city_trend": f"""with {I}, {SERIES}, ct as (select month, sum(target_reports) t, sum(all_reports) a from s group by 1), cs as (select 'count' unit, month, t::double y from ct union all select 'share', month, round_even(coalesce(t/nullif(a,0),0)*1000,0) from ct),
+{TREND.replace("row_number() over (partition by unit order by month)-1 i from s)", "row_number() over (partition by unit order by month)-1 i from cs)").replace("target_reports y", "y")}, {LABELS} select unit, tau, slope, round_even(p*1e6,0)/1e6 p_value, trend from lt""",
     "bh_adjust": """with r as (select run_id, cluster_id, complaint_share p, row_number() over (order by complaint_share) k, count(*) over () n from cluster_summary where complaint_share is not null)
 select run_id, cluster_id, p, least(1.0, min(p*n/k) over (order by k rows between current row and unbounded following)) q from r union all select run_id, cluster_id, complaint_share, null from cluster_summary where complaint_share is null""",
     "cluster_monthly": f"""{WITH_L}, {MONTHS}, {FOOT}, g as (select label, month, count(*) filter (is_target) t from labels join i on pid=rowid_ where label>=0 group by all), h as (select label, month, count(*) n from inside group by all), u as (select distinct label from labels where label>=0)

@@ -11,6 +11,7 @@ from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
 from hotloom.operators import cleaning, proximity, quality, regions, secondary, series, shapes, sweeps
 from hotloom.operators.ranking import with_rank
+from hotloom.operators.silhouettes import silhouettes
 from hotloom.plans import report_sql, surface
 from hotloom.session import stage, stage_path
 from hotloom.sources import artifacts
@@ -408,7 +409,7 @@ def sanity_warnings(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
-    return sweeps.silhouette(labels(spark, folder)).select("n", F.rint(F.col("score") * 1e6).alias("score_e6"))
+    return silhouettes(labels(spark, folder), []).select("n", F.rint(F.col("score") * 1e6).alias("score_e6"))
 
 
 @query
@@ -422,8 +423,9 @@ def ari(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole grid of 60 configurations with stability and warnings."""
-    return sweeps.sweep(analysed(spark, folder))
+    """The whole grid of 60 configurations with stability, silhouettes (in millionths) and warnings; radii in decimetres."""
+    rows = sweeps.sweep(analysed(spark, folder))
+    return rows.withColumns({"max_cluster_radius_m": F.rint(F.col("max_cluster_radius_m") * 10), "silhouette": F.rint(F.col("silhouette") * 1e6)})
 
 
 @query
@@ -684,7 +686,8 @@ def theil_sen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def trend_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return series.label_trends(series.trend_stats(ward_series(spark, folder), "unit", "target_reports")).select("unit", "tau", "p_value", "q_value", "trend")
+    t = series.label_trends(series.trend_stats(ward_series(spark, folder), "unit", "target_reports"))
+    return t.select("unit", "tau", (F.rint(F.col("p_value") * 1e6) / 1e6).alias("p_value"), (F.rint(F.col("q_value") * 1e6) / 1e6).alias("q_value"), "trend")
 
 
 @query
@@ -693,7 +696,8 @@ def city_trend(spark: SparkSession, folder: str) -> DataFrame:
     c = city_timeline(spark, folder)
     share = F.rint(F.coalesce(F.col("target_reports") / F.nullif("all_reports", F.lit(0)), F.lit(0.0)) * 1000)
     both = c.select(F.lit("count").alias("unit"), "month", F.col("target_reports").cast("double").alias("v")).unionByName(c.select(F.lit("share").alias("unit"), "month", share.alias("v")))
-    return series.label_trends(series.trend_stats(both, "unit", "v")).select("unit", "tau", "slope", "p_value", "trend")
+    t = series.label_trends(series.trend_stats(both, "unit", "v"))
+    return t.select("unit", "tau", "slope", (F.rint(F.col("p_value") * 1e6) / 1e6).alias("p_value"), "trend")
 
 
 @query

@@ -1,19 +1,16 @@
 import os
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+from hotloom.session import build_session, shared_folder
+
+os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))  # for the Python workers
 
 
 @pytest.fixture(scope="session")
 def spark():
-    from hotloom.session import build_session, shared_folder
-
-    s = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g", "spark.ui.showConsoleProgress": "false"})
-    s.sparkContext.setLogLevel("ERROR")
-    shared_folder(s)
-    yield s
-    s.stop()
+    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g", "spark.ui.showConsoleProgress": "false"})
+    session.sparkContext.setLogLevel("ERROR")
+    shared_folder(session)
+    yield session
+    session.stop()

@@ -123,6 +123,15 @@ def test_regions(spark):
     assert regions.containing_region(points, wards.limit(0), "latitude", "longitude", "w").where("w = -1").count() == 8
 
 
+def test_regions_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(regions, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(regions, "POINT_BLOCK", 4)
+    wards = spark.createDataFrame([(1, [square(77.0, 12.0, 0.1)]), (2, [square(77.05, 12.05, 0.1)])], RINGS)
+    points = spark.createDataFrame([(i, 12.07, 77.07) for i in range(30)] + [(100, 12.01, 77.01), (101, None, 1.0), (102, 50.0, 50.0)], "id int, latitude double, longitude double")
+    got = {r.id: sorted(r.held) for r in regions.containing_regions(points, wards, "latitude", "longitude", "held").collect()}
+    assert got == {**{i: [1, 2] for i in range(30)}, 100: [1], 101: [], 102: []}
+
+
 def brute_dbscan(points, eps, least):
     near = [[j for j, q in enumerate(points) if metres(p, q) <= eps] for p in points]
     core = [len(x) >= least for x in near]

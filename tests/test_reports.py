@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hotloom.functions.planar import to_latlon, to_utm
 from hotloom.functions.sphere import haversine
 from hotloom.operators import cleaning, quality, series, shapes, sweeps
+from hotloom.operators import silhouettes as silhouette_operator
 from hotloom.plans import reports, surface
 from hotloom.sources import artifacts, raw
 
@@ -208,6 +209,38 @@ def test_sweep_choice_and_warnings(spark):
         sweeps.check_parameters(0, 5)
 
 
+def test_silhouettes(spark, monkeypatch):
+    """Against all pairs; with blocks of a few places, several clusterings, copies, single points and noise."""
+    monkeypatch.setattr(silhouette_operator, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    pts = np.concatenate([rng.normal([12.97 + 0.01 * k, 77.59], 0.001 * (k + 1), (25, 2)) for k in range(4)] + [[[12.9, 77.5]], [[12.97, 77.59]] * 4])
+    kinds = {1: [k // 25 for k in range(100)] + [4] + [0] * 4, 2: [k % 3 - 1 for k in range(105)], 3: [0] * 105, 4: [-1] * 105, 5: list(range(105))}
+    df = spark.createDataFrame([(g, i, float(a), float(b), kinds[g][i]) for g in kinds for i, (a, b) in enumerate(pts)], "g int, pid int, lat double, lon double, label int")
+    x, y = to_utm("lat", "lon")
+    xy = np.array([tuple(r) for r in df.where("g = 1").orderBy("pid").select(x, y).collect()])
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+
+    def brute(labels):
+        at = [i for i, c in enumerate(labels) if c >= 0]
+        names = {c: [i for i in at if labels[i] == c] for c in {labels[i] for i in at}}
+        if len(names) < 2 or len(at) <= len(names):
+            return None
+        total = 0.0
+        for i in at:
+            mine = names[labels[i]]
+            if len(mine) > 1:
+                a = d[i, mine].sum() / (len(mine) - 1)
+                b = min(d[i, o].mean() for c, o in names.items() if c != labels[i])
+                total += (b - a) / max(a, b)
+        return total / len(at)
+
+    got = {r.g: (r.n, r.score) for r in silhouette_operator.silhouettes(df, ["g"]).collect()}
+    assert set(got) == {1, 2, 3, 5}
+    for g, (n, score) in got.items():
+        assert n == sum(c >= 0 for c in kinds[g]) and (score is None if brute(kinds[g]) is None else score == pytest.approx(brute(kinds[g]), abs=1e-9))
+    assert silhouette_operator.silhouettes(df.limit(0), ["g"]).count() == 0
+
+
 def test_sweep_select_takes_the_whole_grid(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(k, float(a), float(b), k < 20) for k, (a, b) in enumerate(rng.normal([12.97, 77.59], 0.002, (50, 2)))], "rowid_ long, lat double, lon double, is_target boolean")
