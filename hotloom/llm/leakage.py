@@ -11,6 +11,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,9 @@ def _spans(text: bytes, plain: str, hits: list[tuple[int, list[tuple[int, int]]]
     return out
 
 
-def _scanner(patterns: dict[str, list[tuple[int, int]]], run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(items: Broadcast, run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = windows(items.value, run)
         automaton = _automaton(patterns) if patterns else None
         for batch in batches:
             rows = []
@@ -102,7 +104,8 @@ def leaked_spans(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     found = None
     for part in range(parts):
         own = held.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part) if parts > 1 else held
-        patterns = windows([(r.i, bytes(r.t)) for r in own.orderBy("i").toLocalIterator()], run)
-        one = texts.mapInArrow(_scanner(patterns, run), "item_id long, doc_id long, start int, stop int, words int")
+        # the tasks make the patterns; the driver only passes on a part's texts, of about ``most`` characters
+        part_items = docs.sparkSession.sparkContext.broadcast([(r.i, bytes(r.t)) for r in own.orderBy("i").toLocalIterator()])
+        one = texts.mapInArrow(_scanner(part_items, run), "item_id long, doc_id long, start int, stop int, words int")
         found = one if found is None else found.unionByName(one)
     return found
