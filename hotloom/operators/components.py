@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotloom.session import stage, stage_counted, unstage
 
 
+#: Links, counted when they are staged, that one task finishes in memory (about 10 MB); more are contracted in rounds.
+FEW_LINKS = 200_000
+
+
 def hash_order(node: Column, seed: int) -> Column:
     """An order of nodes that is another for each seed; the node itself settles equal hashes."""
     return F.struct(F.xxhash64(node, F.lit(seed)).alias("hash"), node.alias("node"))
@@ -25,22 +33,50 @@ def moved(links: DataFrame, move: DataFrame) -> DataFrame:
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _renamed(member: DataFrame, move: DataFrame) -> DataFrame:
+    step = move.select(F.col("node").alias("__from"), F.col("root").alias("__to"))
+    return member.join(step, member["root"] == step["__from"], "left").select("node", F.coalesce("__to", "root").alias("root"))
+
+
+def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of links in memory; a root is the component's least node."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    top = np.arange(len(nodes))
+    while (top[u] != top[v]).any():
+        low, high = np.minimum(top[u], top[v]), np.maximum(top[u], top[v])
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top = top[top]
+    return nodes, nodes[top]
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        nodes, roots = least_of_component(t["a"].to_numpy(), t["b"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root), staged: nodes (long) joined by any chain of links (a, b) share a root, one of them.
 
     In each round every node moves to its neighbour that is first in that round's hash order, unless it is first itself,
     and links are rewritten; so hubs close up at once, and the number of rounds grows with the logarithm of the largest
-    component. Links between other nodes are ignored. No nodes give no rows.
+    component. Once no more than FEW_LINKS are left, one task joins what they link. Links between other nodes are ignored. No nodes give no rows.
     """
     member = stage(nodes.select("node", F.col("node").alias("root")), "member")
     left, rows = stage_counted(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     seed = 0
     while rows:
+        if rows <= FEW_LINKS:
+            goes = left.repartition(1).mapInArrow(_finish, "node long, root long")
+            return stage(_renamed(member, goes), "member")
         first = both_ways(left).groupBy(F.col("a").alias("node")).agg(F.min(hash_order(F.col("b"), seed)).alias("__m"))
         goes = first.where(F.col("__m") < hash_order(F.col("node"), seed)).select("node", F.col("__m.node").alias("root"))
         goes = stage(goes, "moves")
-        step = goes.select(F.col("node").alias("__from"), F.col("root").alias("__to"))
-        now = stage(member.join(step, member["root"] == step["__from"], "left").select("node", F.coalesce("__to", "root").alias("root")), "member")
+        now = stage(_renamed(member, goes), "member")
         rest, rows = stage_counted(moved(left, goes), "links")
         for old in (member, left, goes):
             unstage(old)

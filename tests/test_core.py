@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hotloom.operators import density, frequency, pins, proximity, regions, skew, trailing
+from hotloom.operators import components as component_operator
 from hotloom.operators.components import components
 from hotloom.operators.skew import split_join
 from hotloom.session import stage
@@ -179,7 +180,9 @@ def test_dbscan_of_many_configurations(spark, monkeypatch):
     assert density.dbscan(df.limit(0), eps, least).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 50, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(component_operator, "FEW_LINKS", few)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     nodes = spark.createDataFrame([(i,) for i in [*range(41), *range(100, 160), 200, 201, 300]], "node long")
     got = {r.node: r.root for r in components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
