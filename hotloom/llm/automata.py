@@ -18,8 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of reference texts in one automaton (its arrays take about 30 bytes a character, a streaming process some
-#: 300), and of all of them.
+#: Characters of reference texts in one automaton (its arrays take about 50 bytes a character, a streaming process some
+#: 400), and of all of them.
 SHARD_CHARS, MOST_CHARS = 1_000_000, 5_000_000
 _CODE_BITS = 21  # a character's code
 
