@@ -75,6 +75,40 @@ def test_hull_buffer_simplify():
     assert len(shapes.simplified(ring, 0.01)) == 5
 
 
+def test_simplified_regions(spark):
+    """No point of the old ring is further than the tolerance from the new one, whose points are some of the old."""
+    rng = np.random.default_rng(7)
+    turn = np.sort(rng.uniform(0, 2 * math.pi, 400))
+    ring = np.stack([77.5 + 0.05 * np.cos(turn) + rng.normal(0, 0.0001, 400), 12.9 + 0.05 * np.sin(turn) + rng.normal(0, 0.0001, 400)], axis=1)
+    ring = np.vstack([ring, ring[:1]])
+    tiny = [(77.0, 12.0), (77.0001, 12.0), (77.0, 12.0001), (77.0, 12.0)]
+    rows = [(1, [[tuple(map(float, p)) for p in ring], tiny]), (2, None), (3, [])]
+    got = {r.ward_id: r.rings for r in shapes.simplify_regions(spark.createDataFrame(rows, "ward_id int, rings array<array<struct<lon:double,lat:double>>>")).collect()}
+    assert got[2] is None and not got[3] and [tuple(p) for p in got[1][1]] == tiny
+    new = np.array([tuple(p) for p in got[1][0]])
+    assert len(new) < 200 and (new[0] == new[-1]).all() and {tuple(p) for p in new} <= {tuple(p) for p in ring}
+    a, d = new[:-1], np.diff(new, axis=0)
+    for p in ring:
+        t = np.clip(((p - a) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-30), 0, 1)
+        assert np.hypot(*(a + t[:, None] * d - p).T).min() <= 0.0003 + 1e-12
+
+
+def test_baselines(spark):
+    """Each draw is the rows of the smallest hashes, clustered like any points; mean and deviation over the draws."""
+    rng = np.random.default_rng(12)
+    pool = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(np.round(rng.normal([12.97, 77.59], 0.004, (160, 2)), 4))], "pid long, lat double, lon double")
+    got = {(r.eps, r.least): r for r in sweeps.baselines(pool, 100, [150.0, 300.0], [3, 5], reps=3).collect()}
+    assert set(got) == {(e, m) for e in (150.0, 300.0) for m in (3, 5)}
+    clusters, noise = {k: [] for k in got}, {k: [] for k in got}
+    for rep in range(3):
+        drawn = pool.withColumn("h", F.xxhash64("pid", F.lit(rep), F.lit(7))).orderBy("h", "pid").limit(100).drop("h")
+        for r in sweeps.labelled(drawn, [150.0, 300.0], [3, 5]).groupBy("eps", "least").agg((F.max("label") + 1).alias("k"), F.count_if(F.col("label") < 0).alias("n")).collect():
+            clusters[r.eps, r.least].append(r.k)
+            noise[r.eps, r.least].append(r.n)
+    for k, r in got.items():
+        assert r.baseline_clusters == pytest.approx(np.mean(clusters[k])) and r.baseline_sd == pytest.approx(np.std(clusters[k])) and r.baseline_noise == pytest.approx(np.mean(noise[k]))
+
+
 def test_hulls_keep_every_corner(spark):
     rng = np.random.default_rng(2)
     lat, lon = to_latlon("x", "y")
