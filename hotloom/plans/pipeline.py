@@ -113,7 +113,8 @@ def compare(spark: SparkSession, s: Settings, eps: float, least: int) -> None:
     every = artifacts.get_artifact(spark, s.out, "points_with_pins")
     pins = every.where("pin").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest_pin"))
     again = sweeps.sweep_metrics(sweeps.labelled(every.select("pid", "lat", "lon"), [eps], [least]), ["eps", "least"])
-    artifacts.put_artifact(again.crossJoin(pins).withColumn("warnings", sweeps.sanity_warnings()), s.out, "with_pins")
+    again = again.withColumn("__k", F.lit(1)).join(pins.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    artifacts.put_artifact(again.withColumn("warnings", sweeps.sanity_warnings()), s.out, "with_pins")
     both = labels.select("pid", F.col("label").alias("la")).join(sweeps.hdbscan(mine, least).withColumnRenamed("label", "lb"), "pid").withColumn("least", F.lit(least))
     artifacts.put_artifact(both, s.out, "hdbscan_membership")
     both = artifacts.get_artifact(spark, s.out, "hdbscan_membership")
