@@ -137,6 +137,11 @@ def passing(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("warnings") == "") & (F.col("noise_percentage") <= s["noise"]) & (F.col("max_cluster_radius_m") <= s["radius"]) & (F.col("stability_ari") >= s["ari"]) & (F.col("cluster_count") >= s["clusters"]) & (F.col("cluster_ratio") >= s["ratio"]))
 
 
+def best(rows: DataFrame) -> DataFrame:
+    """The most stable row, of equals that of the least noise, then of the smallest eps and least; none of none."""
+    return rows.orderBy(F.desc("stability_ari"), "noise_percentage", "eps", "least").limit(1)
+
+
 def select_config(rows: DataFrame, eps: float | None = None, least: int | None = None) -> DataFrame:
     """The chosen row: the most stable of those passing, then the least noise, then smallest eps and least.
 
@@ -145,7 +150,7 @@ def select_config(rows: DataFrame, eps: float | None = None, least: int | None =
     if (eps is None) != (least is None):
         raise ValueError("eps and min_samples must be given together")
     chosen = rows.where((F.col("eps") == eps) & (F.col("least") == least)) if eps is not None else passing(rows)
-    chosen = chosen.orderBy(F.desc("stability_ari"), "noise_percentage", "eps", "least").limit(1)
+    chosen = best(chosen)
     if chosen.isEmpty():
         raise ValueError("no configuration fulfils the criteria" if eps is None else f"({eps}, {least}) isn't in the grid")
     return chosen

@@ -31,6 +31,8 @@ class Settings:
     taxonomy: dict[int, tuple[str, str]] | None = None
     #: KML of a second source, compared but never merged.
     records: str | None = None
+    #: JSON records of the sources, as fetch() writes them (a path, may hold wildcards).
+    metadata: str | None = None
 
 
 KEY = ["created_at", "latitude", "longitude", "sub_category_id", "title", "description"]
@@ -47,6 +49,10 @@ def preprocess(spark: SparkSession, s: Settings) -> bool:
     rows, encoding = raw.read_raw(spark, s.csv)
     if s.taxonomy:
         cleaning.check_taxonomy(rows, "sub_category_id", "sub_category_title", "category_title", s.taxonomy)
+    files = raw.checksums(spark, s.csv).select(F.col("path").alias("source_identifier"), "file_size", "sha256")
+    if s.metadata:
+        files = files.unionByName(raw.read_metadata(spark, s.metadata), allowMissingColumns=True)
+    artifacts.put_artifact(files.withColumn("recorded_at", F.current_timestamp()), s.out, "ingestion_runs")
     artifacts.put_artifact(raw.read_wards(spark, s.wards), s.out, "wards")
     wards = artifacts.get_artifact(spark, s.out, "wards")
     key = [k for k in KEY if k in rows.columns]
@@ -85,6 +91,8 @@ def cluster(spark: SparkSession, s: Settings) -> tuple[float, int]:
     good = sweeps.passing(grid if s.eps is None else grid.limit(0)).select("eps", "least", F.lit(True).alias("passing"))
     marked = grid.join(good, ["eps", "least"], "left").fillna(False, ["passing"]).withColumn("selected", (F.col("eps") == chosen["eps"]) & (F.col("least") == chosen["least"]))
     artifacts.put_artifact(marked, s.out, "sweep_marked")
+    run = marked.where("selected").select(F.lit(1).alias("run_id"), F.current_timestamp().alias("created_at"), "eps", "least", F.col("points").alias("dataset_size"), "cluster_count", "noise_count", "noise_percentage")
+    artifacts.put_artifact(run, s.out, "analysis_runs")
     labels = sweeps.labelled(mine, [chosen["eps"]], [chosen["least"]]).join(ranked.select("pid", "rowid_"), "pid")
     artifacts.put_artifact(labels, s.out, "membership")
     labels = artifacts.get_artifact(spark, s.out, "membership")

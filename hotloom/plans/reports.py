@@ -437,11 +437,13 @@ def baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sweep_select(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the whole grid with their ratio to the baselines of 20 draws, and which fulfil the criteria."""
+    """The rows of the whole grid with their ratio to the baselines of 20 draws, which fulfil the criteria, and which of
+    those is selected; none is if none does."""
     pool = issues(spark, folder).where(F.col("usable") & ~F.col("is_target") & ~F.col("pin")).select(F.col("rowid_").cast("long").alias("pid"), "lat", "lon")
     rows = stage(sweeps.sweep(analysed(spark, folder), pool), "sweep")
-    good = sweeps.passing(rows).select("eps", "least").withColumn("passing", F.lit(True))
-    return rows.join(good, ["eps", "least"], "left").fillna(False, ["passing"])
+    good = sweeps.passing(rows)
+    marks = good.select("eps", "least", F.lit(True).alias("passing")).join(sweeps.best(good).select("eps", "least", F.lit(True).alias("selected")), ["eps", "least"], "left")
+    return rows.join(F.broadcast(marks), ["eps", "least"], "left").fillna(False, ["passing", "selected"])  # at most a row per configuration
 
 
 @query

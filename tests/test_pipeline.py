@@ -5,7 +5,7 @@ import pytest
 
 from hotloom.operators import cleaning, secondary
 from hotloom.plans import pipeline, surface
-from hotloom.sources import artifacts
+from hotloom.sources import artifacts, raw
 
 
 def write_inputs(folder, n):
@@ -31,7 +31,8 @@ def whole(spark, tmp_path_factory):
     write_inputs(folder, 1200)
     rng = np.random.default_rng(3)
     (folder / "r.kml").write_text(RECORDS.format("".join(RECORD.format(a, b) for a, b in [*rng.normal([12.96, 77.56], 0.001, (40, 2)), *rng.uniform([12.85, 77.46], [13.05, 77.64], (60, 2))])))
-    s = pipeline.Settings(str(folder / "c.csv"), str(folder / "w.kml"), str(folder / "out"), [66], 250.0, 5, [200.0, 250.0], [5], 2, {66: ("Roads", "Pothole")}, str(folder / "r.kml"))
+    (folder / "c.json").write_text(json.dumps({"source_key": "c", "url": "u", "license": "CC0"}))
+    s = pipeline.Settings(str(folder / "c.csv"), str(folder / "w.kml"), str(folder / "out"), [66], 250.0, 5, [200.0, 250.0], [5], 2, {66: ("Roads", "Pothole")}, str(folder / "r.kml"), str(folder / "*.json"))
     return s, pipeline.run(spark, s), lambda name: artifacts.get_artifact(spark, s.out, name), folder / "out"
 
 
@@ -49,6 +50,9 @@ def test_whole_run(spark, whole):
     assert surface.spatial_units(get("ward_metrics"), get("wards"), True).count() == 2
     first = get("clusters").first()
     assert first.boundary[0] == first.boundary[-1] and first.boundary_area_km2 >= 0.049
+    run = get("analysis_runs").first()
+    assert (run.eps, run.least, run.dataset_size) == (250.0, 5, 800) and run.noise_count == labels.where("label < 0").count()
+    assert {(r.source_key, r.sha256) for r in get("ingestion_runs").collect()} == {(None, raw.sha256_of(s.csv)), ("c", None)}
     assert [(r.eps, r.least, r.selected, r.passing) for r in get("sweep_marked").orderBy("eps").collect()] == [(200.0, 5, False, False), (250.0, 5, True, False)]
 
 
