@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from hotloom.session import stage_counted
 
 #: Positions in a block at most, a single longer list excepted; its distinct items and their values fit a task.
-BLOCK_ITEMS = 1_000_000
-#: Blocks that one task puts together again, about 2 MB each; so tasks grow in number with the corpus, not in size.
-BLOCKS_A_TASK = 2
+BLOCK_ITEMS = 250_000
+#: Blocks that one task puts together again, about 0.5 MB each; so tasks grow in number with the corpus, not in size.
+BLOCKS_A_TASK = 8
 
 
 def _values(a: pa.Array) -> pa.Array:
