@@ -7,6 +7,7 @@ block and distinct item instead of one per position, and values are put back by
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotloom.session import stage_counted
+from hotloom.session import arrow_rows, stage_counted
 
 #: Positions in a block at most, a single longer list excepted; its distinct items and their values fit a task.
 BLOCK_ITEMS = 250_000
 #: Blocks that one task puts together again, about 0.5 MB each; so tasks grow in number with the corpus, not in size.
 BLOCKS_A_TASK = 8
+#: Lists that go to Python at once, and blocks that are read at once: either is held decoded, so it is kept to some MB
+#: whatever the size of files and partitions.
+BATCH_LISTS = 500
+GROUP_BLOCKS = 8
+#: Lists in a block at most, however short they are.
+MOST_LISTS = 10_000
 
 
 def _values(a: pa.Array) -> pa.Array:
@@ -31,12 +38,22 @@ def _packer(item: pa.DataType, most: int) -> Callable[[Iterator[pa.RecordBatch]]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            keys, lists = batch.column(0), batch.column(1)
+        held, waiting = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column(0), batch.column(1)))
+                waiting += len(batch.column(1).flatten())
+                if waiting < most and sum(len(k) for k, _ in held) < MOST_LISTS:
+                    continue
+            if not held:
+                return
+            keys, lists = (pa.concat_arrays(list(c)) for c in zip(*held, strict=True))
             counts = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
             start = 0
             ends = np.cumsum(counts)
-            while start < len(keys):
+            # what doesn't fill a block waits for the next batch
+            every = batch is None or len(keys) >= MOST_LISTS
+            while start < len(keys) and (every or ends[-1] - (ends[start - 1] if start else 0) >= most):
                 before = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
                 coded = lists.slice(start, stop - start).flatten().dictionary_encode()
@@ -46,6 +63,8 @@ def _packer(item: pa.DataType, most: int) -> Callable[[Iterator[pa.RecordBatch]]
                 yield pa.RecordBatch.from_arrays(row, schema=schema)
                 number += 1
                 start = stop
+            held = [(keys.slice(start), lists.slice(start))] if start < len(keys) else []
+            waiting = len(lists.slice(start).flatten()) if held else 0
 
     return pack
 
@@ -55,7 +74,8 @@ def to_blocks(df: DataFrame, key: str, items: str, item: pa.DataType, item_sql:
     is an empty one."""
     kept = df.select(F.col(key).cast("long"), F.coalesce(F.col(items), F.array().cast(f"array<{item_sql}>")))
     packed = kept.mapInArrow(_packer(item, most), f"block long, keys array<long>, counts array<int>, codes array<int>, items array<{item_sql}>")
-    return stage_counted(packed, "blocks")
+    with arrow_rows(df.sparkSession, BATCH_LISTS):
+        return stage_counted(packed, "blocks", GROUP_BLOCKS)
 
 
 def distinct_items(blocks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,20 +69,36 @@ def named_stage(spark: SparkSession, name: str) -> str:
     return where
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``group_rows`` bounds the rows of a Parquet row group. The reader decodes up to 4,096 rows of a group at once, so
+    tables with rows of a megabyte need it.
+    """
     where = stage_path(df.sparkSession, name)
-    df.write.parquet(where)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def stage_counted(df: DataFrame, name: str, group_rows: int | None = None) -> tuple[DataFrame, int]:
     """stage() and the number of rows, counted while they are written."""
     seen = Observation()
-    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, group_rows)
     return staged, seen.get["rows"]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches of at most ``most`` rows to and from Python for what is executed inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most if int(before) <= 0 else min(int(before), most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that no plan reads any more; other tables stay."""
     for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

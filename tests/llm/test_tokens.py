@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from hotloom.llm.positional import distinct_items, from_blocks, to_blocks
@@ -66,3 +67,13 @@ def test_blocks_of_any_size(spark):
         table = distinct_items(blocks).selectExpr("item", "array(ascii(item), 0) as value")
         got = {r.key: r.joined for r in from_blocks(blocks, number, table, "array<int>").collect()}
         assert got == {k: [x for w in v or [] for x in (ord(w), 0)] for k, v in rows}
+
+
+def test_few_blocks_are_read_at_once(spark, monkeypatch):
+    """The reader decodes a whole row group of blocks, so a file of many must be in several; batches don't cut blocks."""
+    df = spark.range(0, 600, 1, 1).selectExpr("id as k", "array('a', 'b', string(id % 7)) as items")
+    blocks, number = to_blocks(df, "k", "items", pa.string(), "string", 30)
+    groups = [g.num_rows for f in blocks.inputFiles() for m in [pq.read_metadata(f.removeprefix("file:"))] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(groups) == number == 60 and max(groups) <= 8
+    assert {len(r.keys) for r in blocks.select("keys").collect()} == {10}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
