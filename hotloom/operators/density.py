@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.components import components
+from hotloom.operators.gathered import gathered
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.skew import block_join, crowded, split_join
 from hotloom.session import stage
@@ -201,6 +202,20 @@ def clusters_by_level(places: DataFrame, levels: list[int]) -> DataFrame:
     return out.select("rid", *[F.coalesce(f"l{k}", f"e{k}", F.lit(-1)).alias(f"label_{k}") for k in levels])
 
 
+def in_range(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with coordinates that a place can have, -0.0 as 0.0, and the others."""
+    ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    return points.where(ok).withColumns({"lat": F.col("lat") + 0.0, "lon": F.col("lon") + 0.0}), points.where(~F.coalesce(ok, F.lit(False)))
+
+
+def by_configuration(wide: DataFrame, eps: list[float], levels: list[int]) -> DataFrame:
+    """A row of gathered() as one for each radius and least number, with its label."""
+    each = [(float(e), k) for e in sorted(eps) for k in sorted(levels)]
+    keys = [F.array(*[F.lit(c[i]) for c in each])[F.col("__i")] for i in (0, 1)]
+    rows = wide.select(*[c for c in wide.columns if c != "labels"], F.posexplode("labels").alias("__i", "label"))
+    return rows.withColumns({"eps": keys[0], "least": keys[1]}).drop("__i")
+
+
 def dbscan(points: DataFrame, eps: list[float], levels: list[int]) -> DataFrame:
     """(grp, eps, least, pid, label): density clusters as the sequential algorithm labels them, for every radius of
     ``eps`` and every least number of ``levels``.
@@ -208,11 +223,14 @@ def dbscan(points: DataFrame, eps: list[float], levels: list[int]) -> DataFrame:
     ``points`` has grp, pid (a whole number from 0 to 2^40, unique in its group), lat and lon. Clusters of a group are
     numbered from 0 by their smallest dense pid; a point that isn't dense takes the smallest number among dense points
     within eps, or -1. Points with null, NaN or out-of-range coordinates are noise; eps is inclusive; copies of a point
-    count each. Groups times radii are few.
+    count each. Groups times radii are few. Groups that fit a task are labelled by one each, others are distributed.
     """
-    ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     radii = F.explode(F.array(*[F.lit(float(e)) for e in eps]))
-    there = points.where(ok).withColumns({"lat": F.col("lat") + 0.0, "lon": F.col("lon") + 0.0})
+    there, bad = in_range(points)
+    noise = bad.select(GROUP, radii.alias("eps"), "pid").select("*", F.explode(F.array(*[F.lit(k) for k in levels])).alias("least"), F.lit(-1).alias("label"))
+    wide = gathered(there, eps, levels)
+    if wide is not None:
+        return by_configuration(wide.select(GROUP, "pid", "labels"), eps, levels).select(GROUP, "eps", "least", "pid", "label").unionByName(noise.select(GROUP, "eps", "least", "pid", "label"))
     at = there.groupBy(GROUP, "lat", "lon").agg(F.count(F.lit(1)).alias("w"), F.min("pid").cast("long").alias("first"))
     at = stage(at.withColumn("eps", radii), "spots")
     # ids that are unique over groups and radii and keep the order of pid within each
@@ -225,6 +243,4 @@ def dbscan(points: DataFrame, eps: list[float], levels: list[int]) -> DataFrame:
     rows = split_join(there, stage(named, "spot_labels"), {GROUP: "__own", "lat": "__lat", "lon": "__lon"}, "__w", nulls_match=True)
     each = rows.select(GROUP, "pid", F.inline("__labels"))
     out = each.select(GROUP, F.col("__eps").alias("eps"), "pid", F.inline(F.array(*[F.struct(F.lit(k).alias("least"), F.col(f"label_{k}").alias("label")) for k in levels])))
-    bad = points.where(~F.coalesce(ok, F.lit(False))).select(GROUP, radii.alias("eps"), "pid")
-    noise = bad.select("*", F.explode(F.array(*[F.lit(k) for k in levels])).alias("least"), F.lit(-1).alias("label"))
     return out.select(GROUP, "eps", "least", "pid", "label").unionByName(noise.select(GROUP, "eps", "least", "pid", "label"))

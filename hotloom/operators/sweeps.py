@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
-from hotloom.operators.density import CELL, GROUP, celled, dbscan, looking, to_cells
+from hotloom.operators.density import CELL, GROUP, by_configuration, celled, dbscan, in_range, looking, to_cells
+from hotloom.operators.gathered import gathered
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
 from hotloom.operators.silhouettes import silhouettes
@@ -38,7 +39,8 @@ def labelled(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame
     for e in eps:
         for m in least:
             check_parameters(e, m)
-    labels = dbscan(points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon"), eps, least).drop(GROUP)
+    rows = points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon")
+    labels = dbscan(rows, eps, least).drop(GROUP)
     return stage(labels.join(points.select("pid", "lat", "lon"), "pid"), "labelled")
 
 
@@ -109,14 +111,34 @@ def baselines(pool: DataFrame, size: int, eps: list[float], least: list[int], re
     run; all repetitions and configurations are clustered in one go. sd is the population's.
     """
     hashed = F.xxhash64("pid", "rep", F.lit(seed))
-    drawn = pool.select("pid", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hashed)
-    # ranks over all repetitions in ranges, so no task sorts a whole pool
-    drawn = stage(with_rank(drawn, ["rep", "h", "pid"], "r"), "draws")
-    first = drawn.groupBy(F.col("rep").alias("__rep")).agg(F.min("r").alias("__first"))
-    drawn = drawn.join(F.broadcast(first), F.col("rep") == F.col("__rep")).where(F.col("r") < F.col("__first") + size)
-    labels = dbscan(drawn.select(F.col("rep").alias(GROUP), "pid", "lat", "lon"), eps, least)
-    each = labels.groupBy("eps", "least", GROUP).agg(F.max("label").alias("top"), (F.lit(100.0) * F.count_if(F.col("label") < 0) / F.count(F.lit(1))).alias("noise"))
-    return each.groupBy("eps", "least").agg(F.avg(F.col("top") + 1).alias("baseline_clusters"), F.stddev_pop(F.col("top") + 1).alias("baseline_sd"), F.avg("noise").alias("baseline_noise"))
+    pool = pool.select("pid", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hashed)
+    # the part of the hashes' range in which each repetition reaches its size: only that part is ranked
+    pool = pool.withColumn("part", F.shiftright("h", 64 - 12))
+    upto = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pool.groupBy("rep", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    ends = ends.where(F.col("upto") >= size).groupBy(F.col("rep").alias("__rep")).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("before")), "part").alias("end"))
+    ends = stage(ends.select("__rep", "end.*").withColumnRenamed("part", "__end"), "draw_ends")
+    pool = pool.join(F.broadcast(ends), F.col("rep") == F.col("__rep"), "left")
+    last = pool.where(F.col("part") == F.col("__end")).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("h", "pid"))).where(F.col("before") + F.col("r") <= size)
+    names = [F.col("rep").alias(GROUP), "pid", "lat", "lon"]
+    drawn = stage(pool.where(F.col("__end").isNull() | (F.col("part") < F.col("__end"))).select(names).unionByName(last.select(names)), "draws")
+    each = counted(drawn, eps, least)
+    return each.groupBy("eps", "least").agg(F.avg("clusters").alias("baseline_clusters"), F.stddev_pop("clusters").alias("baseline_sd"), F.avg(F.lit(100.0) * F.col("noise") / F.col("points")).alias("baseline_noise"))
+
+
+def counted(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
+    """(grp, eps, least, points, clusters, noise) of every group of points in every configuration."""
+    there, _ = in_range(points)
+    found = gathered(there, eps, least, counts=True)
+    if found is None:
+        labels = dbscan(points, eps, least).groupBy("eps", "least", GROUP)
+        each = labels.agg(F.count(F.lit(1)).alias("points"), (F.max("label") + 1).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
+        return each.select(GROUP, "eps", "least", "points", "clusters", "noise")
+    grid = F.inline(F.array(*[F.struct(F.lit(float(e)).alias("eps"), F.lit(k).alias("least")) for e in eps for k in least]))
+    every = points.groupBy(F.col(GROUP).alias("__g")).agg(F.count(F.lit(1)).alias("points")).select("__g", "points", grid)
+    found = found.withColumnsRenamed({"eps": "__e", "least": "__k"})
+    both = every.join(found, F.col("__g").eqNullSafe(F.col(GROUP)) & (F.col("eps") == F.col("__e")) & (F.col("least") == F.col("__k")), "left")
+    return both.select(F.col("__g").alias(GROUP), "eps", "least", "points", F.coalesce("clusters", F.lit(0)).alias("clusters"), (F.col("points") - F.coalesce("held", F.lit(0))).alias("noise"))
 
 
 def sweep(points: DataFrame, pool: DataFrame | None = None, eps: list[float] = EPS_METRES, least: list[int] = MIN_SAMPLES, reps: int = 20) -> DataFrame:
