@@ -40,6 +40,13 @@ def labelled(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame
         for m in least:
             check_parameters(e, m)
     rows = points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon")
+    there, bad = in_range(rows)
+    wide = gathered(there, eps, least)
+    if wide is not None:
+        # a row for each point, as long as nobody needs one for each label
+        noise = bad.withColumn("labels", F.array_repeat(F.lit(-1), len(eps) * len(least)))
+        wide = stage(wide.unionByName(noise).drop(GROUP), "labelled")
+        return by_configuration(wide, eps, least).select("eps", "least", "pid", "lat", "lon", "label")
     labels = dbscan(rows, eps, least).drop(GROUP)
     return stage(labels.join(points.select("pid", "lat", "lon"), "pid"), "labelled")
 

@@ -40,3 +40,15 @@ def test_baselines_stage_no_more_than_the_draws(spark, monkeypatch):
     pool = spark.range(2000).select(F.col("id").alias("pid"), (12.9 + F.rand(1) / 10).alias("lat"), (77.5 + F.rand(2) / 10).alias("lon"))
     rows = sweeps.baselines(pool, 100, [500.0], [3], reps=4).collect()
     assert len(rows) == 1 and sum(d.count() for d in staged if GROUP in d.columns or "rep" in d.columns) == 400
+
+
+def test_labels_of_a_grid_are_one_row_a_point(spark, monkeypatch):
+    """A grid's labels are written once for each point, not for each configuration, and come out for each."""
+    staged = []
+    whole = sweeps.stage
+    monkeypatch.setattr(sweeps, "stage", lambda df, name, *a: staged.append(whole(df, name, *a)) or staged[-1])
+    points = spark.createDataFrame([(1, 12.9, 77.5), (2, 12.9, 77.5), (3, 12.9001, 77.5), (4, 13.0, 77.5), (5, None, 77.5)], "pid long, lat double, lon double")
+    got = {(r.eps, r.least, r.pid): r.label for r in sweeps.labelled(points, [5.0, 50.0], [2, 3]).collect()}
+    assert [d.count() for d in staged] == [5]
+    near = {(e, k): (0 if (e, k) != (5.0, 3) else -1) for e in (5.0, 50.0) for k in (2, 3)}
+    assert got == {(e, k, p): (near[e, k] if p in (1, 2) or (p == 3 and e == 50.0) else -1) for e, k in near for p in range(1, 6)}
