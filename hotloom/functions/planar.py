@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +47,22 @@ def to_utm(lat: str, lon: str) -> tuple[Column, Column]:
 def to_latlon(x: str, y: str) -> tuple[Column, Column]:
     a, b = to_latlon_sql(x, y)
     return F.expr(a.replace("e-", "E-")), F.expr(b.replace("e-", "E-"))
+
+
+def utm_of(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Easting and northing of arrays in degrees."""
+    s = np.sin(np.radians(lat))
+    t, d = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s)), np.radians(lon - MERIDIAN)
+    xi, eta = np.arctan2(t, np.cos(d)), np.arcsinh(np.sin(d) / np.sqrt(t * t + np.cos(d) ** 2))
+    x = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    y = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    return EASTING + SCALE * x, SCALE * y
+
+
+def latlon_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude in degrees of arrays in metres."""
+    xi, eta = y / SCALE, (x - EASTING) / SCALE
+    a = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    b = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    chi = np.arcsin(np.sin(a) / np.cosh(b))
+    return np.degrees(chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))), MERIDIAN + np.degrees(np.arctan2(np.sinh(b), np.cos(a)))

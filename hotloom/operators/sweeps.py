@@ -15,6 +15,7 @@ from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.density import CELL, GROUP, by_configuration, celled, dbscan, in_range, looking, to_cells
 from hotloom.operators.gathered import gathered
+from hotloom.operators.measured import measured
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
 from hotloom.operators.silhouettes import silhouettes
@@ -148,12 +149,34 @@ def counted(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
     return both.select(F.col("__g").alias(GROUP), "eps", "least", "points", F.coalesce("clusters", F.lit(0)).alias("clusters"), (F.col("points") - F.coalesce("held", F.lit(0))).alias("noise"))
 
 
+def from_measured(rows: DataFrame) -> DataFrame:
+    """The columns of a sweep from rows of measured()."""
+    before = F.lag("ari").over(Window.partitionBy("least").orderBy("eps"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    d = rows.select(
+        "eps", "least", "points", F.col("k").alias("cluster_count"), (F.col("points") - F.col("s")).alias("noise_count"), (F.lit(100.0) * (F.col("points") - F.col("s")) / F.col("points")).alias("noise_percentage"), F.col("big").alias("largest_cluster"),
+        share("big", "s").alias("largest_cluster_share"), F.col("mid").alias("median_cluster"), F.col("rad").alias("max_cluster_radius_m"), share("single", "k").alias("single_coordinate_cluster_share"),
+        F.coalesce((before + F.col("ari")) / 2, "ari", before).alias("stability_ari"), "silhouette",
+    )
+    return d.withColumn("warnings", sanity_warnings()).select(*[c for c in d.columns if c != "silhouette"], "warnings", "silhouette")
+
+
 def sweep(points: DataFrame, pool: DataFrame | None = None, eps: list[float] = EPS_METRES, least: list[int] = MIN_SAMPLES, reps: int = 20) -> DataFrame:
     """One row per configuration: metrics, stability, mean silhouette (a supplement that no rule reads, null where it isn't
     defined), warnings, and with a pool the ratio to random subsets."""
-    labels = labelled(points, eps, least)
-    out = sweep_metrics(labels, ["eps", "least"]).join(stability(labels), ["eps", "least"], "left").withColumn("warnings", sanity_warnings())
-    out = out.join(stage(silhouettes(labels, ["eps", "least"]), "silhouettes").select("eps", "least", F.col("score").alias("silhouette")), ["eps", "least"], "left")
+    for e in eps:
+        for m in least:
+            check_parameters(e, m)
+    there, bad = in_range(points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon"))
+    wide = gathered(there, eps, least)
+    if wide is not None:
+        # measured radius by radius where the labels are; no row for each point and configuration
+        noise = bad.withColumn("labels", F.array_repeat(F.lit(-1), len(eps) * len(least)))
+        out = from_measured(stage(measured(wide.unionByName(noise), eps, least), "measured"))
+    else:
+        labels = labelled(points, eps, least)
+        out = sweep_metrics(labels, ["eps", "least"]).join(stability(labels), ["eps", "least"], "left").withColumn("warnings", sanity_warnings())
+        out = out.join(stage(silhouettes(labels, ["eps", "least"]), "silhouettes").select("eps", "least", F.col("score").alias("silhouette")), ["eps", "least"], "left")
     if pool is None:
         return out
     base = baselines(pool, points.count(), eps, least, reps)
