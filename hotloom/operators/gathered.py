@@ -33,6 +33,11 @@ def _spans(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
 def _chunks(sizes: np.ndarray) -> Iterator[slice]:
     """Slices of rows that have about PAIRS together, one row at least."""
     ends, at = np.cumsum(sizes), 0
@@ -80,27 +85,50 @@ class _Places:
         return band * stride + cell + reach, stride, reach
 
 
-def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, np.ndarray, np.ndarray]]:
-    """(radius, least number, label of each place, whether it is a cluster's first) in ascending order; -1 is noise.
+def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, np.ndarray]]:
+    """(radius, least number, label of each place) in ascending order; -1 is noise.
 
     Places are distinct and in the order of their smallest id, which numbers the clusters.
     """
+    every, n = np.arange(len(lat)), len(lat)
+    for e, k, c, border_p, border_q in _grown(lat, lon, w, eps, levels):
+        rank = np.cumsum(c == every) - 1
+        label = np.where(c >= 0, rank[c], n)
+        edge = (c[border_p] < 0) & (c[border_q] >= 0)
+        np.minimum.at(label, border_p[edge], rank[c[border_q[edge]]])
+        label[label == n] = -1
+        yield e, k, label
+
+
+def count_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, int, int]]:
+    """(radius, least number, clusters, points that aren't noise) as of sweep_group()."""
+    every = np.arange(len(lat))
+    for e, k, c, border_p, border_q in _grown(lat, lon, w, eps, levels):
+        held = c >= 0
+        held[border_p[held[border_q]]] = True
+        yield e, k, np.count_nonzero(c == every), int(w @ held)
+
+
+def _grown(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(radius, least number, first place of each dense place's cluster or -1, p, q) in ascending order; places p that
+    aren't dense at the greatest number have q, dense at the least, within the radius. Arrays change when the next is taken."""
     n, most, at = len(lat), max(levels), _Places(lat, lon)
     comp = {k: np.full(n, -1) for k in sorted(levels)}
     weight = np.zeros(n, np.int64)
-    low, every = min(levels), np.arange(n)
+    low = min(levels)
     for e in sorted(eps):
         key, stride, reach = at.cells(e)
-        order = np.argsort(key, kind="stable")
-        cell, start = np.unique(key[order], return_index=True)
-        stop = np.append(start[1:], n)
+        order = np.argsort(key)
+        start = _heads(key[order])
+        cell, stop = key[order[start]], np.append(start[1:], n)
         full = np.add.reduceat(w[order], start) >= most
         of = np.repeat(np.arange(len(cell)), stop - start)
         weight[order[full[of]]] = most
         # those that don't have the greatest number yet count around them
         rows = np.flatnonzero(weight[order] < most)
         look, mine = order[rows], of[rows]
-        used, back = np.unique(mine, return_inverse=True)
+        head = _heads(mine)
+        used, back = mine[head], np.repeat(np.arange(len(head)), np.diff(np.append(head, len(mine))))
         ranges = []
         for band in range(-2, 3):
             a, b = np.searchsorted(cell, cell[used] + band * stride - reach), np.searchsorted(cell, cell[used] + band * stride + reach, side="right")
@@ -126,16 +154,22 @@ def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float
             new = (weight >= k) & (c < 0)
             c[new] = np.flatnonzero(new)
         # dense places of a cell belong together
-        for k, c in comp.items():
-            dense = order[c[order] >= 0]
-            same = key[dense[1:]] == key[dense[:-1]]
-            _unite(c, c[dense[1:][same]], c[dense[:-1][same]])
+        for c in comp.values():
+            held = c[order]
+            dense = np.flatnonzero(held >= 0)
+            held, inside = held[dense], of[dense]
+            same = (inside[1:] == inside[:-1]) & (held[1:] != held[:-1])
+            _unite(c, held[1:][same], held[:-1][same])
         dense = order[weight[order] >= low]
-        cells, begin = np.unique(key[dense], return_index=True)
+        begin = _heads(key[dense])
+        cells = key[dense[begin]]
         end = np.append(begin[1:], len(dense))
-        held = {k: np.maximum.reduceat(c[dense], begin) if len(dense) else np.zeros(0, np.int64) for k, c in comp.items()}
-        joined: dict[int, list] = {k: [] for k in comp}
+        held: dict[int, np.ndarray] = {}
+        moved, joined = set(comp), {k: [] for k in comp}
         for band in range(3):
+            for k in moved:
+                held[k] = np.maximum.reduceat(comp[k][dense], begin) if len(dense) else np.zeros(0, np.int64)
+            moved = set()
             a = np.searchsorted(cells, cells + band * stride - (reach if band else -1))
             b = np.searchsorted(cells, cells + band * stride + reach, side="right")
             for part in _chunks(b - a):
@@ -150,17 +184,10 @@ def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float
                     for k, x, y in _links(at, e, comp, weight, dense, begin, end, one[some], two[some]):
                         joined[k].append((x, y))
                 if sum(len(x) for x, _ in joined[low]) > MOST_JOINS:
-                    _flush(comp, joined)
-            _flush(comp, joined)
-            held = {k: np.maximum.reduceat(c[dense], begin) if len(dense) else np.zeros(0, np.int64) for k, c in comp.items()}
+                    moved |= _flush(comp, joined)
+            moved |= _flush(comp, joined)
         for k, c in comp.items():
-            head = c == every
-            rank = np.cumsum(head) - 1
-            label = np.where(c >= 0, rank[c], n)
-            edge = (c[border_p] < 0) & (c[border_q] >= 0)
-            np.minimum.at(label, border_p[edge], rank[c[border_q[edge]]])
-            label[label == n] = -1
-            yield e, k, label, head
+            yield e, k, c, border_p, border_q
 
 
 def _unite(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -168,16 +195,18 @@ def _unite(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     apart = a != b
     if apart.any():
         nodes, roots = least_of_component(a[apart], b[apart])
-        to = np.arange(len(comp))
+        to = np.append(np.arange(len(comp)), -1)  # noise, -1, stays
         to[nodes] = roots
-        comp[comp >= 0] = to[comp[comp >= 0]]
+        comp[:] = to[comp]
 
 
-def _flush(comp: dict[int, np.ndarray], joined: dict[int, list]) -> None:
-    for k, pairs in joined.items():
-        if pairs:
-            _unite(comp[k], *(np.concatenate([x[i] for x in pairs]) for i in (0, 1)))
-            pairs.clear()
+def _flush(comp: dict[int, np.ndarray], joined: dict[int, list]) -> set[int]:
+    """Join what is linked; the least numbers that had links."""
+    some = {k for k, pairs in joined.items() if pairs}
+    for k in some:
+        _unite(comp[k], *(np.concatenate([x[i] for x in joined[k]]) for i in (0, 1)))
+        joined[k].clear()
+    return some
 
 
 def _links(at: _Places, eps: float, comp: dict[int, np.ndarray], weight: np.ndarray, dense: np.ndarray, begin: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -239,13 +268,13 @@ def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[It
             to[by_id] = np.arange(len(head))
             place[order] = to[np.cumsum(new) - 1]
             w = np.bincount(place)
-            found = sweep_group(y[head][by_id], x[head][by_id], w, eps, levels)
+            places = y[head][by_id], x[head][by_id], w
             if counts:
-                rows = [(e, k, int(first.sum()), int(w[label >= 0].sum())) for e, k, label, first in found]
+                rows = count_group(*places, eps, levels)
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(rows), t.schema.field(0).type), *cols], names=["grp", "eps", "least", "clusters", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(cols[0]), t.schema.field(0).type), *cols], names=["grp", "eps", "least", "clusters", "held"])
                 continue
-            table = np.stack([label.astype(np.int32) for _, _, label, _ in found], axis=1)
+            table = np.stack([label.astype(np.int32) for _, _, label in sweep_group(*places, eps, levels)], axis=1)
             for a in range(0, len(pid), 10_000):
                 part = table[place[a : a + 10_000]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * table.shape[1]), pa.array(part.ravel()))
