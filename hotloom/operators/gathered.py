@@ -258,23 +258,22 @@ def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in _groups(batches):
             pid, lat, lon = (t.column(c).to_numpy() for c in (1, 2, 3))
-            order = np.lexsort((pid, lon, lat))
+            order = np.lexsort((lon, lat) if counts else (pid, lon, lat))
             y, x = lat[order], lon[order]
-            new = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1]))
-            head = np.flatnonzero(new)
-            by_id = np.argsort(pid[order][head], kind="stable")
-            place = np.empty(len(pid), np.int64)
-            to = np.empty(len(head), np.int64)
-            to[by_id] = np.arange(len(head))
-            place[order] = to[np.cumsum(new) - 1]
-            w = np.bincount(place)
-            places = y[head][by_id], x[head][by_id], w
+            head = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1])))
             if counts:
-                rows = count_group(*places, eps, levels)
+                # neighbours stay together, as nothing is numbered
+                rows = count_group(y[head], x[head], np.diff(np.append(head, len(y))), eps, levels)
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(cols[0]), t.schema.field(0).type), *cols], names=["grp", "eps", "least", "clusters", "held"])
                 continue
-            table = np.stack([label.astype(np.int32) for _, _, label in sweep_group(*places, eps, levels)], axis=1)
+            by_id = np.argsort(pid[order][head], kind="stable")
+            place = np.empty(len(pid), np.int64)
+            to = np.empty(len(head), np.int64)
+            to[by_id] = np.arange(len(head))
+            place[order] = np.repeat(to, np.diff(np.append(head, len(y))))
+            found = sweep_group(y[head][by_id], x[head][by_id], np.bincount(place), eps, levels)
+            table = np.stack([label.astype(np.int32) for _, _, label in found], axis=1)
             for a in range(0, len(pid), 10_000):
                 part = table[place[a : a + 10_000]]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * table.shape[1]), pa.array(part.ravel()))
