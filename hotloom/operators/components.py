@@ -41,14 +41,21 @@ def _renamed(member: DataFrame, move: DataFrame) -> DataFrame:
 def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, roots) of links in memory; a root is the component's least node."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = ends[: len(a)], ends[len(a) :]
-    top = np.arange(len(nodes))
-    while (top[u] != top[v]).any():
-        low, high = np.minimum(top[u], top[v]), np.maximum(top[u], top[v])
-        np.minimum.at(top, high, low)
+    return nodes, nodes[least_numbers(ends[: len(a)], ends[len(a) :], len(nodes))]
+
+
+def least_numbers(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of the numbers below n the least that links u, v join it with."""
+    top = np.arange(n)
+    while True:
+        u, v = top[u], top[v]
+        apart = u != v
+        if not apart.any():
+            return top
+        u, v = u[apart], v[apart]
+        np.minimum.at(top, np.maximum(u, v), np.minimum(u, v))
         while (top[top] != top).any():
             top = top[top]
-    return nodes, nodes[top]
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

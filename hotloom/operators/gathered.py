@@ -16,12 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hotloom.functions.sphere import EARTH_M
-from hotloom.operators.components import least_of_component
-
-#: Points that a group may have to be labelled by one task (some 150 MB there); larger ones are distributed.
-FEW_POINTS = 300_000
+from hotloom.operators.components import least_numbers
+
+#: Column of the group.
+GROUP = "grp"
+#: Points that a group may have to be labelled by one task (FIGMB there); larger ones are distributed.
+FEW_POINTS = 1_500_000
+#: Labels that a task may hold at once, where all of a group come out together.
+FEW_LABELS = 18_000_000
 #: Links that are kept before clusters are joined.
-MOST_JOINS = 1_000_000
+MOST_JOINS = 300_000
 #: Pairs of places that are measured at once; they stay in the processor's cache.
 PAIRS = 50_000
 
@@ -79,7 +83,7 @@ class _Places:
         edge = np.abs(self.lat)
         width = height / math.cos(math.radians(edge.min()))
         ratio = math.sin(min(eps / (2 * EARTH_M), math.pi / 2)) * (1 + 1e-9) / math.cos(math.radians(edge.max()))
-        reach = math.ceil((math.degrees(math.asin(ratio)) * 2 if ratio < 1 else 360.0) / width) + 1
+        reach = math.ceil((math.degrees(math.asin(ratio)) * 2 if ratio < 1 else 360.0) / width + 1e-6)
         band, cell = (np.floor((x - x.min()) / d).astype(np.int64) for x, d in ((self.lat, height), (self.lon, width)))
         stride = int(cell.max()) + 2 * reach + 1
         return band * stride + cell + reach, stride, reach
@@ -90,9 +94,9 @@ def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float
 
     Places are distinct and in the order of their smallest id, which numbers the clusters.
     """
-    every, n = np.arange(len(lat)), len(lat)
+    every, n = np.arange(len(lat), dtype=np.int32), len(lat)
     for e, k, c, border_p, border_q in _grown(lat, lon, w, eps, levels):
-        rank = np.cumsum(c == every) - 1
+        rank = np.cumsum(c == every, dtype=np.int32) - 1
         label = np.where(c >= 0, rank[c], n)
         edge = (c[border_p] < 0) & (c[border_q] >= 0)
         np.minimum.at(label, border_p[edge], rank[c[border_q[edge]]])
@@ -102,7 +106,7 @@ def sweep_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float
 
 def count_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, int, int]]:
     """(radius, least number, clusters, points that aren't noise) as of sweep_group()."""
-    every = np.arange(len(lat))
+    every = np.arange(len(lat), dtype=np.int32)
     for e, k, c, border_p, border_q in _grown(lat, lon, w, eps, levels):
         held = c >= 0
         held[border_p[held[border_q]]] = True
@@ -112,20 +116,21 @@ def count_group(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float
 def _grown(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], levels: list[int]) -> Iterator[tuple[float, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(radius, least number, first place of each dense place's cluster or -1, p, q) in ascending order; places p that
     aren't dense at the greatest number have q, dense at the least, within the radius. Arrays change when the next is taken."""
+    # places are numbered in 32 bits, what is held for each of them fills most of a task's memory
     n, most, at = len(lat), max(levels), _Places(lat, lon)
-    comp = {k: np.full(n, -1) for k in sorted(levels)}
+    comp = {k: np.full(n, -1, np.int32) for k in sorted(levels)}
     weight = np.zeros(n, np.int64)
     low = min(levels)
     for e in sorted(eps):
         key, stride, reach = at.cells(e)
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         start = _heads(key[order])
         cell, stop = key[order[start]], np.append(start[1:], n)
         full = np.add.reduceat(w[order], start) >= most
-        of = np.repeat(np.arange(len(cell)), stop - start)
+        of = np.repeat(np.arange(len(cell), dtype=np.int32), stop - start)
         weight[order[full[of]]] = most
         # those that don't have the greatest number yet count around them
-        rows = np.flatnonzero(weight[order] < most)
+        rows = np.flatnonzero(weight[order] < most).astype(np.int32)
         look, mine = order[rows], of[rows]
         head = _heads(mine)
         used, back = mine[head], np.repeat(np.arange(len(head)), np.diff(np.append(head, len(mine))))
@@ -147,9 +152,9 @@ def _grown(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], le
             few = got[row] < most
             edges_p.append(p[few])
             edges_q.append(q[few])
-        border_p, border_q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edges_p, edges_q))
-        dense = weight[border_q] >= low
-        border_p, border_q = border_p[dense], border_q[dense]
+        dense = [weight[q] >= low for q in edges_q]
+        border_p, border_q = (np.concatenate([x[d] for x, d in zip(xs, dense, strict=True)]) if xs else np.zeros(0, np.int32) for xs in (edges_p, edges_q))
+        edges_p, edges_q, dense = [], [], []
         for k, c in comp.items():
             new = (weight >= k) & (c < 0)
             c[new] = np.flatnonzero(new)
@@ -194,8 +199,15 @@ def _unite(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join clusters a and b, named by their first places."""
     apart = a != b
     if apart.any():
-        nodes, roots = least_of_component(a[apart], b[apart])
-        to = np.append(np.arange(len(comp)), -1)  # noise, -1, stays
+        a, b = a[apart], b[apart]
+        # numbered by marks instead of by sorting, as there are many links of the same clusters
+        mark = np.zeros(len(comp), bool)
+        mark[a] = mark[b] = True
+        nodes = np.flatnonzero(mark)
+        number = np.empty(len(comp), np.int32)
+        number[nodes] = np.arange(len(nodes))
+        roots = nodes[least_numbers(number[a], number[b], len(nodes))]
+        to = np.append(np.arange(len(comp), dtype=np.int32), np.int32(-1))  # noise, -1, stays
         to[nodes] = roots
         comp[:] = to[comp]
 
@@ -240,6 +252,12 @@ def _links(at: _Places, eps: float, comp: dict[int, np.ndarray], weight: np.ndar
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, pa.Table]]:
     """Each run of rows of the same first column."""
     held: list[pa.RecordBatch] = []
+
+    def taken() -> tuple[pa.Scalar, pa.Table]:
+        group, t = held[0].column(0)[0], pa.Table.from_batches(held)
+        held.clear()
+        return group, t
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -247,11 +265,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, pa.T
         cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if held and held[0].column(0)[0].as_py() != batch.column(0)[a].as_py():
-                yield held[0].column(0)[0], pa.Table.from_batches(held)
-                held = []
+                yield taken()
             held.append(batch.slice(a, b - a))
     if held:
-        yield held[0].column(0)[0], pa.Table.from_batches(held)
+        yield taken()
 
 
 def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -260,12 +277,15 @@ def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[It
             pid, lat, lon = (t.column(c).to_numpy() for c in (1, 2, 3))
             order = np.lexsort((lon, lat) if counts else (pid, lon, lat))
             y, x = lat[order], lon[order]
+            if counts:
+                kind = t.schema.field(0).type
+                del t, pid, lat, lon, order
             head = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1])))
             if counts:
                 # neighbours stay together, as nothing is numbered
                 rows = count_group(y[head], x[head], np.diff(np.append(head, len(y))), eps, levels)
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(cols[0]), t.schema.field(0).type), *cols], names=["grp", "eps", "least", "clusters", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(cols[0]), kind), *cols], names=["grp", "eps", "least", "clusters", "held"])
                 continue
             by_id = np.argsort(pid[order][head], kind="stable")
             place = np.empty(len(pid), np.int64)
@@ -283,15 +303,35 @@ def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[It
     return run
 
 
+def fits_task(n: int, lat: list[float], lon: list[float], eps: list[float]) -> bool:
+    """Whether a task can take n points with latitudes and longitudes up to these: no more than FEW_POINTS, not near a pole or
+    around the earth."""
+    return n <= FEW_POINTS and max(lat) <= 80 and max(lon) <= 175 and max(eps) <= 200_000
+
+
+def fits(points: DataFrame, eps: list[float], labels: int = 0) -> int | None:
+    """The number of groups of points (grp, lat, lon), in range, if a task can take each, with ``labels`` for each point if
+    all come out together; None if one doesn't fit."""
+    stats = points.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("y"), F.max(F.abs("lon")).alias("x"))
+    seen = stats.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("n"), F.max("y").alias("y"), F.max("x").alias("x")).first()
+    if seen["groups"] and (seen["n"] * labels > FEW_LABELS or not fits_task(seen["n"], [seen["y"]], [seen["x"]], eps)):
+        return None
+    return seen["groups"]
+
+
 def gathered(points: DataFrame, eps: list[float], levels: list[int], counts: bool = False) -> DataFrame | None:
     """(grp, pid, lat, lon, labels) of points (grp, pid, lat, lon), in range: a label for each radius and, within it, each
     least number in ascending order; with ``counts`` (grp, eps, least, clusters, held), held being the points that aren't
-    noise. None if a group has more than FEW_POINTS, comes near a pole or around the earth; groups are few."""
-    stats = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("y"), F.max(F.abs("lon")).alias("x"))
-    seen = stats.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("n"), F.max("y").alias("y"), F.max("x").alias("x")).first()
-    if seen["groups"] and (seen["n"] > FEW_POINTS or seen["y"] > 80 or seen["x"] > 175 or max(eps) > 200_000):
+    noise. None if a group doesn't fit a task; groups are few."""
+    groups = fits(points, eps, 0 if counts else len(eps) * len(levels))
+    if groups is None:
         return None
-    kind = points.schema["grp"].dataType.simpleString()
-    rows = points.select("grp", F.col("pid").cast("long").alias("pid"), "lat", "lon").repartition(max(1, seen["groups"]), "grp").sortWithinPartitions("grp")
+    rows = points.select(GROUP, F.col("pid").cast("long").alias("pid"), "lat", "lon").repartition(max(1, groups), GROUP).sortWithinPartitions(GROUP)
+    return labelling(rows, eps, levels, counts)
+
+
+def labelling(rows: DataFrame, eps: list[float], levels: list[int], counts: bool) -> DataFrame:
+    """gathered() of rows of which each partition has whole groups, one after the other."""
+    kind = rows.schema[GROUP].dataType.simpleString()
     schema = f"grp {kind}, eps double, least int, clusters long, held long" if counts else f"grp {kind}, pid long, lat double, lon double, labels array<int>"
     return rows.mapInArrow(_labeller([float(e) for e in eps], sorted(levels), counts), schema)

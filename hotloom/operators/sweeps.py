@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.density import CELL, GROUP, by_configuration, celled, dbscan, in_range, looking, to_cells
-from hotloom.operators.gathered import gathered
+from hotloom.operators.gathered import fits_task, gathered, labelling
 from hotloom.operators.measured import measured
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
@@ -26,6 +26,8 @@ from hotloom.session import stage, stage_counted
 EPS_METRES = [75, 100, 150, 200, 250, 300, 400, 500, 750, 1000]
 MIN_SAMPLES = [3, 4, 5, 6, 8, 10]
 SELECTION = {"noise": 75.0, "radius": 1000.0, "ari": 0.6, "clusters": 20, "ratio": 1.5}
+#: Rows up to which the draws of random baselines are written.
+FEW_DRAWN = 2_000_000
 KNN_KS = [4, 5, 6, 8]
 KDIST_LEVELS = [0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
 
@@ -116,8 +118,12 @@ def baselines(pool: DataFrame, size: int, eps: list[float], least: list[int], re
     """(eps, least, baseline_clusters, baseline_sd, baseline_noise): what random subsets of the pool give.
 
     Each repetition takes the ``size`` rows of the smallest hash of row and repetition, so draws are the same on every
-    run; all repetitions and configurations are clustered in one go. sd is the population's.
+    run; all repetitions and configurations are clustered in one go. sd is the population's. Draws of more than FEW_DRAWN
+    rows aren't written: the task of a repetition reads the pool and takes its rows. pid must be unique.
     """
+    if size * reps > FEW_DRAWN:
+        pool = stage(pool.select("pid", "lat", "lon"), "pool")
+    drawn_from = pool
     hashed = F.xxhash64("pid", "rep", F.lit(seed))
     pool = pool.select("pid", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", hashed)
     # the part of the hashes' range in which each repetition reaches its size: only that part is ranked
@@ -129,11 +135,35 @@ def baselines(pool: DataFrame, size: int, eps: list[float], least: list[int], re
     pool = pool.join(F.broadcast(ends), F.col("rep") == F.col("__rep"), "left")
     last = pool.where(F.col("part") == F.col("__end")).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("h", "pid"))).where(F.col("before") + F.col("r") <= size)
     names = [F.col("rep").alias(GROUP), "pid", "lat", "lon"]
-    drawn = stage(pool.where(F.col("__end").isNull() | (F.col("part") < F.col("__end"))).select(names).unionByName(last.select(names)), "draws")
-    each = counted(drawn, eps, least)
+    each = None
+    if size * reps > FEW_DRAWN:
+        each = counted_draws(drawn_from, size, last.where(F.col("before") + F.col("r") == size).select("rep", "h", "pid"), eps, least, reps, seed)
+    if each is None:
+        drawn = stage(pool.where(F.col("__end").isNull() | (F.col("part") < F.col("__end"))).select(names).unionByName(last.select(names)), "draws")
+        each = counted(drawn, eps, least)
     return each.groupBy("eps", "least").agg(F.avg("clusters").alias("baseline_clusters"), F.stddev_pop("clusters").alias("baseline_sd"), F.avg(F.lit(100.0) * F.col("noise") / F.col("points")).alias("baseline_noise"))
 
 
+def counted_draws(pool: DataFrame, size: int, ends: DataFrame, eps: list[float], least: list[int], reps: int, seed: int) -> DataFrame | None:
+    """counted() of draws from a staged pool, each of which goes from the pool to a task without being written: it has the
+    rows up to its end (rep, h, pid), and the whole pool without one. None if a draw doesn't fit a task."""
+    there, _ = in_range(pool)
+    seen = pool.count()
+    box = there.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("lat", "lon") for f in (F.min, F.max)]).first()
+    if not fits_task(min(size, seen), [abs(box[c] or 0) for c in ("lat_min", "lat_max")], [abs(box[c] or 0) for c in ("lon_min", "lon_max")], eps):
+        return None
+    upto = {r["rep"]: (r["h"], r["pid"]) for r in ends.collect()}
+    # a union of nothing but single partitions would be a single one; with two empty ones it keeps a partition for each draw
+    draws = [pool.sparkSession.range(0, 0, 1, 2).select(F.lit(0).alias(GROUP), F.col("id").alias("pid"), *[F.lit(0.0).alias(c) for c in ("lat", "lon")])]
+    for rep in range(reps):
+        h = F.xxhash64("pid", F.lit(rep), F.lit(seed))
+        mine = there if rep not in upto else there.where((h < upto[rep][0]) | ((h == upto[rep][0]) & (F.col("pid") <= upto[rep][1])))
+        draws.append(mine.select(F.lit(rep).alias(GROUP), F.col("pid").cast("long").alias("pid"), "lat", "lon").coalesce(1))
+    found = labelling(reduce(DataFrame.unionByName, draws), eps, least, counts=True)
+    every = pool.sparkSession.range(reps).select(F.col("id").cast("int").alias(GROUP), F.lit(min(size, seen)).cast("long").alias("points")) if seen else pool.sparkSession.createDataFrame([], f"{GROUP} int, points long")
+    return with_noise(every, found, eps, least)
+
+
 def counted(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
     """(grp, eps, least, points, clusters, noise) of every group of points in every configuration."""
     there, _ = in_range(points)
@@ -142,8 +172,13 @@ def counted(points: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
         labels = dbscan(points, eps, least).groupBy("eps", "least", GROUP)
         each = labels.agg(F.count(F.lit(1)).alias("points"), (F.max("label") + 1).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
         return each.select(GROUP, "eps", "least", "points", "clusters", "noise")
+    return with_noise(points.groupBy(GROUP).agg(F.count(F.lit(1)).alias("points")), found, eps, least)
+
+
+def with_noise(every: DataFrame, found: DataFrame, eps: list[float], least: list[int]) -> DataFrame:
+    """Rows (grp, eps, least, points, clusters, noise) from all groups (grp, points) and what gathered() counted in them."""
     grid = F.inline(F.array(*[F.struct(F.lit(float(e)).alias("eps"), F.lit(k).alias("least")) for e in eps for k in least]))
-    every = points.groupBy(F.col(GROUP).alias("__g")).agg(F.count(F.lit(1)).alias("points")).select("__g", "points", grid)
+    every = every.select(F.col(GROUP).alias("__g"), "points", grid)
     found = found.withColumnsRenamed({"eps": "__e", "least": "__k"})
     both = every.join(found, F.col("__g").eqNullSafe(F.col(GROUP)) & (F.col("eps") == F.col("__e")) & (F.col("least") == F.col("__k")), "left")
     return both.select(F.col("__g").alias(GROUP), "eps", "least", "points", F.coalesce("clusters", F.lit(0)).alias("clusters"), (F.col("points") - F.coalesce("held", F.lit(0))).alias("noise"))

@@ -52,3 +52,22 @@ def test_labels_of_a_grid_are_one_row_a_point(spark, monkeypatch):
     assert [d.count() for d in staged] == [5]
     near = {(e, k): (0 if (e, k) != (5.0, 3) else -1) for e in (5.0, 50.0) for k in (2, 3)}
     assert got == {(e, k, p): (near[e, k] if p in (1, 2) or (p == 3 and e == 50.0) else -1) for e, k in near for p in range(1, 6)}
+
+
+def test_large_draws_are_not_written(spark, monkeypatch):
+    """Draws read from the pool give the figures of those that are written, each in a task of its own; the pool is written once."""
+    rng = np.random.default_rng(3)
+    at = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.round(rng.uniform([12.9, 77.5], [13.0, 77.6], (2000, 2)), 2))]
+    pool = spark.createDataFrame([*at, (5000, None, 77.5), (5001, 95.0, 77.5)], "pid long, lat double, lon double")
+    order = lambda d: sorted(tuple(r) for r in d.collect())
+    for size in (900, 2002, 9000):
+        want = order(sweeps.baselines(pool, size, [100.0, 500.0], [3, 9], reps=4))
+        staged, tasks = [], []
+        with monkeypatch.context() as m:
+            whole, labelling = sweeps.stage, sweeps.labelling
+            m.setattr(sweeps, "FEW_DRAWN", 0)
+            m.setattr(sweeps, "stage", lambda df, name, *a: staged.append(whole(df, name, *a)) or staged[-1])
+            m.setattr(sweeps, "labelling", lambda rows, *a, **k: tasks.extend(rows.groupBy(F.spark_partition_id()).agg(F.count_distinct(GROUP)).toPandas().iloc[:, 1]) or labelling(rows, *a, **k))
+            assert order(sweeps.baselines(pool, size, [100.0, 500.0], [3, 9], reps=4)) == [tuple(pytest.approx(v) for v in r) for r in want]
+        assert tasks == [1] * 4 and sum(d.count() for d in staged if "lat" in d.columns) == 2002
+    assert sweeps.baselines(pool.limit(0), 5, [100.0], [3]).count() == 0
