@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from hotloom.operators.components import least_numbers
 
 #: Column of the group.
 GROUP = "grp"
+#: Places of a row of by_radius().
+PACKED = 5_000
 #: Points that a group may have to be labelled by one task (FIGMB there); larger ones are distributed.
 FEW_POINTS = 1_500_000
 #: Labels that a task may hold at once, where all of a group come out together.
@@ -303,6 +306,46 @@ def _labeller(eps: list[float], levels: list[int], counts: bool) -> Callable[[It
     return run
 
 
+def _packer(eps: list[float], levels: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _groups(batches):
+            pid, lat, lon = (t.column(c).to_numpy() for c in (1, 2, 3))
+            del t
+            order = np.lexsort((pid, lon, lat))
+            lat, lon, pid = lat[order], lon[order], pid[order]
+            head = np.flatnonzero(np.append(True, (lat[1:] != lat[:-1]) | (lon[1:] != lon[:-1])))
+            w = np.diff(np.append(head, len(lat))).astype(np.int32)
+            lat, lon, pid = lat[head], lon[head], pid[head]
+            by_id = np.argsort(pid, kind="stable").astype(np.int32)
+            # labels of places in the order of their coordinates, where neighbours' labels are alike
+            place = np.empty(len(by_id), np.int32)
+            place[by_id] = np.arange(len(by_id))
+            del pid, order, head
+            last: tuple[float, list[np.ndarray]] | None = None
+            now: list[np.ndarray] = []
+            for e, _, label in sweep_group(lat[by_id], lon[by_id], w[by_id], eps, levels):
+                now.append(label.astype(np.int32)[place])
+                if len(now) == len(levels):
+                    if last:
+                        yield from _rows(last[0], lat, lon, w, last[1] + now)
+                    last, now = (e, now), []
+            if last:
+                yield from _rows(last[0], lat, lon, w, last[1])
+
+    return run
+
+
+def _rows(e: float, lat: np.ndarray, lon: np.ndarray, w: np.ndarray, labels: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED places each that aren't noise in all labels; the first has the points of those that are."""
+    used = np.flatnonzero(reduce(np.maximum, labels) >= 0)
+    noise = int(w.sum(dtype=np.int64) - w[used].sum(dtype=np.int64))
+    one = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
+    for a in range(0, max(1, len(used)), PACKED):
+        some = used[a : a + PACKED]
+        table = np.concatenate([label[some] for label in labels])
+        yield pa.RecordBatch.from_arrays([pa.array([e]), one(lat[some], pa.float64()), one(lon[some], pa.float64()), one(w[some], pa.int32()), one(table, pa.int32()), pa.array([0 if a else noise], pa.int64())], names=["eps", "lat", "lon", "w", "labels", "noise"])
+
+
 def fits_task(n: int, lat: list[float], lon: list[float], eps: list[float]) -> bool:
     """Whether a task can take n points with latitudes and longitudes up to these: no more than FEW_POINTS, not near a pole or
     around the earth."""
@@ -319,6 +362,17 @@ def fits(points: DataFrame, eps: list[float], labels: int = 0) -> int | None:
     return seen["groups"]
 
 
+def by_radius(points: DataFrame, eps: list[float], levels: list[int]) -> DataFrame | None:
+    """(eps, lat, lon, w, labels, noise) of points (grp, pid, lat, lon) of one group, in range: for each radius, rows with some
+    thousand places that are clustered at it or at the next radius, lists of their coordinates, their points and their labels,
+    for each least number and again for each of the next radius, in ascending order; and how many points aren't. None if
+    the group doesn't fit a task."""
+    if fits(points, eps) is None:
+        return None
+    rows = points.select(GROUP, F.col("pid").cast("long").alias("pid"), "lat", "lon").repartition(1)
+    return rows.mapInArrow(_packer([float(e) for e in eps], sorted(levels)), "eps double, lat array<double>, lon array<double>, w array<int>, labels array<int>, noise long")
+
+
 def gathered(points: DataFrame, eps: list[float], levels: list[int], counts: bool = False) -> DataFrame | None:
     """(grp, pid, lat, lon, labels) of points (grp, pid, lat, lon), in range: a label for each radius and, within it, each
     least number in ascending order; with ``counts`` (grp, eps, least, clusters, held), held being the points that aren't

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hotloom.functions.planar import to_latlon
 from hotloom.functions.sphere import EARTH_M, haversine
 from hotloom.operators.density import CELL, GROUP, by_configuration, celled, dbscan, in_range, looking, to_cells
-from hotloom.operators.gathered import fits_task, gathered, labelling
+from hotloom.operators.gathered import by_radius, fits_task, gathered, labelling
 from hotloom.operators.measured import measured
 from hotloom.operators.ranking import with_rank
 from hotloom.operators.shapes import centres, outlines, radii
@@ -203,11 +203,10 @@ def sweep(points: DataFrame, pool: DataFrame | None = None, eps: list[float] = E
         for m in least:
             check_parameters(e, m)
     there, bad = in_range(points.select(F.lit(0).alias(GROUP), "pid", "lat", "lon"))
-    wide = gathered(there, eps, least)
-    if wide is not None:
-        # measured radius by radius where the labels are; no row for each point and configuration
-        noise = bad.withColumn("labels", F.array_repeat(F.lit(-1), len(eps) * len(least)))
-        out = from_measured(stage(measured(wide.unionByName(noise), eps, least), "measured"))
+    packed = by_radius(there, eps, least)
+    if packed is not None:
+        # measured radius by radius; labels are written for a radius and the next, and only of what is clustered at either
+        out = from_measured(stage(measured(packed, bad, eps, least), "measured"))
     else:
         labels = labelled(points, eps, least)
         out = sweep_metrics(labels, ["eps", "least"]).join(stability(labels), ["eps", "least"], "left").withColumn("warnings", sanity_warnings())

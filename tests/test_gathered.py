@@ -71,3 +71,19 @@ def test_large_draws_are_not_written(spark, monkeypatch):
             assert order(sweeps.baselines(pool, size, [100.0, 500.0], [3, 9], reps=4)) == [tuple(pytest.approx(v) for v in r) for r in want]
         assert tasks == [1] * 4 and sum(d.count() for d in staged if "lat" in d.columns) == 2002
     assert sweeps.baselines(pool.limit(0), 5, [100.0], [3]).count() == 0
+
+
+def test_rows_by_radius_hold_no_noise(spark, monkeypatch):
+    """Places of a radius that are clustered at it or the next come in lists, in small pieces too; the others are counted."""
+    rows = [(0, i, 12.9 + 0.0001 * i, 77.5) for i in range(5)] + [(0, 9, 12.9, 77.5), (0, 10, 13.0, 77.5), (0, 11, 13.001, 77.5), (0, 12, 13.2, 77.5)]
+    df = spark.createDataFrame(rows, f"{GROUP} int, pid long, lat double, lon double")
+    got = gathered.by_radius(df, [200.0, 5.0, 20.0], [2, 3]).collect()
+    size = {e: (sum(sum(r.w) for r in got if r.eps == e), sum(r.noise for r in got if r.eps == e)) for e in (5.0, 20.0, 200.0)}
+    assert size == {5.0: (6, 3), 20.0: (8, 1), 200.0: (8, 1)}
+    assert all(len(r.labels) == len(r.lat) * (2 if r.eps == 200.0 else 4) for r in got)
+    monkeypatch.setattr(gathered, "PACKED", 2)
+    at = np.arange(6.0)
+    parts = [b.to_pylist()[0] for b in gathered._rows(5.0, at, at + 70, np.full(6, 3), [np.array([-1, 0, 1, -1, 1, 0]), np.array([-1, -1, 2, -1, 0, -1])])]
+    assert [(p["lat"], p["w"], p["labels"], p["noise"]) for p in parts] == [([1.0, 2.0], [3, 3], [0, 1, -1, 2], 6), ([4.0, 5.0], [3, 3], [1, 0, 0, -1], 0)]
+    monkeypatch.setattr(gathered, "FEW_POINTS", 8)
+    assert gathered.by_radius(df, [5.0], [2]) is None
