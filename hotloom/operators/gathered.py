@@ -165,9 +165,9 @@ def _grown(lat: np.ndarray, lon: np.ndarray, w: np.ndarray, eps: list[float], le
         for c in comp.values():
             held = c[order]
             dense = np.flatnonzero(held >= 0)
-            held, inside = held[dense], of[dense]
-            same = (inside[1:] == inside[:-1]) & (held[1:] != held[:-1])
-            _unite(c, held[1:][same], held[:-1][same])
+            if len(dense):
+                held, begin = held[dense], _heads(of[dense])
+                _unite(c, held, np.repeat(np.minimum.reduceat(held, begin), np.diff(np.append(begin, len(held)))))
         dense = order[weight[order] >= low]
         begin = _heads(key[dense])
         cells = key[dense[begin]]
@@ -247,7 +247,10 @@ def _links(at: _Places, eps: float, comp: dict[int, np.ndarray], weight: np.ndar
                 known.add(k)
                 yield k, a[apart][:1], b[apart][:1]
             elif apart.any():
-                yield k, a[apart], b[apart]
+                # links of the same two cells join the same clusters and follow each other
+                a, b = a[apart], b[apart]
+                first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                yield k, a[first], b[first]
         if len(known) == len(comp):
             return
 

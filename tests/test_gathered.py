@@ -87,3 +87,13 @@ def test_rows_by_radius_hold_no_noise(spark, monkeypatch):
     assert [(p["lat"], p["w"], p["labels"], p["noise"]) for p in parts] == [([1.0, 2.0], [3, 3], [0, 1, -1, 2], 6), ([4.0, 5.0], [3, 3], [1, 0, 0, -1], 0)]
     monkeypatch.setattr(gathered, "FEW_POINTS", 8)
     assert gathered.by_radius(df, [5.0], [2]) is None
+
+
+def test_links_of_two_cells_come_once(monkeypatch):
+    """Crowded neighbouring cells join their clusters by one link for each least number, not by one for each pair of places."""
+    seen = []
+    whole = gathered._links
+    monkeypatch.setattr(gathered, "_links", lambda *a: (seen.append(len(x[1])) or x for x in whole(*a)))
+    lat, lon = np.concatenate([np.full(40, 12.9) + np.arange(40) * 1e-7, np.full(40, 12.9007) + np.arange(40) * 1e-7]), np.full(80, 77.5)
+    found = list(gathered.count_group(lat, lon, np.ones(80, np.int64), [100.0], [3, 5]))
+    assert found == [(100.0, 3, 1, 80), (100.0, 5, 1, 80)] and seen == [1, 1]
