@@ -23,7 +23,7 @@ from hotloom.operators.components import least_numbers
 GROUP = "grp"
 #: Places of a row of by_radius().
 PACKED = 5_000
-#: Points that a group may have to be labelled by one task (FIGMB there); larger ones are distributed.
+#: Points that a group may have to be labelled by one task (300 MB there for 700,000); larger ones are distributed.
 FEW_POINTS = 1_500_000
 #: Labels that a task may hold at once, where all of a group come out together.
 FEW_LABELS = 18_000_000
